@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
 import uuid
 import zipfile
@@ -131,8 +129,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     stop[-1] = ~gap[-1]
     ends = np.flatnonzero(stop) + 1
     longest = int((ends - starts).max()) if len(starts) else 0
-    place = np.arange(len(data), dtype=np.int64)
-    place -= np.repeat(starts, np.diff(np.append(starts, len(data)))) if len(starts) and starts[0] == 0 else np.concatenate([np.full(starts[0] if len(starts) else len(data), 0), np.repeat(starts, np.diff(np.append(starts, len(data))))])
+    bounds = np.concatenate([[0], starts])
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(bounds, np.diff(np.append(bounds, len(data))))
     np.clip(place, 0, max(longest - 1, 0), out=place)
     value = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(max(longest, 1))[place]
     value[gap] = 0
