@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import quality
+from quern.llm import quality, simhash
 
-QUERIES = {"op7_quality_rules": quality.op7_quality_rules}
+QUERIES = {"op3_simhash_near_dedup": simhash.op3_simhash_near_dedup, "op7_quality_rules": quality.op7_quality_rules}
 ORACLES = {"op7_quality_rules": quality.ORACLE}
