@@ -40,7 +40,8 @@ END_ID, SKIPPABLE, SEEKABLE, SEEK_SKIPPABLE, CHECKSUMS = 2, 0x184D2A50, 0x8F92EA
 DIRECTORY = np.dtype([("doc", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4"), ("row", "<u4")])
 
 #: White space that may make a blank-delimited piece depend on its neighbours.
-_ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|  |\n |^ | $")
+_BEYOND = "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
+_ODD_SPACE = re.compile(rf"[\t\r\x0b\x0c\x1c-\x1f{_BEYOND}]|  |\n |^ | $")
 
 
 class Encoder:
