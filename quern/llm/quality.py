@@ -82,9 +82,9 @@ def measured(packs: DataFrame) -> DataFrame:
 
 def ordered_rules(spark: SparkSession, packs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> list[Rule]:
     """The rules by rejections per unit of work, as estimated on at most sample_rows rows; it moves cost, not verdicts."""
-    part = measured(packs.limit(sample_rows))
-    stats = part.agg(*[F.avg(r.rejects().cast("double")).alias(f"r{i}") for i, r in enumerate(rules)], *[F.avg(r.work()).alias(f"w{i}") for i, r in enumerate(rules)]).first()
-    gain = {r.name: (stats[f"r{i}"] or 0.0) / max(stats[f"w{i}"] or 0.0, 1e-9) for i, r in enumerate(rules)}
+    rows = measured(packs).select(*[F.coalesce(r.rejects().cast("double"), F.lit(0.0)) for r in rules], *[r.work().cast("double") for r in rules]).take(sample_rows)
+    mean = [sum(x) / len(rows) for x in zip(*rows, strict=True)] or [0.0] * 2 * len(rules)
+    gain = {r.name: mean[i] / max(mean[len(rules) + i], 1e-9) for i, r in enumerate(rules)}
     return sorted(rules, key=lambda r: (-gain[r.name], r.name))
 
 

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, quality, simhash, tokens
+from quern.llm import chat, decontaminate, mixing, quality, simhash, tokens
 
-QUERIES = {"op3_simhash_near_dedup": simhash.op3_simhash_near_dedup, "op7_quality_rules": quality.op7_quality_rules, "op8_token_shards": tokens.op8_token_shards, "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination}
-ORACLES = {"op7_quality_rules": quality.ORACLE}
+QUERIES = {
+    "op1_source_mixing": mixing.op1_source_mixing,
+    "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op7_quality_rules": quality.op7_quality_rules,
+    "op8_token_shards": tokens.op8_token_shards,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+    "op10_chat_rotation": chat.op10_chat_rotation,
+}
+ORACLES = {"op7_quality_rules": quality.ORACLE, "op10_chat_rotation": chat.ORACLE}
