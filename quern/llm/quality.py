@@ -101,8 +101,13 @@ def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, *, text: str
 
 
 def keep_good(df: DataFrame, **options) -> DataFrame:
-    """The rows of df that the cascade keeps, with df's columns."""
-    return quality_cascade(df, **options).where("kept").select(*unpacked(df.columns))
+    """The rows of df that the cascade keeps, with df's columns.
+
+    Dropped by explode(), not where(): a filter would be pushed below the projections, each
+    of whose steps would then be written out anew wherever the next one uses it.
+    """
+    judged = quality_cascade(df, **options).select("_doc", "kept")
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_doc"))).alias("_doc")).select(*unpacked(df.columns))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
