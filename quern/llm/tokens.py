@@ -40,46 +40,103 @@ END_ID, SKIPPABLE, SEEKABLE, SEEK_SKIPPABLE, CHECKSUMS = 2, 0x184D2A50, 0x8F92EA
 DIRECTORY = np.dtype([("doc", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4"), ("row", "<u4")])
 
 #: White space that may make a blank-delimited piece depend on its neighbours.
-_BEYOND = "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)))
-_ODD_SPACE = re.compile(rf"[\t\r\x0b\x0c\x1c-\x1f{_BEYOND}]|  |\n |^ | $")
+_ODD = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f", "  ", "\n ", *map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))]
+
+
+def _odd(text: str) -> bool:
+    """Whether a text must go to the tokenizer whole."""
+    return text[0] == " " or text[-1] == " " or any(x in text for x in (_ODD[:10] if text.isascii() else _ODD))
+
+
+#: Pieces of Latin letters and ASCII punctuation, with one line break at most: the pretokenizer cuts between all four parts. Apostrophes and digits are left out.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_PARTS = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)(?:\n([{_LETTERS}]+)([{_MARKS}]*))?").fullmatch
+#: The byte-level alphabet of those letters.
+_SPELLED = {c: "".join(chr(x if x > 0xA0 and x != 0xAD else x + 162 if x != 0xAD else 323) for x in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class _Kept(dict):
+    """Known pieces; an unknown one is noted, and its place in the notes stands for it."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        return len(self.new) - 1
 
 
 class Encoder:
     """Encodes texts with a tokenizers file; the ids of pieces between single blanks are kept for reuse.
 
     A byte-level BPE splits before every blank that follows a non-blank, so pieces between
-    single blanks can be encoded apart. A text with other white space around blanks goes to
-    the tokenizer whole.
+    single blanks can be encoded apart. New pieces that are plain words with punctuation are
+    put together from words and marks, each of which the tokenizer's model is asked for once.
+    A text with other white space around blanks goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept, self.most = {}, kept
+        self.model, self.most = self.tokenizer.model, most
+        self.kept, self.words, self.marks = _Kept(), {}, {"": b""}
+        self.simple = all(self._word(w) == self._ids(w) for w in (" the", "Ère", " Größe", " çà", "ÿ"))  # else every piece is encoded whole
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids of one text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            return self._ids(text)
-        first, *rest = text.split(" ")
-        kept = self.kept
-        try:
-            return self._ids(first) + b"".join([kept[x] for x in rest])
-        except KeyError:
-            pass
-        if len(kept) > self.most:
-            kept.clear()
-        new = list({x for x in rest if x not in kept})
-        for x, e in zip(new, self.tokenizer.encode_batch_fast([" " + x for x in new], add_special_tokens=False), strict=True):
-            kept[x] = np.array(e.ids, "<u4").tobytes()
-        return self._ids(first) + b"".join([kept[x] for x in rest])
+    def _word(self, word: str) -> bytes:
+        """The ids of letters, with a blank before them or none."""
+        spelled = word.replace(" ", "Ġ") if word.isascii() else word.translate(_SPELLED).replace(" ", "Ġ")
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece that follows a blank."""
+        m = self.simple and _PARTS(piece)
+        if not m:
+            return self._ids(" " + piece)
+        out = b""
+        for word, marks in ((" " + m[1], m[2]), ("" if m[3] is None else m[3], m[4] or "")):
+            if word and (w := self.words.get(word)) is None:
+                if len(self.words) >= self.most:
+                    self.words.clear()
+                w = self.words[word] = self._word(word)
+            if (k := self.marks.get(marks)) is None:
+                if len(self.marks) >= 10_000:
+                    self.marks = {"": b""}
+                k = self.marks[marks] = self._ids(marks)
+            out = out + w + k if word[:1] == " " else out + self.marks["\n"] + w + k if word else out
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list = [b""] * len(texts)
+        self.marks.setdefault("\n", self._ids("\n"))
+        kept, fresh = self.kept, []
+        kept.new = []
+        total = 0
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if _odd(t):
+                out[i] = self._ids(t)
+                continue
+            first, *pieces = t.split(" ")
+            total += len(pieces)
+            had = len(kept.new)
+            found = list(map(kept.__getitem__, pieces))
+            if len(kept.new) > had:
+                fresh += map(self._piece, kept.new[had:])
+                found = [fresh[x] if x.__class__ is int else x for x in found]
+                if len(kept) + len(fresh) <= self.most:
+                    kept.update(zip(kept.new[had:], fresh[had:], strict=True))
+            out[i] = self._ids(first) + b"".join(found)
+        if len(kept) + len(fresh) > self.most and 4 * len(fresh) > total:  # other words than those kept
+            self.kept = _Kept()
+        return out
 
 
 @lru_cache(1)
@@ -181,12 +238,14 @@ def _writer(folder: str, path: str, shard_bytes: int, end: int):
             rows.append((name, sum(d[3] for d in shard.docs)))
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                shard = shard or ShardWriter()
-                shard.add(doc, coder.encode(text or "") + tail)
-                if shard.held >= shard_bytes:
-                    close()
-                    shard, k = None, k + 1
+            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for at in range(0, len(docs), 64):
+                for doc, ids in zip(docs[at : at + 64], coder.encode(texts[at : at + 64]), strict=True):
+                    shard = shard or ShardWriter()
+                    shard.add(doc, ids + tail)
+                    if shard.held >= shard_bytes:
+                        close()
+                        shard, k = None, k + 1
         if shard:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["name", "tokens"])
