@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import shingle_hashes, ship, table, utf8, word_hashes
+from quern.llm.common import shingle_hashes, ship, slices, table, utf8, word_hashes
 
 #: Words in a shingle, share of an item's shingles, and characters of items in a pass.
 SHINGLE, SHARE, PASS_CHARS = 5, 0.8, 16_000_000
@@ -88,6 +88,10 @@ def sketches(items: list[tuple[object, str | None]], share: float = SHARE) -> Sk
 
 def hits(column: pa.Array, s: Sketches, share: float = SHARE) -> list[tuple[int, int, int]]:
     """(row, item, shared shingles) for each text and item with at least the share of the item's shingles."""
+    return [(at + r, i, n) for at, part in slices(column) for r, i, n in _hits(part, s, share)]
+
+
+def _hits(column: pa.Array, s: Sketches, share: float) -> list[tuple[int, int, int]]:
     data, offsets = utf8(column)
     data = plain(data)
     h, start, end, first = word_hashes(data, offsets)
