@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, decontaminate, mixing, quality, simhash, tokens
+from quern.llm import chat, decontaminate, langid, mixing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_language_id": langid.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_token_shards": tokens.op8_token_shards,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,

@@ -238,9 +238,9 @@ def _writer(folder: str, path: str, shard_bytes: int, end: int):
             rows.append((name, sum(d[3] for d in shard.docs)))
 
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(docs), 64):
-                for doc, ids in zip(docs[at : at + 64], coder.encode(texts[at : at + 64]), strict=True):
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
                     shard = shard or ShardWriter()
                     shard.add(doc, ids + tail)
                     if shard.held >= shard_bytes:
