@@ -1 +1 @@
-"""Part of the quern corpus engine."""
+"""Column functions: text, arrays, metrics, and assembly."""
