@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.binding import let
+
 
 def lookup(keys: Column, values: Column, key: Column) -> Column:
     """The value at the first place of key; null where the key is absent, the value missing, null or empty."""
@@ -19,8 +21,7 @@ def lookup_or(keys: Column, values: Column, key: Column, *others: Column) -> Col
 
 def updated(keys: Column, values: Column, key: Column, new: Column) -> Column:
     """values with new at the first place of key; as they were where it is absent."""
-    at = F.array_position(keys, key)
-    return F.transform(values, lambda v, i: F.when(i == at - 1, new).otherwise(v))
+    return let(F.array_position(keys, key), lambda at: F.transform(values, lambda v, i: F.when(i == at - 1, new).otherwise(v)))
 
 
 def columns_of(rows: Column, *fields: str) -> Column:

@@ -23,10 +23,17 @@ from pyspark.sql import functions as F
 def udf(f: Callable, returns: str) -> Callable[..., Column]:
     """f as an Arrow-batched column function; null where the first argument is null."""
 
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([None if x[0] is None else f(*x) for x in zip(*series, strict=True)], dtype=object)
+    def each(*series: pd.Series) -> list:
+        return [None if x[0] is None else f(*x) for x in zip(*series, strict=True)]
 
-    run.__annotations__ = {"series": pd.Series, "return": pd.Series}
+    def cells(*series: pd.Series) -> pd.Series:
+        return pd.Series(each(*series), dtype=object)
+
+    def records(*series: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([x or {} for x in each(*series)])
+
+    run = records if returns.startswith("struct") else cells
+    run.__annotations__ = {"series": pd.Series, "return": pd.DataFrame if run is records else pd.Series}
     return F.pandas_udf(run, returns)
 
 

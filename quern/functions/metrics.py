@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.binding import let
 from quern.functions.text import stripped, tokens
 
 
@@ -24,17 +25,20 @@ def _grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>"))
 
 
+def _numbered(grams: Column) -> Column:
+    number = lambda xs: F.transform(xs, lambda x, i: F.concat_ws("\x01", x, (i - F.array_position(xs, x)).cast("string")))
+    return let(F.array_sort(grams), number)
+
+
 def bleu_parts(prediction: Column, reference: Column, words=tokens) -> Column:
     """struct(sys_len, ref_len, match: 4 counts, total: 4 counts) of a pair: what corpus BLEU adds up."""
-    p, r = words(prediction), words(reference)
-    match, total = [], []
-    for n in range(1, 5):
-        a, b = _grams(p, n), _grams(r, n)
-        count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-        clipped = F.transform(F.array_distinct(a), lambda g: F.least(count(a, g), count(b, g)))
-        match.append(F.aggregate(clipped, F.lit(0).cast("long"), lambda x, y: x + y))
-        total.append(F.size(a).cast("long"))
-    return F.struct(F.size(p).cast("long").alias("sys_len"), F.size(r).cast("long").alias("ref_len"), F.array(*match).alias("match"), F.array(*total).alias("total"))
+    def parts(p: Column, r: Column) -> Column:
+        # each occurrence numbered, so that the common set is the clipped match
+        match = [F.size(F.array_intersect(_numbered(_grams(p, n)), _numbered(_grams(r, n)))).cast("long") for n in range(1, 5)]
+        total = [F.greatest(F.size(p) - n, F.lit(0)).cast("long") for n in range(4)]
+        return F.struct(F.size(p).cast("long").alias("sys_len"), F.size(r).cast("long").alias("ref_len"), F.array(*match).alias("match"), F.array(*total).alias("total"))
+
+    return let(words(prediction), lambda p: let(words(reference), lambda r: parts(p, r)))
 
 
 def bleu_score(parts: Column) -> Column:

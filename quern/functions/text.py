@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.binding import let
+
 #: Line ends besides the line feed that some of the functions honour, in the order they are tried.
 LINE_ENDS = "\\r\\n|[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 STRUCT = "%struct\\.[a-zA-Z0-9_]+"
@@ -43,11 +45,13 @@ def joined(c: Column) -> Column:
 
 def _renumbered(c: Column, prefix: str) -> Column:
     """Every struct name replaced by prefix and its place among the text's distinct names."""
-    found = F.regexp_extract_all(c, F.lit(f"({STRUCT})"))
-    names = F.array_distinct(found)
-    new = F.transform(found, lambda m: F.concat(F.lit(prefix), (F.array_position(names, m) - 1).cast("string")))
     between = F.split(c, STRUCT, -1)
-    return F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def named(found: Column, names: Column) -> Column:
+        new = F.transform(found, lambda m: F.concat(F.lit(prefix), (F.array_position(names, m) - 1).cast("string")))
+        return F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return let(F.regexp_extract_all(c, F.lit(f"({STRUCT})")), lambda found: let(F.array_distinct(found), lambda names: named(found, names)))
 
 
 def normalize_structs(c: Column) -> Column:
@@ -74,12 +78,14 @@ def extract_marked(c: Column, name: Column) -> Column:
 
     Marks hold BEGIN or END, then FUNCTION-DEF, the name and a blank.
     """
-    rows = every_line(c)
-    mark = lambda word: F.concat(F.lit(f"{word} FUNCTION-DEF "), name, F.lit(" "))
-    places = lambda word: F.filter(F.transform(rows, lambda x, i: F.when(F.contains(x, mark(word)), i)), lambda i: i.isNotNull())
-    end = F.get(places("END"), F.lit(0))
-    begin = F.array_max(F.filter(places("BEGIN"), lambda i: i <= end))
-    return F.when(end.isNotNull() & begin.isNotNull(), joined(F.slice(rows, begin + 1, end - begin + 1)))
+    def cut(rows: Column) -> Column:
+        mark = lambda word: F.concat(F.lit(f"{word} FUNCTION-DEF "), name, F.lit(" "))
+        places = lambda word: F.filter(F.transform(rows, lambda x, i: F.when(F.contains(x, mark(word)), i)), lambda i: i.isNotNull())
+        last = lambda end: F.array_max(F.filter(places("BEGIN"), lambda i: i <= end))
+        span = lambda end: let(last(end), lambda begin: F.when(end.isNotNull() & begin.isNotNull(), joined(F.slice(rows, begin + 1, end - begin + 1))))
+        return let(F.get(places("END"), F.lit(0)), span)
+
+    return let(every_line(c), cut)
 
 
 def dropped_lines(c: Column, patterns: Sequence[str], *, every: bool = False) -> Column:
@@ -146,13 +152,17 @@ def detect_aarch64(c: Column) -> Column:
 
 def split_function(c: Column) -> Column:
     """struct(header, body, footer: arrays of lines), cut after the first .cfi_startproc and before the next .cfi_endproc; all body without a start."""
-    rows = lines(c)
-    at = lambda word: F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(f"^\\s*\\.cfi_{word}"), i)), lambda i: i.isNotNull())
-    start = F.get(at("startproc"), F.lit(0))
-    end = F.array_min(F.filter(at("endproc"), lambda i: i > start))
-    head = F.coalesce(start + 1, F.lit(0))
-    stop = F.coalesce(end, F.size(rows))
-    return F.struct(F.slice(rows, F.lit(1), head).alias("header"), F.slice(rows, head + 1, stop - head).alias("body"), F.slice(rows, stop + 1, F.size(rows) - stop).alias("footer"))
+    def cut(rows: Column) -> Column:
+        at = lambda word: F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(f"^\\s*\\.cfi_{word}"), i)), lambda i: i.isNotNull())
+
+        def parts(start: Column) -> Column:
+            head = F.coalesce(start + 1, F.lit(0))
+            stop = F.coalesce(F.array_min(F.filter(at("endproc"), lambda i: i > start)), F.size(rows))
+            return F.struct(F.slice(rows, F.lit(1), head).alias("header"), F.slice(rows, head + 1, stop - head).alias("body"), F.slice(rows, stop + 1, F.size(rows) - stop).alias("footer"))
+
+        return let(F.get(at("startproc"), F.lit(0)), parts)
+
+    return let(lines(c), cut)
 
 
 def normalize_ir(c: Column) -> Column:

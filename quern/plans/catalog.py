@@ -1,4 +1,622 @@
-"""Registered queries over the driver tables and their SQL twins."""
+"""Registered queries over the driver tables and their SQL twins.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+documents plays the fact table (lang its technique, source its split), labels its metadata,
+conversations predictions and references, events counters and payloads, and lineitem and
+orders volume. Every query reads its tables whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import arrays, asm, metrics, text
+from quern.operators import batching, curate, external, routing
+from quern.streaming import increments
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of table(name) -> DataFrame under its own name."""
+
+    def wrap(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+# --- evaluation -------------------------------------------------------------
+
+_TURNS = """WITH p AS (SELECT a.conv_id, a.turn, regexp_replace(a.text, '[^\\x00-\\x7F]', '', 'g') AS prediction, regexp_replace(u.text, '[^\\x00-\\x7F]', '', 'g') AS reference,
+  'group' || (a.conv_id % 3) AS technique FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user')"""
+
+
+def _turns(t) -> DataFrame:
+    """Assistant turns as predictions of the user turns before them; ASCII, for the engines differ in what a character is."""
+    fold = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "")
+    a = t("conversations").where("role = 'assistant'").select("conv_id", "turn", fold("text").alias("prediction"))
+    u = t("conversations").where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), fold("text").alias("reference"))
+    return a.join(u, ["conv_id", "turn"]).withColumn("technique", F.concat(F.lit("group"), (F.col("conv_id") % 3).cast("string")))
+
+
+@query(_TURNS + """ SELECT coalesce(technique, 'ALL') AS technique, count(*) AS n,
+  round(coalesce(avg(levenshtein(prediction, reference) / greatest(length(prediction), length(reference), 1)) FILTER (WHERE reference <> ''), 0), 6) AS ned,
+  round(coalesce(avg(CASE WHEN regexp_replace(prediction, '^\\s+|\\s+$', '', 'g') = regexp_replace(reference, '^\\s+|\\s+$', '', 'g') THEN 100.0::DOUBLE ELSE 0 END), 0), 6) AS exact_match
+  FROM p WHERE length(reference) > 0 GROUP BY GROUPING SETS ((), (technique))""")
+def eval_report_grouped(t):
+    pairs = _turns(t).where(F.length(F.coalesce("reference", F.lit(""))) > 0)
+    scored = pairs.withColumns({"d": metrics.ned(F.col("prediction"), F.col("reference")), "e": metrics.exact(F.col("prediction"), F.col("reference"))})
+    return curate.overall(scored, [F.count("*").alias("n"), F.round(F.coalesce(F.avg("d"), F.lit(0.0)), 6).alias("ned"), F.round(F.coalesce(F.avg("e"), F.lit(0.0)), 6).alias("exact_match")], "technique")
+
+
+_GRAMS = " UNION ALL ".join(f"SELECT conv_id, turn, technique, {n} AS n, side, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - {n - 2})) AS i FROM w)" for n in range(1, 5))
+
+
+def _text_of(c):
+    """An array as text; engines print arrays in ways of their own."""
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "null")
+
+
+def _sql_text(c: str) -> str:
+    return f"array_to_string(list_transform({c}, lambda v: coalesce(v::VARCHAR, 'null')), ',')"
+
+
+def _once(df: DataFrame, name: str) -> DataFrame:
+    """df with the named column worked out once for a row: a generator isn't merged with what reads it."""
+    return df.withColumn(name, F.explode(F.array(name)))
+
+
+@query(_TURNS + f""", w AS (SELECT conv_id, turn, technique, 'p' AS side, list_filter(string_split_regex(prediction, '\\s+'), lambda x: x <> '') AS w FROM p
+  UNION ALL SELECT conv_id, turn, technique, 'r', list_filter(string_split_regex(reference, '\\s+'), lambda x: x <> '') FROM p),
+  g AS ({_GRAMS}),
+  c AS (SELECT technique, n, count(*) FILTER (WHERE side = 'p') AS a, count(*) FILTER (WHERE side = 'r') AS b FROM g GROUP BY conv_id, turn, technique, n, gram),
+  m AS (SELECT coalesce(technique, 'ALL') AS technique, n, sum(least(a, b)) AS hit, sum(a) AS total FROM c GROUP BY GROUPING SETS ((n), (technique, n))),
+  l AS (SELECT coalesce(technique, 'ALL') AS technique, sum(len(w)) FILTER (WHERE side = 'p') AS s, sum(len(w)) FILTER (WHERE side = 'r') AS r FROM w GROUP BY GROUPING SETS ((), (technique)))
+  SELECT technique, round(CASE WHEN min(hit) = 0 THEN 0 ELSE 100 * (CASE WHEN any_value(s) >= any_value(r) THEN 1 ELSE exp(1 - any_value(r) / any_value(s)) END) * exp(sum(ln(greatest(hit, 1) / total)) / 4) END, 6) AS bleu
+  FROM m JOIN l USING (technique) GROUP BY technique""")
+def eval_bleu_grouped(t):
+    parts = _turns(t).withColumn("parts", metrics.bleu_parts(F.col("prediction"), F.col("reference")))
+    return curate.overall(_once(parts.select("technique", "parts"), "parts"), [F.round(metrics.bleu_score(F.col("parts")), 6).alias("bleu")], "technique")
+
+
+@query(_TURNS + """ SELECT conv_id, turn, levenshtein(prediction, reference) AS chars, (prediction = reference) AS same, len(list_filter(string_split_regex(prediction, '\\s+'), lambda x: x <> ''))::INTEGER AS n_tokens FROM p""")
+def pair_metrics(t):
+    return _turns(t).select("conv_id", "turn", F.levenshtein("prediction", "reference").cast("long").alias("chars"), (F.col("prediction") == F.col("reference")).alias("same"), F.size(text.tokens(F.col("prediction"))).alias("n_tokens"))
+
+
+@query()
+def token_distance(t):
+    return _turns(t).select("conv_id", "turn", asm.udf(asm.token_distance, "int")(F.col("prediction"), F.col("reference")).alias("edits"))
+
+
+# --- enrichment -------------------------------------------------------------
+
+
+@query("SELECT d.doc_id, d.lang, d.source, coalesce(l.quality::VARCHAR, '') AS quality, coalesce(l.toxic::VARCHAR, '') AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def augment_left_join(t):
+    return curate.enriched(t("documents").select("doc_id", "lang", "source"), t("labels"), ["doc_id"], ["quality", "toxic"], order="quality")
+
+
+@query("SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def augment_semi_keys(t):
+    return curate.reduced(t("documents").select("doc_id", "source", "lang"), t("labels"), "doc_id")
+
+
+@query("SELECT DISTINCT source AS exebench_split, lang AS fname FROM documents WHERE coalesce(source, '') <> '' AND coalesce(lang, '') <> ''")
+def needed_keys(t):
+    return curate.keys_needed(t("documents").select(F.col("source").alias("exebench_split"), F.col("lang").alias("fname")), "exebench_split", "fname")
+
+
+@query("SELECT c_custkey, coalesce(o_orderpriority, '') AS o_orderpriority, coalesce(o_orderstatus, '') AS o_orderstatus FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def augment_last_wins(t):
+    return curate.enriched(t("customer").select("c_custkey"), t("orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], ["o_orderpriority", "o_orderstatus"], order="o_orderkey")
+
+
+@query("SELECT source, doc_id, 'chunk' || (doc_id % 2) AS part FROM documents UNION ALL SELECT 'labels', doc_id, 'labels' FROM labels")
+def union_shards(t):
+    d = t("documents").select("source", "doc_id", F.concat(F.lit("chunk"), (F.col("doc_id") % 2).cast("string")).alias("part"))
+    return curate.typed_union(d, t("labels").select("doc_id", F.lit("labels").alias("part"), F.lit("labels").alias("source")))
+
+
+# --- splits, shards, slices -------------------------------------------------
+
+_SPLIT = """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+  s AS (SELECT doc_id, lang, CASE WHEN k <= greatest(1, floor(n * 0.1)) THEN 'test' ELSE 'train' END AS split FROM r)"""
+
+
+@query(_SPLIT + " SELECT * FROM s")
+def stratified_split(t):
+    return curate.stratified(t("documents").select("doc_id", "lang"), "lang", "doc_id", 0.1).select("doc_id", "lang", "split")
+
+
+@query(_SPLIT + " SELECT split, lang, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM s GROUP BY split, lang")
+def split_histogram(t):
+    s = curate.stratified(t("documents").select("doc_id", "lang"), "lang", "doc_id", 0.1)
+    return curate.shares(s, "split", "lang").withColumn("pct", F.round("pct", 6))
+
+
+@query("""WITH u AS (SELECT DISTINCT l_returnflag, l_orderkey FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('42:' || l_orderkey), l_orderkey) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM u)
+  SELECT l_returnflag, CASE WHEN k <= greatest(1, floor(n * 0.05)) THEN 'test' ELSE 'train' END AS split, count(*) AS n, count(DISTINCT l_orderkey) AS n_groups FROM lineitem JOIN r USING (l_returnflag, l_orderkey) GROUP BY 1, 2""")
+def group_safe_split(t):
+    s = curate.stratified(t("lineitem").select("l_returnflag", "l_orderkey"), "l_returnflag", "l_orderkey", 0.05, group="l_orderkey")
+    return s.groupBy("l_returnflag", "split").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("n_groups"))
+
+
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 5000)::BIGINT AS shard_id FROM orders")
+def shard_assign(t):
+    return curate.sharded(t("orders").select("o_orderkey"), "o_orderkey", 5000)
+
+
+@query("WITH s AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 4000 AS k FROM orders) SELECT k::BIGINT AS shard_id, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM s GROUP BY k")
+def shard_compaction(t):
+    return curate.sharded(t("orders").select("o_orderkey"), "o_orderkey", 4000).groupBy("shard_id").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 300 OFFSET 500")
+def chunk_slice(t):
+    return curate.chunk(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey", 500, 300)
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id))::BIGINT AS place FROM documents")
+def seeded_shuffle(t):
+    h = t("documents").select("doc_id", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("h"))
+    h = h.withColumn("k", F.conv(F.substring("h", 1, 13), 16, 10).cast("long"))  # as many leading bits as a double orders exactly
+    return curate.numbered(h, "k", name="place").select("doc_id", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE value IS NOT NULL ORDER BY event_id DESC LIMIT 10")
+def newest_rows(t):
+    return curate.newest(t("events").where("value is not null").select("event_id", "event_type"), "event_id", 10)
+
+
+# --- filters with reasons ---------------------------------------------------
+
+_REASON = """CASE WHEN regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') = '' THEN 'missing' WHEN length(text) < 20 THEN 'too_short' WHEN length(text) > 8000 THEN 'too_long'
+  WHEN length(text) - length(replace(text, chr(10), '')) + 1 > 60 THEN 'too_many_lines' WHEN len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) > 1024 THEN 'too_many_tokens' ELSE 'kept' END"""
+
+
+def _reasons(t) -> DataFrame:
+    d = t("documents")
+    return curate.with_reason(d, [
+        ("missing", text.clean_string(F.col("text")).isNull()), ("too_short", F.length("text") < 20), ("too_long", F.length("text") > 8000),
+        ("too_many_lines", F.regexp_count("text", F.lit("\n")) + 1 > 60), ("too_many_tokens", F.size(text.tokens(F.col("text"))) > 1024),
+    ])
+
+
+@query(f"SELECT {_REASON} AS skip_reason, count(*) AS n FROM documents GROUP BY 1")
+def skip_reason_counts(t):
+    return curate.reason_counts(_reasons(t))
+
+
+@query(f"SELECT doc_id, technique FROM (SELECT doc_id, {_REASON} AS r FROM documents), (VALUES ('Flatten'), ('EncodeArithmetic'), ('Flatten+EncodeArithmetic')) v(technique) WHERE r = 'kept'")
+def transform_fanout(t):
+    return curate.fanned_out(_reasons(t).where("skip_reason is null").select("doc_id"))
+
+
+@query("SELECT lang, count(*) AS seen, count(*) FILTER (WHERE lang = 'en') AS evaluated FROM documents GROUP BY lang")
+def category_filter(t):
+    return t("documents").groupBy("lang").agg(F.count("*").alias("seen"), F.count_if(F.col("lang") == "en").alias("evaluated"))
+
+
+@query("WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE length(text) >= 100), s AS (SELECT min(doc_id) AS stop FROM k WHERE rn > 50) SELECT least(50, (SELECT count(*) FROM k)) AS evaluated, (SELECT count(*) FROM documents WHERE stop IS NULL OR doc_id <= stop) AS seen FROM s")
+def sample_stop(t):
+    d = t("documents").select("doc_id", (F.length("text") >= 100).alias("fit"))
+    last = d.where("fit").orderBy("doc_id").limit(51)  # the row at which the loop would stop
+    ends = last.agg(F.count("*").alias("n"), F.max("doc_id").alias("at"))
+    return d.crossJoin(F.broadcast(ends)).agg(F.least(F.lit(50), F.max("n")).cast("long").alias("evaluated"), F.count_if((F.col("n") < 51) | (F.col("doc_id") <= F.col("at"))).alias("seen"))  # one row
+
+
+# --- statistics -------------------------------------------------------------
+
+
+@query("""SELECT 'samples_per_transform.' || event_type AS name, count(*)::BIGINT AS total FROM events GROUP BY event_type
+  UNION ALL SELECT 'rows_seen', count(*) FROM events UNION ALL SELECT 'failures', count(*) FILTER (WHERE value < 10) FROM events""")
+def merge_chunk_stats(t):
+    e = t("events").withColumn("chunk", F.col("event_id") % 7)
+    maps = e.groupBy("chunk", "event_type").count().groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "count"))).alias("samples_per_transform"))
+    parts = e.groupBy("chunk").agg(F.count("*").alias("rows_seen"), F.count_if(F.col("value") < 10).alias("failures")).join(maps, "chunk")
+    return curate.merged_stats(parts.select(F.struct("rows_seen", "failures", "samples_per_transform").alias("generation_stats")))
+
+
+_CHECKS = """WITH c AS (SELECT event_id, event_type, user_id, event_id % 10 < 8 AS syntax_valid, event_id % 10 < 5 AS compiles, event_id % 10 < 2 AS links,
+  CASE WHEN event_id % 10 < 2 THEN event_id % 4 <> 1 END AS functional_pass, (event_id % 6)::INTEGER AS io_pass_count, 5 AS io_total_count FROM events)"""
+_SUMS = """count(*) AS total, count(*) FILTER (WHERE syntax_valid) AS syntax_valid, count(*) FILTER (WHERE compiles) AS compiles, count(*) FILTER (WHERE links) AS links,
+  count(functional_pass) AS functional_tested, count(*) FILTER (WHERE functional_pass) AS functional_pass,
+  coalesce(sum(io_pass_count) FILTER (WHERE functional_pass IS NOT NULL), 0)::BIGINT AS io_pass_total, coalesce(sum(io_total_count) FILTER (WHERE functional_pass IS NOT NULL), 0)::BIGINT AS io_tested_total"""
+_RATES = ", ".join(f"round(100 * {a} / greatest({b}, 1), 6) AS {n}" for a, b, n in (("syntax_valid", "total", "syntax_valid_pct"), ("compiles", "total", "compiles_pct"), ("links", "total", "links_pct"), ("functional_pass", "functional_tested", "functional_pass_pct"), ("io_pass_total", "io_tested_total", "io_pass_pct")))
+
+
+def _checks(t) -> DataFrame:
+    k = F.col("event_id") % 10
+    return t("events").select("event_id", "event_type", "user_id", (k < 8).alias("syntax_valid"), (k < 5).alias("compiles"), (k < 2).alias("links"), F.when(k < 2, F.col("event_id") % 4 != 1).alias("functional_pass"), (F.col("event_id") % 6).cast("int").alias("io_pass_count"), F.lit(5).alias("io_total_count"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in df.columns if c.endswith("_pct")})
+
+
+@query(_CHECKS + f", s AS (SELECT {_SUMS} FROM c) SELECT *, {_RATES} FROM s")
+def check_stats(t):
+    return _rounded(curate.check_stats(_checks(t)))
+
+
+@query(_CHECKS + f", s AS (SELECT coalesce(event_type, 'ALL') AS event_type, {_SUMS} FROM c GROUP BY GROUPING SETS ((), (event_type))) SELECT *, {_RATES} FROM s")
+def check_stats_by_group(t):
+    return _rounded(curate.check_stats(_checks(t), "event_type"))
+
+
+@query(_CHECKS + " SELECT event_id AS seq, CASE WHEN NOT syntax_valid THEN 'syntax' ELSE 'compile' END AS level, CASE WHEN NOT syntax_valid THEN 's' ELSE 'c' END || user_id AS error FROM c WHERE NOT syntax_valid OR NOT compiles ORDER BY event_id LIMIT 20")
+def first_errors(t):
+    user = F.col("user_id").cast("string")
+    return curate.first_errors(_checks(t).withColumns({"syntax_error": F.concat(F.lit("s"), user), "compile_error": F.concat(F.lit("c"), user)}), "event_id")
+
+
+@query(_CHECKS + " SELECT round(100 * avg(syntax_valid::INTEGER), 6) AS syntax_pct, round(100 * avg(compiles::INTEGER), 6) AS compile_pct FROM c")
+def validity_rates(t):
+    return _checks(t).agg(F.round(100 * F.avg(F.col("syntax_valid").cast("int")), 6).alias("syntax_pct"), F.round(100 * F.avg(F.col("compiles").cast("int")), 6).alias("compile_pct"))
+
+
+@query(f"SELECT user_id % 50 AS seed, count(*) AS n, {_sql_text('list_sort(list(event_id))')} AS ids FROM events WHERE event_type = 'purchase' OR event_id % 100 = 0 GROUP BY 1")
+def group_by_seed(t):
+    rows = t("events").where("event_type = 'purchase' OR event_id % 100 = 0")
+    return rows.groupBy((F.col("user_id") % 50).alias("seed")).agg(F.count("*").alias("n"), _text_of(F.array_sort(F.collect_list("event_id"))).alias("ids"))
+
+
+@query("SELECT round(sum(value * (event_id % 5)) / greatest(sum(event_id % 5), 1), 6) AS mean_loss, count(*) AS n FROM events")
+def weighted_loss(t):
+    return t("events").withColumn("w", F.col("event_id") % 5).agg(F.round(curate.weighted_mean("value", "w"), 6).alias("mean_loss"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(count(*) / (date_diff('second', min(ts), max(ts)) + 1), 9) AS per_second FROM events GROUP BY 1")
+def throughput_metrics(t):
+    span = F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp")) + 1
+    return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.count("*") / span, 9).alias("per_second"))
+
+
+@query("SELECT sum(length(text))::BIGINT AS chars_before, sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars_after, round(100.0 - 100 * sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) / greatest(sum(length(text)), 1), 6) AS saved_pct FROM documents")
+def size_report(t):
+    return _rounded(curate.size_report(t("documents").select("text", text.stripped(F.col("text")).alias("clean")), "text", "clean"))
+
+
+@query("WITH r AS (SELECT event_id, user_id, value < 30 AS bad FROM events), i AS (SELECT *, sum((NOT bad)::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM r), k AS (SELECT *, sum(bad::INTEGER) OVER (PARTITION BY user_id, g ORDER BY event_id) AS run FROM i) SELECT user_id, min(event_id) AS stop_at FROM k WHERE run >= 3 GROUP BY 1")
+def fail_streak_stop(t):
+    return curate.fail_streak_stop(t("events"), "event_id", F.col("value") < 30, 3, group="user_id")
+
+
+# --- preference selection ---------------------------------------------------
+
+_CANDIDATES = "WITH c AS (SELECT conv_id, turn, text, CASE WHEN length(text) % 3 = 0 THEN 0 WHEN length(text) % 2 = 0 THEN 1 ELSE 2 END AS score FROM conversations), b AS (SELECT conv_id, arg_max(text, score * 1000000 - turn) AS best, max(score) AS best_score, arg_min(text, score * 1000000 - turn) AS worst, min(score) AS worst_score FROM c GROUP BY 1)"
+
+
+def _ranked(t) -> DataFrame:
+    n = F.length("text")
+    scored = t("conversations").withColumn("score", metrics.candidate_score(n % 3 != 0, n % 2 != 0))
+    return curate.best_worst(scored, "conv_id", "score", "turn", "text")
+
+
+@query(_CANDIDATES + " SELECT conv_id, CASE WHEN best_score > worst_score THEN best ELSE 'truth' END AS chosen, worst AS rejected, CASE WHEN best_score > worst_score THEN best_score ELSE 99 END AS score_chosen, worst_score AS score_rejected, CASE WHEN best_score > worst_score THEN 'ranked' ELSE 'fallback' END AS branch FROM b WHERE best_score > worst_score OR best_score = 0")
+def preference_pairs(t):
+    return curate.preferences(_ranked(t).withColumn("truth", F.lit("truth")), "truth").select("conv_id", "chosen", "rejected", "score_chosen", "score_rejected", "branch")
+
+
+@query(_CANDIDATES + " SELECT best_score, count(*) AS n FROM b GROUP BY 1")
+def score_hist(t):
+    return _ranked(t).groupBy("best_score").agg(F.count("*").alias("n"))
+
+
+_LOSS = "WITH v AS (SELECT event_type, -value / 10 AS pc, -value / 8 AS pr, -value / 9 - (event_id % 7) / 10 AS rc, -value / 9 AS rr FROM events), z AS (SELECT *, 0.1 * ((pc - rc) - (pr - rr)) AS z FROM v)"
+
+
+@query(_LOSS + " SELECT event_type, round(avg(ln(1 + exp(-z)) - 0.1 * pc), 6) AS sigmoid, round(avg(pow(z - 5, 2) - 0.1 * pc), 6) AS ipo, round(avg(0.1 * (pc - rc)), 6) AS chosen_reward, round(100 * avg((pc - rc > pr - rr)::INTEGER), 6) AS accuracy FROM z GROUP BY 1")
+def pref_loss(t):
+    v = F.col("value")
+    d = t("events").select("event_type", (-v / 10).alias("pc"), (-v / 8).alias("pr"), (-v / 9 - (F.col("event_id") % 7) / 10).alias("rc"), (-v / 9).alias("rr"))
+    own = [F.col(c) for c in ("pc", "pr", "rc", "rr")]
+    return d.groupBy("event_type").agg(
+        F.round(F.avg(metrics.preference_loss(*own)), 6).alias("sigmoid"), F.round(F.avg(metrics.preference_loss(*own, kind="ipo")), 6).alias("ipo"),
+        F.round(F.avg(0.1 * (F.col("pc") - F.col("rc"))), 6).alias("chosen_reward"), F.round(100 * F.avg((F.col("pc") - F.col("rc") > F.col("pr") - F.col("rr")).cast("int")), 6).alias("accuracy"),
+    )
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CASE WHEN i % 3 = 1 THEN x::DOUBLE ELSE 0 END)) / 22, 6) AS logp FROM embeddings")
+def masked_logps(t):
+    keep = F.transform("embedding", lambda x, i: (i % 3 == 0).cast("int"))
+    return t("embeddings").select("vec_id", F.round(metrics.masked_mean(F.transform("embedding", lambda x: x.cast("double")), keep), 6).alias("logp"))
+
+
+# --- batching and padding ---------------------------------------------------
+
+_TOKENS = "SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::INTEGER AS n_tokens FROM documents"
+
+
+def _sized(t) -> DataFrame:
+    return t("documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+
+
+@query(f"WITH k AS ({_TOKENS}), r AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM k), b AS (SELECT *, (rn - 1) // 32 AS buf FROM r), s AS (SELECT *, row_number() OVER (PARTITION BY buf ORDER BY n_tokens, rn) - 1 AS p FROM b) SELECT doc_id, n_tokens, buf::BIGINT AS buf, (buf * 4 + p // 8)::BIGINT AS batch_id, (p % 8)::BIGINT AS slot FROM s")
+def length_buckets(t):
+    return batching.length_batches(_sized(t), "doc_id", "n_tokens", 8).select("doc_id", "n_tokens", "buf", "batch_id", F.col("slot").cast("long").alias("slot"))
+
+
+_VECTORS = "SELECT vec_id, vec_id // 8 AS batch, list_transform(embedding[1:(vec_id % 9) + 1], lambda x: (floor(abs(x) * 100) + 2)::INTEGER) AS ids, list_transform(embedding[1:(vec_id % 5) + 2], lambda x: (floor(abs(x) * 50) + 3)::INTEGER) AS labels FROM embeddings"
+
+
+def _vectors(t) -> DataFrame:
+    cut = lambda n, k, plus: F.transform(F.slice("embedding", F.lit(1), (F.col("vec_id") % n + k).cast("int")), lambda x: (F.floor(F.abs(x) * plus[0]) + plus[1]).cast("int"))
+    return t("embeddings").select("vec_id", F.floor(F.col("vec_id") / 8).alias("batch"), cut(9, 1, (100, 2)).alias("ids"), cut(5, 2, (50, 3)).alias("labels"))
+
+
+_PADDED = "list_concat(ids, list_transform(range(mi - len(ids)), lambda x: 1))"
+_MASK = "list_concat(list_transform(ids, lambda x: 1), list_transform(range(mi - len(ids)), lambda x: 0))"
+_LABELS = "list_concat(labels, list_transform(range(ml - len(labels)), lambda x: -100))"
+_DECODER = "list_concat([2], labels, list_transform(range(ml - len(labels)), lambda x: 1))[1:ml]"
+
+
+@query(f"WITH v AS ({_VECTORS}), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS mi, max(len(labels)) OVER (PARTITION BY batch) AS ml FROM v) SELECT vec_id, {_sql_text(_PADDED)} AS input_ids, {_sql_text(_MASK)} AS attention_mask, {_sql_text(_LABELS)} AS labels FROM m")
+def pad_batches(t):
+    return batching.collated(_vectors(t), "batch", "ids", "labels").select("vec_id", *[_text_of(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+@query(f"WITH v AS ({_VECTORS}), m AS (SELECT *, max(len(labels)) OVER (PARTITION BY batch) AS ml FROM v WHERE vec_id % 10 <> 3) SELECT vec_id, {_sql_text(_LABELS)} AS chosen_labels, {_sql_text(_DECODER)} AS chosen_decoder_input_ids FROM m")
+def preference_collate(t):
+    some = lambda c: F.when(F.col("vec_id") % 10 != 3, F.col(c))
+    rows = _vectors(t).select("vec_id", "batch", some("ids").alias("prompt"), some("labels").alias("chosen"), some("ids").alias("rejected"))
+    return batching.preference_collated(rows, "batch").select("vec_id", *[_text_of(F.col(c)).alias(c) for c in ("chosen_labels", "chosen_decoder_input_ids")])
+
+
+# --- text -------------------------------------------------------------------
+
+
+def _doc(t, new) -> DataFrame:
+    return t("documents").select("doc_id", new.alias("t"))
+
+
+_STRUCTS = "replace(text, ' th', ' %struct.th')"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_STRUCTS} AS t FROM documents), m AS (SELECT *, regexp_extract_all(t, '%struct\\.[a-zA-Z0-9_]+') AS ms, string_split_regex(t, '%struct\\.[a-zA-Z0-9_]+') AS bt FROM s), n AS (SELECT *, list_filter(ms, lambda x, i: list_position(ms, x) = i) AS ns FROM m) SELECT doc_id, CASE WHEN t = '' THEN '' ELSE array_to_string(list_transform(bt, lambda b, i: b || CASE WHEN i <= len(ms) THEN '%struct.struct' || (list_position(ns, ms[i]) - 1) ELSE '' END), '') || chr(10) END AS t FROM n")
+def struct_rename(t):
+    return _doc(t, text.normalize_structs(F.replace(F.col("text"), F.lit(" th"), F.lit(" %struct.th"))))
+
+
+def _module_column():
+    return F.concat(F.lit("; ModuleID\n%struct.a = type { i32 }\ndefine i32 @f() {\n"), F.col("text"), F.lit("\n}\ndeclare void @g() #1\n!0 = !{}"))
+
+
+@query("SELECT doc_id, '%struct.a = type { i32 }' || chr(10) || 'define i32 @f() {' || chr(10) || text || chr(10) || '}' AS t FROM documents")
+def strip_blocks(t):
+    return _doc(t, text.strip_ir_noise(_module_column()))
+
+
+@query("SELECT doc_id, '; ModuleID' || chr(10) || '%struct.a = type { i32 }' || chr(10) || 'define i32 @f() {' || chr(10) || text || chr(10) || '}' AS t FROM documents")
+def truncate_block(t):
+    return _doc(t, text.truncate_ir(_module_column()))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN '/* BEGIN FUNCTION-DEF f' || doc_id || ' */' || chr(10) || regexp_replace(text, '\\n$', '') || chr(10) || '/* END FUNCTION-DEF f' || doc_id || ' */' END AS t FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\x0c]')")
+def span_extract(t):
+    d = t("documents").where(~F.col("text").rlike("[\\r\\x0b\\x0c]")).withColumn("name", F.concat(F.lit("f"), F.col("doc_id").cast("string")))
+    begin = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("head\n/* BEGIN FUNCTION-DEF "), F.col("name"), F.lit("1 */\n/* BEGIN FUNCTION-DEF "), F.col("name"), F.lit(" */\n"))).otherwise(F.lit(""))
+    body = F.concat(begin, F.regexp_replace("text", "\\n$", ""), F.lit("\n/* END FUNCTION-DEF "), F.col("name"), F.lit(" */\ntail"))
+    return d.select("doc_id", text.extract_marked(body, F.col("name")).alias("t"))
+
+
+_LINES = "string_split(regexp_replace(text, '\\n$', ''), chr(10))"
+
+
+@query(f"SELECT doc_id, CASE WHEN len(k) = 0 THEN '' ELSE array_to_string(k, chr(10)) || chr(10) END AS t FROM (SELECT doc_id, list_filter(list_transform({_LINES}, lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') AS k FROM documents)")
+def line_clean(t):
+    return _doc(t, text.clean_whitespace(F.col("text")))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(list_transform({_LINES}, lambda x: regexp_replace(split_part(x, '#', 1), '\\s+$', '')), lambda x: x <> ''), chr(10)) AS t FROM documents")
+def comment_strip(t):
+    return _doc(t, text.strip_comments(F.col("text"), F.lit(False)))
+
+
+@query("SELECT doc_id, text || chr(10) || chr(9) || '.cfi_endproc' AS t FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\x0c]')")
+def directive_drop(t):
+    d = t("documents").where(~F.col("text").rlike("[\\r\\x0b\\x0c]"))
+    return d.select("doc_id", text.drop_directives(F.concat(F.lit("\t.file \"a.c\"\n\t.text\n"), F.col("text"), F.lit("\n\t.cfi_endproc\n.Lfunc_end0:\n\t.size f, .-f"))).alias("t"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '.global f' || chr(10) || '.type f, %function' ELSE '.globl f' || chr(10) || '.type f, @function' END || chr(10) || 'f:' || chr(10) || lang AS t FROM documents")
+def header_normalize(t):
+    body = F.concat(F.lit("\t.globl\tf\n\t.type\tf,@function\nf:\n"), F.col("lang"))
+    return _doc(t, text.normalize_header(body, F.lit("f"), F.col("doc_id") % 2 == 0))
+
+
+@query("SELECT doc_id, 'int x;' || chr(10) || text AS t FROM documents")
+def deps_clean(t):
+    return _doc(t, text.clean_deps(F.concat(F.lit("typedef int bool;\nint x;\n# define true 1\n"), F.col("text"))))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS t FROM documents")
+def arch_detect(t):
+    code = F.when(F.col("doc_id") % 2 == 0, F.lit("\tsub\tsp, sp, #16\n\tstr\tw0, [sp, 12]\n\tret\n")).otherwise(F.lit("# x86\n\tpushq\t%rbp\n"))
+    return _doc(t, text.detect_aarch64(code))
+
+
+@query(f"SELECT doc_id, 3::INTEGER AS n_header, len(string_split(text, chr(10)))::INTEGER AS n_body, 2::INTEGER AS n_footer FROM documents WHERE NOT contains(text, '.cfi_')")
+def function_split(t):
+    body = F.concat(F.lit(".globl f\nf:\n\t.cfi_startproc\n"), F.col("text"), F.lit("\n\t.cfi_endproc\n.size f"))
+    s = t("documents").where(~F.contains("text", F.lit(".cfi_"))).select("doc_id", text.split_function(body).alias("s"))
+    return s.select("doc_id", F.size("s.header").alias("n_header"), F.size("s.body").alias("n_body"), F.size("s.footer").alias("n_footer"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\\n$', ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ls FROM documents), k AS (SELECT doc_id, list_filter(ls, lambda x: NOT regexp_matches(x, '^(;|source_filename|target datalayout|target triple|attributes|!)')) AS ls FROM l)
+  SELECT doc_id, array_to_string(list_filter(list_transform(ls, lambda x: regexp_replace(regexp_replace(regexp_replace(x, ',?\\s*![a-zA-Z0-9]+(\\s+![0-9]+)?', '', 'g'), '#[0-9]+', '', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS t FROM k""")
+def ir_normalize(t):
+    return _doc(t, text.normalize_ir(F.col("text")))
+
+
+@query(f"SELECT doc_id, {_sql_text("list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')")} AS tokens FROM documents")
+def whitespace_tokens(t):
+    return t("documents").select("doc_id", _text_of(text.tokens(F.col("text"))).alias("tokens"))
+
+
+@query("SELECT doc_id, 'a' || chr(10) || 'b' || chr(9) || 'return x 0x1' || lang AS t FROM documents")
+def detokenize_clean(t):
+    return _doc(t, text.detokenized(F.concat(F.lit("<s>a<eol> b<tab> return x 0x 1"), F.col("lang"), F.lit("</s><pad><mask:0>"))))
+
+
+@query("SELECT doc_id, '%struct.a = type { i32 }' || chr(10) || 'define i32 @f() {' || chr(10) || lang || chr(10) || '}' || chr(10) || 'declare void @g() ' AS t FROM documents")
+def module_filter(t):
+    body = F.concat(F.lit("; ModuleID\n%struct.a = type { i32 }\ndefine i32 @f() {\n"), F.col("lang"), F.lit("\n}\ndeclare void @g() #1\nattributes #1 = { nounwind }\n!0 = !{}"))
+    return _doc(t, text.filtered_module(body))
+
+
+@query("SELECT doc_id, true AS has_main, length(text) AS n FROM documents")
+def translation_units(t):
+    unit = text.translation_unit(F.concat(F.lit("static inline "), F.col("text")), F.lit("typedef int bool;"))
+    return t("documents").select("doc_id", F.endswith(unit, F.lit("\n\nint main(void) { return 0; }")).alias("has_main"), (F.length(unit) - F.length(text.translation_unit(F.lit(" "), F.lit(None).cast("string")))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, 'f' || doc_id AS t FROM documents")
+def head_names(t):
+    return _doc(t, text.name_from_head(F.concat(F.lit("static int *f"), F.col("doc_id").cast("string"), F.lit("(int a)"))))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS n_links, length(html) AS n FROM pages")
+def page_symbols(t):
+    return t("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(<a[ >])"))).cast("long").alias("n_links"), F.length("html").cast("long").alias("n"))
+
+
+# --- nested values ----------------------------------------------------------
+
+def _arrays(t) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_linestatus", "l_partkey")))
+    g = t("lineitem").groupBy("l_orderkey").agg(rows.alias("r"))
+    return g.select("l_orderkey", F.transform("r", lambda x: F.concat(x["l_linestatus"], (x["l_partkey"] % 3).cast("string"))).alias("target"), F.transform("r", lambda x: F.when(x["l_partkey"] % 5 != 0, x["l_partkey"].cast("string"))).alias("code"))
+
+
+_ARRAYS = "WITH a AS (SELECT l_orderkey, list(l_linestatus || (l_partkey % 3) ORDER BY l_linenumber, l_linestatus, l_partkey) AS target, list(CASE WHEN l_partkey % 5 <> 0 THEN l_partkey::VARCHAR END ORDER BY l_linenumber, l_linestatus, l_partkey) AS code FROM lineitem GROUP BY 1)"
+
+
+@query(_ARRAYS + " SELECT l_orderkey, code[list_position(target, 'F1')] AS code, coalesce(code[list_position(target, 'O2')], 'none') AS fallback FROM a")
+def array_lookup(t):
+    keys, values = F.col("target"), F.col("code")
+    return _arrays(t).select("l_orderkey", arrays.lookup(keys, values, F.lit("F1")).alias("code"), arrays.lookup_or(keys, values, F.lit("O2"), F.lit("none")).alias("fallback"))
+
+
+@query(_ARRAYS + f""" SELECT l_orderkey, {_sql_text("list_transform(code, lambda c, i: CASE WHEN i = list_position(target, 'F1') THEN 'new' ELSE c END)")} AS code FROM a""")
+def array_update(t):
+    return _arrays(t).select("l_orderkey", _text_of(arrays.updated(F.col("target"), F.col("code"), F.lit("F1"), F.lit("new"))).alias("code"))
+
+
+@query(_ARRAYS + f""" SELECT l_orderkey, {_sql_text("list_sort(list_distinct(list_concat(list_transform(target, lambda x: x || '_O3'), list_transform(target, lambda x: x || '_O0'))))")} AS needed FROM a""")
+def required_targets(t):
+    marked = F.transform("target", lambda x: F.concat(x, F.lit("_O3")))
+    return _arrays(t).select("l_orderkey", _text_of(F.array_sort(arrays.with_unoptimized(marked))).alias("needed"))
+
+
+@query(_ARRAYS + f" SELECT l_orderkey, {_sql_text('target')} AS target, len(code)::INTEGER AS n, least(len(target), 2)::INTEGER AS capped FROM a")
+def struct_flip(t):
+    rows = _arrays(t).select("l_orderkey", F.arrays_zip("target", "code").alias("r"))
+    flat = rows.select("l_orderkey", arrays.columns_of(F.col("r"), "target", "code").alias("s"))
+    return flat.select("l_orderkey", _text_of(F.col("s.target")).alias("target"), F.size("s.code").alias("n"), F.size(arrays.capped(F.col("s.target"), F.col("s.code"), 2)).alias("capped"))
+
+
+@query("SELECT event_id, props->>'k' AS k, len(json_keys(props)) = 1 AS one_key FROM events")
+def json_roundtrip(t):
+    parsed = F.from_json("props", "map<string,string>")
+    again = F.to_json(parsed)
+    return t("events").select("event_id", F.get_json_object(again, "$.k").alias("k"), arrays.same_keys(F.map_keys(parsed), F.array(F.lit("k"))).alias("one_key"))
+
+
+@query("SELECT event_id, abs(value - (value + (event_id % 3) / 1000 * value)) <= 1e-3 * greatest(abs(value), abs(value + (event_id % 3) / 1000 * value)) AS near FROM events WHERE event_id % 3 <> 1")
+def io_compare(t):
+    v = F.col("value")
+    return t("events").where("event_id % 3 <> 1").select("event_id", arrays.close(v, v + (F.col("event_id") % 3) / 1000 * v).alias("near"))
+
+
+@query("SELECT event_id, true AS same FROM events")
+def io_compare_nested(t):
+    a = F.concat(F.lit('{"a": [1, 2.0, {"p": '), F.col("props"), F.lit("}]}"))
+    b = F.concat(F.lit('{"a": [1.0, 2.0001, {"p": '), F.col("props"), F.lit("}]}"))
+    return t("events").select("event_id", asm.udf(asm.json_alike, "boolean")(a, b).alias("same"))
+
+
+@query("""SELECT event_id, '{"x": ' || event_id || ', "s": "' || event_type || '"}' AS t FROM events""")
+def io_decode(t):
+    names, values = F.array(F.lit("x"), F.lit("s")), F.array(F.col("event_id").cast("string"), F.concat(F.lit("'"), F.col("event_type"), F.lit("'")))
+    return t("events").select("event_id", asm.udf(asm.literals_to_json, "string")(names, values).alias("t"))
+
+
+# --- routing ----------------------------------------------------------------
+
+
+@query("SELECT doc_id, '<intel> <opt3> ' || lang || ' <opt3> </intel> <c> <mask:0> </c>' AS right_form, '<c> <mask:0> </c> <intel> <opt3> ' || lang || ' <opt3> </intel>' AS left_form FROM documents")
+def wrapped_samples(t):
+    own = routing.wrapped(F.col("lang"), "opt3")
+    masked = routing.wrapped(F.lit("<mask:0>"), "c")
+    left, _ = routing.sample_texts(F.col("lang"), F.col("source"), "opt3_c-c")
+    return t("documents").select("doc_id", F.concat_ws(" ", own, masked).alias("right_form"), left.alias("left_form"))
+
+
+@query("SELECT doc_id, text AS target, lang || '3' AS source FROM documents")
+def routed_pairs(t):
+    keys = F.array(F.lit("angha_gcc_x86_O0"), F.lit("angha_gcc_x86_O3"))
+    d = t("documents").select("doc_id", F.col("text").alias("func_def"), F.struct(keys.alias("target"), F.array(F.concat("lang", F.lit("0")), F.concat("lang", F.lit("3"))).alias("code")).alias("asm"))
+    source, target = routing.routed("opt3_c-c")
+    return d.select("doc_id", source.alias("source"), target.alias("target"))
+
+
+# --- assembly and programs --------------------------------------------------
+
+
+def _unit():
+    return F.concat(F.lit("\t.text\n\t.globl\tf\n\t.type\tf,@function\nf: // -- begin\n\t.cfi_startproc\n\tsub\tsp, sp, #16\n\tstr\tw0, [sp, 12] // "), F.regexp_replace("text", "\\s+", " "), F.lit("\n\tret\n\t.cfi_endproc\n\t.size\tf, .-f\n"))
+
+
+@query("SELECT doc_id, '.global f' || chr(10) || '.type f, %function' || chr(10) || 'f:' || chr(10) || chr(9) || '.cfi_startproc' || chr(10) || chr(9) || 'sub' || chr(9) || 'sp, sp, #16' || chr(10) || chr(9) || 'str' || chr(9) || 'w0, [sp, 12]' || chr(10) || chr(9) || 'ret' || chr(10) || chr(9) || '.cfi_endproc' || chr(10) AS t FROM documents")
+def asm_preprocess(t):
+    return _doc(t, asm.preprocessed(_unit(), F.lit("f")))
+
+
+@query()
+def asm_transforms(t):
+    code = F.lit("f:\n\t.cfi_startproc\n        mov x0, x1\n        add x0, x0, #4\n        cmp w1, #3\n        ret\n\t.cfi_endproc")
+    return _doc(t, asm.udf(asm.obfuscated, "string")(code, curate.seeds(F.col("doc_id"))))
+
+
+@query()
+def asm_function_by_type(t):
+    return _doc(t, asm.udf(asm.function_by_type, "string")(F.concat(F.lit("\t.type\tf, %function\nf:\n\tret "), F.col("lang"), F.lit("\n\t.size\tf, .-f\nrest")), F.lit("f")))
+
+
+@query()
+def asm_unit_parts(t):
+    return t("documents").select("doc_id", asm.udf(asm.parts_of_unit, "struct<pre: string, func: string, post: string>")(F.regexp_replace(_unit(), ": // -- begin", ":"), F.lit("f"), F.lit("arm"), F.lit("//")).alias("p")).select("doc_id", "p.pre", "p.func", "p.post")
+
+
+@query()
+def asm_literals(t):
+    unit = F.concat(F.lit(".LC0:\n\t.string \""), F.col("lang"), F.lit("\"\n"))
+    return _doc(t, asm.udf(asm.with_literals, "string")(unit, F.lit("\tadrp x0, .LC0")))
+
+
+@query("SELECT 42::BIGINT AS n_builds, 42 * count(*)::BIGINT AS n_rows, count(*)::BIGINT AS n_failed FROM documents")
+def build_matrix(t):
+    def stub(source: str, build: external.Build) -> str:
+        if build.key == "gcc_x86_O0":
+            raise ValueError("stub")
+        return f"{build.key}:{len(source)}"
+
+    rows = external.built(t("documents").select(F.col("doc_id").cast("string").alias("fname"), F.col("lang").alias("func_def")), stub)
+    return rows.agg(F.countDistinct("target").alias("n_builds"), F.count("*").alias("n_rows"), F.count_if(F.col("code").isNull()).alias("n_failed"))
+
+
+# --- extensions over events -------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(t):
+    return increments.windowed_counts(t("events"), "ts", "event_type")
