@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, decontaminate, langid, mixing, pii, quality, simhash, tokens, toxicity
+from quern.llm import chat, decontaminate, langid, mixing, pii, quality, simhash, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_pii": pii.op2_pii,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_suffix_dedup": suffix.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_language_id": langid.op6_language_id,
     "op7_quality_rules": quality.op7_quality_rules,
