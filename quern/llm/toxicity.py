@@ -27,6 +27,8 @@ from quern.llm.decontaminate import plain
 #: N-gram lengths, buckets of n-grams, bits of whole words' buckets, dimensions, telling words of a document, and the threshold.
 GRAMS, BUCKETS, WORD_BITS, DIM, TELLING, THRESHOLD = (3, 4, 5, 6), 1 << 16, 18, 8, 4, 0.7
 ALL_BUCKETS = BUCKETS + (1 << WORD_BITS)
+#: Above so many distinct training words those of one document are left out.
+MOST_WORDS = 100_000
 
 
 @dataclass
@@ -110,35 +112,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * mean + self.length * np.log1p(words) + self.shift, -60, 60)))
 
 
-def log_odds(bucket: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """For each bucket, how much likelier it is in a toxic document than in another, as a logarithm; shrunk to 0 where that may be chance."""
-    pair = np.unique(doc.astype(np.int64) * ALL_BUCKETS + bucket)
-    n1 = np.bincount(pair % ALL_BUCKETS, toxic[pair // ALL_BUCKETS], minlength=ALL_BUCKETS)
-    n0 = np.bincount(pair % ALL_BUCKETS, minlength=ALL_BUCKETS) - n1
+def log_odds(n1: np.ndarray, n0: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """How much likelier a bucket, found in n1 toxic documents and n0 others, is in the former, as a logarithm; shrunk to 0 where that may be chance."""
     odds = np.log((n1 + 0.5) / (toxic.sum() + 1)) - np.log((n0 + 0.5) / ((1 - toxic).sum() + 1))
     z = np.abs(odds) / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
     return odds * np.maximum(0, 1 - 1.5 / np.maximum(z, 1e-9))
 
 
-def fit(docs: list[list[str]], toxic: np.ndarray, *, epochs: int = 3, rate: float = 0.05, seed: int = 7) -> Model:
-    """A model, not yet scaled, of documents (distinct words) and their labels.
+def fit(docs: list[str], toxic: np.ndarray, *, epochs: int = 3, rate: float = 0.05, seed: int = 7) -> Model:
+    """A model, not yet scaled, of documents (distinct words, between blanks) and their labels.
 
     Embeddings start along one direction by the buckets' log-odds; then embeddings and softmax are trained together.
     """
-    words, flat = np.unique(np.array([w for d in docs for w in d], object), return_inverse=True)
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    b = bags(pa.array(words.tolist(), pa.string()))
+    known: dict[str, int] = {}
+    flat = np.fromiter((known.setdefault(w, len(known)) for d in docs for w in d.split()), np.int64)
+    doc = np.repeat(np.arange(len(docs)), [len(d.split()) for d in docs])
+    words = np.array(list(known), object)
+    if len(words) > MOST_WORDS:  # words of one document alone teach little, and are most of all
+        often = np.bincount(flat) > 1
+        doc, flat, words = doc[often[flat]], (np.cumsum(often) - 1)[flat[often[flat]]], words[often]
+    b = bags(pa.array(words, pa.string()))
+    del known, words
     share = weights(b)
     order = np.argsort(b.word, kind="stable")
-    cell_bucket, cell_share = b.bucket[order].astype(np.int64), share[order]
+    cell_bucket, cell_share = b.bucket[order], share[order].astype(np.float32)
     cell_from = np.searchsorted(b.word[order], np.arange(b.n_words + 1))
 
     def cells_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = cell_from[ids + 1] - cell_from[ids]
         return np.arange(size.sum()) + np.repeat(cell_from[ids] - (np.cumsum(size) - size), size), np.repeat(np.arange(len(ids)), size)
 
-    cells, of = cells_of(flat)
-    odds = log_odds(cell_bucket[cells], doc[of], toxic.astype(float))
+    found = np.zeros((2, ALL_BUCKETS))
+    ends = np.searchsorted(doc, np.arange(len(docs) + 1))
+    for i in range(len(docs)):
+        found[int(toxic[i]), np.unique(cell_bucket[cells_of(flat[ends[i] : ends[i + 1]])[0]])] += 1
+    odds = log_odds(found[1], found[0], toxic.astype(float))
     rng = np.random.default_rng(seed)
     out = rng.standard_normal((2, DIM)) / np.sqrt(2 * DIM)
     u = out[1] - out[0]
@@ -208,7 +216,7 @@ def _distinct(most: int):
     return run
 
 
-def train(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", toxic: str = "toxic", toxic_rows: int = 3000, clean_rows: int = 5000, most_words: int = 1500) -> Model:
+def train(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", toxic: str = "toxic", toxic_rows: int = 2000, clean_rows: int = 3000, most_words: int = 400) -> Model:
     """A model of at most toxic_rows and clean_rows labelled documents, of each at most most_words distinct words.
 
     Documents are taken by the hashes of their ids; a fourth of them only sets the score's
@@ -230,7 +238,7 @@ def train(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     got = sample.where(~apart).mapInArrow(_distinct(most_words), "doc_id long, toxic int, words string").toPandas().sort_values(["doc_id", "words"], kind="stable")
     if got["toxic"].nunique() < 2:
         return blank
-    m = fit([x.split(" ") if x else [] for x in got["words"]], got["toxic"].to_numpy())
+    m = fit(got["words"].tolist(), got["toxic"].to_numpy())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
