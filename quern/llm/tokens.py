@@ -239,8 +239,8 @@ def _writer(folder: str, path: str, shard_bytes: int, end: int):
 
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
+                few = b.slice(at, 64)
+                for doc, ids in zip(few.column(0).to_pylist(), coder.encode(few.column(1).to_pylist()), strict=True):
                     shard = shard or ShardWriter()
                     shard.add(doc, ids + tail)
                     if shard.held >= shard_bytes:
