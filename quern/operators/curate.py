@@ -122,7 +122,7 @@ def fail_streak_stop(df: DataFrame, order: str, failed: Column, most: int, group
     by = Window.partitionBy(*keys).orderBy(order)
     rows = df.withColumns({"_bad": failed.cast("int")}).withColumn("_island", F.sum(1 - F.col("_bad")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     run = F.sum("_bad").over(Window.partitionBy(*keys, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_run", run).where(F.col("_run") >= most).groupBy(*keys).agg(F.min(order).alias("stop_at"))
+    return rows.withColumn("_run", run).where(F.col("_run") >= most).groupBy(*keys).agg(F.min(order).alias("stop_at")).where("stop_at is not null")
 
 
 def merged_stats(parts: DataFrame, stats: str = "generation_stats", counters: str = "samples_per_transform") -> DataFrame:

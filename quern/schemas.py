@@ -6,18 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_VARS = "struct<var: array<string>, value: array<string>>"
+_TEXTS = T.ArrayType(T.StringType())
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "texts": _TEXTS, "ints": T.ArrayType(T.IntegerType())}
+
+
+def _fields(names: str, kind: T.DataType | str = "string") -> list[T.StructField]:
+    return [T.StructField(n, _TYPES[kind] if isinstance(kind, str) else kind) for n in names.split()]
+
+
+_VARS = T.ArrayType(T.StructType(_fields("var value", "texts")))
 
 #: The nested source corpus.
-FUNCTIONS = T.StructType.fromDDL(f"fname string, func_def string, asm struct<target: array<string>, code: array<string>>, synth_deps string, real_deps string, func_head_types string, synth_exe_wrapper string, synth_io_pairs struct<input: array<{_VARS}>, output: array<{_VARS}>, dummy_funcs: array<string>>")
+FUNCTIONS = T.StructType([
+    *_fields("fname func_def"), *_fields("asm", T.StructType(_fields("target code", "texts"))), *_fields("synth_deps real_deps func_head_types synth_exe_wrapper"),
+    *_fields("synth_io_pairs", T.StructType([*_fields("input output", _VARS), *_fields("dummy_funcs", "texts")])),
+])
 #: The flat fact table. The seed's range needs a long.
-PAIRS = T.StructType.fromDDL("fname string, func_def string, technique string, clean_asm string, obfuscated_asm string, clean_ir string, obfuscated_c string, tigress_seed long, exebench_split string, c_deps string, func_c_signature string, cpp_wrapper string, dummy_funcs string, io_pairs string")
-PREDICTIONS = T.StructType.fromDDL("fname string, technique string, prediction string, reference string")
+PAIRS = T.StructType([
+    *_fields("fname func_def technique clean_asm obfuscated_asm clean_ir obfuscated_c"), *_fields("tigress_seed", "long"),
+    *_fields("exebench_split c_deps func_c_signature cpp_wrapper dummy_funcs io_pairs"),
+])
+PREDICTIONS = T.StructType(_fields("fname technique prediction reference"))
 #: functional_pass is null where it wasn't tested.
-CHECKS = T.StructType.fromDDL("syntax_valid boolean, syntax_error string, compiles boolean, compile_error string, links boolean, link_error string, functional_pass boolean, functional_detail string, io_pass_count int, io_total_count int")
-PREFERENCES = T.StructType.fromDDL("prompt string, chosen string, rejected string, score_chosen int, score_rejected int, fname string")
-BATCH = T.StructType.fromDDL("input_ids array<int>, attention_mask array<int>, labels array<int>")
-SIDECAR = T.StructType.fromDDL("generation_stats struct<source_rows: long, rows_seen: long, samples_written: long, skipped_missing: long, skipped_short: long, skipped_long: long, skipped_ir: long, failures: long, samples_per_transform: map<string, long>>")
+CHECKS = T.StructType([
+    T.StructField(n, _TYPES[k])
+    for n, k in zip("syntax_valid syntax_error compiles compile_error links link_error functional_pass functional_detail io_pass_count io_total_count".split(), ["boolean", "string"] * 4 + ["int"] * 2, strict=True)
+])
+PREFERENCES = T.StructType([*_fields("prompt chosen rejected"), *_fields("score_chosen score_rejected", "int"), *_fields("fname")])
+BATCH = T.StructType(_fields("input_ids attention_mask labels", "ints"))
+SIDECAR = T.StructType(_fields("generation_stats", T.StructType([
+    *_fields("source_rows rows_seen samples_written skipped_missing skipped_short skipped_long skipped_ir failures", "long"),
+    *_fields("samples_per_transform", T.MapType(T.StringType(), T.LongType())),
+])))
 METADATA = ("c_deps", "func_c_signature", "cpp_wrapper", "dummy_funcs", "io_pairs")
 
 
