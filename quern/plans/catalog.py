@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import arrays, asm, metrics, text
 from quern.operators import batching, curate, external, routing
+from quern.sources import places, scans, sinks
 from quern.streaming import increments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -587,17 +588,18 @@ def asm_transforms(t):
     return _doc(t, asm.udf(asm.obfuscated, "string")(code, curate.seeds(F.col("doc_id"))))
 
 
-@query()
+@query("SELECT doc_id, chr(9) || '.global' || chr(9) || 'f' || chr(10) || chr(9) || '.type' || chr(9) || 'f, %function' || chr(10) || 'f:' || chr(10) || chr(9) || 'ret ' || lang || chr(10) || chr(9) || '.size' || chr(9) || 'f, .-f' AS t FROM documents")
 def asm_function_by_type(t):
     return _doc(t, asm.udf(asm.function_by_type, "string")(F.concat(F.lit("\t.type\tf, %function\nf:\n\tret "), F.col("lang"), F.lit("\n\t.size\tf, .-f\nrest")), F.lit("f")))
 
 
-@query()
+@query("""SELECT doc_id, replace(replace('~.text|~.globl~f|~.type~f,@function|', '~', chr(9)), '|', chr(10)) AS pre,
+  replace(replace('.global f|.type f, %function|f:|~.cfi_startproc|~sub~sp, sp, #16|~str~w0, [sp, 12] |~ret|~.cfi_endproc', '~', chr(9)), '|', chr(10)) AS func, chr(9) || '.size' || chr(9) || 'f, .-f' || chr(10) AS post FROM documents""")
 def asm_unit_parts(t):
     return t("documents").select("doc_id", asm.udf(asm.parts_of_unit, "struct<pre: string, func: string, post: string>")(F.regexp_replace(_unit(), ": // -- begin", ":"), F.lit("f"), F.lit("arm"), F.lit("//")).alias("p")).select("doc_id", "p.pre", "p.func", "p.post")
 
 
-@query()
+@query("SELECT doc_id, chr(9) || 'adrp x0, .LC0' || chr(10) || '.LC0: ' || chr(9) || '.string \"' || lang || '\"' || chr(10) AS t FROM documents")
 def asm_literals(t):
     unit = F.concat(F.lit(".LC0:\n\t.string \""), F.col("lang"), F.lit("\"\n"))
     return _doc(t, asm.udf(asm.with_literals, "string")(unit, F.lit("\tadrp x0, .LC0")))
@@ -620,3 +622,64 @@ def build_matrix(t):
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_counts(t):
     return increments.windowed_counts(t("events"), "ts", "event_type")
+
+
+@query("WITH o AS (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE AS gap FROM events), s AS (SELECT *, sum(coalesce(gap, false)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
+def session_windows(t):
+    return increments.sessions(t("events"), "ts", "user_id")
+
+
+# --- round trips through files ----------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders")
+def shards_roundtrip(t):
+    df = t("orders").select("o_orderkey", "o_orderpriority")
+    path = places.scratch(df.sparkSession, "shards")
+    sinks.write_shards(df, path, 3000)
+    return scans.shards(df.sparkSession, [path, path + "-none"], df.schema, "part-*.parquet")
+
+
+@query("SELECT shard_id, count(*) AS n FROM (SELECT ((row_number() OVER (ORDER BY o_orderkey) - 1) // 6000)::INTEGER AS shard_id FROM orders) GROUP BY 1")
+def exact_shards_roundtrip(t):
+    df = t("orders").select("o_orderkey", "o_orderpriority")
+    path = places.scratch(df.sparkSession, "exact")
+    sinks.write_exact_shards(df, path, "o_orderkey", 6000)
+    return df.sparkSession.read.parquet(path).groupBy(F.col("shard_id").cast("int").alias("shard_id")).agg(F.count("*").alias("n"))
+
+
+@query(_SPLIT + " SELECT doc_id, lang FROM s WHERE split = 'test'")
+def splits_roundtrip(t):
+    df = curate.stratified(t("documents").select("doc_id", "lang"), "lang", "doc_id", 0.1)
+    path = places.scratch(df.sparkSession, "splits")
+    sinks.write_splits(df, path)
+    return scans.split(df.sparkSession, path, "test").select("doc_id", "lang")
+
+
+@query("SELECT conv_id::VARCHAR AS fname, role AS technique, text AS prediction, NULL::VARCHAR AS reference FROM conversations")
+def predictions_roundtrip(t):
+    df = t("conversations").select(F.col("conv_id").cast("string").alias("fname"), F.col("role").alias("technique"), F.col("text").alias("prediction"), F.lit(None).cast("string").alias("reference"))
+    path = places.scratch(df.sparkSession, "log")
+    sinks.write_json_lines(df, path)
+    return scans.predictions(df.sparkSession, path)
+
+
+@query("SELECT event_type, (count(*) // 16) * 16 AS kept, (count(*) // 16)::BIGINT AS batches FROM events GROUP BY 1")
+def full_batches(t):
+    counts = t("events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return counts.select("event_type", (F.floor(F.col("n") / 16) * 16).alias("kept"), F.floor(F.col("n") / 16).alias("batches"))
+
+
+@query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS seen, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events")
+def progress_counters(t):
+    by = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t("events").select("user_id", "event_id", F.count("*").over(by).alias("seen"), F.round(F.sum("value").over(by), 4).alias("running"))
+
+
+@query("SELECT 32::BIGINT AS n_pairs, 3::BIGINT AS n_without_key, 17::BIGINT AS n_target_first")
+def route_table(t):
+    names = routing.PAIRS.split()[2::3]
+    rows = [(p, routing.route(p).source, routing.route(p).target, routing.route(p).missing) for p in names]
+    r = t("region").sparkSession.createDataFrame(rows, "pair string, source string, target string, missing boolean")
+    first = len(routing.TARGET_FIRST.split()) + len(routing.TARGET_FIRST_NEWER.split())
+    return r.agg(F.count("*").alias("n_pairs"), F.count_if("missing").alias("n_without_key"), F.lit(first).cast("long").alias("n_target_first"))
