@@ -190,7 +190,7 @@ def simhash_groups(df: DataFrame, *, text: str = "text", key: str = "doc_id") ->
 
 
 def drop_near_copies(df: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """df with one row of each group, that of the smallest id; rows without an id stay."""
+    """df with one row of each group, that of the smallest id; rows without an id stay, rows that share one id are one document."""
     best = simhash_groups(df, text=text, key=key).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     kept = df.join(best, F.col(f"`{key}`") == F.col("_keep"), "left_semi").dropDuplicates([key])
     return kept.unionByName(df.where(F.col(f"`{key}`").isNull()))

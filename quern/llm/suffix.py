@@ -38,6 +38,24 @@ _PIECE = np.dtype([("hash", "<u4"), ("at", "<u4"), ("n", "u1"), ("doc", "<i8")])
 _RANGE = np.dtype([("start", "<u4"), ("end", "<u4")])
 
 
+def _packed(rec: np.ndarray, level: int = 3) -> bytes:
+    """Records with a rising place (at), by column and byte plane, compressed."""
+    columns = [np.diff(rec[f], prepend=rec[f].dtype.type(0)) if f == "at" else np.ascontiguousarray(rec[f]) for f in rec.dtype.names]
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(c.view(np.uint8).reshape(len(rec), -1).T.tobytes() for c in columns))
+
+
+def _unpacked(data: bytes, dtype: np.dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n = len(raw) // dtype.itemsize
+    out, at = np.empty(n, dtype), 0
+    for f in dtype.names:
+        size = dtype[f].itemsize
+        column = np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(dtype[f]).reshape(n)
+        out[f] = np.cumsum(column, dtype=dtype[f]) if f == "at" else column
+        at += n * size
+    return out
+
+
 # --- the method -------------------------------------------------------------
 
 
@@ -200,7 +218,7 @@ def _routed(parts: int):
                 rec = rec[order]
                 cut = np.searchsorted(route[order], np.arange(parts + 1))
                 some = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array([rec[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())], ["route", "block", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array([_packed(rec[cut[r] : cut[r + 1]]) for r in some], pa.binary())], ["route", "block", "payload"])
 
     return run
 
@@ -222,8 +240,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], dtype: np.dtype, columns: tuple[
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each route's runs those whose gram stands in two different texts, by block."""
     for route, rows in _grouped(batches, _RUN, ("block", "payload")):
-        rec = np.concatenate([np.frombuffer(p, _RUN) for _, p in rows])
-        of = np.repeat(np.arange(len(rows)), [len(p) // _RUN.itemsize for _, p in rows])
+        recs = [_unpacked(p, _RUN) for _, p in rows]
+        rec = np.concatenate(recs)
+        of = np.repeat(np.arange(len(rows)), [len(r) for r in recs])
         order = np.argsort(rec["hash"], kind="stable")
         h, tag = rec["hash"][order], rec["tag"][order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -233,7 +252,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, of = rec[keep], of[keep]
         cut = np.searchsorted(of, np.arange(len(rows) + 1))
         some = np.flatnonzero(np.diff(cut))
-        yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), pa.array([route] * len(some), pa.int64()), pa.array([kept[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], ["block", "route", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), pa.array([route] * len(some), pa.int64()), pa.array([_packed(kept[cut[i] : cut[i + 1]]) for i in some], pa.binary())], ["block", "route", "payload"])
 
 
 _EMPTY = {"pieces": pa.schema([("route", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("bytes", pa.binary())])}
@@ -244,15 +263,15 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows or not right.num_rows:
         return _EMPTY["pieces"].empty_table()
     docs, offsets, data = _opened(*(left[c][0].as_py() for c in ("docs", "offsets", "data")))
-    block, packer, rows = left["block"][0].as_py(), zstandard.ZstdCompressor(level=1), []
+    block, packer, rows = left["block"][0].as_py(), zstandard.ZstdCompressor(level=3), []
     for route, payload in zip(right["route"].to_pylist(), right["payload"].to_pylist(), strict=True):
-        rec = np.frombuffer(payload, _RUN)
+        rec = _unpacked(payload, _RUN)
         size = rec["n"].astype(np.int64) + LENGTH - 1
         out = np.empty(len(rec), _PIECE)
         out["hash"], out["at"], out["n"] = rec["hash"], rec["at"], rec["n"]
         out["doc"] = docs[np.searchsorted(offsets, rec["at"], "right") - 1]
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        rows.append((route, block, packer.compress(out.tobytes()), packer.compress(data[np.repeat(rec["at"].astype(np.int64), size) + inside].tobytes())))
+        rows.append((route, block, _packed(out), packer.compress(data[np.repeat(rec["at"].astype(np.int64), size) + inside].tobytes())))
     return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], schema=_EMPTY["pieces"])
 
 
@@ -316,7 +335,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ranges that go, by block."""
     opener = zstandard.ZstdDecompressor()
     for _, rows in _grouped(batches, _PIECE, ("block", "payload", "bytes")):
-        recs = [np.frombuffer(opener.decompress(p), _PIECE) for _, p, _ in rows]
+        recs = [_unpacked(p, _PIECE) for _, p, _ in rows]
         rec = np.concatenate(recs)
         raw = b"".join(opener.decompress(x) for _, _, x in rows)
         size = rec["n"].astype(np.int64) + LENGTH - 1
@@ -390,7 +409,7 @@ def without_repeats(df: DataFrame, *, text: str = "text", key: str = "doc_id", w
     least = digests.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = digests.join(least, "digest").where("doc > least").groupBy("block").agg(F.collect_list("row").alias("rows"))
     known = blocks.join(copies.mapInArrow(_copy_lists, "block long, copies binary"), "block", "left")
-    parts = max(64, 4 * blocks.count())  # about half a MB of text for each route
+    parts = max(48, blocks.count() // 9)  # some 18 MB of text for each route
     routed = blocks.mapInArrow(_routed(parts), "route long, block long, payload binary")
     shared = routed.repartition("route").sortWithinPartitions("route").mapInArrow(_shared, "block long, route long, payload binary")
     pieces = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut, "route long, block long, payload binary, bytes binary")

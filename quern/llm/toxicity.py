@@ -231,7 +231,7 @@ def train(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     if len(counts) < 2:
         return blank
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    picked = [known.where((F.col("toxic") == k) & (at < int(1_000_000 * most / counts[k]) + 1)).limit(most) for k, most in ((0, clean_rows), (1, toxic_rows))]
+    picked = [known.where((F.col("toxic") == k) & (at < int(1_200_000 * most / counts[k]) + 1)).orderBy(at, "doc_id").limit(most) for k, most in ((0, clean_rows), (1, toxic_rows))]
     picked = picked[0].union(picked[1])
     sample = through_table(df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text"), "toxicity-sample")
     apart = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0
