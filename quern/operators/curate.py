@@ -74,22 +74,28 @@ def stratified(df: DataFrame, stratum: str, key: str, ratio: float, seed: int =
     """df with split: of each stratum exactly max(1, floor(n * ratio)) rows are test, the rest train, by a hash of seed and key.
 
     With group, whole groups go one way, so variants of one item don't leak; counts are then of groups.
-    Counts come from an aggregate and hash ranks from a window in each stratum.
+    A stratum may hold most rows, so none is ranked whole: ranks are places within one of 65,536 hash
+    ranges, added to the counts of the ranges before it.
     """
-    unit = group or key
-    units = df.select(stratum, unit).distinct() if group else df.select(stratum, unit)
-    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(unit).cast("string"))), F.col(unit))
-    sizes = units.groupBy(stratum).agg(F.greatest(F.lit(1), F.floor(F.count("*") * ratio)).alias("_n"))
-    ranked = units.withColumn("_rank", F.row_number().over(order)).join(sizes, stratum)
-    chosen = ranked.select(stratum, unit, F.when(F.col("_rank") <= F.col("_n"), "test").otherwise("train").alias("split"))
-    return df.join(chosen, [stratum, unit])
+    named = df.withColumns({"_s": F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")), "_u": F.coalesce(F.col(group or key).cast("string"), F.lit("\x00"))})
+    units = named.select("_s", "_u").distinct() if group else named
+    units = units.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), "_u"))).withColumn("_b", F.substring("_h", 1, 4))
+    whole = Window.partitionBy("_s")
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = units.groupBy("_s", "_b").agg(F.count("*").alias("_c"))
+    ranges = ranges.select("_s", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"), F.greatest(F.lit(1), F.floor(F.sum("_c").over(whole) * ratio)).alias("_n"))
+    place = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", F.col("_u") if group else F.col(key)))
+    ranked = units.withColumn("_r", place).join(ranges, ["_s", "_b"])
+    split = F.when(F.col("_first") + F.col("_r") <= F.col("_n"), "test").otherwise("train").alias("split")
+    if group:
+        return named.join(ranked.select("_s", "_u", split), ["_s", "_u"]).drop("_s", "_u")
+    return ranked.select(*df.columns, split)
 
 
 def shares(df: DataFrame, *by: str) -> DataFrame:
     """Counts and percentages of the total."""
     counts = df.groupBy(*by).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).withColumn("pct", 100 * F.col("n") / F.col("_total")).drop("_total")  # one row
+    return counts.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row for each group
 
 
 def numbered(df: DataFrame, key: str, bucket_rows: int = 100_000, name: str = "rn") -> DataFrame:
