@@ -56,8 +56,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 150) -> np.ndarray:
-    """Weights (bias last) of a linear machine with squared hinge loss, classes balanced; y is -1 or 1. Accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights of a linear machine with squared hinge loss, classes balanced; y is -1 or 1, x has a last column of ones. Accelerated gradient descent."""
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
     step = 1 / (1 / c + 2 * 2.0)
     w = ahead = np.zeros(x.shape[1], np.float32)
@@ -112,14 +111,15 @@ class Model:
 def fit(x: np.ndarray, langs: np.ndarray) -> Model:
     """A model of labelled rows; at least one."""
     names = sorted(set(langs))
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     families = sorted({FAMILY.get(n, n) for n in names})
     group = np.array([FAMILY.get(n, n) for n in langs])
     top, scales, languages, pairs = [], [], [], []
     for f in families:
         y = np.where(group == f, 1, -1).astype(np.float32)
-        w = linear_svm(x, y) if len(families) > 1 else np.append(np.zeros(x.shape[1], np.float32), np.float32(1))
+        w = linear_svm(x, y) if len(families) > 1 else np.append(np.zeros(x.shape[1] - 1, np.float32), np.float32(1))
         top.append(w)
-        scales.append(slope(x @ w[:-1] + w[-1], y))
+        scales.append(slope(x @ w, y))
         own = [n for n in names if FAMILY.get(n, n) == f]
         languages.append(own)
         pairs.append([])
@@ -127,8 +127,9 @@ def fit(x: np.ndarray, langs: np.ndarray) -> Model:
             for j in range(i + 1, len(own)):
                 at = np.flatnonzero((langs == own[i]) | (langs == own[j]))
                 y = np.where(langs[at] == own[i], 1, -1).astype(np.float32)
-                w = linear_svm(x[at], y)
-                pairs[-1].append((i, j, w, slope(x[at] @ w[:-1] + w[-1], y)))
+                part = x[at]
+                w = linear_svm(part, y)
+                pairs[-1].append((i, j, w, slope(part @ w, y)))
     return Model(families, np.array(top), np.array(scales), languages, pairs)
 
 
@@ -155,8 +156,11 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     got = labelled.where(F.col("at") < F.element_at(reach, F.col("lang"))).select("lang", "text").mapInArrow(_sampled, "lang string, x binary").limit(2 * rows).toArrow()
     if not got.num_rows:
         return None
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
-    return fit(x, np.array(got["lang"].to_pylist(), object))
+    langs, x = np.array(got["lang"].to_pylist(), object), np.empty((got.num_rows, WIDTH), np.float32)
+    for i, row in enumerate(got["x"]):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del got
+    return fit(x, langs)
 
 
 def identified(df: DataFrame, model: Model | None, *, text: str = "text", key: str = "doc_id") -> DataFrame:
