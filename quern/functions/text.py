@@ -132,19 +132,23 @@ def clean_whitespace(c: Column) -> Column:
     return F.when(F.size(kept) > 0, F.concat(joined(kept), F.lit("\n"))).when(c.isNotNull(), F.lit(""))
 
 
+#: What speaks for either architecture, and how many lines are looked at.
+AARCH64_OPS = "(?i)^\\s+(sub|add|str|ldr|ldrsw|subs|mov|b\\.|b\\s|bl\\s|ret|stp|ldp|adrp|cmp|cbz|cbnz|tbnz|tbz|mrs|msr)\\b"
+AARCH64_REGISTERS = "\\b(x[0-9]|x[12][0-9]|x30|w[0-9]|w[12][0-9]|w30|sp|xzr|wzr)\\b"
+X86_REGISTERS = "\\b(%[re]?[abcd]x|%[re]?[sd]i|%[re]?[sb]p|%r[0-9]+|%[re]?ip)\\b"
+LOOKED_AT = 50
+
+
 def detect_aarch64(c: Column) -> Column:
     """True if the first 50 lines look more like AArch64 than x86; ties are x86."""
-    head = F.slice(every_line(c), 1, 50)
+    head = F.slice(every_line(c), 1, LOOKED_AT)
     one = lambda test: test.cast("int")
 
     def arm(x: Column) -> Column:
-        t = stripped(x)
-        op = "(?i)^\\s+(sub|add|str|ldr|ldrsw|subs|mov|b\\.|b\\s|bl\\s|ret|stp|ldp|adrp|cmp|cbz|cbnz|tbnz|tbz|mrs|msr)\\b"
-        return one(x.rlike(op)) + one(x.rlike("\\b(x[0-9]|x[12][0-9]|x30|w[0-9]|w[12][0-9]|w30|sp|xzr|wzr)\\b")) + one(t.startswith("//") | t.endswith("//"))
+        return one(x.rlike(AARCH64_OPS)) + one(x.rlike(AARCH64_REGISTERS)) + one(stripped(x).startswith("//") | stripped(x).endswith("//"))
 
     def x86(x: Column) -> Column:
-        t = stripped(x)
-        return one(x.rlike("\\b(%[re]?[abcd]x|%[re]?[sd]i|%[re]?[sb]p|%r[0-9]+|%[re]?ip)\\b")) + one(t.startswith("#") & ~t.startswith("#include"))
+        return one(x.rlike(X86_REGISTERS)) + one(stripped(x).startswith("#") & ~stripped(x).startswith("#include"))
 
     score = lambda f: F.aggregate(F.transform(head, f), F.lit(0), lambda a, b: a + b)
     return score(arm) > score(x86)
@@ -165,11 +169,15 @@ def split_function(c: Column) -> Column:
     return let(lines(c), cut)
 
 
+#: Lines of a module that are no code, and inline references to metadata.
+NO_CODE = "^(?:;|source_filename|target datalayout|target triple|attributes|!)"
+METADATA_REFERENCE = ",?\\s*![a-zA-Z0-9]+(\\s+![0-9]+)?"
+
+
 def normalize_ir(c: Column) -> Column:
     """Trimmed lines without comments, module metadata, inline metadata and attribute groups; structs numbered. Null is empty."""
-    skip = "^(?:;|source_filename|target datalayout|target triple|attributes|!)"
-    rows = F.filter(F.transform(every_line(c), stripped), lambda x: ~x.rlike(skip))
-    clean = F.transform(rows, lambda x: stripped(F.regexp_replace(F.regexp_replace(x, ",?\\s*![a-zA-Z0-9]+(\\s+![0-9]+)?", ""), "#\\d+", "")))
+    rows = F.filter(F.transform(every_line(c), stripped), lambda x: ~x.rlike(NO_CODE))
+    clean = F.transform(rows, lambda x: stripped(F.regexp_replace(F.regexp_replace(x, METADATA_REFERENCE, ""), "#\\d+", "")))
     return F.coalesce(_renumbered(joined(F.filter(clean, lambda x: x != "")), "%struct.struct"), F.lit(""))
 
 
@@ -180,8 +188,7 @@ def tokens(c: Column) -> Column:
 
 def filtered_module(c: Column) -> Column:
     """A module's text without empty, comment, header, attribute and metadata lines, nor references to the last two."""
-    skip = "^(?:;|source_filename|target datalayout|target triple|attributes|!)"
-    kept = joined(F.filter(every_line(c), lambda x: (x != "") & ~x.rlike(skip)))
+    kept = joined(F.filter(every_line(c), lambda x: (x != "") & ~x.rlike(NO_CODE)))
     return F.regexp_replace(F.regexp_replace(kept, "#\\S+", ""), ",?\\s*![a-zA-Z0-9]+", "")
 
 
@@ -200,9 +207,10 @@ def name_from_head(c: Column) -> Column:
     return F.replace(F.element_at(tokens(F.try_element_at(F.split(c, "\\("), F.lit(-2))), -1), F.lit("*"), F.lit(""))
 
 
-#: Headers and type stand-ins of a translation unit.
+#: Headers, type stand-ins and frames of a translation unit.
 INCLUDES = ("stdlib", "string", "stdio", "math", "stdint", "stdbool", "limits", "float", "ctype", "assert")
 WIDE_FLOATS = ("_Float64", "_Float128", "_Float32x", "_Float64x")
+DEPS_BEGIN, DEPS_END, EMPTY_MAIN = "/* --- ExeBench synth_deps --- */", "/* --- end synth_deps --- */", "int main(void) { return 0; }"
 
 
 def translation_unit(func_def: Column, deps: Column) -> Column:
@@ -210,8 +218,8 @@ def translation_unit(func_def: Column, deps: Column) -> Column:
     head = "\n".join([*(f"#include <{h}.h>" for h in INCLUDES), "", *(x for t in WIDE_FLOATS for x in (f"#ifndef {t}", f"  #define {t} double", "#endif")), ""])
     definition = F.regexp_replace(F.regexp_replace(func_def, "__attribute__\\s*\\(\\s*\\(\\s*used\\s*\\)\\s*\\)\\s*", ""), "\\bstatic\\s+inline\\b", "")
     cleaned = clean_deps(deps)
-    framed = F.when(F.coalesce(stripped(cleaned), F.lit("")) != "", F.concat(F.lit("/* --- ExeBench synth_deps --- */\n"), cleaned, F.lit("\n/* --- end synth_deps --- */\n\n"))).otherwise(F.lit(""))
-    main = F.when(func_def.rlike("\\b(?:int|void)\\s+main\\s*\\("), F.lit("")).otherwise(F.lit("\n\nint main(void) { return 0; }"))
+    framed = F.when(F.coalesce(stripped(cleaned), F.lit("")) != "", F.concat(F.lit(f"{DEPS_BEGIN}\n"), cleaned, F.lit(f"\n{DEPS_END}\n\n"))).otherwise(F.lit(""))
+    main = F.when(func_def.rlike("\\b(?:int|void)\\s+main\\s*\\("), F.lit("")).otherwise(F.lit(f"\n\n{EMPTY_MAIN}"))
     return F.concat(F.lit(head + "\n"), framed, definition, main)
 
 
