@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.binding import let
+
 
 def udf(f: Callable, returns: str) -> Callable[..., Column]:
     """f as an Arrow-batched column function; null where the first argument is null."""
@@ -254,5 +256,5 @@ def preprocessed(asm: Column, name: Column, aarch64: Column | None = None) -> Co
     from quern.functions import text
 
     arm = text.detect_aarch64(asm) if aarch64 is None else aarch64
-    cut = udf(function_by_scope, "string")(asm, name)
-    return text.clean_whitespace(text.normalize_header(text.drop_directives(text.strip_comments(cut, arm)), name, arm))
+    form = lambda cut, a: text.clean_whitespace(text.normalize_header(text.drop_directives(text.strip_comments(cut, a)), name, a))
+    return let(udf(function_by_scope, "string")(asm, name), lambda cut: let(arm, lambda a: form(cut, a)))
