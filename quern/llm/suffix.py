@@ -86,11 +86,11 @@ def suffix_array(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
     for k in range(6):
         key = key << 9 | after(symbol, k)
     order, rank = dense(key)
-    ranks, k = [rank], 6
+    ranks, k = [rank.astype(np.int32)], 6
     longest = int(left.max())
     while k < longest and rank.max() < n:
         order, rank = dense(rank * (n + 1) + after(rank, k))
-        ranks.append(rank)
+        ranks.append(rank.astype(np.int32))
         k *= 2
     i, j = order[:-1].copy(), order[1:].copy()
     room = np.minimum(left[i], left[j])
@@ -259,26 +259,61 @@ _EMPTY = {"pieces": pa.schema([("route", pa.int64()), ("block", pa.int64()), ("p
 
 
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The bytes of a block's shared runs, by route."""
+    """The bytes of a block's shared runs, by route; copies of whole texts send none, for the least id's does."""
     if not left.num_rows or not right.num_rows:
         return _EMPTY["pieces"].empty_table()
     docs, offsets, data = _opened(*(left[c][0].as_py() for c in ("docs", "offsets", "data")))
     block, packer, rows = left["block"][0].as_py(), zstandard.ZstdCompressor(level=3), []
+    copies = np.frombuffer(left["copies"][0].as_py() or b"", "<i4")
     for route, payload in zip(right["route"].to_pylist(), right["payload"].to_pylist(), strict=True):
         rec = _unpacked(payload, _RUN)
+        rec = rec[~np.isin(np.searchsorted(offsets, rec["at"], "right") - 1, copies)]
+        if not len(rec):
+            continue
         size = rec["n"].astype(np.int64) + LENGTH - 1
         out = np.empty(len(rec), _PIECE)
         out["hash"], out["at"], out["n"] = rec["hash"], rec["at"], rec["n"]
         out["doc"] = docs[np.searchsorted(offsets, rec["at"], "right") - 1]
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         rows.append((route, block, _packed(out), packer.compress(data[np.repeat(rec["at"].astype(np.int64), size) + inside].tobytes())))
+    if not rows:
+        return _EMPTY["pieces"].empty_table()
     return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], schema=_EMPTY["pieces"])
 
 
-def covered(hashes: list[int], pieces: list[bytes], docs: np.ndarray, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lowest_by_window(order: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np.ndarray, doc: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+    """For each place the least doc of the repeats' occurrences that hold the LENGTH bytes there; doc is each place's own, and the result is never above it.
+
+    A repeat covers a stretch of windows at each occurrence. Stretches are laid down as two
+    overlapping powers of two, which are then pushed down level by level; some occurrences at a time.
+    """
+    n, top = len(doc), int(size.max() - LENGTH + 1).bit_length()
+    levels = np.full((top, n), np.iinfo(np.int64).max)
+    count = hi - lo
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(lo):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + most, "right")))
+        c = count[at:stop]
+        first = np.cumsum(c) - c
+        place = order[np.repeat(lo[at:stop], c) + np.arange(c.sum()) - np.repeat(first, c)]
+        least = np.repeat(np.minimum.reduceat(doc[place], first), c)
+        wide = np.repeat(size[at:stop] - LENGTH + 1, c)
+        k = np.frexp(wide.astype(float))[1] - 1
+        np.minimum.at(levels, (k, place), least)
+        np.minimum.at(levels, (k, place + wide - (1 << k)), least)
+        at = stop
+    for k in range(top - 1, 0, -1):
+        half = 1 << (k - 1)
+        np.minimum(levels[k - 1], levels[k], out=levels[k - 1])
+        np.minimum(levels[k - 1][half:], levels[k][:-half], out=levels[k - 1][half:])
+    return np.minimum(levels[0], doc)
+
+
+def covered(hashes: list[int], pieces: list[bytes], docs: np.ndarray, most: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, start, end): what of each piece a piece of a smaller document holds too; pieces of one hash are compared.
 
-    Equal pieces are one text of the suffix array, of the least document.
+    Equal pieces are one text of the suffix array, of the least document; what isn't of that goes whole.
     """
     known: dict[tuple[int, bytes], int] = {}
     of = np.fromiter((known.setdefault(k, len(known)) for k in zip(hashes, pieces, strict=True)), np.int64, len(pieces))
@@ -286,11 +321,11 @@ def covered(hashes: list[int], pieces: list[bytes], docs: np.ndarray, most: int
     np.minimum.at(least, of, docs)
     distinct = list(known)
     by_hash = sorted(range(len(distinct)), key=lambda i: distinct[i][0])
-    who, lo, hi = [np.flatnonzero(docs > least[of])], [], []
     sizes = np.array([len(p) for p in pieces], np.int64)
-    lo.append(np.zeros(len(who[0]), np.int64))
-    hi.append(sizes[who[0]])
-    members = np.argsort(of, kind="stable")
+    later = docs > least[of]
+    who, lo, hi = [np.flatnonzero(later)], [np.zeros(int(later.sum()), np.int64)], [sizes[later]]
+    members = np.flatnonzero(~later)
+    members = members[np.argsort(of[members], kind="stable")]
     first_member = np.searchsorted(of[members], np.arange(len(distinct) + 1))
     at = 0
     while at < len(by_hash):
@@ -312,22 +347,18 @@ def covered(hashes: list[int], pieces: list[bytes], docs: np.ndarray, most: int
         order, first, last, size = maximal_repeats(data, starts, LENGTH)
         if not len(first):
             continue
-        text = np.repeat(np.arange(len(part)), length)
         part = np.array(part)
-        count = last - first
-        place = order[np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        doc = least[part[text[place]]]
-        lowest = np.repeat(np.minimum.reduceat(doc, np.cumsum(count) - count), count)
-        span = np.repeat(size, count)
-        # all members of a text whose document isn't the lowest; one span for each place is enough: the longest
-        owner = part[text[place]]
-        begin = place - starts[text[place]]
-        many = first_member[owner + 1] - first_member[owner]
-        member = members[np.repeat(first_member[owner], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        hit = docs[member] > np.repeat(lowest, many)
-        who.append(member[hit])
-        lo.append(np.repeat(begin, many)[hit])
-        hi.append(np.repeat(begin + span, many)[hit])
+        text = np.repeat(np.arange(len(part)), length)
+        doc = least[part][text]
+        gone = np.concatenate([[False], lowest_by_window(order, first, last, size, doc) < doc, [False]])
+        edge = np.diff(gone.astype(np.int8))
+        begin, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)  # windows; none begins in the last LENGTH - 1 bytes of a text
+        owner = text[begin]
+        many = first_member[part[owner] + 1] - first_member[part[owner]]
+        member = members[np.repeat(first_member[part[owner]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        who.append(member)
+        lo.append(np.repeat(begin - starts[owner], many))
+        hi.append(np.repeat(end - 1 + LENGTH - starts[owner], many))
     return np.concatenate(who), np.concatenate(lo), np.concatenate(hi)
 
 
@@ -412,7 +443,7 @@ def without_repeats(df: DataFrame, *, text: str = "text", key: str = "doc_id", w
     parts = max(48, blocks.count() // 9)  # some 18 MB of text for each route
     routed = blocks.mapInArrow(_routed(parts), "route long, block long, payload binary")
     shared = routed.repartition("route").sortWithinPartitions("route").mapInArrow(_shared, "block long, route long, payload binary")
-    pieces = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut, "route long, block long, payload binary, bytes binary")
+    pieces = known.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut, "route long, block long, payload binary, bytes binary")
     ranges = pieces.repartition("route").sortWithinPartitions("route").mapInArrow(_found, "block long, payload binary")
     out = known.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(_finished(with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
