@@ -109,9 +109,8 @@ class Model:
 
 
 def fit(x: np.ndarray, langs: np.ndarray) -> Model:
-    """A model of labelled rows; at least one."""
+    """A model of labelled rows, at least one; x has a last column of ones."""
     names = sorted(set(langs))
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     families = sorted({FAMILY.get(n, n) for n in names})
     group = np.array([FAMILY.get(n, n) for n in langs])
     top, scales, languages, pairs = [], [], [], []
@@ -156,9 +155,9 @@ def train(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     got = labelled.where(F.col("at") < F.element_at(reach, F.col("lang"))).select("lang", "text").mapInArrow(_sampled, "lang string, x binary").limit(2 * rows).toArrow()
     if not got.num_rows:
         return None
-    langs, x = np.array(got["lang"].to_pylist(), object), np.empty((got.num_rows, WIDTH), np.float32)
+    langs, x = np.array(got["lang"].to_pylist(), object), np.ones((got.num_rows, WIDTH + 1), np.float32)
     for i, row in enumerate(got["x"]):
-        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+        x[i, :WIDTH] = np.frombuffer(row.as_buffer(), np.float16)
     del got
     return fit(x, langs)
 

@@ -371,7 +371,7 @@ def test_families():
     for k, name in enumerate(("en", "de", "fr")):
         x[langs == name, k] += 1
     x[langs != "fr", 5] += 1
-    m = langid.fit(x, langs)
+    m = langid.fit(np.hstack([x, np.ones((90, 1), np.float32)]), langs)
     assert m.families == ["germanic", "romance"] and m.languages == [["de", "en"], ["fr"]]
     assert (m.predict(x)[0] == langs).all()
 
