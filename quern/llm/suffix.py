@@ -89,7 +89,10 @@ def suffix_array(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
     ranks, k = [rank.astype(np.int32)], 6
     longest = int(left.max())
     while k < longest and rank.max() < n:
-        order, rank = dense(rank * (n + 1) + after(rank, k))
+        key = after(rank, k)
+        rank *= n + 1
+        key += rank
+        order, rank = dense(key)
         ranks.append(rank.astype(np.int32))
         k *= 2
     i, j = order[:-1].copy(), order[1:].copy()
@@ -310,6 +313,37 @@ def lowest_by_window(order: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np
     return np.minimum(levels[0], doc)
 
 
+def repeated_stretch(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) within each text of what can hold a repeat: from its first to its last LENGTH-byte window whose hash stands twice; equal where there is none."""
+    now, kept = _BYTES[data], {}
+    for k in (1, 2, 4, 8, 16):
+        new = now[:-k] * _C
+        new += now[k:]
+        new ^= new >> np.uint64(29)
+        if k in (2, 16):
+            kept[k] = now
+        now = new
+    n = len(data) - LENGTH + 1  # 32 + 16 + 2 bytes
+    h = now[:n] * _C
+    h += kept[16][32 : 32 + n]
+    h *= _C
+    h += kept[2][48 : 48 + n]
+    del now, new, kept
+    windows = np.maximum(length - LENGTH + 1, 0)
+    text = np.repeat(np.arange(len(starts)), windows)
+    inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    v = h[starts[text] + inside]
+    order = np.argsort(v)
+    same = v[order[1:]] == v[order[:-1]]
+    twice = np.zeros(len(v), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    begin, end = np.full(len(starts), np.iinfo(np.int64).max), np.zeros(len(starts), np.int64)
+    np.minimum.at(begin, text[twice], inside[twice])
+    np.maximum.at(end, text[twice], inside[twice] + LENGTH)
+    return np.minimum(begin, end), end
+
+
 def covered(hashes: list[int], pieces: list[bytes], docs: np.ndarray, most: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, start, end): what of each piece a piece of a smaller document holds too; pieces of one hash are compared.
 
@@ -342,8 +376,14 @@ def covered(hashes: list[int], pieces: list[bytes], docs: np.ndarray, most: int
         if not part:
             continue
         length = np.array([len(distinct[i][1]) for i in part], np.int64)
+        trim, stop = repeated_stretch(np.frombuffer(b"".join(distinct[i][1] for i in part), np.uint8), np.cumsum(length) - length, length)
+        some = np.flatnonzero(stop > trim)
+        if not len(some):
+            continue
+        part, trim, stop = [part[i] for i in some.tolist()], trim[some], stop[some]
+        length = stop - trim
         starts = np.cumsum(length) - length
-        data = np.frombuffer(b"".join(distinct[i][1] for i in part), np.uint8)
+        data = np.frombuffer(b"".join(distinct[i][1][a:b] for i, a, b in zip(part, trim.tolist(), stop.tolist(), strict=True)), np.uint8)
         order, first, last, size = maximal_repeats(data, starts, LENGTH)
         if not len(first):
             continue
@@ -357,8 +397,8 @@ def covered(hashes: list[int], pieces: list[bytes], docs: np.ndarray, most: int
         many = first_member[part[owner] + 1] - first_member[part[owner]]
         member = members[np.repeat(first_member[part[owner]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
         who.append(member)
-        lo.append(np.repeat(begin - starts[owner], many))
-        hi.append(np.repeat(end - 1 + LENGTH - starts[owner], many))
+        lo.append(np.repeat(begin - starts[owner] + trim[owner], many))
+        hi.append(np.repeat(end - 1 + LENGTH - starts[owner] + trim[owner], many))
     return np.concatenate(who), np.concatenate(lo), np.concatenate(hi)
 
 
@@ -367,13 +407,16 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     opener = zstandard.ZstdDecompressor()
     for _, rows in _grouped(batches, _PIECE, ("block", "payload", "bytes")):
         recs = [_unpacked(p, _PIECE) for _, p, _ in rows]
+        count = [len(r) for r in recs]
         rec = np.concatenate(recs)
+        del recs
         raw = b"".join(opener.decompress(x) for _, _, x in rows)
         size = rec["n"].astype(np.int64) + LENGTH - 1
         ends = np.cumsum(size)
         pieces = [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+        del raw
         who, lo, hi = covered(rec["hash"].tolist(), pieces, rec["doc"].astype(np.int64))
-        of = np.repeat(np.arange(len(rows)), [len(r) for r in recs])[who]
+        of = np.repeat(np.arange(len(rows)), count)[who]
         out = np.empty(len(who), _RANGE)
         out["start"], out["end"] = rec["at"][who] + lo, rec["at"][who] + hi
         order = np.lexsort((out["end"], out["start"], of))
