@@ -13,11 +13,12 @@ the vectors were not trained on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from quern.llm.decontaminate import plain
 #: N-gram lengths, buckets of n-grams, bits of whole words' buckets, dimensions, telling words of a document, and the threshold.
 GRAMS, BUCKETS, WORD_BITS, DIM, TELLING, THRESHOLD = (3, 4, 5, 6), 1 << 16, 18, 8, 4, 0.7
 ALL_BUCKETS = BUCKETS + (1 << WORD_BITS)
-#: Above so many distinct training words those of one document are left out.
-MOST_WORDS = 100_000
+#: Bytes of training texts whose n-grams a task holds at once.
+PART = 500_000
 
 
 @dataclass
@@ -81,6 +82,20 @@ def weights(b: Bags) -> np.ndarray:
     return np.where(b.bucket >= BUCKETS, np.where(n > 1, 0.5, 1.0)[b.word], 0.5 / np.maximum(n - 1, 1)[b.word])
 
 
+def telling(b: Bags, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, value, text) of each text's few distinct words that speak most for toxic, text by text."""
+    word = np.bincount(b.word, value[b.bucket] * weights(b), minlength=b.n_words)
+    at = np.flatnonzero(word > 0)
+    text = np.searchsorted(b.first, at, "right") - 1
+    order = np.lexsort((b.whole[at], -word[at], text))  # equal words stand side by side
+    at, text = at[order], text[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (text[1:] != text[:-1]) | (b.whole[at[1:]] != b.whole[at[:-1]])
+    at, text = at[new], text[new]
+    top = np.arange(len(at)) - np.searchsorted(text, text) < TELLING
+    return at[top], word[at[top]], text[top]
+
+
 @dataclass
 class Model:
     """A number for each bucket; of the score's logit, the factors of the telling words' mean and of the logarithm of the words' number, and the rest."""
@@ -93,18 +108,8 @@ class Model:
     def measured(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(mean value of the telling words, number of words) of each text; words that speak for clean count as nothing."""
         b = bags(column)
-        n = len(b.first) - 1
-        word = np.bincount(b.word, self.value[b.bucket] * weights(b), minlength=b.n_words)
-        at = np.flatnonzero(word > 0)
-        text = np.searchsorted(b.first, at, "right") - 1
-        order = np.lexsort((b.whole[at], -word[at], text))  # equal words stand side by side
-        at, text = at[order], text[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (text[1:] != text[:-1]) | (b.whole[at[1:]] != b.whole[at[:-1]])
-        at, text = at[new], text[new]
-        rank = np.arange(len(at)) - np.searchsorted(text, text)
-        top = rank < TELLING
-        return np.bincount(text[top], word[at[top]], minlength=n) / TELLING, np.diff(b.first)
+        _, value, text = telling(b, self.value)
+        return np.bincount(text, value, minlength=len(b.first) - 1) / TELLING, np.diff(b.first)
 
     def score(self, column: pa.Array) -> np.ndarray:
         """From 0 to 1."""
@@ -119,33 +124,14 @@ def log_odds(n1: np.ndarray, n0: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return odds * np.maximum(0, 1 - 1.5 / np.maximum(z, 1e-9))
 
 
-def fit(docs: list[str], toxic: np.ndarray, *, epochs: int = 3, rate: float = 0.05, seed: int = 7) -> Model:
-    """A model, not yet scaled, of documents (distinct words, between blanks) and their labels.
+def fit(found: np.ndarray, toxic: np.ndarray, told: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], *, epochs: int = 3, rate: float = 0.05, seed: int = 7) -> Model:
+    """A model, not yet scaled, of documents and their labels.
 
-    Embeddings start along one direction by the buckets' log-odds; then embeddings and softmax are trained together.
+    found has for each bucket the number of clean and of toxic documents with it; told gives, by
+    the buckets' values, the documents' first cell (n + 1) and the buckets and shares of
+    the cells of their telling words. Embeddings start along one direction by the buckets'
+    log-odds; then embeddings and softmax are trained together.
     """
-    known: dict[str, int] = {}
-    flat = np.fromiter((known.setdefault(w, len(known)) for d in docs for w in d.split()), np.int64)
-    doc = np.repeat(np.arange(len(docs)), [len(d.split()) for d in docs])
-    words = np.array(list(known), object)
-    if len(words) > MOST_WORDS:  # words of one document alone teach little, and are most of all
-        often = np.bincount(flat) > 1
-        doc, flat, words = doc[often[flat]], (np.cumsum(often) - 1)[flat[often[flat]]], words[often]
-    b = bags(pa.array(words, pa.string()))
-    del known, words
-    share = weights(b)
-    order = np.argsort(b.word, kind="stable")
-    cell_bucket, cell_share = b.bucket[order], share[order].astype(np.float32)
-    cell_from = np.searchsorted(b.word[order], np.arange(b.n_words + 1))
-
-    def cells_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = cell_from[ids + 1] - cell_from[ids]
-        return np.arange(size.sum()) + np.repeat(cell_from[ids] - (np.cumsum(size) - size), size), np.repeat(np.arange(len(ids)), size)
-
-    found = np.zeros((2, ALL_BUCKETS))
-    ends = np.searchsorted(doc, np.arange(len(docs) + 1))
-    for i in range(len(docs)):
-        found[int(toxic[i]), np.unique(cell_bucket[cells_of(flat[ends[i] : ends[i + 1]])[0]])] += 1
     odds = log_odds(found[1], found[0], toxic.astype(float))
     rng = np.random.default_rng(seed)
     out = rng.standard_normal((2, DIM)) / np.sqrt(2 * DIM)
@@ -155,19 +141,13 @@ def fit(docs: list[str], toxic: np.ndarray, *, epochs: int = 3, rate: float = 0.
     seen_emb, seen_out, seen_off = np.full((ALL_BUCKETS, 1), 1e-3), np.full(out.shape, 1e-3), np.full(2, 1e-3)
     balance = np.array([0.5 / max((toxic == k).mean(), 1e-6) for k in (0, 1)])
     for _ in range(epochs):
-        value = np.bincount(b.word, (emb @ (out[1] - out[0]))[b.bucket] * share, minlength=b.n_words)[flat]
-        best = np.lexsort((-value, doc))
-        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        best = best[(rank < TELLING) & (value[best] > 0)]
-        told = doc[best]
-        first = np.searchsorted(told, np.arange(len(docs) + 1))
-        ids = rng.permutation(len(docs))
+        first, cell_bucket, cell_share = told(emb @ (out[1] - out[0]))
+        ids = rng.permutation(len(toxic))
         for at in range(0, len(ids), 128):
             part = ids[at : at + 128]
             size = first[part + 1] - first[part]
-            pick = np.arange(size.sum()) + np.repeat(first[part] - (np.cumsum(size) - size), size)
-            cells, of = cells_of(flat[best[pick]])
-            row = np.repeat(np.arange(len(part)), size)[of]
+            cells = np.arange(size.sum()) + np.repeat(first[part] - (np.cumsum(size) - size), size)
+            row = np.repeat(np.arange(len(part)), size)
             used, w = cell_bucket[cells], cell_share[cells]
             vectors = emb[used]
             mean = np.stack([np.bincount(row, vectors[:, d] * w, minlength=len(part)) for d in range(DIM)], 1)  # TELLING times the average
@@ -202,25 +182,45 @@ def calibrated(m: Model, mean: np.ndarray, words: np.ndarray, toxic: np.ndarray)
     return Model(m.value, w[0] / spread, w[1], w[2])
 
 
-def _distinct(most: int):
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, bucket, n): in how many documents (toxic, text) of each label a bucket is."""
+    n = np.zeros((2, ALL_BUCKETS), np.int64)
+    for batch in batches:
+        for i, part in slices(batch.column(1), PART):
+            b = bags(part)
+            text = np.repeat(np.arange(len(part)), np.diff(b.first))[b.word]
+            label = batch.column(0).slice(i, len(part)).to_numpy()
+            pair = np.unique(text * ALL_BUCKETS + b.bucket)
+            n += np.bincount(label[pair // ALL_BUCKETS] * ALL_BUCKETS + pair % ALL_BUCKETS, minlength=2 * ALL_BUCKETS).reshape(n.shape)
+    label, bucket = np.nonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n[label, bucket])], ["toxic", "bucket", "n"])
+
+
+def _told(value: np.ndarray):
+    """A function that gives for documents (doc_id, tie, text) the buckets and shares of their telling words' cells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for text in b.column(2).to_pylist():
-                words = sorted(set(plain(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)).tobytes().split())) if text else []
-                if len(words) > most:
-                    words = [words[i] for i in np.random.default_rng(len(words)).choice(len(words), most, replace=False)]
-                rows.append(b" ".join(words).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.string())], ["doc_id", "toxic", "words"])
+        for batch in batches:
+            for i, part in slices(batch.column(2), PART):
+                b = bags(part)
+                at, _, text = telling(b, value)
+                place = np.full(b.n_words, -1)
+                place[at] = np.arange(len(at))
+                cells = np.flatnonzero(place[b.word] >= 0)
+                cells = cells[np.argsort(place[b.word[cells]], kind="stable")]
+                first = np.searchsorted(text[place[b.word[cells]]], np.arange(len(part) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(first, pa.array(x)) for x in (b.bucket[cells], weights(b)[cells])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), batch.column(1).slice(i, len(part)), *lists], ["doc_id", "tie", "buckets", "shares"])
 
     return run
 
 
-def train(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", toxic: str = "toxic", toxic_rows: int = 2000, clean_rows: int = 3000, most_words: int = 400) -> Model:
-    """A model of at most toxic_rows and clean_rows labelled documents, of each at most most_words distinct words.
+def train(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", toxic: str = "toxic", toxic_rows: int = 3000, clean_rows: int = 5000) -> Model:
+    """A model of the whole texts of at most toxic_rows and clean_rows labelled documents.
 
     Documents are taken by the hashes of their ids; a fourth of them only sets the score's
-    curve, by their whole texts. A document with labels of both kinds counts as toxic; null
+    curve. Tasks read the texts anew for each pass; the driver holds counts of buckets and
+    the documents' few telling words only. A document with labels of both kinds counts as toxic; null
     labels and ids are left out. Without labels of both kinds every score is 0.5.
     """
     spark = df.sparkSession
@@ -235,10 +235,20 @@ def train(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     picked = picked[0].union(picked[1])
     sample = through_table(df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text"), "toxicity-sample")
     apart = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0
-    got = sample.where(~apart).mapInArrow(_distinct(most_words), "doc_id long, toxic int, words string").toPandas().sort_values(["doc_id", "words"], kind="stable")
-    if got["toxic"].nunique() < 2:
+    learnt = sample.where(~apart).select("doc_id", "toxic", F.xxhash64("text").alias("tie"), "text")
+    rows = learnt.select("doc_id", "tie", "toxic").toPandas().sort_values(["doc_id", "tie"], kind="stable")
+    if rows["toxic"].nunique() < 2:
         return blank
-    m = fit(got["words"].tolist(), got["toxic"].to_numpy())
+    n = learnt.select("toxic", "text").mapInArrow(_found, "toxic int, bucket int, n long").groupBy("toxic", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros((2, ALL_BUCKETS))
+    found[n["toxic"].to_numpy(), n["bucket"].to_numpy()] = n["n"].to_numpy()
+
+    def told(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = learnt.select("doc_id", "tie", "text").mapInArrow(_told(value), "doc_id long, tie long, buckets array<int>, shares array<double>").toArrow().sort_by([("doc_id", "ascending"), ("tie", "ascending")]).combine_chunks()
+        size = pc.list_value_length(got["buckets"]).to_numpy()
+        return np.concatenate([[0], np.cumsum(size)]), pc.list_flatten(got["buckets"]).to_numpy(), pc.list_flatten(got["shares"]).to_numpy()
+
+    m = fit(found, rows["toxic"].to_numpy(), told)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

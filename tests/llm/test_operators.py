@@ -405,6 +405,21 @@ def test_toxicity(spark, odd):
     assert {r.score for r in toxicity.scored(odd, blank).collect()} == {0.5}
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for i in range(160):  # long texts, with ever new words and, in the toxic ones, one spelling of a word found nowhere else
+        words = [letters(9) for _ in range(1500)]
+        if i % 2:
+            words[rng.randrange(len(words))] = "blorfuk" + letters(4)
+        rows.append((i, " ".join(words), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    m = toxicity.train(df.drop("toxic"), df.where("doc_id < 120").select("doc_id", "toxic"))
+    held = toxicity.scored(df.drop("toxic"), m).where("doc_id >= 120").join(df.select("doc_id", "toxic"), "doc_id").collect()
+    assert len(held) == 40 and np.mean([r.predicted == r.toxic for r in held]) > 0.95
+
+
 # --- queries ---
 
 
