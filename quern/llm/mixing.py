@@ -1,80 +1,104 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents are cut into blocks. With integer weights w that sum to W, block k (from
-1) of a source is released at slot floor((k - 1) * W / w) and is due by slot ceil(k * W / w);
-every slot takes the released block that is due first (ties: the source's place in the sorted
-names). Utilization is exactly one, so no deadline is missed and no source is ever a whole
-block ahead of or behind its share.
-
-The schedule repeats after W slots, so one period is worked out on the driver (W is a
-parameter) and every row's slot follows from its source and block number by arithmetic, with
-no sequential pass over the data. When a source runs out, a new phase begins with the weights
-of the rest; there are at most as many phases as sources.
+A source's documents are cut into blocks. With integer weights w that sum to W, in exactly the
+ratios asked for, block k (from 1) of a source is released at slot floor((k - 1) * W / w) and is
+due by slot ceil(k * W / w); every slot takes the released block that is due first (ties: the
+source's place in the sorted names). Utilization is exactly one, so no deadline is missed and
+no source is ever a whole block ahead of or behind the share asked for.
+
+The driver works the slots out, a step of a heap for each block, and no row is looked at for
+it; a schedule that repeats after a few slots is worked out for one period only. Rows get
+their slots by source and block number. When a source runs out, a new phase begins with the
+weights of the rest; there are at most as many phases as sources.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import packed, table, unpacked
 
-#: Documents in a block, slots in a period, most sources (their schedule goes to all tasks), rows of a ranking bucket.
-BLOCK, PERIOD, MOST_SOURCES, BUCKET = 64, 1000, 2000, 4096
+#: Documents in a block, slots of the longest period that is repeated, most sources, rows of a ranking bucket, and most blocks whose slots go to all tasks.
+BLOCK, PERIOD, MOST_SOURCES, BUCKET, MOST_SENT = 64, 1000, 2000, 4096, 1 << 19
 
 
-def integer_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Weights of at least 1 that sum to the period (or to the number of sources, if more), nearest to the shares asked for."""
-    total, period = sum(weights.values()), max(period, len(weights))
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+def integer_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Integers without a common factor in exactly the ratios of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: w // common for s, w in whole.items()}
 
 
-def one_period(weights: Mapping[str, int]) -> list[str]:
+def in_turn(weights: Mapping[str, int]) -> Iterator[str]:
     """The source of each slot of a period: of the released blocks, the one that is due first."""
     total = sum(weights.values())
     names = sorted(weights)
-    waiting = [[] for _ in range(total + 1)]
-    for n, s in enumerate(names):
-        waiting[0].append((-(-total // weights[s]), n, 1))
-    ready, out = [], []
+    waiting = {0: [(-(-total // weights[s]), n, 1) for n, s in enumerate(names)]}
+    ready: list[tuple[int, int, int]] = []
     for slot in range(total):
-        for x in waiting[slot]:
+        for x in waiting.pop(slot, ()):
             heapq.heappush(ready, x)
         _, n, k = heapq.heappop(ready)
         w = weights[names[n]]
-        out.append(names[n])
-        if k < w:
-            waiting[max(slot + 1, k * total // w)].append((-(-(k + 1) * total // w), n, k + 1))
-    return out
+        yield names[n]
+        waiting.setdefault(max(slot + 1, k * total // w), []).append((-(-(k + 1) * total // w), n, k + 1))
 
 
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[dict]:
-    """For each phase and source that takes part: source, lo and hi (its blocks), start (first slot), w, total, and at (its slots in a period)."""
+    """For each phase and source with blocks in it: source, lo and hi (its blocks), start (first slot), w, total, and at (its slots, of one period at most).
+
+    Schedules of more than period slots aren't repeated: every block of theirs has its slot in at.
+    """
     left, lo, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        w = integer_weights({s: weights[s] for s in left}, period)
+        w = integer_weights({s: weights[s] for s in left})
         total = sum(w.values())
         at: dict[str, list[int]] = {s: [] for s in left}
-        for slot, s in enumerate(one_period(w)):
+        for slot, s in enumerate(in_turn(w)):
             at[s].append(slot)
-        last = min(((n - 1) // w[s]) * total + at[s][(n - 1) % w[s]] for s, n in left.items())  # where the first one runs out
-        rounds, rest = divmod(last + 1, total)
-        took = {s: rounds * w[s] + sum(x < rest for x in at[s]) for s in left}
+            if total > period and len(at[s]) == left[s]:
+                break
+        if total > period:
+            last, took = slot, {s: len(x) for s, x in at.items()}
+        else:
+            last = min(((n - 1) // w[s]) * total + at[s][(n - 1) % w[s]] for s, n in left.items())  # where the first one runs out
+            rounds, rest = divmod(last + 1, total)
+            took = {s: rounds * w[s] + sum(x < rest for x in at[s]) for s in left}
         for s, n in took.items():
-            out.append({"source": s, "lo": lo[s], "hi": lo[s] + n, "start": start, "w": w[s], "total": total, "at": at[s]})
-            lo[s] += n
+            if n:
+                out.append({"source": s, "lo": lo[s], "hi": lo[s] + n, "start": start, "w": w[s], "total": total, "at": at[s]})
+                lo[s] += n
         left = {s: n - took[s] for s, n in left.items() if n > took[s]}
         start += last + 1
     return out
 
 
+def places(plan: list[dict]) -> pa.Table:
+    """(source, block, slot, release, deadline) of each block; deadlines beyond a long are the largest long."""
+    names, most = {}, np.iinfo(np.int64).max
+    source, *rest = (np.empty(sum(p["hi"] - p["lo"] for p in plan), t) for t in (np.int32, np.int64, np.int64, np.int64, np.int64))
+    i = 0
+    for p in plan:
+        n, w, total, start = names.setdefault(p["source"], len(names)), p["w"], p["total"], p["start"]
+        for j in range(p["hi"] - p["lo"]):
+            source[i] = n
+            for column, x in zip(rest, (p["lo"] + j, start + j // w * total + p["at"][j % w], start + j * total // w, min(start - (-(j + 1) * total // w), most)), strict=True):
+                column[i] = x
+            i += 1
+    named = pa.array(list(names), pa.string()).take(pa.array(source))
+    return pa.table([named, *map(pa.array, rest)], ["source", "block", "slot", "release", "deadline"])
+
+
 def tempered(counts: Mapping[str, int], power: float = 0.5) -> dict[str, float]:
     """Target weights by a power of the sources' sizes: 1 as they are, 0 all alike."""
     return {s: float(n) ** power for s, n in counts.items() if n}
@@ -100,12 +124,14 @@ def mixed(df: DataFrame, weights: Mapping[str, float] | None = None, *, source:
     if lost := [s for s in counts if not weights.get(s, 0) > 0]:
         raise ValueError(f"no weight for source {lost[0]!r}")
     plan = phases({s: -(-n // block) for s, n in counts.items()}, weights, period)
-    of = {s: [p for p in plan if p["source"] == s] for s in counts}
-    slot_of = lambda p, k: p["start"] + (k - p["lo"]) // p["w"] * p["total"] + p["at"][(k - p["lo"]) % p["w"]]
-    ends = sorted((slot_of(of[s][-1], of[s][-1]["hi"] - 1), -n % block) for s, n in counts.items() if n % block)
-    fields = "source string, n_buckets int, phases array<struct<lo: long, hi: long, start: long, w: long, total: long, at: array<int>>>"
-    known = spark.createDataFrame([(s, -(-n // BUCKET), [tuple(p[k] for k in ("lo", "hi", "start", "w", "total", "at")) for p in of[s]]) for s, n in counts.items()], fields)
-    split = packs.join(F.broadcast(known.select("source", "n_buckets")), "source")
+    slots = places(plan)
+    last = dict(zip(slots["source"].to_pylist(), slots["slot"].to_pylist(), strict=True))  # a source's blocks are in order
+    ends = sorted((last[s], -n % block) for s, n in counts.items() if n % block)
+    known = spark.createDataFrame([(s, -(-n // BUCKET)) for s, n in counts.items()], "source string, n_buckets int")
+    slots_of = spark.createDataFrame(slots, "source string, block long, slot long, release long, deadline long")
+    if len(slots) <= MOST_SENT:
+        slots_of = F.broadcast(slots_of)
+    split = packs.join(F.broadcast(known), "source")
     # the hash's range, cut evenly: buckets follow the hash's order
     split = split.withColumn("_bucket", F.floor((F.shiftrightunsigned("_hash", 32) * F.col("n_buckets")) / F.lit(float(1 << 32))).cast("int")).drop("n_buckets")
     sizes = split.groupBy("source", "_bucket").count()
@@ -113,15 +139,8 @@ def mixed(df: DataFrame, weights: Mapping[str, float] | None = None, *, source:
     offsets = sizes.select("source", "_bucket", before.alias("_before"))
     own = Window.partitionBy("source", "_bucket").orderBy(F.shiftrightunsigned("_hash", 32), "_hash", "_id", "_tie")
     rank = F.col("_before") + F.row_number().over(own) - 1
-    ranked = split.join(offsets, ["source", "_bucket"]).withColumn("_rank", rank).join(F.broadcast(known.select("source", "phases")), "source")
-    ranked = ranked.withColumn("block", F.floor(F.col("_rank") / block).cast("long"))
-    ranked = ranked.withColumn("_p", F.element_at(F.filter("phases", lambda p: (p["lo"] <= F.col("block")) & (F.col("block") < p["hi"])), 1)).drop("phases")
-    k, w, total, start = F.col("block") - F.col("_p.lo"), F.col("_p.w"), F.col("_p.total"), F.col("_p.start")
-    ranked = ranked.withColumns({
-        "slot": start + F.floor(k / w).cast("long") * total + F.element_at("_p.at", (k % w + 1).cast("int")),
-        "release": start + F.floor(k * total / w).cast("long"),
-        "deadline": start + F.ceil((k + 1) * total / w).cast("long"),
-    })
+    ranked = split.join(offsets, ["source", "_bucket"]).withColumn("_rank", rank)
+    ranked = ranked.withColumn("block", F.floor(F.col("_rank") / block).cast("long")).join(slots_of, ["source", "block"])
     short = sum((F.when(F.col("slot") > s, F.lit(n)).otherwise(F.lit(0)) for s, n in ends), F.lit(0).cast("long"))
     return ranked.withColumn("position", F.col("slot") * block + F.col("_rank") % block - short).select(*(["_doc"] if carry else []), "_id", "source", "block", "slot", "release", "deadline", "position")
 

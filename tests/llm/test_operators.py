@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -278,6 +279,30 @@ def test_pfair_windows():
         assert sorted(slots) == list(range(sum(blocks.values()))) and len(set(slots.values())) == len(slots)
 
 
+@pytest.mark.parametrize("n, share", [(20, 0.1396), (100, 1 / 3), (500, 1 / 3), (1500, 1 / 3)])
+def test_mixing_keeps_to_the_weights_asked_for(n, share):
+    weights = {f"s{i}": (1 - share) / (n - 1) for i in range(1, n)} | {"hot": share}
+    total, slots = sum(map(Fraction, weights.values())), {}
+    for p in mixing.phases(dict.fromkeys(weights, 100) | {"hot": 3000}, weights):
+        for j in range(p["hi"] - p["lo"]) if p["start"] == 0 else ():
+            slots[j // p["w"] * p["total"] + p["at"][j % p["w"]]] = p["source"]
+    had = dict.fromkeys(weights, 0)
+    for t in range(len(slots)):
+        had[slots[t]] += 1
+        for s in ("hot", slots[t]):
+            assert abs(had[s] - Fraction(weights[s]) / total * (t + 1)) < 1
+    assert len(slots) > 20
+
+
+def test_mixing_rows_keep_to_the_weights(spark):
+    weights = {f"s{i}": 1.0 for i in range(1, 500)} | {"hot": 250.0}
+    df = spark.range(3000).selectExpr("id AS doc_id", "IF(id < 1500, 'hot', concat('s', id % 499 + 1)) AS source", "'x' AS text")
+    rows = mixing.mixed(df, weights, block=1, carry=False).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(3000)) and all(r.release <= r.slot < r.deadline for r in rows)
+    hot = np.cumsum([r.source == "hot" for r in rows[:1400]])
+    assert np.abs(hot - 250 / 749 * np.arange(1, 1401)).max() < 1
+
+
 def test_mixing(spark, odd):
     df = docs(spark)
     rows = mixing.mixed(df, block=4, period=20).orderBy("position").collect()
