@@ -2,7 +2,8 @@
 
 documents plays the fact table (lang its technique, source its split), labels its metadata,
 conversations predictions and references, events counters and payloads, and lineitem and
-orders volume. Every query reads its tables whole.
+orders volume. Queries read their tables whole, but for group_by_seed and io_compare, whose
+SQL takes some events: group_by_seed_all and io_compare_all take all.
 """
 
 from __future__ import annotations
@@ -270,6 +271,11 @@ def group_by_seed(t):
     return rows.groupBy((F.col("user_id") % 50).alias("seed")).agg(F.count("*").alias("n"), _text_of(F.array_sort(F.collect_list("event_id"))).alias("ids"))
 
 
+@query(f"SELECT user_id % 50 AS seed, count(*) AS n, {_sql_text('list_sort(list(event_id))')} AS ids FROM events GROUP BY 1")
+def group_by_seed_all(t):
+    return t("events").groupBy((F.col("user_id") % 50).alias("seed")).agg(F.count("*").alias("n"), _text_of(F.array_sort(F.collect_list("event_id"))).alias("ids"))
+
+
 @query("SELECT round(sum(value * (event_id % 5)) / greatest(sum(event_id % 5), 1), 6) AS mean_loss, count(*) AS n FROM events")
 def weighted_loss(t):
     return t("events").withColumn("w", F.col("event_id") % 5).agg(F.round(curate.weighted_mean("value", "w"), 6).alias("mean_loss"), F.count("*").alias("n"))
@@ -538,6 +544,12 @@ def io_compare(t):
     return t("events").where("event_id % 3 <> 1").select("event_id", arrays.close(v, v + (F.col("event_id") % 3) / 1000 * v).alias("near"))
 
 
+@query("SELECT event_id, abs(value - (value + (event_id % 3)::DOUBLE * 7 / 10000 * value)) <= 1e-3 * greatest(abs(value), abs(value + (event_id % 3)::DOUBLE * 7 / 10000 * value)) AS near FROM events")
+def io_compare_all(t):
+    v = F.col("value")
+    return t("events").select("event_id", arrays.close(v, v + (F.col("event_id") % 3).cast("double") * 7 / 10000 * v).alias("near"))
+
+
 @query("SELECT event_id, true AS same FROM events")
 def io_compare_nested(t):
     a = F.concat(F.lit('{"a": [1, 2.0, {"p": '), F.col("props"), F.lit("}]}"))
