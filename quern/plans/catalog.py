@@ -409,7 +409,7 @@ def truncate_block(t):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN '/* BEGIN FUNCTION-DEF f' || doc_id || ' */' || chr(10) || regexp_replace(text, '\\n$', '') || chr(10) || '/* END FUNCTION-DEF f' || doc_id || ' */' END AS t FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\x0c]')")
 def span_extract(t):
-    d = t("documents").where(~F.col("text").rlike("[\\r\\x0b\\x0c]")).withColumn("name", F.concat(F.lit("f"), F.col("doc_id").cast("string")))
+    d = t("documents").withColumn("name", F.concat(F.lit("f"), F.col("doc_id").cast("string")))
     begin = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("head\n/* BEGIN FUNCTION-DEF "), F.col("name"), F.lit("1 */\n/* BEGIN FUNCTION-DEF "), F.col("name"), F.lit(" */\n"))).otherwise(F.lit(""))
     body = F.concat(begin, F.regexp_replace("text", "\\n$", ""), F.lit("\n/* END FUNCTION-DEF "), F.col("name"), F.lit(" */\ntail"))
     return d.select("doc_id", text.extract_marked(body, F.col("name")).alias("t"))
@@ -430,8 +430,7 @@ def comment_strip(t):
 
 @query("SELECT doc_id, text || chr(10) || chr(9) || '.cfi_endproc' AS t FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\x0c]')")
 def directive_drop(t):
-    d = t("documents").where(~F.col("text").rlike("[\\r\\x0b\\x0c]"))
-    return d.select("doc_id", text.drop_directives(F.concat(F.lit("\t.file \"a.c\"\n\t.text\n"), F.col("text"), F.lit("\n\t.cfi_endproc\n.Lfunc_end0:\n\t.size f, .-f"))).alias("t"))
+    return t("documents").select("doc_id", text.drop_directives(F.concat(F.lit("\t.file \"a.c\"\n\t.text\n"), F.col("text"), F.lit("\n\t.cfi_endproc\n.Lfunc_end0:\n\t.size f, .-f"))).alias("t"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '.global f' || chr(10) || '.type f, %function' ELSE '.globl f' || chr(10) || '.type f, @function' END || chr(10) || 'f:' || chr(10) || lang AS t FROM documents")
@@ -454,7 +453,7 @@ def arch_detect(t):
 @query(f"SELECT doc_id, 3::INTEGER AS n_header, len(string_split(text, chr(10)))::INTEGER AS n_body, 2::INTEGER AS n_footer FROM documents WHERE NOT contains(text, '.cfi_')")
 def function_split(t):
     body = F.concat(F.lit(".globl f\nf:\n\t.cfi_startproc\n"), F.col("text"), F.lit("\n\t.cfi_endproc\n.size f"))
-    s = t("documents").where(~F.contains("text", F.lit(".cfi_"))).select("doc_id", text.split_function(body).alias("s"))
+    s = t("documents").select("doc_id", text.split_function(body).alias("s"))
     return s.select("doc_id", F.size("s.header").alias("n_header"), F.size("s.body").alias("n_body"), F.size("s.footer").alias("n_footer"))
 
 

@@ -1,7 +1,9 @@
 """Queries over whole tables and whole texts, against brute force."""
 
+import re
 from collections import defaultdict
 
+from quern.functions import text
 from quern.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +18,20 @@ def test_events_are_taken_whole(spark):
     assert got == {k: (len(v), ",".join(map(str, sorted(v)))) for k, v in groups.items()}
     near = {r.event_id: r.near for r in catalog.QUERIES["io_compare_all"](spark, SF).collect()}
     assert near == {e.event_id: e.value == 0 or e.event_id % 3 < 2 for e in events}
+
+
+def test_documents_with_other_line_ends_are_taken(spark):
+    texts = ["a b", "a\r\nb\r\n\r\nc", "a\rb\x0bc\x0cd", "x\r\n\t.file \"b.c\"\r\ny\x0c.text\x0bz", "", "u\n\t.cfi_def_cfa 4\nv", "u\n\t.cfi_endproc\nv\r\n\t.cfi_startproc\nw", ".cfi_startproc"]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    t = lambda name: df
+    spans = {r.doc_id: r.t for r in catalog.span_extract(t).collect()}
+    dropped = {r.doc_id: r.t for r in catalog.directive_drop(t).collect()}
+    split = {r.doc_id: (r.n_header, r.n_body, r.n_footer) for r in catalog.function_split(t).collect()}
+    unwanted = re.compile("|".join(text.UNWANTED_DIRECTIVES))
+    for i, x in enumerate(texts, 1):
+        want = f"/* BEGIN FUNCTION-DEF f{i} */\n{x}\n/* END FUNCTION-DEF f{i} */"
+        assert spans[i] == ("\n".join(want.splitlines()) if i % 5 else None)
+        assert dropped[i] == "\n".join(y for y in f"{x}\n\t.cfi_endproc".splitlines() if not unwanted.match(y))
+        lines = f".globl f\nf:\n\t.cfi_startproc\n{x}\n\t.cfi_endproc\n.size f".split("\n")
+        stop = next(k for k, y in enumerate(lines) if k > 2 and y.lstrip().startswith(".cfi_endproc"))
+        assert split[i] == (3, stop - 3, len(lines) - stop)
