@@ -40,12 +40,23 @@ _TURNS = """WITH p AS (SELECT a.conv_id, a.turn, regexp_replace(a.text, '[^\\x00
   'group' || (a.conv_id % 3) AS technique FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user')"""
 
 
+def _whole_turns(t) -> DataFrame:
+    """Assistant turns as predictions of the user turns before them."""
+    a = t("conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("prediction"))
+    u = t("conversations").where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
+    return a.join(u, ["conv_id", "turn"]).withColumn("technique", F.concat(F.lit("group"), (F.col("conv_id") % 3).cast("string")))
+
+
 def _turns(t) -> DataFrame:
-    """Assistant turns as predictions of the user turns before them; ASCII, for the engines differ in what a character is."""
+    """The same in ASCII, for the engines differ in what a character is; queries named _whole score the whole texts."""
     fold = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "")
-    a = t("conversations").where("role = 'assistant'").select("conv_id", "turn", fold("text").alias("prediction"))
-    u = t("conversations").where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), fold("text").alias("reference"))
-    return a.join(u, ["conv_id", "turn"]).withColumn("technique", F.concat(F.lit("group"), (F.col("conv_id") % 3).cast("string")))
+    return _whole_turns(t).withColumns({c: fold(c) for c in ("prediction", "reference")})
+
+
+def _report(turns: DataFrame) -> DataFrame:
+    pairs = turns.where(F.length(F.coalesce("reference", F.lit(""))) > 0)
+    scored = pairs.withColumns({"d": metrics.ned(F.col("prediction"), F.col("reference")), "e": metrics.exact(F.col("prediction"), F.col("reference"))})
+    return curate.overall(scored, [F.count("*").alias("n"), F.round(F.coalesce(F.avg("d"), F.lit(0.0)), 6).alias("ned"), F.round(F.coalesce(F.avg("e"), F.lit(0.0)), 6).alias("exact_match")], "technique")
 
 
 @query(_TURNS + """ SELECT coalesce(technique, 'ALL') AS technique, count(*) AS n,
@@ -53,9 +64,12 @@ def _turns(t) -> DataFrame:
   round(coalesce(avg(CASE WHEN regexp_replace(prediction, '^\\s+|\\s+$', '', 'g') = regexp_replace(reference, '^\\s+|\\s+$', '', 'g') THEN 100.0::DOUBLE ELSE 0 END), 0), 6) AS exact_match
   FROM p WHERE length(reference) > 0 GROUP BY GROUPING SETS ((), (technique))""")
 def eval_report_grouped(t):
-    pairs = _turns(t).where(F.length(F.coalesce("reference", F.lit(""))) > 0)
-    scored = pairs.withColumns({"d": metrics.ned(F.col("prediction"), F.col("reference")), "e": metrics.exact(F.col("prediction"), F.col("reference"))})
-    return curate.overall(scored, [F.count("*").alias("n"), F.round(F.coalesce(F.avg("d"), F.lit(0.0)), 6).alias("ned"), F.round(F.coalesce(F.avg("e"), F.lit(0.0)), 6).alias("exact_match")], "technique")
+    return _report(_turns(t))
+
+
+@query()
+def eval_report_whole(t):
+    return _report(_whole_turns(t))
 
 
 _GRAMS = " UNION ALL ".join(f"SELECT conv_id, turn, technique, {n} AS n, side, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - {n - 2})) AS i FROM w)" for n in range(1, 5))
@@ -75,6 +89,11 @@ def _once(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(name)))
 
 
+def _bleu(turns: DataFrame) -> DataFrame:
+    parts = turns.withColumn("parts", metrics.bleu_parts(F.col("prediction"), F.col("reference")))
+    return curate.overall(_once(parts.select("technique", "parts"), "parts"), [F.round(metrics.bleu_score(F.col("parts")), 6).alias("bleu")], "technique")
+
+
 @query(_TURNS + f""", w AS (SELECT conv_id, turn, technique, 'p' AS side, list_filter(string_split_regex(prediction, '\\s+'), lambda x: x <> '') AS w FROM p
   UNION ALL SELECT conv_id, turn, technique, 'r', list_filter(string_split_regex(reference, '\\s+'), lambda x: x <> '') FROM p),
   g AS ({_GRAMS}),
@@ -84,18 +103,31 @@ def _once(df: DataFrame, name: str) -> DataFrame:
   SELECT technique, round(CASE WHEN min(hit) = 0 THEN 0 ELSE 100 * (CASE WHEN any_value(s) >= any_value(r) THEN 1 ELSE exp(1 - any_value(r) / any_value(s)) END) * exp(sum(ln(greatest(hit, 1) / total)) / 4) END, 6) AS bleu
   FROM m JOIN l USING (technique) GROUP BY technique""")
 def eval_bleu_grouped(t):
-    parts = _turns(t).withColumn("parts", metrics.bleu_parts(F.col("prediction"), F.col("reference")))
-    return curate.overall(_once(parts.select("technique", "parts"), "parts"), [F.round(metrics.bleu_score(F.col("parts")), 6).alias("bleu")], "technique")
+    return _bleu(_turns(t))
+
+
+@query()
+def eval_bleu_whole(t):
+    return _bleu(_whole_turns(t))
+
+
+def _compared(turns: DataFrame) -> DataFrame:
+    return turns.select("conv_id", "turn", F.levenshtein("prediction", "reference").cast("long").alias("chars"), (F.col("prediction") == F.col("reference")).alias("same"), F.size(text.tokens(F.col("prediction"))).alias("n_tokens"))
 
 
 @query(_TURNS + """ SELECT conv_id, turn, levenshtein(prediction, reference) AS chars, (prediction = reference) AS same, len(list_filter(string_split_regex(prediction, '\\s+'), lambda x: x <> ''))::INTEGER AS n_tokens FROM p""")
 def pair_metrics(t):
-    return _turns(t).select("conv_id", "turn", F.levenshtein("prediction", "reference").cast("long").alias("chars"), (F.col("prediction") == F.col("reference")).alias("same"), F.size(text.tokens(F.col("prediction"))).alias("n_tokens"))
+    return _compared(_turns(t))
+
+
+@query()
+def pair_metrics_whole(t):
+    return _compared(_whole_turns(t))
 
 
 @query()
 def token_distance(t):
-    return _turns(t).select("conv_id", "turn", asm.udf(asm.token_distance, "int")(F.col("prediction"), F.col("reference")).alias("edits"))
+    return _whole_turns(t).select("conv_id", "turn", asm.udf(asm.token_distance, "int")(F.col("prediction"), F.col("reference")).alias("edits"))
 
 
 # --- enrichment -------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Queries over whole tables and whole texts, against brute force."""
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from quern.functions import text
 from quern.plans import catalog
@@ -35,3 +36,35 @@ def test_documents_with_other_line_ends_are_taken(spark):
         lines = f".globl f\nf:\n\t.cfi_startproc\n{x}\n\t.cfi_endproc\n.size f".split("\n")
         stop = next(k for k, y in enumerate(lines) if k > 2 and y.lstrip().startswith(".cfi_endproc"))
         assert split[i] == (3, stop - 3, len(lines) - stop)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def bleu(pairs):
+    score = 1.0
+    for n in range(1, 5):
+        grams = [[Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in p] for p in pairs]
+        score *= sum((a & b).total() for a, b in grams) / sum(a.total() for a, _ in grams)
+    made, asked = (sum(len(p[i]) for p in pairs) for i in (0, 1))
+    return 100 * min(1, math.exp(1 - asked / made)) * score**0.25
+
+
+def test_turns_are_scored_whole(spark):
+    pairs = [("où est la forêt de l'été", "ou est la foret de l'ete"), ("naïve é", "naïve è"), ("a b c d 😀 e", "a b c d 😀 e"), ("Größe ist nicht alles hier", "Große ist nicht alles hier")]
+    rows = [(i, k, r, x) for i, (u, a) in enumerate(pairs) for k, r, x in ((0, "user", u), (1, "assistant", a))]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    t = lambda name: df
+    far = [edits(a, u) for u, a in pairs]
+    assert {r.conv_id: (r.chars, r.same, r.n_tokens) for r in catalog.pair_metrics_whole(t).collect()} == {i: (far[i], u == a, len(a.split())) for i, (u, a) in enumerate(pairs)}
+    assert {r.conv_id: r.edits for r in catalog.token_distance(t).collect()} == {i: edits(a.split(), u.split()) for i, (u, a) in enumerate(pairs)}
+    report = {r.technique: r for r in catalog.eval_report_whole(t).collect()}["ALL"]
+    assert (report.n, report.exact_match) == (4, 25.0)
+    assert abs(report.ned - sum(d / max(len(u), len(a)) for d, (u, a) in zip(far, pairs, strict=True)) / 4) < 1e-6
+    assert abs({r.technique: r.bleu for r in catalog.eval_bleu_whole(t).collect()}["ALL"] - bleu([(a.split(), u.split()) for u, a in pairs])) < 1e-5
