@@ -11,7 +11,8 @@ A shard holds documents in ascending order. Its layout, little-endian throughout
                 frames, a flag byte (0x80: checksums are there) and the magic 0x8F92EAB1
 
 Any zstandard reader can decompress a whole shard. One that knows the seek table reads the
-footer, then the directory, then only the frames of the documents that it was asked for.
+footer, then the directory, then only the frames of the documents that it was asked for: ShardReader
+does so on an open file, by ranges, and fetch() on all shards of a folder.
 
 Shards are written by tasks under a name of their own and then renamed, so a task that is
 run again leaves the same shard. They are read back with Spark's binaryFile source.
@@ -19,6 +20,7 @@ run again leaves the same shard. They are read back with Spark's binaryFile sour
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 import uuid
@@ -72,16 +74,19 @@ class Encoder:
     A byte-level BPE splits before every blank that follows a non-blank, so pieces between
     single blanks can be encoded apart. New pieces that are plain words with punctuation are
     put together from words and marks, each of which the tokenizer's model is asked for once.
-    A text with other white space around blanks goes to the tokenizer whole.
+    A text with other white space around blanks, or with the content of one of the tokenizer's
+    added tokens, goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 600_000, most_marks: int = 10_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.most = self.tokenizer.model, most
-        self.kept, self.words, self.marks = _Kept(), {}, {"": b""}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.model, self.most, self.most_marks = self.tokenizer.model, most, most_marks
+        self.always = {"": b"", "\n": self._ids("\n")}
+        self.kept, self.words, self.marks = _Kept(), {}, dict(self.always)
         self.simple = all(self._word(w) == self._ids(w) for w in (" the", "Ère", " Größe", " çà", "ÿ"))  # else every piece is encoded whole
 
     def _ids(self, text: str) -> bytes:
@@ -105,8 +110,8 @@ class Encoder:
                     self.words.clear()
                 w = self.words[word] = self._word(word)
             if (k := self.marks.get(marks)) is None:
-                if len(self.marks) >= 10_000:
-                    self.marks = {"": b""}
+                if len(self.marks) >= self.most_marks:
+                    self.marks = dict(self.always)
                 k = self.marks[marks] = self._ids(marks)
             out = out + w + k if word[:1] == " " else out + self.marks["\n"] + w + k if word else out
         return out
@@ -114,14 +119,13 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list = [b""] * len(texts)
-        self.marks.setdefault("\n", self._ids("\n"))
         kept, fresh = self.kept, []
         kept.new = []
         total = 0
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if _odd(t):
+            if _odd(t) or self.added(t):
                 out[i] = self._ids(t)
                 continue
             first, *pieces = t.split(" ")
@@ -184,22 +188,33 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Reads documents from a shard; only the frames of those asked for are decompressed."""
+    """Reads documents from a shard, given as bytes or as an open file that can seek.
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        n, flags, magic = struct.unpack("<IBI", self.data[-9:])
-        if magic != SEEKABLE or flags != CHECKSUMS:
+    Of a file only the footer, the seek table, the directory and the frames of the documents asked for are read.
+    """
+
+    def __init__(self, data, size: int | None = None):
+        self.file = io.BytesIO(data) if isinstance(data, bytes | bytearray | memoryview) else data
+        size = self.file.seek(0, io.SEEK_END) if size is None else size
+        n, flags, magic = struct.unpack("<IBI", self._at(size - 9, 9)) if size >= 9 else (0, 0, 0)
+        if magic != SEEKABLE or flags != CHECKSUMS or size < 17 + 12 * n:
             raise ValueError("no seek table")
-        self.seeks = np.frombuffer(self.data[len(data) - 9 - 12 * n : -9], "<u4").reshape(n, 3).astype(np.int64)
+        self.seeks = np.frombuffer(self._at(size - 9 - 12 * n, 12 * n), "<u4").reshape(n, 3).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.seeks[:, 0])])
-        self.docs = np.frombuffer(self.data[self.starts[-2] + 8 : self.starts[-1]], DIRECTORY)
+        self.docs = np.frombuffer(self._at(int(self.starts[-2]) + 8, int(self.seeks[-1, 0]) - 8), DIRECTORY)
         self.unpacker, self.last = zstandard.ZstdDecompressor(), (-1, b"")
 
+    def _at(self, start: int, n: int) -> bytes:
+        self.file.seek(start)
+        data = self.file.read(n)
+        if len(data) != n:
+            raise ValueError("the shard is cut short")
+        return data
+
     def frame(self, k: int) -> bytes:
         """The content of a frame, checked."""
         if self.last[0] != k:
-            content = self.unpacker.decompress(self.data[self.starts[k] : self.starts[k + 1]])
+            content = self.unpacker.decompress(self._at(int(self.starts[k]), int(self.seeks[k, 0])))
             if len(content) != self.seeks[k, 1] or xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != self.seeks[k, 2]:
                 raise ValueError(f"frame {k} is damaged")
             self.last = k, content
@@ -210,17 +225,27 @@ class ShardReader:
         d = self.docs[row]
         return self.frame(int(d["frame"]))[4 * int(d["at"]) : 4 * (int(d["at"]) + int(d["n"]))]
 
+    def rows_of(self, docs: np.ndarray) -> np.ndarray:
+        """The rows of the documents with these ids, in the shard's order; one id may have several."""
+        return np.flatnonzero(np.isin(self.docs["doc"], docs))
+
 
 def _store(folder: str, name: str, data: bytes) -> None:
-    """Write a file whole or not at all, by any file system that Arrow knows."""
+    """Write a file whole or not at all, by any file system that Arrow knows; a file of that name is replaced."""
     from pyarrow import fs
 
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root)
-    own = f"{root}/.{name}.{uuid.uuid4().hex}"
+    own, target = f"{root}/.{name}.{uuid.uuid4().hex}", f"{root}/{name}"
     with files.open_output_stream(own, compression=None) as f:
         f.write(data)
-    files.move(own, f"{root}/{name}")
+    try:
+        files.move(own, target)
+    except OSError:  # some file systems don't rename onto what an earlier run of the task left
+        if files.get_file_info(target).type != fs.FileType.File:
+            raise
+        files.delete_file(target)
+        files.move(own, target)
 
 
 def _writer(folder: str, path: str, shard_bytes: int, end: int):
@@ -256,7 +281,7 @@ def _writer(folder: str, path: str, shard_bytes: int, end: int):
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            r = ShardReader(content.as_buffer())
+            r = ShardReader(memoryview(content.as_buffer()))
             n = r.docs["n"].astype(np.int64)
             crc = np.fromiter((zlib.crc32(r.ids(i)) for i in range(len(n))), np.int64, len(n))
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(r.docs["doc"].astype(np.int64)), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc)], ["name", "doc_id", "at", "n_tokens", "ids_crc32"])
@@ -286,16 +311,39 @@ def read_shards(spark: SparkSession, folder: str, shards: DataFrame) -> DataFram
     return read.join(starts, "name").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def fetch(docs: DataFrame, folder: str, shards: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, ids) of the documents in the shards whose id is in docs, as little-endian unsigned 32-bit integers.
+
+    docs is a bounded list of ids: it goes to every task, in one array. Of each shard a task reads the footer, the
+    directory, and the frames that hold one of the ids, by ranges.
+    """
+    ship(docs.sparkSession)
+    wanted = np.array([r[0] for r in docs.select(F.col(f"`{key}`").cast("long")).where(F.col(f"`{key}`").isNotNull()).distinct().toLocalIterator()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with files.open_input_file(f"{root}/{name}") as f:
+                    r = ShardReader(f, f.size())
+                    rows = r.rows_of(wanted)
+                    yield pa.RecordBatch.from_arrays([pa.array(r.docs["doc"][rows].astype(np.int64)), pa.array([r.ids(i) for i in rows.tolist()], pa.binary())], ["doc_id", "ids"])
+
+    return shards.select("name").mapInArrow(run, "doc_id long, ids binary")
+
+
 def token_shards(df: DataFrame, tokenizer: str, *, order: list | None = None, folder: str | None = None, **options) -> DataFrame:
     """Encode and write df, read the files back, and return what they hold for each document.
 
     Null and empty texts hold the end id only. Rows that repeat an id are all written, tied
-    in the order by their text. A null id is written as -1, before all others. An empty table
+    in the order by their text's hash. A null id is written as -1, before all others. An empty table
     gives no shard and no rows. Other columns are not read.
     """
     spark, key, text = df.sparkSession, options.get("key", "doc_id"), options.get("text", "text")
     folder = folder or shared_dir(spark, "tokens")
-    order = [F.col(f"`{key}`"), F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))] if order is None else order
+    order = [F.col(f"`{key}`"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))] if order is None else order
     shards = write_shards(df, folder, tokenizer, order=order, **options)
     if shards.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")

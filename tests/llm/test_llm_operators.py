@@ -200,8 +200,7 @@ def test_tokens_round_trip(spark, odd, tmp_path):
 
     path = tokens.default_tokenizer()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    hard = [(i, x) for i, x in enumerate(["a  b", " a", "a ", "a\n", "x\n y", "it's  we're", "tab\t b", "a\xa0b c", "<|endoftext|> x", "日本 語", "Été çà.\nÔ w1 2x", "a" * 5000, LONG, "", None, "é\x1c f"])]
+    hard = [(i, x) for i, x in enumerate(["a  b", " a", "a ", "a\n", "x\n y", "it's  we're", "tab\t b", "a\xa0b c", "<|endoftext|> x", "a b<|endoftext|>c d", "日本 語", "Été çà.\nÔ w1 2x", "a" * 5000, LONG, "", None, "é\x1c f"])]
     df = spark.createDataFrame(hard, "doc_id long, text string")
     got = tokens.token_shards(df, path, folder=f"file://{tmp_path}/shards", shard_bytes=2000).orderBy("doc_id").collect()
     at = 0
@@ -209,10 +208,54 @@ def test_tokens_round_trip(spark, odd, tmp_path):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), i
         at += len(ids)
+    shards = spark.createDataFrame([(p.name,) for p in (tmp_path / "shards").glob("shard-*.zst")], "name string")
+    some = tokens.fetch(spark.createDataFrame([(3,), (9,), (77,), (None,)], "doc_id long"), f"file://{tmp_path}/shards", shards)
+    assert {r.doc_id: list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) for r in some.collect()} == {i: [*t.encode(hard[i][1], add_special_tokens=False).ids, 2] for i in (3, 9)}
     assert tokens.token_shards(odd, path).count() == len(ODD)
     assert tokens.token_shards(none(odd), path).isEmpty()
 
 
+def test_encoder_forgets_marks_but_not_line_ends():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    coder, plain = tokens.Encoder(path, most_marks=3), Tokenizer.from_file(path)
+    texts = ["a " + " ".join(f"b{'!' * n}{'?' * (n % 3)}" for n in range(1, 30)), "x y\nz w\nv", "a b!!!\nc?? d"]
+    assert coder.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_stored_again(tmp_path):
+    for data in (b"one", b"two"):
+        tokens._store(f"file://{tmp_path}/x", "shard-1.zst", data)
+    assert (tmp_path / "x/shard-1.zst").read_bytes() == b"two" and len(list((tmp_path / "x").iterdir())) == 1
+
+
+def test_reader_takes_only_the_frames_asked_for(tmp_path):
+    w = tokens.ShardWriter(frame_bytes=4000)
+    for i in range(500):
+        w.add(1000 - i, np.random.default_rng(i).integers(0, 50_000, 200).astype("<u4").tobytes())
+    path = tmp_path / "s"
+    path.write_bytes(w.bytes())
+
+    class Counted:
+        taken = 0
+
+        def __init__(self):
+            self.f = path.open("rb")
+
+        def seek(self, *a):
+            return self.f.seek(*a)
+
+        def read(self, n):
+            self.taken += n
+            return self.f.read(n)
+
+    f = Counted()
+    r = tokens.ShardReader(f)
+    assert [r.ids(i) for i in r.rows_of(np.array([990, 700, 5000])).tolist()] == [np.random.default_rng(i).integers(0, 50_000, 200).astype("<u4").tobytes() for i in (10, 300)]
+    assert f.taken < path.stat().st_size / 5
+
+
 def test_shard_format():
     import zstandard
 
