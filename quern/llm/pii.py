@@ -4,7 +4,7 @@ The base finds emails, IP addresses, card and phone numbers by pattern and check
 labels tokens (runs of non-blanks) that hold a digit or an at sign: their shapes and the words
 before them give node potentials, tokens side by side share a chain potential, and tokens of a
 document that repeat or have the same shape share a skip potential, however far apart. Loopy
-sum-product passing makes their labels agree. Each token is tied to the next one like it, so
+sum-product passing, until the messages settle, makes their labels agree. Each token is tied to the next one like it, so
 links grow with the tokens, not with their pairs. Tokens that it labels with confidence
 and that no base span covers are added as spans.
 
@@ -30,7 +30,11 @@ from quern.llm.common import ship, table
 #: The kinds in their order, other than O; the first four are the base's.
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
-CERTAIN, PASSES, DAMPING = 0.9, 8, 0.5
+CERTAIN, DAMPING = 0.9, 0.5
+#: Passing stops once no message moves by more than this, or after so many passes, which damped messages on long loops may need.
+SETTLED, MOST_PASSES = 1e-3, 200
+#: Tokens whose features are in memory at once.
+SLICE = 20_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -69,8 +73,14 @@ def _emails(text: str) -> list[Span]:
     return out
 
 
+def _byte(digits: str) -> bool:
+    """Whether digits, however many zeros lead them, are 255 at most."""
+    short = digits.lstrip("0")
+    return len(short) < 3 or (len(short) == 3 and short <= "255")
+
+
 def _ips(text: str) -> list[Span]:
-    return [(m.start() + x.start(), m.start() + x.end()) for m in _DOTTED.finditer(text) if m[0].count(".") > 2 for x in _IP.finditer(m[0]) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in x[0].split("."))]
+    return [(m.start() + x.start(), m.start() + x.end()) for m in _DOTTED.finditer(text) if m[0].count(".") > 2 for x in _IP.finditer(m[0]) if all(_byte(p) for p in x[0].split("."))]
 
 
 def _cards(text: str) -> list[Span]:
@@ -138,18 +148,20 @@ def _hash(s: str, n: int) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % n
 
 
-def features(t: Tokens) -> np.ndarray:
-    """One row for each token."""
-    x = np.zeros((len(t.text), WIDTH), np.float32)
-    for i, (s, before) in enumerate(zip(t.text, t.before, strict=True)):
+def features(t: Tokens, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """One row for each token from start to stop."""
+    rows = range(start, min(len(t.text), len(t.text) if stop is None else stop))
+    x = np.zeros((len(rows), WIDTH), np.float32)
+    for i, k in enumerate(rows):
+        s, before = t.text[k], t.before[k]
         d = sum(c.isdigit() for c in s)
         plain = re.sub("[ -]", "", s)
         parts = s.split(".")
         letters = sum(c.isalpha() for c in s)
         tests = (
             True, "@" in s, "@" in s and "." in s.rpartition("@")[2], s[0] == "+", s[0] == "(", s.count("-") == 1, "(" in s, d == len(s), d == 0, d < 3, 3 <= d < 9, 9 <= d < 13, 13 <= d < 20, d >= 20,
-            13 <= len(plain) < 20 and plain.isascii() and plain.isdigit() and luhn(plain), len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts), "." in s, letters > 0, letters > 8,
-            bool(re.fullmatch("[0-9A-Fa-f]{32,}", s)), before.endswith(("=", ":")), before.startswith("+"), len(s) > 24, t.next[i],
+            13 <= len(plain) < 20 and plain.isascii() and plain.isdigit() and luhn(plain), len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and _byte(p) for p in parts), "." in s, letters > 0, letters > 8,
+            bool(re.fullmatch("[0-9A-Fa-f]{32,}", s)), before.endswith(("=", ":")), before.startswith("+"), len(s) > 24, t.next[k],
         )
         x[i, _hash(shape(s), _SHAPES)] = 1
         x[i, _SHAPES + _hash(before, _WORDS)] = 0.5
@@ -177,30 +189,55 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
+    def potentials(self, t: Tokens) -> np.ndarray:
+        """Each token's own potentials; features are worked out some tokens at a time."""
+        return np.concatenate([np.zeros((0, len(KINDS) + 1)), *(features(t, at, at + SLICE) @ self.unary for at in range(0, len(t.text), SLICE))])
+
     def marginals(self, t: Tokens) -> np.ndarray:
-        """Each token's label probabilities after damped sum-product passing over both kinds of edges."""
-        node = features(t) @ self.unary
+        """Each token's label probabilities after damped sum-product passing over both kinds of edges, until the messages settle."""
         chain, skip = edges(t)
-        pairs = np.array(chain + skip, np.int64).reshape(-1, 2)
-        if len(pairs):
-            pot = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
-            a, b = pairs.T
-            src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-            pot = np.concatenate([pot, pot.transpose(0, 2, 1)])  # [from label, to label]
-            back = (np.arange(len(src)) + len(a)) % len(src)
-            msg = np.zeros((len(src), len(KINDS) + 1))
-            for _ in range(PASSES):
-                total = node.astype(float)
-                np.add.at(total, dst, msg)
-                out = (total[src] - msg[back])[:, :, None] + pot
+        return passed(self.potentials(t), chain, skip, self.chain, self.skip)
+
+
+def passed(node: np.ndarray, chain: list[Span], skip: list[Span], chain_pot: np.ndarray, skip_pot: np.ndarray, most: int = MOST_PASSES) -> np.ndarray:
+    """Marginals by loopy sum-product: node potentials (tokens by labels), edges, and one potential matrix for each kind of edge.
+
+    Exact where the edges have no loop. Messages that have settled are not worked out again, so
+    that the cost of long texts follows the stretches where labels still move.
+    """
+    pairs = np.array(chain + skip, np.int64).reshape(-1, 2)
+    node = node.astype(float)
+    if len(pairs):
+        a, b = pairs.T
+        src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+        tables = np.stack([chain_pot, skip_pot, chain_pot.T, skip_pot.T])  # [from label, to label]
+        kind = np.repeat([0, 1], [len(chain), len(skip)])
+        kind = np.concatenate([kind, kind + 2])
+        back = (np.arange(len(src)) + len(a)) % len(src)
+        msg = np.zeros((len(src), node.shape[1]))
+        live = np.arange(len(src))
+        total = node.copy()
+        for _ in range(most):
+            moved, change = np.zeros(len(node), bool), np.zeros((len(live), node.shape[1]))
+            for at in range(0, len(live), SLICE):
+                e = live[at : at + SLICE]
+                out = (total[src[e]] - msg[back[e]])[:, :, None] + tables[kind[e]]
                 top = out.max(1)
                 new = top + np.log(np.exp(out - top[:, None]).sum(1))
                 new -= new.max(1, keepdims=True)
-                msg = DAMPING * msg + (1 - DAMPING) * new
-            node = node.astype(float)
-            np.add.at(node, dst, msg)
-        p = np.exp(node - node.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+                change[at : at + SLICE] = (1 - DAMPING) * (new - msg[e])
+            msg[live] += change
+            np.add.at(total, dst[live], change)
+            far = np.abs(change).max(1) > SETTLED * (1 - DAMPING)
+            if not far.any():
+                break
+            moved[dst[live[far]]] = True
+            again = moved[src]
+            again[live[far]] = True
+            live = np.flatnonzero(again)
+        node = total
+    p = np.exp(node - node.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
 def seeds(text: str, base: dict[str, list[Span]]) -> list[tuple[int, int, int]]:
@@ -209,55 +246,61 @@ def seeds(text: str, base: dict[str, list[Span]]) -> list[tuple[int, int, int]]:
 
 
 def labels_of(t: Tokens, true: list[tuple[int, int, int]]) -> np.ndarray:
-    """The label of each token: of a seed that covers most of it; else 0."""
-    y = np.zeros(len(t.spans), np.int64)
-    for i, (a, b) in enumerate(t.spans):
-        for c, d, k in true:
-            if 2 * (min(b, d) - max(a, c)) > b - a:
-                y[i] = k
+    """The label of each token: of the last seed, as they are given, that covers most of it; else 0."""
+    y, place = np.zeros(len(t.spans), np.int64), np.full(len(t.spans), -1)
+    ends = np.array([b for _, b in t.spans])
+    for n, (c, d, k) in enumerate(true):
+        i = int(np.searchsorted(ends, c, "right"))
+        while i < len(t.spans) and t.spans[i][0] < d:
+            a, b = t.spans[i]
+            if 2 * (min(b, d) - max(a, c)) > b - a and n > place[i]:
+                y[i], place[i] = k, n
+            i += 1
     return y
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document with candidates: its features, labels, and edges, packed."""
     for b in batches:
-        rows = []
-        for text in b.column(0).to_pylist():
+        for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             t = candidates(text)
-            if not t.spans:
-                continue
-            if len(t.spans) > 400:  # of a sampled document, so many tokens are enough to learn from
-                t = Tokens(t.spans[:400], t.before[:400], t.text[:400], [*t.next[:399], False])
-            chain, skip = edges(t)
-            rows.append((features(t).astype(np.float16).tobytes(), labels_of(t, seeds(text, base_spans(text))).astype(np.int8).tobytes(), np.array(chain, np.int32).tobytes(), np.array(skip, np.int32).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(4)], ["x", "y", "chain", "skip"])
+            if t.spans:
+                chain, skip = edges(t)
+                y = labels_of(t, seeds(text, base_spans(text)))
+                sums = _sums(t, y, chain, skip)
+                yield pa.RecordBatch.from_arrays([pa.array([h]), *(pa.array([v.tobytes()], pa.binary()) for v in sums)], ["h", "x", "n"])
 
 
-def fit(rows: list[tuple[bytes, bytes, bytes, bytes]], rounds: int = 200) -> Field:
-    """Weights by pseudo-likelihood: each token's label given its features and its neighbours' labels; ridge, accelerated descent."""
+def _sums(t: Tokens, y: np.ndarray, chain: list[Span], skip: list[Span]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, times): the distinct rows of a document's tokens, with what pseudo-likelihood needs (features, neighbours' labels by kind of edge, own label), and how often each is there.
+
+    Rows that repeat weigh by their number, so a long text costs its distinct rows; none is left out.
+    """
     n_labels = len(KINDS) + 1
-    xs, ys, chains, skips, base = [np.zeros((0, WIDTH), np.float32)], [np.zeros(0, np.int64)], [], [], 0
-    for x, y, chain, skip in rows:
-        xs.append(np.frombuffer(x, np.float16).reshape(-1, WIDTH).astype(np.float32))
-        ys.append(np.frombuffer(y, np.int8).astype(np.int64))
-        chains.append(np.frombuffer(chain, np.int32).reshape(-1, 2) + base)
-        skips.append(np.frombuffer(skip, np.int32).reshape(-1, 2) + base)
-        base += len(ys[-1])
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    if not len(y):
+    seen = np.zeros((len(y), 2 * n_labels), np.float16)
+    for k, pairs in enumerate((chain, skip)):
+        for a, b in pairs:
+            seen[a, k * n_labels + y[b]] += 1
+            seen[b, k * n_labels + y[a]] += 1
+    parts = []
+    for at in range(0, len(y), SLICE):
+        x = np.hstack([features(t, at, at + SLICE).astype(np.float16), seen[at : at + SLICE], y[at : at + SLICE, None].astype(np.float16)])
+        parts.append(np.unique(x, axis=0, return_counts=True))
+    rows, times = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    if len(parts) > 1:
+        rows, spot = np.unique(rows, axis=0, return_inverse=True)
+        times = np.bincount(spot.ravel(), times)
+    return rows, times.astype(np.float64)
+
+
+def fit(rows: np.ndarray, times: np.ndarray, rounds: int = 200) -> Field:
+    """Weights by pseudo-likelihood: each token's label given its features and its neighbours' labels; ridge, accelerated descent. rows and times are _sums()' of all documents."""
+    n_labels = len(KINDS) + 1
+    if not len(rows):
         return Field(np.zeros((WIDTH, n_labels)), np.zeros((n_labels, n_labels)), np.zeros((n_labels, n_labels)))
-
-    def seen(pairs: list[np.ndarray]) -> np.ndarray:
-        """How many neighbours of each label a token has."""
-        out = np.zeros((len(y), n_labels), np.float32)
-        for p in pairs:
-            np.add.at(out, (p[:, 0], y[p[:, 1]]), 1)
-            np.add.at(out, (p[:, 1], y[p[:, 0]]), 1)
-        return out
-
-    full = np.hstack([x, seen(chains), seen(skips)])
+    full, y = rows[:, :-1].astype(np.float32), rows[:, -1].astype(np.int64)
     target = np.eye(n_labels, dtype=np.float32)[y]
-    weight = (1 / np.sqrt(np.maximum(target.sum(0), 1)))[y]
+    weight = (times * (1 / np.sqrt(np.maximum(np.bincount(y, times, n_labels), 1)))[y]).astype(np.float32)
     weight /= weight.sum()
     w = ahead = np.zeros((full.shape[1], n_labels), np.float32)
     step = 2 / max(float((full**2).sum(1).max()), 1)
@@ -273,13 +316,30 @@ def fit(rows: list[tuple[bytes, bytes, bytes, bytes]], rounds: int = 200) -> Fie
 
 
 def train(df: DataFrame, *, text: str = "text", key: str = "doc_id", rows: int = 3000) -> Field:
-    """A field fitted on at most rows documents with candidates, those of smallest id hashes among about 30 times as many; labels come from the patterns alone."""
+    """A field fitted on the whole texts of at most rows documents with candidates: those of smallest hashes of id and text.
+
+    Labels come from the patterns alone. The driver adds up one document's distinct rows at a time.
+    """
     ship(df.sparkSession)
-    docs = df.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`")).alias("h")).where("text is not null")
-    n = max(docs.count(), 1)
-    part = docs.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * min(1.0, 30 * rows / n)) + 1).select("text").where(F.col("text").rlike("[0-9@]"))
-    got = part.mapInArrow(_gathered, "x binary, y binary, chain binary, skip binary").limit(rows).toArrow()
-    return fit(list(zip(*(got[c].to_pylist() for c in ("x", "y", "chain", "skip")), strict=True)))
+    docs = df.select(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    n = docs.count()
+    # hashes spread evenly, so twice the share holds enough rows for certain but for tables with few documents of their own
+    reach = min(1.0, 2 * rows / max(n, 1) + 100 / max(n, 1))
+    edge = (1 << 63) - 1 if reach == 1 else int(-(1 << 63) + reach * (1 << 64))
+    some = docs.where(F.col("h") <= edge).mapInArrow(_gathered, "h long, x binary, n binary").orderBy("h", F.md5("x")).limit(rows)
+    width, held, times = WIDTH + 2 * (len(KINDS) + 1) + 1, [np.zeros((0, WIDTH + 2 * (len(KINDS) + 1) + 1), np.float16)], [np.zeros(0)]
+    for r in some.toLocalIterator():
+        held.append(np.frombuffer(r["x"], np.float16).reshape(-1, width))
+        times.append(np.frombuffer(r["n"], np.float64))
+        if len(held) > 256:
+            held, times = _merged(held, times)
+    held, times = _merged(held, times)
+    return fit(held[0], times[0])
+
+
+def _merged(held: list[np.ndarray], times: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    rows, spot = np.unique(np.concatenate(held), axis=0, return_inverse=True)
+    return [rows], [np.bincount(spot.ravel(), np.concatenate(times), len(rows))]
 
 
 def added_spans(text: str, field: Field, base: dict[str, list[Span]]) -> list[tuple[str, int, int]]:
