@@ -90,14 +90,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, part) of a string column in parts of about so many bytes, a row at least: bounds what array code holds at once."""
+def slices(column: pa.Array, most: int = 2_000_000, rows: int = 1 << 31) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, part) of a string column in parts of about so many bytes and at most so many rows, a row at least: bounds what array code holds at once."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     ends = utf8(column)[1]
     at = 0
     while at < len(column):
-        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1))
         yield at, column.slice(at, stop - at)
         at = stop
 

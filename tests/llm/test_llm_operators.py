@@ -499,6 +499,22 @@ def test_language(spark, odd):
     assert langid.identified(odd, None).where("lang_pred <> 'und'").isEmpty()
 
 
+def test_letters():
+    texts = ["— … €", "😀 ½²Ⅷ", "12 _ .", None, "", "-é-", "日", "a", "1²x"]
+    assert langid.lettered(pa.array(texts)).tolist() == [False] * 5 + [True] * 4
+
+
+def test_every_language_is_learned(spark):
+    marks = [chr(0x4E00 + 40 * i) + chr(0x4E10 + 40 * i) + chr(0x4E20 + 40 * i) for i in range(220)]
+    df = spark.createDataFrame([(1000 * i + k, " ".join([m] * 12) + f" {k}", f"x{i}") for i, m in enumerate(marks) for k in range(3)], "doc_id long, text string, lang string")
+    m = langid.train(df, rows=600)
+    assert len(m.families) == 220
+    got = langid.identified(df, m).join(df, "doc_id").where("lang = lang_pred").count()
+    assert got > 0.95 * df.count()
+    with pytest.raises(ValueError):
+        langid.train(df.withColumn("lang", F.col("doc_id").cast("string")))
+
+
 def test_families():
     rng = np.random.default_rng(0)
     x = rng.random((90, 6)).astype(np.float32) * 0.1
