@@ -6,9 +6,17 @@ extend to the left in more than one way. What passes is a maximal repeat, with a
 
 Over a corpus no suffix array spans all texts. Whatever is 50 bytes long contains the
 same minimal 16-byte gram wherever it stands, so each run of windows with one minimal gram is
-routed by that gram's hash. Runs whose gram only one text has are dropped after a pass over
-hashes alone; of the others the bytes are brought together by gram, a suffix array is built over the
-distinct ones, and its maximal repeats say which occurrences an earlier document covers.
+routed by that gram's hash:
+
+1. Copies of whole texts are found by 128-bit digests; only the least id's text goes on.
+2. Each block says which grams it has and in how many of its texts, a few bytes for a gram and
+   block; grams that only one text has are dropped, and very common ones are marked.
+3. Blocks cut the bytes of the runs that are left. A piece that several of a block's texts have is
+   settled there, and goes on once, for the block's least id. Of a very common gram the windows go on
+   one by one, each by its own hash, so that the texts around a passage that very many documents share
+   don't meet in one task.
+4. Pieces of one gram meet; a suffix array is built over the distinct ones, and its maximal repeats say
+   which occurrences an earlier document covers.
 
 Texts travel in compressed blocks of about 2 MB, so rows are few; every group that a task holds is
 a block, or a partition's share of hashes. Blocks are written to the shared folder once, so every
@@ -30,28 +38,32 @@ from quern.llm.common import ship, slices, table, through_table, utf8
 
 #: Bytes of a repeat, of a gram, of a block, and windows of a run at most.
 LENGTH, GRAM, BLOCK, RUN = 50, 16, 2_000_000, 64
+#: Texts with a gram from which on its windows go one by one, and digests whose copies are told to all tasks at most.
+COMMON, MOST_SENT = 50_000, 50_000
 
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
 _C = np.uint64(0x9E3779B97F4A7C15)
-_RUN = np.dtype([("hash", "<u4"), ("at", "<u4"), ("n", "u1"), ("tag", "<u4")])
-_PIECE = np.dtype([("hash", "<u4"), ("at", "<u4"), ("n", "u1"), ("doc", "<i8")])
+_GRAM = np.dtype([("hash", "<u4"), ("docs", "<u2")])
+_WANTED = np.dtype([("hash", "<u4"), ("common", "?")])
+_PIECE = np.dtype([("hash", "<u4"), ("at", "<u4"), ("n", "u1"), ("doc", "<i8"), ("piece", "<u4")])
 _RANGE = np.dtype([("start", "<u4"), ("end", "<u4")])
 
 
-def _packed(rec: np.ndarray, level: int = 3) -> bytes:
-    """Records with a rising place (at), by column and byte plane, compressed."""
-    columns = [np.diff(rec[f], prepend=rec[f].dtype.type(0)) if f == "at" else np.ascontiguousarray(rec[f]) for f in rec.dtype.names]
-    return zstandard.ZstdCompressor(level=level).compress(b"".join(c.view(np.uint8).reshape(len(rec), -1).T.tobytes() for c in columns))
+def _packed(rec: np.ndarray, rising: str, level: int = 3) -> bytes:
+    """Records by column and byte plane, compressed; the rising column as differences."""
+    columns = [np.diff(rec[f], prepend=rec[f].dtype.type(0)) if f == rising else np.ascontiguousarray(rec[f]) for f in rec.dtype.names]
+    raw = b"".join(c.view(np.uint8).reshape(len(rec), -1).T.tobytes() for c in columns)
+    return b"\1" + zstandard.ZstdCompressor(level=level).compress(raw) if len(raw) > 64 else b"\0" + raw
 
 
-def _unpacked(data: bytes, dtype: np.dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+def _unpacked(data: bytes, dtype: np.dtype, rising: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]) if data[0] else data[1:], np.uint8)
     n = len(raw) // dtype.itemsize
     out, at = np.empty(n, dtype), 0
     for f in dtype.names:
         size = dtype[f].itemsize
         column = np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(dtype[f]).reshape(n)
-        out[f] = np.cumsum(column, dtype=dtype[f]) if f == "at" else column
+        out[f] = np.cumsum(column, dtype=dtype[f]) if f == rising else column
         at += n * size
     return out
 
@@ -152,16 +164,22 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[n
 # --- blocks -----------------------------------------------------------------
 
 
+_BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("offsets", pa.binary()), ("data", pa.binary())])
+
+
+def _block(number: int, docs: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    data, offsets = utf8(texts)
+    values = (number, docs.to_numpy(zero_copy_only=False).astype("<i8").tobytes(), offsets.astype("<i8").tobytes(), zstandard.ZstdCompressor(level=3).compress(data.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _BLOCK, strict=True)], schema=_BLOCK)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, k = TaskContext.get().partitionId(), 0
-    packer = zstandard.ZstdCompressor(level=3)
     for b in batches:
         for at, texts in slices(b.column(1), BLOCK):
-            data, offsets = utf8(texts)
-            docs = b.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([docs.tobytes()]), pa.array([offsets.astype("<i8").tobytes()]), pa.array([packer.compress(data.tobytes())])], ["block", "docs", "offsets", "data"])
+            yield _block(part << 32 | k, b.column(0).slice(at, len(texts)), texts)
             k += 1
 
 
@@ -169,8 +187,20 @@ def _opened(docs: bytes, offsets: bytes, data: bytes) -> tuple[np.ndarray, np.nd
     return np.frombuffer(docs, "<i8"), np.frombuffer(offsets, "<i8"), np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, at, n) of the runs of LENGTH-byte windows with one minimal gram: the first window's place and how many; none crosses a text's end."""
+def runs(data: np.ndarray, offsets: np.ndarray, most: int = 2 * BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, at, n) of the runs of LENGTH-byte windows with one minimal gram: the first window's place and how many; none crosses a text's end.
+
+    Long data go in stretches of so many windows; a run that crosses from one to the next is two.
+    """
+    found = []
+    for at in range(0, max(len(data) - LENGTH + 1, 1), most):
+        own = np.clip(offsets - at, 0, max(min(most + LENGTH - 1, len(data) - at), 0))
+        h, first, n = _runs(data[at : at + most + LENGTH - 1], own)
+        found.append((h, first + at, n))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(data) < LENGTH:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = _BYTES[data]
@@ -203,30 +233,40 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h[first], first, size
 
 
-def _routed(parts: int):
+def _keys(h: np.ndarray, parts: int) -> np.ndarray:
+    """A hash's route (high 32 bits) and what is known of it there (low 32 bits)."""
+    return (h >> np.uint64(40)) % np.uint64(parts) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+
+
+def _grams(parts: int):
+    """By route and block: the grams of a block and in how many of its texts each is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, *rest in zip(*(b.column(c).to_pylist() for c in ("block", "docs", "offsets", "data")), strict=True):
                 _, offsets, data = _opened(*rest)
-                h, at, n = runs(data, offsets)
+                h, at, _ = runs(data, offsets)
                 if not len(h):
                     continue
-                raw = data.tobytes()
-                tags = np.array([int.from_bytes(hashlib.blake2b(raw[x:y], digest_size=4).digest(), "little") for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], "<u4")
-                route = (h >> np.uint64(40)).astype(np.int64) % parts
-                order = np.argsort(route, kind="stable")
-                rec = np.empty(len(h), _RUN)
-                rec["hash"], rec["at"], rec["n"] = h & np.uint64(0xFFFFFFFF), at, n
-                rec["tag"] = tags[np.searchsorted(offsets, at, "right") - 1]
-                rec = rec[order]
-                cut = np.searchsorted(route[order], np.arange(parts + 1))
-                some = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array([_packed(rec[cut[r] : cut[r + 1]]) for r in some], pa.binary())], ["route", "block", "payload"])
+                key, doc = _keys(h, parts), np.searchsorted(offsets, at, "right") - 1
+                del h, at
+                order = np.argsort(key, kind="stable")  # places rise, so a key's texts do
+                key, doc = key[order], doc[order]
+                new = np.ones(len(key), bool)
+                new[1:] = key[1:] != key[:-1]
+                first = np.flatnonzero(new)
+                new[1:] |= doc[1:] != doc[:-1]
+                rec = np.empty(len(first), _GRAM)
+                rec["hash"], rec["docs"] = key[first] & np.uint64(0xFFFFFFFF), np.minimum(np.add.reduceat(new, first, dtype=np.int64), 65535)
+                route = (key[first] >> np.uint64(32)).astype(np.int64)
+                edge = np.flatnonzero(np.diff(route, prepend=-1))
+                stop = np.append(edge[1:], len(route))
+                yield pa.RecordBatch.from_arrays([pa.array(route[edge]), pa.array([block] * len(edge), pa.int64()), pa.array([_packed(rec[x:y], "hash") for x, y in zip(edge.tolist(), stop.tolist(), strict=True)], pa.binary())], ["route", "block", "payload"])
 
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], dtype: np.dtype, columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
     """The rows of each route; rows come sorted by it."""
     now, held = None, []
     for b in batches:
@@ -240,48 +280,108 @@ def _grouped(batches: Iterator[pa.RecordBatch], dtype: np.dtype, columns: tuple[
         yield now, held
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each route's runs those whose gram stands in two different texts, by block."""
-    for route, rows in _grouped(batches, _RUN, ("block", "payload")):
-        recs = [_unpacked(p, _RUN) for _, p in rows]
-        rec = np.concatenate(recs)
-        of = np.repeat(np.arange(len(rows)), [len(r) for r in recs])
-        order = np.argsort(rec["hash"], kind="stable")
-        h, tag = rec["hash"][order], rec["tag"][order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        mixed = np.minimum.reduceat(tag, first) != np.maximum.reduceat(tag, first)
-        keep = np.zeros(len(rec), bool)
-        keep[order] = np.repeat(mixed, np.diff(np.append(first, len(h))))
-        kept, of = rec[keep], of[keep]
-        cut = np.searchsorted(of, np.arange(len(rows) + 1))
-        some = np.flatnonzero(np.diff(cut))
-        yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), pa.array([route] * len(some), pa.int64()), pa.array([_packed(kept[cut[i] : cut[i + 1]]) for i in some], pa.binary())], ["block", "route", "payload"])
+def _shared(common: int):
+    """Of each route's grams those that two texts or more have, by block, and whether at least common texts have it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for route, rows in _grouped(batches, ("block", "payload")):
+            recs = [_unpacked(p, _GRAM, "hash") for _, p in rows]
+            rec = np.concatenate(recs)
+            ends = np.cumsum([0, *map(len, recs)])
+            del recs
+            order = np.argsort(rec["hash"], kind="stable")
+            h = rec["hash"][order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            texts = np.empty(len(rec), np.int64)
+            texts[order] = np.repeat(np.add.reduceat(rec["docs"][order], first, dtype=np.int64), np.diff(np.append(first, len(h))))
+            keep = texts > 1
+            out = np.empty(int(keep.sum()), _WANTED)
+            out["hash"], out["common"] = rec["hash"][keep], texts[keep] >= common
+            cut = np.concatenate([[0], np.cumsum(keep)])[ends]
+            some = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), pa.array([route] * len(some), pa.int64()), pa.array([_packed(out[cut[i] : cut[i + 1]], "hash") for i in some], pa.binary())], ["block", "route", "payload"])
 
-_EMPTY = {"pieces": pa.schema([("route", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("bytes", pa.binary())])}
+    return run
 
 
-def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The bytes of a block's shared runs, by route; copies of whole texts send none, for the least id's does."""
-    if not left.num_rows or not right.num_rows:
-        return _EMPTY["pieces"].empty_table()
-    docs, offsets, data = _opened(*(left[c][0].as_py() for c in ("docs", "offsets", "data")))
-    block, packer, rows = left["block"][0].as_py(), zstandard.ZstdCompressor(level=3), []
-    copies = np.frombuffer(left["copies"][0].as_py() or b"", "<i4")
-    for route, payload in zip(right["route"].to_pylist(), right["payload"].to_pylist(), strict=True):
-        rec = _unpacked(payload, _RUN)
-        rec = rec[~np.isin(np.searchsorted(offsets, rec["at"], "right") - 1, copies)]
-        if not len(rec):
-            continue
-        size = rec["n"].astype(np.int64) + LENGTH - 1
-        out = np.empty(len(rec), _PIECE)
-        out["hash"], out["at"], out["n"] = rec["hash"], rec["at"], rec["n"]
-        out["doc"] = docs[np.searchsorted(offsets, rec["at"], "right") - 1]
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        rows.append((route, block, _packed(out), packer.compress(data[np.repeat(rec["at"].astype(np.int64), size) + inside].tobytes())))
-    if not rows:
-        return _EMPTY["pieces"].empty_table()
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], schema=_EMPTY["pieces"])
+_CUT = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("bytes", pa.binary())])
+
+
+def window_hashes(data: np.ndarray, at: np.ndarray, most: int = 200_000) -> np.ndarray:
+    """Hashes of the LENGTH bytes from each place."""
+    out = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), most):
+        part, h = at[i : i + most], np.zeros(len(at[i : i + most]), np.uint64)
+        for k in range(LENGTH):
+            h = h * _C + _BYTES[data[part + k]]
+            h ^= h >> np.uint64(31)
+        out[i : i + most] = h * _C
+    return out
+
+
+def _cut(parts: int, routes: int):
+    """The bytes of a block's shared runs, by route. A piece that several texts of the block have goes on for the least id; for the others it goes whole, said in a row without bytes."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _CUT.empty_table()
+        docs, offsets, data = _opened(*(left[c][0].as_py() for c in ("docs", "offsets", "data")))
+        block, packer, rows = left["block"][0].as_py(), zstandard.ZstdCompressor(level=3), []
+        wanted = [_unpacked(p, _WANTED, "hash") for p in right["payload"].to_pylist()]
+        keys = np.repeat(right["route"].to_numpy().astype(np.uint64), [len(w) for w in wanted]) << np.uint64(32) | np.concatenate([w["hash"] for w in wanted])
+        common = np.concatenate([w["common"] for w in wanted])
+        order = np.argsort(keys)
+        keys, common = keys[order], common[order]
+        h, at, n = runs(data, offsets)
+        own = _keys(h, parts)
+        place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        hit = keys[place] == own
+        h, at, n, many = h[hit], at[hit], n[hit], common[place[hit]]
+        if many.any():
+            each = np.repeat(at[many], n[many]) + np.arange(n[many].sum()) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+            h, at, n = np.concatenate([h[~many], window_hashes(data, each)]), np.concatenate([at[~many], each]), np.concatenate([n[~many], np.ones(len(each), np.int64)])
+            order = np.argsort(at, kind="stable")
+            h, at, n = h[order], at[order], n[order]
+        key, size, doc = _keys(h, routes), n + LENGTH - 1, docs[np.searchsorted(offsets, at, "right") - 1]
+        raw = data.tobytes()
+        known: dict[tuple[int, bytes], int] = {}
+        piece = np.fromiter((known.setdefault((k, raw[a : a + m]), len(known)) for k, a, m in zip(key.tolist(), at.tolist(), size.tolist(), strict=True)), np.int64, len(at))
+        del raw
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, piece, doc)
+        later = doc > least[piece]
+        if later.any():
+            start, end = merged(at[later], at[later] + size[later], np.searchsorted(offsets, at[later], "right"))
+            gone = np.empty(len(start), _RANGE)
+            gone["start"], gone["end"] = start, end
+            rows.append((block % routes, block, gone.tobytes(), None))
+        texts, route = [p for _, p in known], (key >> np.uint64(32)).astype(np.int64)
+        known.clear()
+        left_over = np.flatnonzero(~later)
+        left_over = left_over[np.argsort(route[left_over], kind="stable")]
+        for some in np.split(left_over, np.flatnonzero(np.diff(route[left_over])) + 1) if len(left_over) else ():
+            first, spot = np.unique(piece[some], return_inverse=True)
+            out = np.empty(len(some), _PIECE)
+            out["hash"], out["at"], out["n"], out["doc"], out["piece"] = key[some] & np.uint64(0xFFFFFFFF), at[some], n[some], doc[some], spot
+            rows.append((int(route[some[0]]), block, _packed(out, "at"), packer.compress(b"".join(texts[i] for i in first.tolist()))))
+        if not rows:
+            return _CUT.empty_table()
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _CUT, strict=True)], schema=_CUT)
+
+    return run
+
+
+def merged(start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping or touching ranges of one owner as one; owners rise with the places."""
+    if not len(start):
+        return start, end
+    order = np.lexsort((start, owner))
+    start, end, owner = start[order], end[order], owner[order]
+    reach = np.maximum.accumulate(end)  # ranges of an earlier owner end before
+    new = np.ones(len(start), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    return start[first], reach[np.append(first[1:], len(start)) - 1]
 
 
 def lowest_by_window(order: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np.ndarray, doc: np.ndarray, most: int = 1_000_000) -> np.ndarray:
@@ -403,18 +503,27 @@ def covered(hashes: list[int], pieces: list[bytes], docs: np.ndarray, most: int
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ranges that go, by block."""
+    """The ranges that go, by block; those that their block has settled are passed on."""
     opener = zstandard.ZstdDecompressor()
-    for _, rows in _grouped(batches, _PIECE, ("block", "payload", "bytes")):
-        recs = [_unpacked(p, _PIECE) for _, p, _ in rows]
+    for _, rows in _grouped(batches, ("block", "payload", "bytes")):
+        settled = [r[:2] for r in rows if r[2] is None]
+        if settled:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in settled], pa.int64()), pa.array([x for _, x in settled], pa.binary())], ["block", "payload"])
+        rows = [r for r in rows if r[2] is not None]
+        if not rows:
+            continue
+        recs, pieces = [], []
+        for _, payload, content in rows:
+            rec, raw = _unpacked(payload, _PIECE, "at"), opener.decompress(content)
+            size = np.empty(int(rec["piece"].max()) + 1, np.int64)
+            size[rec["piece"]] = rec["n"].astype(np.int64) + LENGTH - 1
+            ends = np.cumsum(size)
+            own = [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+            pieces += [own[i] for i in rec["piece"].tolist()]
+            recs.append(rec)
         count = [len(r) for r in recs]
         rec = np.concatenate(recs)
         del recs
-        raw = b"".join(opener.decompress(x) for _, _, x in rows)
-        size = rec["n"].astype(np.int64) + LENGTH - 1
-        ends = np.cumsum(size)
-        pieces = [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-        del raw
         who, lo, hi = covered(rec["hash"].tolist(), pieces, rec["doc"].astype(np.int64))
         of = np.repeat(np.arange(len(rows)), count)[who]
         out = np.empty(len(who), _RANGE)
@@ -427,6 +536,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 def _finished(with_bytes: bool):
@@ -434,59 +544,98 @@ def _finished(with_bytes: bool):
         if not left.num_rows:
             return _RESULT.empty_table()
         docs, offsets, data = _opened(*(left[c][0].as_py() for c in ("docs", "offsets", "data")))
-        steps = np.zeros(len(data) + 1, np.int64)
-        for payload in right["payload"].to_pylist() if right.num_rows else ():
-            r = np.frombuffer(payload, _RANGE)
-            np.add.at(steps, r["start"].astype(np.int64), 1)
-            np.add.at(steps, r["end"].astype(np.int64), -1)
-        gone = np.cumsum(steps)[:-1] > 0
+        ranges = np.concatenate([np.zeros(0, _RANGE), *(np.frombuffer(p, _RANGE) for p in right["payload"].to_pylist())])
+        start, end = ranges["start"].astype(np.int64), ranges["end"].astype(np.int64)
+        start, end = merged(start, end, np.searchsorted(offsets, start, "right"))
+        cut = np.searchsorted(start, offsets)
         rows = []
-        copies = set(np.frombuffer(left["copies"][0].as_py() or b"", "<i4").tolist())
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            g = gone[a:b] if i not in copies else np.full(b - a, b - a >= LENGTH)
-            kept = data[a:b][~g].tobytes()
-            spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-            rows.append((int(docs[i]), b - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+            lo, hi = start[cut[i] : cut[i + 1]].tolist(), end[cut[i] : cut[i + 1]].tolist()
+            kept, digest = [data[x:y].tobytes() for x, y in zip([a, *hi], [*lo, b], strict=True)], hashlib.sha256()
+            for x in kept:
+                digest.update(x)
+            rows.append((int(docs[i]), b - a, sum(hi) - sum(lo), len(lo), digest.hexdigest(), b"".join(kept) if with_bytes else None))
+        for doc, n in zip(np.frombuffer(left["copy_docs"][0].as_py() or b"", "<i8").tolist(), np.frombuffer(left["copy_sizes"][0].as_py() or b"", "<i8").tolist(), strict=True):
+            rows.append((doc, n, n, 1, _NOTHING, b"" if with_bytes else None))
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _RESULT, strict=True)], schema=_RESULT) if rows else _RESULT.empty_table()
 
     return run
 
 
+def _text_digests(offsets: np.ndarray, data: np.ndarray) -> list[bytes | None]:
+    """A 128-bit digest of each text; None for those too short to lose anything."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() if b - a >= LENGTH else None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct texts of each block, with their least id and number."""
     for b in batches:
         for block, *rest in zip(*(b.column(c).to_pylist() for c in ("block", "docs", "offsets", "data")), strict=True):
             docs, offsets, data = _opened(*rest)
-            raw = data.tobytes()
-            n = len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(docs), pa.array([hashlib.sha256(raw[x:y]).digest() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], ["block", "row", "doc", "digest"])
+            found: dict[bytes, tuple[int, int]] = {}
+            for digest, doc in zip(_text_digests(offsets, data), docs.tolist(), strict=True):
+                if digest:
+                    least, n = found.get(digest, (doc, 0))
+                    found[digest] = min(least, doc), n + 1
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array(list(found), pa.binary()), pa.array([x for x, _ in found.values()], pa.int64()), pa.array([n for _, n in found.values()], pa.int64())], ["block", "digest", "doc", "n"])
+
 
+_KNOWN = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("docs", "offsets", "data", "copy_docs", "copy_sizes"))])
 
-def _copy_lists(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in groups:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(x, "<i4").tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["block", "copies"])
+
+def _without_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks without the bytes of texts that a smaller id has too; of those the ids and sizes stay."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        for block, known, *rest in zip(*(b.column(c).to_pylist() for c in ("block", "known", "docs", "offsets", "data")), strict=True):
+            if not known:
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, *rest, b"", b""), _KNOWN, strict=True)], schema=_KNOWN)
+                continue
+            docs, offsets, data = _opened(*rest)
+            least = {x["digest"]: x["least"] for x in known}
+            copy = np.array([d is not None and doc > least.get(d, doc) for d, doc in zip(_text_digests(offsets, data), docs.tolist(), strict=True)], bool)
+            size = np.diff(offsets)
+            kept = [data[a:c] for a, c, gone in zip(offsets[:-1].tolist(), offsets[1:].tolist(), copy.tolist(), strict=True) if not gone]
+            new = np.concatenate([[0], np.cumsum(size[~copy])]).astype("<i8")
+            values = (block, docs[~copy].tobytes(), new.tobytes(), packer.compress(b"".join(x.tobytes() for x in kept)), docs[copy].tobytes(), size[copy].astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _KNOWN, strict=True)], schema=_KNOWN)
+
+
+def distinct_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of texts where of equal ones only the least id's bytes are left.
+
+    Digests of very many copies are told to all tasks, MOST_SENT at most; the others, each of few rows, are joined.
+    """
+    digests = through_table(blocks.mapInArrow(_digests, "block long, digest binary, doc long, n long"), "digests")
+    found = digests.groupBy("digest").agg(F.min("doc").alias("least"), F.sum("n").alias("texts"), F.count("*").alias("rows"))
+    least = through_table(found.where("texts > 1").select("digest", "least", "rows"), "copies")
+    edge = max(1000, (least.agg(F.sum("rows")).first()[0] or 0) // MOST_SENT)
+    many, few = F.broadcast(least.where(F.col("rows") > edge).select("digest", "least")), least.where(F.col("rows") <= edge).select("digest", "least")
+    told = digests.join(many, "digest").unionByName(digests.join(many, "digest", "left_anti").join(few, "digest"))
+    lists = told.groupBy("block").agg(F.collect_list(F.struct("digest", "least")).alias("known"))
+    return through_table(blocks.join(lists, "block", "left").mapInArrow(_without_copies, "block long, docs binary, offsets binary, data binary, copy_docs binary, copy_sizes binary"), "distinct-blocks")
 
 
-def without_repeats(df: DataFrame, *, text: str = "text", key: str = "doc_id", with_bytes: bool = False) -> DataFrame:
+def without_repeats(df: DataFrame, *, text: str = "text", key: str = "doc_id", with_bytes: bool = False, common: int = COMMON) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining bytes if asked for) of every row of df.
 
     A byte goes if a 50-byte string that covers it also starts in a row of a smaller id. Null
     and empty texts have no bytes. Rows that share an id don't remove from one another. A null id
     takes part as the smallest there can be, and is returned as null. An empty table gives no rows.
+    The windows of grams that at least common texts have go one by one; it moves cost, not results.
     """
     spark = df.sparkSession
     ship(spark)
     none = -(1 << 63)
     rows = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(none)).alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     blocks = through_table(rows.mapInArrow(_blocks, "block long, docs binary, offsets binary, data binary"), "text-blocks")
-    # copies of a whole text: only the least id keeps it
-    digests = blocks.mapInArrow(_digests, "block long, row int, doc long, digest binary")
-    least = digests.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = digests.join(least, "digest").where("doc > least").groupBy("block").agg(F.collect_list("row").alias("rows"))
-    known = blocks.join(copies.mapInArrow(_copy_lists, "block long, copies binary"), "block", "left")
-    parts = max(48, blocks.count() // 9)  # some 18 MB of text for each route
-    routed = blocks.mapInArrow(_routed(parts), "route long, block long, payload binary")
-    shared = routed.repartition("route").sortWithinPartitions("route").mapInArrow(_shared, "block long, route long, payload binary")
-    pieces = known.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut, "route long, block long, payload binary, bytes binary")
+    known = distinct_blocks(blocks)
+    n = known.count()
+    parts, routes = max(48, n // 32), max(48, n // 9)  # some 64 MB of text for each route of grams, 18 MB for each of pieces
+    grams = known.select("block", "docs", "offsets", "data").mapInArrow(_grams(parts), "route long, block long, payload binary")
+    wanted = grams.repartition("route").sortWithinPartitions("route").mapInArrow(_shared(common), "block long, route long, payload binary")
+    pieces = known.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_cut(parts, routes), "route long, block long, payload binary, bytes binary")
     ranges = pieces.repartition("route").sortWithinPartitions("route").mapInArrow(_found, "block long, payload binary")
     out = known.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(_finished(with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))

@@ -169,15 +169,16 @@ def brute_removed(rows, n=50):
     return out
 
 
+@pytest.mark.parametrize("common", [suffix.COMMON, 3])
 @pytest.mark.parametrize("kind", ["documents", "tight"])
-def test_repeats_against_brute_force(spark, kind):
+def test_repeats_against_brute_force(spark, kind, common):
     if kind == "documents":
         rows = [(r.doc_id, r.text) for r in docs(spark).collect()]
     else:  # few symbols, periods, passages at every offset, lengths about the limit
         rng = random.Random(5)
         passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
         rows = [(i, ("é" * (i % 3)) + "".join(rng.choice("xyz") for _ in range(rng.randrange(9))) + passage[(a := rng.randrange(350)) : a + rng.choice((20, 49, 50, 51, 99, 200))] + ("ab" * rng.choice((0, 24, 25, 26, 100)))) for i in range(120)]
-    got = {r.doc_id: r for r in suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), common=common).collect()}
     raw = {i: t.encode() for i, t in rows}
     for i, gone in brute_removed(list(raw.items())).items():
         kept = np.frombuffer(raw[i], np.uint8)[~gone].tobytes()
@@ -185,6 +186,51 @@ def test_repeats_against_brute_force(spark, kind):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw[i]), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+def test_texts_of_one_tag_are_two_texts(spark):
+    passage = "a passage that two documents share and that is over fifty bytes long"
+    for pair in ((31261, 40547), (31261, 40548)):
+        df = spark.createDataFrame([(i, f"{passage}{k}") for i, k in enumerate(pair)], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed >= len(passage) for r in suffix.without_repeats(df).collect()} == {0: False, 1: True}
+
+
+def test_runs_in_stretches():
+    rng = np.random.default_rng(1)
+    data, offsets = rng.integers(97, 100, 5000).astype(np.uint8), np.array([0, 40, 40, 700, 2100, 2149, 5000])
+    windows = lambda r: sorted((int(a) + k, int(h)) for h, a, n in zip(*r, strict=True) for k in range(int(n)))
+    whole = windows(suffix.runs(data, offsets))
+    assert whole == windows(suffix.runs(data, offsets, 333)) == windows(suffix.runs(data, offsets, 50))
+    assert [a for a, _ in whole] == [a for x, y in zip(offsets[:-1], offsets[1:], strict=True) for a in range(x, y - 49)]
+
+
+def test_a_common_passage_is_sent_once_for_a_block():
+    """Of a passage that all texts share, bytes go on once for a block and none for the texts after the first; of what stands beside it each window goes its own way."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefghijk ") for _ in range(200))
+    texts = [passage + "".join(rng.choice("lmnopqrstuv ") for _ in range(60)) for _ in range(800)]
+    block = suffix._block(0, pa.array(range(len(texts)), pa.int64()), pa.array(texts))
+    known = pa.Table.from_batches([block])
+    grams = list(suffix._grams(7)(iter([block])))
+    order = pa.Table.from_batches(grams).sort_by("route").to_batches()
+    sent = {}
+    for common in (100, 10**9):
+        wanted = pa.Table.from_batches(list(suffix._shared(common)(iter(order))))
+        cut = suffix._cut(7, 7)(known, wanted)
+        recs = [suffix._unpacked(p, suffix._PIECE, "at") for p, b in zip(cut["payload"].to_pylist(), cut["bytes"].to_pylist(), strict=True) if b is not None]
+        sent[common] = np.concatenate(recs)
+    for rec in sent.values():  # within the passage, only the first text's pieces
+        inside = rec[(rec["at"] % 260 + rec["n"] + 49) <= 200]
+        assert len(inside) and (inside["doc"] == 0).all()
+    largest = lambda rec: np.unique(rec["hash"], return_counts=True)[1].max()
+    assert largest(sent[10**9]) > 700 and largest(sent[100]) < 100
+
+
+def test_many_copies_and_one_id(spark):
+    body = "the same long text of many documents, more than fifty bytes of it, as it happens"
+    rows = [(i, body) for i in range(40)] + [(7, body), (None, body + "!"), (50, body + "?"), (51, "short"), (52, "short")]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed) for r in suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == sorted([(-1, 0), *((i, len(body)) for i in range(40)), (7, len(body)), (50, len(body)), (51, 0), (52, 0)])
+
+
 def test_repeats_of_odd_rows(spark, odd):
     rows = suffix.without_repeats(odd, with_bytes=True).collect()
     assert len(rows) == len(ODD) and all(r.n_removed == 0 for r in rows)  # rows of one id don't remove from one another
