@@ -1,113 +1,173 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule has a predicate and a work estimate. On a sample, one aggregation gives
-every rule's mean work and the share of rows that it rejects; the rules are then tried in
-falling order of rejections per unit of work, and a nested CASE stops at the first that
-rejects, so that dear rules see only what cheap ones let through. The verdict of a
-conjunction doesn't depend on the order: it moves cost only.
+Each rule has a measure and a test of it. On a sample of rows by hash, every rule's measure is
+timed and the share of rows that it rejects is counted; the rules are then tried in falling order
+of rejections per second. A measure is only worked out for rows that no earlier rule
+rejects, so dear rules see only what cheap ones let through. The verdict of a conjunction
+doesn't depend on the order: it moves cost only.
 
 Null or empty text has no words and fails the base rules. Repeated rows are judged each
 alone, and ties in the order of rules fall back to their names. Very long texts are held as
-one row's arrays. Input columns are never read but for the text, whatever their names.
+one row's arrays. Input columns are never read but for the text and the id, whatever their names.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACES, packed, table, unpacked
+from quern.functions.binding import let
+from quern.llm.common import SPACES, packed, table, through_table, unpacked
 
 #: The base limits, and those of the cascade's rules.
 MIN_WORDS, WINDOW, REPEATS_PERCENT = 20, 8, 30
 SYMBOLS_PER_100_WORDS, DUP_LINES_PERCENT, UPPER_PERCENT = 30, 50, 70
 MIN_MEAN_WORD, MAX_MEAN_WORD = 1.5, 25.0
-
-
-def _without(text: Column, chars: str) -> Column:
-    """How many characters of text are in chars."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+SYMBOLS, BLANKS = "[#*$%&|<>]", "[\\x20\\x09-\\x0D]"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects and work are made from the columns that the cascade works on."""
+    """measure gives a value from _t, _words and n_words; rejects tests it."""
 
     name: str
-    rejects: Callable[[], Column]
-    work: Callable[[], Column]
+    measure: Callable[[], Column]
+    rejects: Callable[[Column], Column]
+
+
+def letters() -> Column:
+    """Upper- and lower-case Latin letters; the latter are counted only where the former are there."""
+    upper = F.regexp_count("_t", F.lit("[A-Z]"))
+    return let(upper, lambda n: F.struct(n.alias("upper"), F.when(n > 0, F.length(F.regexp_replace("_t", "[^a-z]+", ""))).otherwise(0).alias("lower")))
+
+
+def line_counts() -> Column:
+    """Lines with a word, and those of them that repeat an earlier one."""
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    return let(lines, lambda x: F.struct(F.size(x).cast("long").alias("lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("repeated")))
+
+
+def _paired(h: Column, step: int) -> Column:
+    """Each hash with that step places on."""
+    n = F.size(h) - step
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b))
+
+
+def _covered(windows: Column) -> Column:
+    """Words in windows whose hash stands twice; windows begin at each word but the last few."""
+    sorted_ = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+
+    def places(again: Column) -> Column:
+        same = lambda s, i: F.coalesce(F.get(again, i)["h"] == s["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(again, lambda s, i: same(s, i - 1) | same(s, i + 1)), lambda s: s["i"]))
+
+    def union(at: Column) -> Column:
+        parts = F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW))).cast("long"))
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return let(let(sorted_, places), union)
+
+
+def repeat_words() -> Column:
+    """Words in 8-word windows found twice or more. Words are hashed once, and the hashes paired three times."""
+    hashes = F.transform("_words", lambda x: F.xxhash64(x))
+    windows = let(let(let(hashes, lambda h: _paired(h, 1)), lambda h: _paired(h, 2)), lambda h: _paired(h, 4))
+    some = let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _covered(w)))
+    return F.coalesce(F.when(F.col("n_words") > WINDOW, some), F.lit(0).cast("long"))
 
 
 def default_rules() -> list[Rule]:
-    """Work is in characters scanned or hashed, for one row."""
-    t, words = F.col("_t"), F.greatest(F.col("n_words"), F.lit(1))
-    chars = F.length(t).cast("double")
-    upper = _without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    lower = _without(t, "abcdefghijklmnopqrstuvwxyz")
+    """The base rules, and five more."""
+    words = F.greatest(F.col("n_words"), F.lit(1))
     return [
-        Rule("too_few_words", lambda: F.col("n_words") < MIN_WORDS, lambda: F.lit(1.0)),
-        Rule("repeats", lambda: 100 * F.col("n_repeat_words") > REPEATS_PERCENT * F.col("n_words"), lambda: 20 * chars),
-        Rule("symbols", lambda: 100 * F.col("n_symbols") > SYMBOLS_PER_100_WORDS * words, lambda: 2 * chars),
-        Rule("duplicate_lines", lambda: 100 * F.col("n_dup_lines") > DUP_LINES_PERCENT * F.col("_lines"), lambda: 4 * chars),
-        Rule("word_length", lambda: ~(F.col("word_chars") / words).between(MIN_MEAN_WORD, MAX_MEAN_WORD), lambda: 1 + 0.5 * chars),
-        Rule("shouting", lambda: 100 * upper > UPPER_PERCENT * F.greatest(upper + lower, F.lit(1)), lambda: 8 * chars),
+        Rule("too_few_words", lambda: F.col("n_words"), lambda n: n < MIN_WORDS),
+        Rule("repeats", repeat_words, lambda n: 100 * n > REPEATS_PERCENT * F.col("n_words")),
+        Rule("symbols", lambda: F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"), lambda n: 100 * n > SYMBOLS_PER_100_WORDS * words),
+        Rule("duplicate_lines", line_counts, lambda m: 100 * m["repeated"] > DUP_LINES_PERCENT * m["lines"]),
+        Rule("word_length", lambda: F.length(F.array_join("_words", "")).cast("long"), lambda n: ~(n / words).between(MIN_MEAN_WORD, MAX_MEAN_WORD)),
+        Rule("shouting", letters, lambda m: 100 * m["upper"] > UPPER_PERCENT * F.greatest(m["upper"] + m["lower"], F.lit(1))),
     ]
 
 
-def measured(packs: DataFrame) -> DataFrame:
-    """Packed rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _lines."""
-    t = F.col("_t")
-    lined = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
-    df = packs.withColumns({
-        "_words": F.filter(F.split(t, SPACES), lambda x: x != ""),
-        "_line": lined,
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long"),
-        "n_symbols": _without(t, "#*$%&|<>").cast("long"),
-    })
-    df = df.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "_lines": F.size("_line").cast("long"),
-        "n_dup_lines": (F.size("_line") - F.size(F.array_distinct("_line"))).cast("long"),
-        "_h": F.when(F.size("_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))),
-    }).drop("_words", "_line")
-    df = df.withColumn("_again", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("_h")
-    same = lambda s, i: F.coalesce(F.get("_again", i)["h"] == s["h"], F.lit(False))
-    df = df.withColumn("_at", F.array_sort(F.transform(F.filter("_again", lambda s, i: same(s, i - 1) | same(s, i + 1)), lambda s: s["i"]))).drop("_again")
-    covered = F.aggregate(F.transform("_at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", i + 1) - p, F.lit(WINDOW))).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_at")
-
-
-def ordered_rules(spark: SparkSession, packs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> list[Rule]:
-    """The rules by rejections per unit of work, as estimated on at most sample_rows rows; it moves cost, not verdicts."""
-    rows = measured(packs).select(*[F.coalesce(r.rejects().cast("double"), F.lit(0.0)) for r in rules], *[r.work().cast("double") for r in rules]).take(sample_rows)
-    mean = [sum(x) / len(rows) for x in zip(*rows, strict=True)] or [0.0] * 2 * len(rules)
-    gain = {r.name: mean[i] / max(mean[len(rules) + i], 1e-9) for i, r in enumerate(rules)}
-    return sorted(rules, key=lambda r: (-gain[r.name], r.name))
-
-
-def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, *, text: str = "text", key: str = "doc_id", sample_rows: int = 2000) -> DataFrame:
-    """Packed rows with the five measures, base_failed, failed_rule (the first that rejects, null if none does) and kept."""
+def _worded(packs: DataFrame) -> DataFrame:
+    """Packed rows with their words, which every rule may use."""
+    return packs.withColumn("_words", F.filter(F.split("_t", SPACES), lambda x: x != "")).withColumn("n_words", F.size("_words").cast("long"))
+
+
+def sampled(packs: DataFrame, rows: int) -> DataFrame:
+    """About so many rows at most, those of the smallest hashes of id and text, as a table of their own."""
+    reach, h = 2 * rows / max(packs.count(), 1), F.xxhash64("_id", "_t")
+    edge = (1 << 63) - 1 if reach >= 1 else int((1 << 64) * reach) - (1 << 63)
+    return through_table(packs.select("_id", "_t", h.alias("_h")).where(F.col("_h") <= edge).orderBy("_h").limit(rows), "quality-sample")
+
+
+def _seconds(df: DataFrame) -> float:
+    """The least of three runs."""
+    took = []
+    for _ in range(3):
+        began = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
+def estimates(packs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> dict[str, tuple[float, float]]:
+    """(seconds, share rejected) of each rule on a sample; seconds are beyond those of finding the words."""
+    rows = _worded(sampled(packs, sample_rows))
+    share = rows.select(*[F.avg(F.coalesce(r.rejects(r.measure()), F.lit(False)).cast("double")) for r in rules]).first()
+    base = _seconds(rows.select("n_words"))
+    return {r.name: (max(_seconds(rows.select("n_words", r.measure().alias("m"))) - base, 1e-4), share[i] or 0.0) for i, r in enumerate(rules)}
+
+
+def ordered_rules(packs: DataFrame, rules: list[Rule], sample_rows: int = 2000, known: Mapping[str, tuple[float, float]] | None = None) -> list[Rule]:
+    """The rules by rejections per second, as estimated on a sample or as known; it moves cost, not verdicts."""
+    found = estimates(packs, rules, sample_rows) if known is None else known
+    return sorted(rules, key=lambda r: (-found[r.name][1] / max(found[r.name][0], 1e-9), r.name))
+
+
+def _judged(rows: DataFrame, rules: list[Rule], known: Mapping[str, Column]) -> DataFrame:
+    """rows with failed_rule, tried in order; a measure that isn't known is worked out only where no earlier rule rejects."""
+    rows = rows.withColumn("failed_rule", F.lit(None).cast("string"))
+    for i, r in enumerate(rules):
+        so_far = F.col("failed_rule")
+        value = known.get(r.name)
+        if value is None:
+            rows = rows.withColumn("_m", F.when(so_far.isNull(), r.measure()) if i else r.measure())
+            value = F.col("_m")
+        rows = rows.withColumn("failed_rule", F.when(so_far.isNotNull(), so_far).when(r.rejects(value), F.lit(r.name)))
+    return rows.drop("_m")
+
+
+def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, *, text: str = "text", key: str = "doc_id", sample_rows: int = 2000, known: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Packed rows with the five measures, base_failed, failed_rule (the first that rejects, null if none does) and kept.
+
+    The five are asked for of every row, so rules of the default ones' names use them and are not measured again.
+    """
     packs = packed(df, text, key)
-    rules = ordered_rules(df.sparkSession, packs, default_rules() if rules is None else rules, sample_rows)
-    verdict = F.lit(None).cast("string")
-    for r in reversed(rules):
-        verdict = F.when(r.rejects(), F.lit(r.name)).otherwise(verdict)
+    rules = ordered_rules(packs, default_rules() if rules is None else rules, sample_rows, known)
+    rows = _worded(packs).withColumns({"word_chars": F.length(F.array_join("_words", "")).cast("long"), "n_symbols": F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"), "_line": line_counts(), "n_repeat_words": repeat_words()})
+    rows = rows.withColumn("n_dup_lines", F.col("_line.repeated"))
+    given = {"too_few_words": "n_words", "repeats": "n_repeat_words", "symbols": "n_symbols", "duplicate_lines": "_line", "word_length": "word_chars"}
+    out = _judged(rows, rules, {k: F.col(c) for k, c in given.items()})
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATS_PERCENT * F.col("n_words"))
-    out = measured(packs).withColumns({"base_failed": base, "failed_rule": verdict})
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+    return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull()).drop("_words", "_line")
 
 
-def keep_good(df: DataFrame, **options) -> DataFrame:
-    """The rows of df that the cascade keeps, with df's columns.
+def keep_good(df: DataFrame, rules: list[Rule] | None = None, *, text: str = "text", key: str = "doc_id", sample_rows: int = 2000, known: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+    """The rows of df that no rule rejects, with df's columns; the rules must hold the base's to keep to the base.
 
     Dropped by explode(), not where(): a filter would be pushed below the projections, each
     of whose steps would then be written out anew wherever the next one uses it.
     """
-    judged = quality_cascade(df, **options).select("_doc", "kept")
-    return judged.select(F.explode(F.when(F.col("kept"), F.array("_doc"))).alias("_doc")).select(*unpacked(df.columns))
+    packs = packed(df, text, key)
+    rules = ordered_rules(packs, default_rules() if rules is None else rules, sample_rows, known)
+    judged = _judged(_worded(packs), rules, {}).select("_doc", "failed_rule")
+    return judged.select(F.explode(F.when(F.col("failed_rule").isNull(), F.array("_doc"))).alias("_doc")).select(*unpacked(df.columns))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ misspelling shares most of its vectors with the word it stems from. A long docum
 few words among thousands, so what is averaged is the bag of a document's few most telling
 distinct words; training picks them anew as it goes, of clean documents too, where they
 are the hardest examples. Only documents' labels are known to it.
+The plain average of all words, and that of windows of words with the highest one taken, were tried
+too; the README has their figures.
 
 The softmax of an average of vectors is linear in the n-grams, so for scoring each bucket is
 folded to one number. Scale, length term and shift of the score are set on documents that
@@ -221,7 +223,7 @@ def train(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     Documents are taken by the hashes of their ids; a fourth of them only sets the score's
     curve. Tasks read the texts anew for each pass; the driver holds counts of buckets and
     the documents' few telling words only. A document with labels of both kinds counts as toxic; null
-    labels and ids are left out. Without labels of both kinds every score is 0.5.
+    labels and ids are left out. Of rows that share an id one text is learned from, the one of the least hash. Without labels of both kinds every score is 0.5.
     """
     spark = df.sparkSession
     ship(spark)
@@ -233,7 +235,8 @@ def train(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     picked = [known.where((F.col("toxic") == k) & (at < int(1_200_000 * most / counts[k]) + 1)).orderBy(at, "doc_id").limit(most) for k, most in ((0, clean_rows), (1, toxic_rows))]
     picked = picked[0].union(picked[1])
-    sample = through_table(df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text"), "toxicity-sample")
+    texts = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = through_table(texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxicity-sample")
     apart = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0
     learnt = sample.where(~apart).select("doc_id", "toxic", F.xxhash64("text").alias("tie"), "text")
     rows = learnt.select("doc_id", "tie", "toxic").toPandas().sort_values(["doc_id", "tie"], kind="stable")
@@ -261,7 +264,10 @@ def train(df: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
 
 
 def scored(df: DataFrame, model: Model, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, score, predicted) of every row; null and empty texts have the score of no words at all."""
+    """(doc_id, score, predicted) of every row of df, repeats and null ids too; other columns are not read.
+
+    Null and empty texts have the score of no words at all. An empty table gives no rows.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

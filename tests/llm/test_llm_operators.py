@@ -59,8 +59,31 @@ def test_repeated_windows(spark, seed):
 def test_order_moves_no_verdict(spark):
     df = docs(spark)
     a = quality.quality_cascade(df).select("_id", "kept")
-    b = quality.quality_cascade(df, quality.default_rules()[::-1], sample_rows=1).select("_id", "kept")
-    assert a.exceptAll(b).isEmpty()
+    rules = quality.default_rules()
+    for order in (rules, rules[::-1]):
+        known = {r.name: (1.0 + i, 0.5) for i, r in enumerate(order)}
+        assert [r.name for r in quality.ordered_rules(df, rules, known=known)] == [r.name for r in order]
+        b = quality.quality_cascade(df, known=known).select("_id", "kept")
+        kept = quality.keep_good(df, known=known)
+        assert a.exceptAll(b).isEmpty() and {r.doc_id for r in kept.select("doc_id").collect()} == {r._id for r in a.where("kept").collect()}
+
+
+def test_dear_rules_see_only_what_cheap_ones_let_through(spark):
+    """A measure that fails on the rows that an earlier rule rejects is never worked out for them."""
+    df = spark.createDataFrame([(1, "bad row"), (2, "good row")], "doc_id long, text string")
+    cheap = quality.Rule("cheap", lambda: F.contains("_t", F.lit("bad")), lambda m: m)
+    dear = quality.Rule("dear", lambda: F.when(F.contains("_t", F.lit("bad")), F.raise_error(F.lit("seen")).cast("int")).otherwise(1), lambda n: n > 5)
+    kept = quality.keep_good(df, [dear, cheap], known={"cheap": (1.0, 0.5), "dear": (9.0, 0.5)})
+    assert [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_estimates_come_from_a_sample(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('word', id % 97, ' '), IF(id % 4 = 0, 10, 60)) AS text")
+    packs = quality.packed(df)
+    assert quality.sampled(packs, 200).count() == 200
+    found = quality.estimates(packs, quality.default_rules(), 400)
+    assert abs(found["too_few_words"][1] - 0.25) < 0.1 and found["repeats"][1] > 0.7 and found["symbols"][1] == 0
+    assert all(t > 0 for t, _ in found.values())
 
 
 # --- near copies ---
@@ -617,6 +640,23 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert len(held) == 40 and np.mean([r.predicted == r.toxic for r in held]) > 0.95
 
 
+def test_toxicity_query(spark):
+    """The query as it is registered: learned from two folds, held against the third."""
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("held_out").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in rows)
+    found = [r.predicted for r in rows if r.toxic == 1]
+    assert np.mean(found) >= 0.75 and sum(r.predicted for r in rows if r.toxic == 0) <= 0.005 * len(rows)
+
+
+def test_one_id_is_learned_from_once(spark):
+    rows = [(i, f"word{i} other {'vile' if i % 2 else 'nice'} text", i % 2) for i in range(40)]
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int")
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    again = df.unionByName(df.where("doc_id = 1").crossJoin(spark.range(500)).drop("id"))
+    assert np.array_equal(toxicity.train(df, labels).value, toxicity.train(again, labels).value)
+
+
 # --- queries ---
 
 
