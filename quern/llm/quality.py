@@ -107,16 +107,16 @@ def sampled(packs: DataFrame, rows: int) -> DataFrame:
 
 
 def _seconds(df: DataFrame) -> float:
-    """The least of three runs."""
+    """The lesser of two runs; the first also compiles."""
     took = []
-    for _ in range(3):
+    for _ in range(2):
         began = time.perf_counter()
         df.write.format("noop").mode("overwrite").save()
         took.append(time.perf_counter() - began)
     return min(took)
 
 
-def estimates(packs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> dict[str, tuple[float, float]]:
+def estimates(packs: DataFrame, rules: list[Rule], sample_rows: int = 500) -> dict[str, tuple[float, float]]:
     """(seconds, share rejected) of each rule on a sample; seconds are beyond those of finding the words."""
     rows = _worded(sampled(packs, sample_rows))
     share = rows.select(*[F.avg(F.coalesce(r.rejects(r.measure()), F.lit(False)).cast("double")) for r in rules]).first()
@@ -124,7 +124,7 @@ def estimates(packs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> d
     return {r.name: (max(_seconds(rows.select("n_words", r.measure().alias("m"))) - base, 1e-4), share[i] or 0.0) for i, r in enumerate(rules)}
 
 
-def ordered_rules(packs: DataFrame, rules: list[Rule], sample_rows: int = 2000, known: Mapping[str, tuple[float, float]] | None = None) -> list[Rule]:
+def ordered_rules(packs: DataFrame, rules: list[Rule], sample_rows: int = 500, known: Mapping[str, tuple[float, float]] | None = None) -> list[Rule]:
     """The rules by rejections per second, as estimated on a sample or as known; it moves cost, not verdicts."""
     found = estimates(packs, rules, sample_rows) if known is None else known
     return sorted(rules, key=lambda r: (-found[r.name][1] / max(found[r.name][0], 1e-9), r.name))
@@ -143,7 +143,7 @@ def _judged(rows: DataFrame, rules: list[Rule], known: Mapping[str, Column]) ->
     return rows.drop("_m")
 
 
-def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, *, text: str = "text", key: str = "doc_id", sample_rows: int = 2000, known: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, *, text: str = "text", key: str = "doc_id", sample_rows: int = 500, known: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
     """Packed rows with the five measures, base_failed, failed_rule (the first that rejects, null if none does) and kept.
 
     The five are asked for of every row, so rules of the default ones' names use them and are not measured again.
@@ -158,7 +158,7 @@ def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, *, text: str
     return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull()).drop("_words", "_line")
 
 
-def keep_good(df: DataFrame, rules: list[Rule] | None = None, *, text: str = "text", key: str = "doc_id", sample_rows: int = 2000, known: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+def keep_good(df: DataFrame, rules: list[Rule] | None = None, *, text: str = "text", key: str = "doc_id", sample_rows: int = 500, known: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
     """The rows of df that no rule rejects, with df's columns; the rules must hold the base's to keep to the base.
 
     Dropped by explode(), not where(): a filter would be pushed below the projections, each
