@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,21 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder of spark.checkpoint.dir; below a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path below the shared folder of spark.checkpoint.dir.
+
+    Only where that is unset and everything runs in one process, as in tests, a local folder is set for it;
+    on a cluster RuntimeError, for other machines would not see such a folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-shared-"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-shared-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more, in any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
