@@ -39,7 +39,9 @@ def rotated(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: s
     said = df.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"), who.alias("who"), _escaped(F.col(f"`{text}`"), "").alias("said"))
     said = said.withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK))
     people = said.where(F.col("who") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("who").alias("perspective")).distinct()
-    each = said.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    # participants meet a conversation's chunks first, so that its turns are dealt by chunk however many they are
+    chunks = said.select("conv_id", F.col("chunk").alias("k")).distinct().join(people, F.col("conv_id").eqNullSafe(F.col("c"))).select("c", "k", "perspective")
+    each = said.join(chunks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))).drop("c", "k")
     name = F.regexp_replace("who", "[<>|\\s]", "_")
     mine = F.col("who") == F.col("perspective")
     head = F.when(F.col("who") == SYSTEM, F.lit("<|system|>\n")).when(mine, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))

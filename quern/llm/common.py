@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources import places
+
 #: White space between words, as a Java regular expression and as bytes.
 SPACES = "[\\x20\\x09-\\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -36,23 +37,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path below the shared folder of spark.checkpoint.dir.
-
-    Only where that is unset, as in tests on one machine, a local folder is set for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-shared-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder path below the shared folder of spark.checkpoint.dir."""
+    return places.scratch(spark, name)
 
 
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, and its path: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def through_table(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    return written(df, name)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,13 +8,16 @@ t of the item misses fewer shingles than that, so it holds one of the sketch for
 candidates lose nothing. Each candidate is then verified by exact shingle containment on
 the words themselves.
 
-Documents are read in place, whole, with no shuffle. The sketches of a bounded batch of
-items (by characters, checked) go to the tasks; further batches take further passes.
+Documents are read in place, whole, once, with no shuffle. Sketches are made for bounded batches of
+items (by characters, checked). One batch goes to the tasks as it is; several are written to the
+shared folder, one after the other, and tasks hold one at a time beside the rows at hand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import shingle_hashes, ship, slices, table, utf8, word_hashes
+from quern.llm.common import shared_dir, shingle_hashes, ship, slices, table, utf8, word_hashes
 
 #: Words in a shingle, share of an item's shingles, and characters of items in a pass.
 SHINGLE, SHARE, PASS_CHARS = 5, 0.8, 16_000_000
@@ -132,7 +135,30 @@ def batches_of(items: DataFrame, key: str = "item_id", text: str = "text", most:
         yield sketches(held)
 
 
-def contamination(df: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def told(spark: SparkSession, batches: Iterator[Sketches]) -> Callable[[], Iterator[Sketches]]:
+    """A function for tasks that gives all batches, one at a time. The driver holds two at most, while it writes them."""
+    first, second = next(batches, None), next(batches, None)
+    if second is None:
+        return lambda: iter(() if first is None else (first,))
+    from pyarrow import fs
+
+    folder, n = shared_dir(spark, "sketches"), 0
+    files, root = fs.FileSystem.from_uri(folder)
+    files.create_dir(root)
+    for n, s in enumerate(itertools.chain((first, second), batches), 1):
+        with files.open_output_stream(f"{root}/{n}", compression=None) as f:
+            f.write(pickle.dumps(s))
+
+    def read() -> Iterator[Sketches]:
+        there, root = fs.FileSystem.from_uri(folder)
+        for k in range(1, n + 1):
+            with there.open_input_stream(f"{root}/{k}", compression=None) as f:
+                yield pickle.loads(f.read())  # written above
+
+    return read
+
+
+def contamination(df: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", pass_chars: int = PASS_CHARS) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for each row of df that holds at least 0.8 of an item's five-word shingles.
 
     Words are lower-cased runs of letters and digits. Null and empty texts and items match
@@ -141,41 +167,35 @@ def contamination(df: DataFrame, items: DataFrame, *, text: str = "text", key: s
     """
     ship(df.sparkSession)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    schema = "doc_id long, item_id long, n_shared long, n_item long, containment double"
+    each = told(df.sparkSession, batches_of(items, most=pass_chars))
 
-    def finder(s: Sketches):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in each():
                 found = hits(b.column(1), s)
                 size = [len(s.grams[i]) for _, i, _ in found]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for r, _, _ in found], pa.int64())), pa.array([s.ids[i] for _, i, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int64()), pa.array(size, pa.int64()), pa.array([n / m for (_, _, n), m in zip(found, size, strict=True)], pa.float64())], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        return run
+    return rows.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long, containment double")
 
-    out = None
-    for s in batches_of(items):
-        part = rows.mapInArrow(finder(s), schema)
-        out = part if out is None else out.union(part)
-    return df.sparkSession.createDataFrame([], schema) if out is None else out
 
+def drop_contaminated(df: DataFrame, items: DataFrame, *, text: str = "text", pass_chars: int = PASS_CHARS) -> DataFrame:
+    """The rows of df that hold no item, with all their columns, whatever their names; nothing is shuffled.
 
-def drop_contaminated(df: DataFrame, items: DataFrame, *, text: str = "text") -> DataFrame:
-    """The rows of df that hold no item; nothing is shuffled."""
+    Null and empty texts and items match nothing. Rows that repeat are judged alike. No items drop no row, and an empty table has none.
+    """
     ship(df.sparkSession)
     at = df.columns.index(text)
+    each = told(df.sparkSession, batches_of(items, most=pass_chars))
 
-    def dropper(s: Sketches):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for s in each():
                 keep[[r for r, _, _ in hits(b.column(at), s)]] = False
-                yield b.filter(pa.array(keep))
-
-        return run
+            yield b.filter(pa.array(keep))
 
-    for s in batches_of(items):
-        df = df.mapInArrow(dropper(s), df.schema)
-    return df
+    return df.mapInArrow(run, df.schema)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,15 @@ def places(plan: list[dict]) -> pa.Table:
     return pa.table([named, *map(pa.array, rest)], ["source", "block", "slot", "release", "deadline"])
 
 
+def first_positions(slots: pa.Table, counts: Mapping[str, int], block: int) -> np.ndarray:
+    """The first row's position of each block: blocks before it are full, but for the last ones of sources."""
+    slot = slots["slot"].to_numpy()
+    last = dict(zip(slots["source"].to_pylist(), slot.tolist(), strict=True))  # a source's blocks are in order
+    ends = sorted((last[s], -n % block) for s, n in counts.items())
+    lacking = np.concatenate([[0], np.cumsum([n for _, n in ends])])
+    return slot * block - lacking[np.searchsorted([s for s, _ in ends], slot)]
+
+
 def tempered(counts: Mapping[str, int], power: float = 0.5) -> dict[str, float]:
     """Target weights by a power of the sources' sizes: 1 as they are, 0 all alike."""
     return {s: float(n) ** power for s, n in counts.items() if n}
@@ -111,12 +120,12 @@ def mixed(df: DataFrame, weights: Mapping[str, float] | None = None, *, source:
     its window; position is the row's place in the mixture, from 0 without gaps. Weights
     that are not given come from tempered(). A null source is a source of its own, named "";
     so are sources of the weights with no row: they have no slot. Within its source a row's
-    place is by a hash of its id, then the id, then the text; whole repeats take any order. A
+    place is by a hash of its id and text, so rows without an id, or with the same, are dealt evenly too; whole repeats take any order. A
     source without a weight raises ValueError. Empty tables give no rows.
     """
     spark = df.sparkSession
     packs = packed(df, text, key).withColumns({"source": F.coalesce(F.col("_doc").getField(source).cast("string"), F.lit(""))})
-    packs = packs.withColumns({"_hash": F.xxhash64("_id"), "_tie": F.xxhash64("_t")}).drop("_t", *([] if carry else ["_doc"]))
+    packs = packs.withColumns({"_hash": F.xxhash64("_id", "_t"), "_tie": F.xxhash64("_t")}).drop("_t", *([] if carry else ["_doc"]))
     counts = {r["source"]: r["count"] for r in packs.groupBy("source").count().take(MOST_SOURCES + 1)}
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources: group them first")
@@ -125,10 +134,12 @@ def mixed(df: DataFrame, weights: Mapping[str, float] | None = None, *, source:
         raise ValueError(f"no weight for source {lost[0]!r}")
     plan = phases({s: -(-n // block) for s, n in counts.items()}, weights, period)
     slots = places(plan)
-    last = dict(zip(slots["source"].to_pylist(), slots["slot"].to_pylist(), strict=True))  # a source's blocks are in order
-    ends = sorted((last[s], -n % block) for s, n in counts.items() if n % block)
+    if len(slots):
+        slots = slots.append_column("_first", pa.array(first_positions(slots, counts, block)))
+    else:
+        slots = slots.append_column("_first", pa.array([], pa.int64()))
     known = spark.createDataFrame([(s, -(-n // BUCKET)) for s, n in counts.items()], "source string, n_buckets int")
-    slots_of = spark.createDataFrame(slots, "source string, block long, slot long, release long, deadline long")
+    slots_of = spark.createDataFrame(slots, "source string, block long, slot long, release long, deadline long, _first long")
     if len(slots) <= MOST_SENT:
         slots_of = F.broadcast(slots_of)
     split = packs.join(F.broadcast(known), "source")
@@ -141,8 +152,7 @@ def mixed(df: DataFrame, weights: Mapping[str, float] | None = None, *, source:
     rank = F.col("_before") + F.row_number().over(own) - 1
     ranked = split.join(offsets, ["source", "_bucket"]).withColumn("_rank", rank)
     ranked = ranked.withColumn("block", F.floor(F.col("_rank") / block).cast("long")).join(slots_of, ["source", "block"])
-    short = sum((F.when(F.col("slot") > s, F.lit(n)).otherwise(F.lit(0)) for s, n in ends), F.lit(0).cast("long"))
-    return ranked.withColumn("position", F.col("slot") * block + F.col("_rank") % block - short).select(*(["_doc"] if carry else []), "_id", "source", "block", "slot", "release", "deadline", "position")
+    return ranked.withColumn("position", F.col("_first") + F.col("_rank") % block).select(*(["_doc"] if carry else []), "_id", "source", "block", "slot", "release", "deadline", "position")
 
 
 def in_mixed_order(df: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:

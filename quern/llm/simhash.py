@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import ship, table, through_table
+from quern.llm.common import packed, ship, table, through_table, unpacked
 from quern.llm.components import components
 
 #: Differing bits that link, words in a shingle, seed, and the generator of the (23, 12) Golay code.
@@ -190,10 +190,21 @@ def simhash_groups(df: DataFrame, *, text: str = "text", key: str = "doc_id") ->
 
 
 def drop_near_copies(df: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """df with one row of each group, that of the smallest id; rows without an id stay, rows that share one id are one document."""
-    best = simhash_groups(df, text=text, key=key).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = df.join(best, F.col(f"`{key}`") == F.col("_keep"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(df.where(F.col(f"`{key}`").isNull()))
+    """df with one row of each group, that of the smallest id; df's columns may have any names.
+
+    Rows without an id stay. Rows that share one id are one document: the one of least text stays, and it goes
+    if any of them has a smaller id in its group. An empty table gives no rows. The ids that lose or repeat
+    are joined against, not those that stay, which are far more.
+    """
+    groups = simhash_groups(df, text=text, key=key).where("doc_id is not null")
+    found = groups.groupBy(F.col("doc_id").alias("_of")).agg(F.max((F.col("doc_id") > F.col("component_id")).cast("int")).alias("_lost"), F.count("*").alias("_n"))
+    marked = through_table(found.where("_lost = 1 OR _n > 1").select("_of", "_lost"), "lost-or-repeated")
+    packs = packed(df, text, key)
+    kept = packs.join(marked, F.col("_id").cast("long") == F.col("_of"), "left_anti").select("_doc")
+    if not (again := marked.where("_lost = 0").select("_of")).isEmpty():
+        rows = packs.join(again, F.col("_id").cast("long") == F.col("_of"))
+        kept = kept.unionByName(rows.groupBy("_of").agg(F.min_by("_doc", F.struct("_t", F.xxhash64("_doc"))).alias("_doc")).select("_doc"))
+    return kept.select(*unpacked(df.columns))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ ODD = [(1, "a b c d e f", "en", "s"), (2, None, None, None), (3, "", "fr", "s"),
 def odd(spark):
     """Nulls, empty and long texts, repeats, and columns named like the operators' own."""
     df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string")
-    return df.select("*", *[F.lit(7).alias(c) for c in ("kept", "_t", "_doc", "fp", "score", "block", "n_words", "component_id", "position")])
+    return df.select("*", *[F.lit(7).alias(c) for c in ("kept", "_t", "_doc", "fp", "score", "block", "n_words", "component_id", "position", "_keep", "_of", "_lost", "_length", "_file", "_row", "_v", "_m", "failed_rule", "_id", "_first", "chunk")])
 
 
 def none(df):
@@ -127,6 +127,8 @@ def test_simhash(spark, odd):
     assert by[2] == by[3] == ("0" * 16, 2) and by[1] == by[6] and by[6][1] == 1
     kept = simhash.drop_near_copies(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 4, 5]
+    twice = spark.createDataFrame([(1, "z b c d e f"), (1, "a b c d e f g"), (2, "y b x d e w"), (3, "z b c d e f")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near_copies(twice).collect()) == [(1, "a b c d e f g"), (2, "y b x d e w")]
     assert simhash.simhash_groups(none(odd)).isEmpty() and simhash.drop_near_copies(none(odd)).isEmpty()
 
 
@@ -156,6 +158,13 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(1, 101)) and got[201] == 200 and 0 not in got
 
 
+def test_hubs(spark):
+    """Stars over the hub limit, at their least and at their greatest node, tied by a chain."""
+    edges = [(1000, i) for i in range(300)] + [(2000, 2000 + i) for i in range(1, 300)] + [(1000, 2000), (5000, 5001)]
+    got = {r.node: r.component for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: 0 for e in edges[:-1] for n in e if n} | {5001: 5000}
+
+
 # --- repeats ---
 
 
@@ -371,6 +380,11 @@ def test_contamination(spark, odd):
     clean = decontaminate.drop_contaminated(odd, spark.createDataFrame([(1, "b c d e f")], "item_id long, text string"))
     assert clean.columns == odd.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 4, 5]
     assert decontaminate.drop_contaminated(none(odd), bench).isEmpty()
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = decontaminate.contamination(few, spark.createDataFrame(items, "item_id long, text string"), pass_chars=2000)
+    assert {(r.doc_id, r.item_id): r.n_shared for r in parts.collect()} == want
+    kept = decontaminate.drop_contaminated(few, spark.createDataFrame(items, "item_id long, text string"), pass_chars=2000)
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
 # --- mixing ---

@@ -12,6 +12,7 @@ if importlib.util.find_spec("corpus_pipeline") is None:
 
 import corpus_pipeline
 import duckdb
+from pyspark.sql import functions as F
 
 from quern.llm import mixing, quality, simhash, tokens
 
@@ -55,4 +56,17 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).isEmpty()
-    assert corpus_pipeline.token_shards(spark, docs.limit(0), SF).isEmpty()
+    assert corpus_pipeline.token_shards(spark, docs.limit(0), SF, by_files=False).isEmpty()
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "s"), (1, text, "en", "s"), (None, text + " more", None, None), (3, None, None, "t"), (4, "", "en", "t"), (5, text + " again and more of it", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("*", *[F.lit(1).alias(c) for c in ("_keep", "_length", "_file", "_row", "_doc", "_t", "_id", "kept", "name", "at", "position")])
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        out = stage(spark, docs, SF)
+        assert name == "token_shards" or out.columns == docs.columns
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    assert docs.count() >= 2 and {r.doc_id for r in docs.collect()} <= {1, -1, 5}
