@@ -1,17 +1,14 @@
-"""Assembly functions that need a walk over lines, and recursive comparisons: Arrow-batched scalar functions.
+"""Functions of assembly units, on arrays of lines on the JVM's side; and recursive comparisons as Arrow-batched functions.
 
-The plain Python functions are the definitions; udf() wraps one for columns. Each works on one
-cell, holds nothing between rows, and answers null for null.
+Null stays null. Of the comparisons the plain Python functions are the definitions; udf() wraps one for
+columns. Each works on one cell and holds nothing between rows.
 """
 
 from __future__ import annotations
 
 import ast
-import hashlib
 import json
 import math
-import random
-import re
 from collections.abc import Callable
 from typing import Any
 
@@ -19,7 +16,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions import text
 from quern.functions.binding import let
+from quern.functions.text import every_line, joined, lines, stripped
 
 
 def udf(f: Callable, returns: str) -> Callable[..., Column]:
@@ -39,87 +38,93 @@ def udf(f: Callable, returns: str) -> Callable[..., Column]:
     return F.pandas_udf(run, returns)
 
 
-def function_by_type(asm: str, name: str) -> str | None:
-    """From the scope and .type lines of name to its .size line (or the end); None without its label.
+def _places(rows: Column, test: Callable[[Column], Column]) -> Column:
+    """The numbers of the lines that pass a test, from 0."""
+    return F.filter(F.transform(rows, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
 
-    The scope line is put in front where a .type line comes first.
+
+def _first(places: Column, test: Callable[[Column], Column] | None = None) -> Column:
+    """The least place, that passes a test if one is given; null if there is none."""
+    return F.array_min(F.filter(places, test) if test else places)
+
+
+def _quoted(name: Column) -> Column:
+    return F.concat(F.lit("\\Q"), name, F.lit("\\E"))
+
+
+def _span(rows: Column, start: Column, stop: Column) -> Column:
+    """Lines from start to before stop."""
+    return F.slice(rows, start + 1, F.greatest(stop - start, F.lit(0)))
+
+
+def function_by_scope(asm: Column, name: Column) -> Column:
+    """From name's .globl or .global line to .cfi_endproc; without that mark to before .size or .Lfunc_end, else the end. Null if absent."""
+    opens = F.concat(F.lit("^\\s*\\.glob[al]l?\\s+"), _quoted(name), F.lit("\\b"))
+    closes = F.concat(F.lit("^\\s*(?:\\.size\\s+"), _quoted(name), F.lit("\\s*,|\\.Lfunc_end\\d+:)"))
+
+    def cut(rows: Column, start: Column) -> Column:
+        after = lambda i: i > start
+        framed = _first(_places(rows, lambda x: F.contains(x, F.lit(".cfi_endproc"))), after) + 1
+        bare = _first(_places(rows, lambda x: F.regexp_like(x, closes)), after)
+        return F.when(start.isNotNull(), joined(_span(rows, start, F.coalesce(framed, bare, F.size(rows)))))
+
+    return let(lines(asm), lambda rows: let(_first(_places(rows, lambda x: F.regexp_like(x, opens))), lambda start: cut(rows, start)))
+
+
+def function_by_type(asm: Column, name: Column) -> Column:
+    """The scope and .type lines of name, with .align lines after the latter, then from its label to its .size line (or the end); null without a label after a .type line.
+
+    A scope line is put in front where a .type line comes first.
     """
-    n = re.escape(name)
-    kind, scope, size = (re.compile(p) for p in (rf"\.type\s+{n}\s*,\s*[%@]function", rf"\.(?:global|globl)\s+{n}\s*$", rf"\.size\s+{n}\s*,"))
-    rows = asm.split("\n")
-    head: list[str] = []
-    typed = False
-    for i, row in enumerate(rows):
-        t = row.strip()
-        if kind.match(t):
-            typed = True
-            head += [row] if head else [f"\t.global\t{name}", row]
-        elif scope.match(t) or (typed and re.match(r"\.align\s+\d+", t)):
-            head.append(row)
-        elif typed and t == f"{name}:":
-            stop = next((j for j in range(i + 1, len(rows)) if size.match(rows[j].strip())), len(rows) - 1)
-            return "\n".join(head + rows[i : stop + 1])
-    return None
-
-
-def function_by_scope(asm: str, name: str) -> str | None:
-    """From name's .globl or .global line to .cfi_endproc; without that mark to before .size or .Lfunc_end, else the end. None if absent."""
-    scope = re.compile(rf"\.glob[al]l?\s+{re.escape(name)}\b")
-    rows = asm.split("\n")
-    start = next((i for i, r in enumerate(rows) if scope.match(r.strip())), None)
-    if start is None:
-        return None
-    stop = next((i + 1 for i in range(start + 1, len(rows)) if ".cfi_endproc" in rows[i]), None)
-    if stop is None:
-        tail = re.compile(rf"\.size\s+{re.escape(name)}\s*,|\.Lfunc_end\d+:")
-        stop = next((i for i in range(start + 1, len(rows)) if tail.match(rows[i].strip())), len(rows))
-    return "\n".join(rows[start:stop])
+    line = lambda *parts: F.concat(F.lit("^\\s*"), *parts)
+    kind = line(F.lit("\\.type\\s+"), _quoted(name), F.lit("\\s*,\\s*[%@]function"))
+    scope = line(F.lit("\\.(?:global|globl)\\s+"), _quoted(name), F.lit("\\s*$"))
+    size = line(F.lit("\\.size\\s+"), _quoted(name), F.lit("\\s*,"))
 
+    def cut(rows: Column, typed: Column, label: Column) -> Column:
+        before = F.filter(F.transform(_span(rows, F.lit(0), label), lambda x, i: F.when(F.regexp_like(x, kind) | F.regexp_like(x, scope) | ((i > typed) & x.rlike("^\\s*\\.align\\s+\\d+")), x)), lambda x: x.isNotNull())
+        stop = F.coalesce(_first(_places(rows, lambda x: F.regexp_like(x, size)), lambda i: i > label) + 1, F.size(rows))
+        front = lambda head: F.when(F.regexp_like(F.get(head, F.lit(0)), kind), F.array(F.concat(F.lit("\t.global\t"), name))).otherwise(F.array().cast("array<string>"))
+        return F.when(label.isNotNull(), let(before, lambda head: joined(F.concat(front(head), head, _span(rows, label, stop)))))
 
-def parts_of_unit(asm: str, name: str, arch: str, comment: str) -> dict[str, str]:
-    """pre, func and post: a unit's lines before, in and after a function; the function with its own header and without comments."""
-    arm = arch == "arm"
-    scope = f".global {name}" if arm else f".globl {name}"
-    func = [scope, f".type {name}, {'%' if arm else '@'}function"]
-    pre: list[str] = []
-    post: list[str] = []
-    place = "pre"
-    framed = ".cfi_endproc" in asm
-    for row in asm.splitlines():
-        if row.startswith(f"{name}:"):
-            place = "func"
-        if place == "func":
-            func.append(row)
-            if ".cfi_endproc" in row or (arch == "riscv" and not framed and re.search("jr\tra|ret|jr ra", row)):
-                place = "post"
-        elif place == "post":
-            post.append(row)
-        elif scope not in row:
-            pre.append(row)
-    body = [r.split(comment)[0] for r in "\n".join(func).splitlines()]
-    return {"pre": "\n".join(pre) + "\n", "func": "\n".join(r for r in body if r.split()), "post": "\n".join(post) + "\n"}
-
-
-def with_literals(unit: str, func: str) -> str:
-    """func followed by the constants it names, each with the first line that defines it; in order of appearance."""
-    names = [*dict.fromkeys(re.findall(r"\.LC[0-9]*", func)), *dict.fromkeys(re.findall(r"a\.[0-9]*", func))]
-    found = [f"{n}: {m[1]}" for n in names if (m := re.search(rf"{re.escape(n)}:[\r\n]+([^\r\n]+)", unit))]
-    return func + "\n" + "\n".join(found) + "\n"
+    def labelled(rows: Column, typed: Column) -> Column:
+        label = _first(_places(rows, lambda x: stripped(x) == F.concat(name, F.lit(":"))), lambda i: i > typed)
+        return let(label, lambda at: cut(rows, typed, at))
 
+    return let(lines(asm), lambda rows: let(_first(_places(rows, lambda x: F.regexp_like(x, kind))), lambda typed: labelled(rows, typed)))
 
-def edit_distance(a: list, b: list) -> int:
-    """Edits between two sequences of tokens."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
 
+def parts_of_unit(asm: Column, name: Column, arch: str, comment: str) -> Column:
+    """struct(pre, func, post): a unit's lines before, in and after a function; the function with its own header and without comments or blank lines.
 
-def token_distance(a: str, b: str | None) -> int:
-    """Edits between the words of two texts."""
-    return edit_distance(a.split(), (b or "").split())
+    It begins at its label and ends with .cfi_endproc, or in riscv units without that mark with the return. Its scope line leaves pre.
+    """
+    arm = arch == "arm"
+    scope = F.concat(F.lit(".global " if arm else ".globl "), name)
+    header = F.array(scope, F.concat(F.lit(".type "), name, F.lit(", %function" if arm else ", @function")))
+
+    def cut(rows: Column, start: Column) -> Column:
+        returns = lambda x: x.rlike("jr\tra|ret|jr ra") if arch == "riscv" else F.lit(False)
+        framed = F.contains(asm, F.lit(".cfi_endproc"))
+        ends = _places(rows, lambda x: F.contains(x, F.lit(".cfi_endproc")) | (~framed & returns(x)))
+        size = F.size(rows)
+        head = F.coalesce(start, size)
+        tail = F.coalesce(_first(ends, lambda i: i >= start) + 1, size)
+        pre = F.filter(_span(rows, F.lit(0), head), lambda x: ~F.contains(x, scope))
+        func = F.filter(F.transform(F.concat(header, _span(rows, head, tail)), lambda x: F.substring_index(x, comment, 1)), lambda x: x.rlike("\\S"))
+        post = F.when(start.isNotNull(), _span(rows, tail, size)).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.concat(joined(pre), F.lit("\n")).alias("pre"), joined(func).alias("func"), F.concat(joined(post), F.lit("\n")).alias("post"))
+
+    start = lambda rows: _first(_places(rows, lambda x: x.startswith(F.concat(name, F.lit(":")))))
+    return let(every_line(asm), lambda rows: let(start(rows), lambda at: cut(rows, at)))
+
+
+def with_literals(unit: Column, func: Column) -> Column:
+    """func followed by the constants it names, each with the first line that defines it; in order of appearance."""
+    named = lambda pattern: F.array_distinct(F.regexp_extract_all(func, F.lit(f"({pattern})")))
+    line = lambda n: F.call_function("regexp_extract", unit, F.concat(_quoted(n), F.lit(":[\\r\\n]+([^\\r\\n]+)")), F.lit(1))
+    found = F.transform(F.concat(named("\\.LC[0-9]*"), named("a\\.[0-9]*")), lambda n: let(line(n), lambda x: F.when(x != "", F.concat(n, F.lit(": "), x))))
+    return F.concat(func, F.lit("\n"), joined(F.filter(found, lambda x: x.isNotNull())), F.lit("\n"))
 
 
 def alike(a: Any, b: Any) -> bool:
@@ -154,107 +159,8 @@ def literals_to_json(names: list, values: list | None) -> str | None:
         return None
 
 
-#: Registers that a callee may clobber, and the names of the transforms.
-SCRATCH = tuple(range(9, 16))
-TRANSFORMS = ("dead_code", "insn_sub", "opaque_pred", "junk_comp")
-_LOCAL = re.compile(r"\s+[a-z]")
-_BRANCH = re.compile(r"\s+(?:b|bl|br|blr|ret|b\.\w+|cbz|cbnz|tbz|tbnz)\b", re.I)
-
-
-def is_instruction(line: str) -> bool:
-    """An indented mnemonic."""
-    return bool(_LOCAL.match(line)) and not line.lstrip().startswith(".")
-
-
-def is_branch(line: str) -> bool:
-    """An instruction that may leave the straight line."""
-    return bool(_BRANCH.match(line))
-
-
-def _dead(rng: random.Random) -> list[str]:
-    n, value = rng.choice(SCRATCH), rng.randrange(4096)
-    x, w = f"x{n}", f"w{rng.choice(SCRATCH)}"
-    idle = ("nop", f"mov {x}, {x}", f"mov {x}, #{value}", f"add {x}, {x}, #0", f"sub {x}, {x}, #0", f"eor {x}, {x}, xzr", f"orr {x}, {x}, xzr", f"and {w}, {w}, {w}", f"mov {w}, {w}")
-    return [" " * 8 + rng.choice(idle) for _ in range(rng.randint(1, 3))]
-
-
-def _junk(rng: random.Random) -> list[str]:
-    x = f"x{rng.choice(SCRATCH)}"
-    out = [f"mov {x}, #{rng.randint(1, 4095)}"]
-    for _ in range(rng.randint(1, 4)):
-        value = rng.randint(1, 255)
-        out.append(rng.choice((f"add {x}, {x}, #{value}", f"sub {x}, {x}, #{value}", f"eor {x}, {x}, #{value}", f"lsl {x}, {x}, #{value % 4 + 1}", f"mul {x}, {x}, {x}")))
-    return [" " * 8 + r for r in out]
-
-
-#: Instructions and what they may become; {s} is the scratch register of the target's width.
-SUBSTITUTES = (
-    (r"(\s+)add\s+(x\d+|w\d+|sp),\s*(x\d+|w\d+|sp),\s*#(\d*[1-9]\d*)\s*$", (r"{1}mov {s}, #{4}", r"{1}sub {2}, {3}, {s}")),
-    (r"(\s+)mov\s+(x\d+),\s*(x\d+)\s*$", (r"{1}orr {2}, xzr, {3}",)),
-    (r"(\s+)mov\s+(w\d+),\s*(w\d+)\s*$", (r"{1}orr {2}, wzr, {3}",)),
-    (r"(\s+)mov\s+(x\d+|w\d+),\s*(#-?\d+)\s*$", (r"{1}movz {2}, {3}",)),
-    (r"(\s+)cmp\s+(x\d+),\s*(#\d+)\s*$", (r"{1}subs xzr, {2}, {3}",)),
-    (r"(\s+)cmp\s+(w\d+),\s*(#\d+)\s*$", (r"{1}subs wzr, {2}, {3}",)),
-)
-_SUBSTITUTES = tuple((re.compile(p), new) for p, new in SUBSTITUTES)
-
-
-def _substituted(line: str) -> list[str] | None:
-    for pattern, new in _SUBSTITUTES:
-        if m := pattern.match(line):
-            return [t.format(m[0], *m.groups(), s="w15" if m[2].startswith("w") else "x15") for t in new]
-    return None
-
-
-def _guarded(line: str, rng: random.Random, n: int) -> list[str]:
-    x, value = f"x{rng.choice(SCRATCH)}", rng.randint(1, 4095)
-    other, test = rng.choice(((value, "ne"), ((value + 1) % 4096, "eq")))  # neither is ever taken
-    pad = " " * 8
-    return [f"{pad}mov {x}, #{value}", f"{pad}cmp {x}, #{other}", f"{pad}b.{test} .Ljunk_{n}", line, f"{pad}b .Lreal_{n}", f".Ljunk_{n}:", f"{pad}mov x{rng.choice(SCRATCH)}, #{rng.randrange(4096)}", f"{pad}nop", f".Lreal_{n}:"]
-
-
-def transformed(rows: list[str], kind: str, intensity: float, rng: random.Random, label: int = 0) -> list[str]:
-    """Lines under one transform; each that it may touch is touched with the chance intensity (0 to 1, else ValueError). Labels count from label + 1."""
-    if not 0 <= intensity <= 1:
-        raise ValueError(f"intensity {intensity} is not within 0 and 1")
-    if kind not in TRANSFORMS:
-        raise ValueError(f"unknown transform {kind!r}")
-    out: list[str] = []
-    for row in rows:
-        fit = is_instruction(row) and (kind == "insn_sub" or not is_branch(row))
-        if not fit or rng.random() >= intensity:
-            out.append(row)
-        elif kind == "dead_code":
-            out += [row, *_dead(rng)]
-        elif kind == "junk_comp":
-            out += [*_junk(rng), row]
-        elif kind == "opaque_pred":
-            label += 1
-            out += _guarded(row, rng, label)
-        else:
-            out += _substituted(row) or [row]
-    return out
-
-
-def obfuscated(asm: str, seed: int, least: int = 1, most: int = 3, intensity: tuple[float, float] = (0.1, 0.5)) -> str:
-    """A function under a random choice of transforms of its body. The same text and seed give the same result; no body, no change."""
-    rng = random.Random(int.from_bytes(hashlib.blake2b(f"{seed}".encode(), digest_size=8).digest(), "big"))
-    rows = asm.split("\n")
-    start = next((i + 1 for i, r in enumerate(rows) if re.match(r"\s*\.cfi_startproc", r)), 0)
-    stop = next((i for i in range(start, len(rows)) if re.match(r"\s*\.cfi_endproc", rows[i])), len(rows)) if start else len(rows)
-    body = rows[start:stop]
-    if not body:
-        return asm
-    for kind in rng.sample(TRANSFORMS, rng.randint(least, min(most, len(TRANSFORMS)))):
-        labels = sum(r.startswith(".Lreal_") for r in body)
-        body = transformed(body, kind, rng.uniform(*intensity), rng, labels)
-    return "\n".join([*rows[:start], *body, *rows[stop:]])
-
-
 def preprocessed(asm: Column, name: Column, aarch64: Column | None = None) -> Column:
     """A function of a unit as a training sample: cut out, without comments and unwanted directives, header and white space in one form; null if absent."""
-    from quern.functions import text
-
     arm = text.detect_aarch64(asm) if aarch64 is None else aarch64
     form = lambda cut, a: text.clean_whitespace(text.normalize_header(text.drop_directives(text.strip_comments(cut, a)), name, a))
-    return let(udf(function_by_scope, "string")(asm, name), lambda cut: let(arm, lambda a: form(cut, a)))
+    return let(function_by_scope(asm, name), lambda cut: let(arm, lambda a: form(cut, a)))

@@ -176,9 +176,11 @@ METADATA_REFERENCE = ",?\\s*![a-zA-Z0-9]+(\\s+![0-9]+)?"
 
 def normalize_ir(c: Column) -> Column:
     """Trimmed lines without comments, module metadata, inline metadata and attribute groups; structs numbered. Null is empty."""
-    rows = F.filter(F.transform(every_line(c), stripped), lambda x: ~x.rlike(NO_CODE))
-    clean = F.transform(rows, lambda x: stripped(F.regexp_replace(F.regexp_replace(x, METADATA_REFERENCE, ""), "#\\d+", "")))
-    return F.coalesce(_renumbered(joined(F.filter(clean, lambda x: x != "")), "%struct.struct"), F.lit(""))
+    within = lambda p: p.replace("\\s", "[^\\S\\n]")  # white space, but no line feed
+    out = F.regexp_replace(c, LINE_ENDS, "\n")
+    for old, new in ((within(f"(?m)^\\s*{NO_CODE[1:]}.*$"), ""), (within(METADATA_REFERENCE), ""), ("#\\d+", ""), (within("(?m)^\\s+|\\s+$"), ""), ("\\n{2,}", "\n"), ("\\A\\n|\\n\\z", "")):
+        out = F.regexp_replace(out, old, new)
+    return F.coalesce(let(out, lambda t: F.when(F.contains(t, F.lit("%struct.")), _renumbered(t, "%struct.struct")).otherwise(t)), F.lit(""))
 
 
 def tokens(c: Column) -> Column:
@@ -192,12 +194,17 @@ def filtered_module(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, "#\\S+", ""), ",?\\s*![a-zA-Z0-9]+", "")
 
 
+#: What decoded model output has replaced, before and after line marks are taken out, in order.
+DECODED = (("<eol> ", "\n"), ("<eol>", "\n"), ("<tab> ", "\t"), ("<tab>", "\t"), ("<mask:0>", ""), ("<pad>", ""), ("<s>", ""), ("</s>", ""))
+DECODED_AFTER = (("0x ", "0x"), (" #", ""), ("return", "return "), ("return  ", "return "), ("static", ""), ("inline", ""))
+
+
 def detokenized(c: Column) -> Column:
     """Decoded model output as text: markers, special tokens and line marks taken out, in a fixed order."""
-    for old, new in (("<eol> ", "\n"), ("<eol>", "\n"), ("<tab> ", "\t"), ("<tab>", "\t"), ("<mask:0>", ""), ("<pad>", ""), ("<s>", ""), ("</s>", "")):
+    for old, new in DECODED:
         c = F.replace(c, F.lit(old), F.lit(new))
     c = F.regexp_replace(c, "# (/\\w+)*", "")
-    for old, new in (("0x ", "0x"), (" #", ""), ("return", "return "), ("return  ", "return "), ("static", ""), ("inline", "")):
+    for old, new in DECODED_AFTER:
         c = F.replace(c, F.lit(old), F.lit(new))
     return F.replace(F.regexp_replace(c, "# (/\\w+)*", ""), F.lit("__attribute__((used))"), F.lit(""))
 

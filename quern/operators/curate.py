@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.metrics import rate
+from quern.sources.places import scratch
 
 #: The three transforms that rows are fanned out over.
 TECHNIQUES = ("Flatten", "EncodeArithmetic", "Flatten+EncodeArithmetic")
@@ -98,18 +99,29 @@ def shares(df: DataFrame, *by: str) -> DataFrame:
     return counts.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row for each group
 
 
-def numbered(df: DataFrame, key: str, bucket_rows: int = 100_000, name: str = "rn") -> DataFrame:
-    """df with the place of each row by a numeric key, from 1, without taking all rows to one task.
+def dealt(df: DataFrame, *by: str | Column) -> DataFrame:
+    """df in the order of by, with _p (a range of that order) and _i (the place within it, from 0).
 
-    Rows are dealt into value ranges with even counts; a range's first place is the number of rows below it.
+    Ranges are dealt out by one shuffle and written to the scratch folder, so that a range stays what it
+    is however often it is read, and whichever executors are lost.
     """
-    n = max(1, df.count() // bucket_rows)
-    cuts = df.approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    dealt = df.withColumn("_b", bucket)
-    below = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = dealt.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_first"))
-    return dealt.join(F.broadcast(firsts), "_b").withColumn(name, F.col("_first") + F.row_number().over(Window.partitionBy("_b").orderBy(key))).drop("_b", "_first")
+    spark = df.sparkSession
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_p": F.spark_partition_id(), "_i": place})
+    path = scratch(spark, "dealt")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *by: str | Column, name: str = "rn") -> DataFrame:
+    """df with the place of each row by its keys, from 1, without taking all rows to one task; rows with equal keys take any order.
+
+    A range's first place is the number of rows in those before it: one small row for each range.
+    """
+    rows = dealt(df, *by)
+    below = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = rows.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_first"))
+    return rows.join(F.broadcast(firsts), "_p").withColumn(name, F.col("_first") + F.col("_i") + 1).drop("_p", "_i", "_first")
 
 
 def chunk(df: DataFrame, key: str, skip: int, most: int) -> DataFrame:
@@ -122,13 +134,59 @@ def sharded(df: DataFrame, key: str, rows: int, name: str = "shard_id") -> DataF
     return numbered(df, key).withColumn(name, F.floor((F.col("rn") - 1) / rows)).drop("rn")
 
 
+def shuffled(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """df with the place of each row, from 1, in an order by a hash of seed and key; ties go by key."""
+    return numbered(df, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key), name=name)
+
+
 def fail_streak_stop(df: DataFrame, order: str, failed: Column, most: int, group: str | None = None) -> DataFrame:
-    """(group, stop_at): where the run of failures first reaches most, by order; a success ends a run. Groups that never stop have no row."""
+    """(group, stop_at): where the run of failures first reaches most, by order; a success ends a run. Groups that never stop have no row.
+
+    Runs are counted within ranges of the order, and each range takes over the length of the run
+    that the ranges before it leave open, so neither all rows nor a large group go to one task.
+    """
+    keys = [group] if group else []
+    rows = dealt(df.select(*keys, F.col(order).alias("_o"), F.coalesce(failed, F.lit(False)).cast("int").alias("_bad")), *keys, "_o")
+    own = Window.partitionBy(*keys, "_p").orderBy("_i")
+    rows = rows.withColumn("_island", F.sum(1 - F.col("_bad")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    run = F.sum("_bad").over(Window.partitionBy(*keys, "_p", "_island").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_run", run)
+    # a row for each range (and group): whether a run may go through it, and the run that it leaves open
+    ends = rows.groupBy(*keys, "_p").agg(F.max("_island").alias("_islands"), F.max_by("_run", "_i").alias("_open"))
+    over = Window.partitionBy(*keys).orderBy("_p")
+    ends = ends.withColumn("_chain", F.sum(F.when(F.col("_islands") > 0, 1).otherwise(0)).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("_out", F.sum("_open").over(Window.partitionBy(*keys, "_chain").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
+    taken = ends.select(*keys, "_p", F.coalesce(F.lag("_out").over(over), F.lit(0)).alias("_in"))
+    joined = rows.join(taken, "_p") if not group else rows.join(taken.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")) & (rows["_p"] == taken["_p"]))
+    full = F.col("_run") + F.when(F.col("_island") == 0, F.col("_in")).otherwise(0)
+    return joined.where((F.col("_bad") == 1) & (full >= most)).groupBy(*keys).agg(F.min("_o").alias("stop_at")).where("stop_at is not null")
+
+
+def overall_first(df: DataFrame, order: str, fit: Column, most: int) -> DataFrame:
+    """One row: how many fit rows a loop by order takes, so many at most, and how many rows it sees until it stops: that of the first fit row too many is seen as well."""
+    last = df.where(fit).select(order).orderBy(order).limit(most + 1).agg(F.count("*").alias("n"), F.max(order).alias("at"))
+    seen = df.join(F.broadcast(last), (F.col("n") <= most) | (F.col(order) <= F.col("at")))  # one row
+    counts = seen.agg(F.least(F.lit(most), F.count_if(fit)).alias("evaluated"), F.count("*").alias("seen"))
+    return counts.select(F.col("evaluated").cast("long").alias("evaluated"), "seen")
+
+
+def grouped_lists(df: DataFrame, key: Column, value: str, name: str = "seed") -> DataFrame:
+    """(key, n, ids): the rows of each key with their values in order."""
+    return df.groupBy(key.alias(name)).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(value)).alias("ids"))
+
+
+def full_batches(df: DataFrame, order: Sequence[str], size: int, group: str | None = None) -> DataFrame:
+    """df with batch (from 0 in its group), by order, without the rows of a last batch that is short."""
     keys = [group] if group else []
-    by = Window.partitionBy(*keys).orderBy(order)
-    rows = df.withColumns({"_bad": failed.cast("int")}).withColumn("_island", F.sum(1 - F.col("_bad")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    run = F.sum("_bad").over(Window.partitionBy(*keys, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_run", run).where(F.col("_run") >= most).groupBy(*keys).agg(F.min(order).alias("stop_at")).where("stop_at is not null")
+    rows = dealt(df, *keys, *order)
+    counts = rows.groupBy(*keys, "_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_least"))
+    by = Window.partitionBy(*keys)
+    below = by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(*[F.col(k).alias("_g") for k in keys], F.col("_p").alias("_q"), "_least", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_first"), F.sum("_c").over(by).alias("_all"))
+    same = F.col("_p") == F.col("_q")
+    placed = rows.join(firsts, same & F.col(group).eqNullSafe(F.col("_g")) if group else same)
+    batch = F.floor((F.col("_first") + F.col("_i") - F.col("_least")) / size)
+    return placed.withColumn("batch", batch).where((F.col("batch") + 1) * size <= F.col("_all")).drop("_p", "_i", "_q", "_g", "_least", "_first", "_all")
 
 
 def merged_stats(parts: DataFrame, stats: str = "generation_stats", counters: str = "samples_per_transform") -> DataFrame:

@@ -2,8 +2,8 @@
 
 documents plays the fact table (lang its technique, source its split), labels its metadata,
 conversations predictions and references, events counters and payloads, and lineitem and
-orders volume. Queries read their tables whole, but for group_by_seed and io_compare, whose
-SQL takes some events: group_by_seed_all and io_compare_all take all.
+orders volume. Queries read their tables whole. Those named _whole score whole texts, which beside
+them are scored in ASCII, for SQL counts bytes there.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import arrays, asm, metrics, text
+from quern.functions import arrays, asm, metrics, rewrites, text
 from quern.operators import batching, curate, external, routing
 from quern.sources import places, scans, sinks
 from quern.streaming import increments
@@ -94,14 +94,24 @@ def _bleu(turns: DataFrame) -> DataFrame:
     return curate.overall(_once(parts.select("technique", "parts"), "parts"), [F.round(metrics.bleu_score(F.col("parts")), 6).alias("bleu")], "technique")
 
 
-@query(_TURNS + f""", w AS (SELECT conv_id, turn, technique, 'p' AS side, list_filter(string_split_regex(prediction, '\\s+'), lambda x: x <> '') AS w FROM p
-  UNION ALL SELECT conv_id, turn, technique, 'r', list_filter(string_split_regex(reference, '\\s+'), lambda x: x <> '') FROM p),
+def _sql_13a(c: str) -> str:
+    """The words of metrics.words_13a, for text in ASCII."""
+    c = f"regexp_replace({c}, '\\s+$', '')"
+    for at, (old, new) in enumerate(metrics.TOKENS_13A):
+        c = f"(' ' || {c} || ' ')" if at == 7 else c
+        c = f"regexp_replace({c}, '{old}', '{new.replace('$', chr(92))}', 'g')"
+    return f"list_filter(string_split_regex({c}, '\\s+'), lambda x: x <> '')"
+
+
+@query(_TURNS + f""", w AS (SELECT conv_id, turn, technique, 'p' AS side, {_sql_13a('prediction')} AS w FROM p
+  UNION ALL SELECT conv_id, turn, technique, 'r', {_sql_13a('reference')} FROM p),
   g AS ({_GRAMS}),
   c AS (SELECT technique, n, count(*) FILTER (WHERE side = 'p') AS a, count(*) FILTER (WHERE side = 'r') AS b FROM g GROUP BY conv_id, turn, technique, n, gram),
   m AS (SELECT coalesce(technique, 'ALL') AS technique, n, sum(least(a, b)) AS hit, sum(a) AS total FROM c GROUP BY GROUPING SETS ((n), (technique, n))),
+  h AS (SELECT *, CASE WHEN hit > 0 THEN hit ELSE pow(0.5, count(*) FILTER (WHERE hit = 0) OVER (PARTITION BY technique ORDER BY n)) END AS smooth FROM m),
   l AS (SELECT coalesce(technique, 'ALL') AS technique, sum(len(w)) FILTER (WHERE side = 'p') AS s, sum(len(w)) FILTER (WHERE side = 'r') AS r FROM w GROUP BY GROUPING SETS ((), (technique)))
-  SELECT technique, round(CASE WHEN min(hit) = 0 THEN 0 ELSE 100 * (CASE WHEN any_value(s) >= any_value(r) THEN 1 ELSE exp(1 - any_value(r) / any_value(s)) END) * exp(sum(ln(greatest(hit, 1) / total)) / 4) END, 6) AS bleu
-  FROM m JOIN l USING (technique) GROUP BY technique""")
+  SELECT technique, round(CASE WHEN max(hit) FILTER (WHERE n = 1) = 0 OR max(total) FILTER (WHERE n = 4) = 0 THEN 0 ELSE 100 * (CASE WHEN any_value(s) >= any_value(r) THEN 1 ELSE exp(1 - any_value(r) / any_value(s)) END) * exp(sum(ln(smooth / total)) / 4) END, 6) AS bleu
+  FROM h JOIN l USING (technique) GROUP BY technique""")
 def eval_bleu_grouped(t):
     return _bleu(_turns(t))
 
@@ -127,7 +137,7 @@ def pair_metrics_whole(t):
 
 @query()
 def token_distance(t):
-    return _whole_turns(t).select("conv_id", "turn", asm.udf(asm.token_distance, "int")(F.col("prediction"), F.col("reference")).alias("edits"))
+    return _whole_turns(t).select("conv_id", "turn", metrics.token_distance(F.col("prediction"), F.col("reference")).alias("edits"))
 
 
 # --- enrichment -------------------------------------------------------------
@@ -200,9 +210,7 @@ def chunk_slice(t):
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id))::BIGINT AS place FROM documents")
 def seeded_shuffle(t):
-    h = t("documents").select("doc_id", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("h"))
-    h = h.withColumn("k", F.conv(F.substring("h", 1, 13), 16, 10).cast("long"))  # as many leading bits as a double orders exactly
-    return curate.numbered(h, "k", name="place").select("doc_id", F.col("place").cast("long").alias("place"))
+    return curate.shuffled(t("documents").select("doc_id"), "doc_id", 7).select("doc_id", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE value IS NOT NULL ORDER BY event_id DESC LIMIT 10")
@@ -242,9 +250,7 @@ def category_filter(t):
 @query("WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE length(text) >= 100), s AS (SELECT min(doc_id) AS stop FROM k WHERE rn > 50) SELECT least(50, (SELECT count(*) FROM k)) AS evaluated, (SELECT count(*) FROM documents WHERE stop IS NULL OR doc_id <= stop) AS seen FROM s")
 def sample_stop(t):
     d = t("documents").select("doc_id", (F.length("text") >= 100).alias("fit"))
-    last = d.where("fit").orderBy("doc_id").limit(51)  # the row at which the loop would stop
-    ends = last.agg(F.count("*").alias("n"), F.max("doc_id").alias("at"))
-    return d.crossJoin(F.broadcast(ends)).agg(F.least(F.lit(50), F.max("n")).cast("long").alias("evaluated"), F.count_if((F.col("n") < 51) | (F.col("doc_id") <= F.col("at"))).alias("seen"))  # one row
+    return curate.overall_first(d, "doc_id", F.col("fit"), 50)
 
 
 # --- statistics -------------------------------------------------------------
@@ -297,15 +303,9 @@ def validity_rates(t):
     return _checks(t).agg(F.round(100 * F.avg(F.col("syntax_valid").cast("int")), 6).alias("syntax_pct"), F.round(100 * F.avg(F.col("compiles").cast("int")), 6).alias("compile_pct"))
 
 
-@query(f"SELECT user_id % 50 AS seed, count(*) AS n, {_sql_text('list_sort(list(event_id))')} AS ids FROM events WHERE event_type = 'purchase' OR event_id % 100 = 0 GROUP BY 1")
-def group_by_seed(t):
-    rows = t("events").where("event_type = 'purchase' OR event_id % 100 = 0")
-    return rows.groupBy((F.col("user_id") % 50).alias("seed")).agg(F.count("*").alias("n"), _text_of(F.array_sort(F.collect_list("event_id"))).alias("ids"))
-
-
 @query(f"SELECT user_id % 50 AS seed, count(*) AS n, {_sql_text('list_sort(list(event_id))')} AS ids FROM events GROUP BY 1")
-def group_by_seed_all(t):
-    return t("events").groupBy((F.col("user_id") % 50).alias("seed")).agg(F.count("*").alias("n"), _text_of(F.array_sort(F.collect_list("event_id"))).alias("ids"))
+def group_by_seed(t):
+    return curate.grouped_lists(t("events"), F.col("user_id") % 50, "event_id").withColumn("ids", _text_of(F.col("ids")))
 
 
 @query("SELECT round(sum(value * (event_id % 5)) / greatest(sum(event_id % 5), 1), 6) AS mean_loss, count(*) AS n FROM events")
@@ -439,7 +439,20 @@ def truncate_block(t):
     return _doc(t, text.truncate_ir(_module_column()))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN '/* BEGIN FUNCTION-DEF f' || doc_id || ' */' || chr(10) || regexp_replace(text, '\\n$', '') || chr(10) || '/* END FUNCTION-DEF f' || doc_id || ' */' END AS t FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\x0c]')")
+def _sql_lines(c: str) -> str:
+    """The lines of text.every_line."""
+    ends = "\\r\\n|[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
+    return f"string_split(regexp_replace(regexp_replace({c}, '{ends}', chr(10), 'g'), '\\n\\z', ''), chr(10))"
+
+
+def _sql_joined(c: str) -> str:
+    return f"array_to_string({c}, chr(10))"
+
+
+_MARKED = "'/* BEGIN FUNCTION-DEF f' || doc_id || ' */' || chr(10) || regexp_replace(text, '\\n$', '') || chr(10) || '/* END FUNCTION-DEF f' || doc_id || ' */'"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN {_sql_joined(_sql_lines(_MARKED))} END AS t FROM documents")
 def span_extract(t):
     d = t("documents").withColumn("name", F.concat(F.lit("f"), F.col("doc_id").cast("string")))
     begin = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("head\n/* BEGIN FUNCTION-DEF "), F.col("name"), F.lit("1 */\n/* BEGIN FUNCTION-DEF "), F.col("name"), F.lit(" */\n"))).otherwise(F.lit(""))
@@ -447,7 +460,7 @@ def span_extract(t):
     return d.select("doc_id", text.extract_marked(body, F.col("name")).alias("t"))
 
 
-_LINES = "string_split(regexp_replace(text, '\\n$', ''), chr(10))"
+_LINES = _sql_lines("text")
 
 
 @query(f"SELECT doc_id, CASE WHEN len(k) = 0 THEN '' ELSE array_to_string(k, chr(10)) || chr(10) END AS t FROM (SELECT doc_id, list_filter(list_transform({_LINES}, lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') AS k FROM documents)")
@@ -460,14 +473,14 @@ def comment_strip(t):
     return _doc(t, text.strip_comments(F.col("text"), F.lit(False)))
 
 
-@query("SELECT doc_id, text || chr(10) || chr(9) || '.cfi_endproc' AS t FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\x0c]')")
+@query(f"SELECT doc_id, {_sql_joined("list_filter(ls, lambda x: NOT regexp_matches(x, '^(" + '|'.join(text.UNWANTED_DIRECTIVES) + ")'))")} AS t FROM (SELECT doc_id, {_sql_lines("text || chr(10) || chr(9) || '.cfi_endproc'")} AS ls FROM documents)")
 def directive_drop(t):
     return t("documents").select("doc_id", text.drop_directives(F.concat(F.lit("\t.file \"a.c\"\n\t.text\n"), F.col("text"), F.lit("\n\t.cfi_endproc\n.Lfunc_end0:\n\t.size f, .-f"))).alias("t"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '.global f' || chr(10) || '.type f, %function' ELSE '.globl f' || chr(10) || '.type f, @function' END || chr(10) || 'f:' || chr(10) || lang AS t FROM documents")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '.global f' || chr(10) || '.type f, %function' ELSE '.globl f' || chr(10) || '.type f, @function' END || chr(10) || {_sql_joined(_sql_lines("'f:' || chr(10) || text"))} AS t FROM documents")
 def header_normalize(t):
-    body = F.concat(F.lit("\t.globl\tf\n\t.type\tf,@function\nf:\n"), F.col("lang"))
+    body = F.concat(F.lit("\t.globl\tf\n\t.type\tf,@function\nf:\n"), F.col("text"))
     return _doc(t, text.normalize_header(body, F.lit("f"), F.col("doc_id") % 2 == 0))
 
 
@@ -476,20 +489,36 @@ def deps_clean(t):
     return _doc(t, text.clean_deps(F.concat(F.lit("typedef int bool;\nint x;\n# define true 1\n"), F.col("text"))))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS t FROM documents")
+def _sql_score(*tests: str) -> str:
+    """The lines of ls that pass, summed over the tests; other than ASCII counts as letters."""
+    return " + ".join(f"coalesce(list_sum(list_transform(ls, lambda x: ({test})::INTEGER)), 0)" for test in tests)
+
+
+_TRIM = "regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(9) || 'sub' || chr(9) || 'sp, sp, #16' || chr(10) WHEN 1 THEN chr(9) || 'pushq' || chr(9) || '%rbp' || chr(10) WHEN 2 THEN '# ' ELSE chr(9) || 'ret' || chr(10) END || text AS code FROM documents),
+  l AS (SELECT doc_id, list_transform({_sql_lines("code")}[1:{text.LOOKED_AT}], lambda x: regexp_replace(x, '[^\\x00-\\x7F]', 'Z', 'g')) AS ls FROM c)
+  SELECT doc_id, {_sql_score(f"regexp_matches(x, '{text.AARCH64_OPS}')", f"regexp_matches(x, '{text.AARCH64_REGISTERS}')", f"starts_with({_TRIM}, '//') OR ends_with({_TRIM}, '//')")}
+  > {_sql_score(f"regexp_matches(x, '{text.X86_REGISTERS}')", f"starts_with({_TRIM}, '#') AND NOT starts_with({_TRIM}, '#include')")} AS t FROM l""")
 def arch_detect(t):
-    code = F.when(F.col("doc_id") % 2 == 0, F.lit("\tsub\tsp, sp, #16\n\tstr\tw0, [sp, 12]\n\tret\n")).otherwise(F.lit("# x86\n\tpushq\t%rbp\n"))
+    k = F.col("doc_id") % 4
+    code = F.concat(F.when(k == 0, "\tsub\tsp, sp, #16\n").when(k == 1, "\tpushq\t%rbp\n").when(k == 2, "# ").otherwise("\tret\n"), F.col("text"))
     return _doc(t, text.detect_aarch64(code))
 
 
-@query(f"SELECT doc_id, 3::INTEGER AS n_header, len(string_split(text, chr(10)))::INTEGER AS n_body, 2::INTEGER AS n_footer FROM documents WHERE NOT contains(text, '.cfi_')")
+_FRAMED = "string_split('.globl f' || chr(10) || 'f:' || chr(10) || chr(9) || '.cfi_startproc' || chr(10) || text || chr(10) || chr(9) || '.cfi_endproc' || chr(10) || '.size f', chr(10))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_FRAMED} AS ls FROM documents), c AS (SELECT *, 3 + list_position(list_transform(ls[4:], lambda x: regexp_matches(x, '^[ \\t\\n\\x0b\\f\\r]*\\.cfi_endproc')), true) AS stop FROM l)
+  SELECT doc_id, {_sql_joined("ls[1:3]")} AS header, {_sql_joined("ls[4:stop - 1]")} AS body, {_sql_joined("ls[stop:]")} AS footer FROM c""")
 def function_split(t):
     body = F.concat(F.lit(".globl f\nf:\n\t.cfi_startproc\n"), F.col("text"), F.lit("\n\t.cfi_endproc\n.size f"))
     s = t("documents").select("doc_id", text.split_function(body).alias("s"))
-    return s.select("doc_id", F.size("s.header").alias("n_header"), F.size("s.body").alias("n_body"), F.size("s.footer").alias("n_footer"))
+    return s.select("doc_id", *[text.joined(F.col(f"s.{c}")).alias(c) for c in ("header", "body", "footer")])
 
 
-@query("""WITH l AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\\n$', ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ls FROM documents), k AS (SELECT doc_id, list_filter(ls, lambda x: NOT regexp_matches(x, '^(;|source_filename|target datalayout|target triple|attributes|!)')) AS ls FROM l)
+@query("""WITH l AS (SELECT doc_id, list_transform(""" + _LINES + """, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ls FROM documents), k AS (SELECT doc_id, list_filter(ls, lambda x: NOT regexp_matches(x, '^(;|source_filename|target datalayout|target triple|attributes|!)')) AS ls FROM l)
   SELECT doc_id, array_to_string(list_filter(list_transform(ls, lambda x: regexp_replace(regexp_replace(regexp_replace(x, ',?\\s*![a-zA-Z0-9]+(\\s+![0-9]+)?', '', 'g'), '#[0-9]+', '', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS t FROM k""")
 def ir_normalize(t):
     return _doc(t, text.normalize_ir(F.col("text")))
@@ -500,21 +529,37 @@ def whitespace_tokens(t):
     return t("documents").select("doc_id", _text_of(text.tokens(F.col("text"))).alias("tokens"))
 
 
-@query("SELECT doc_id, 'a' || chr(10) || 'b' || chr(9) || 'return x 0x1' || lang AS t FROM documents")
+def _sql_replaced(c: str, pairs) -> str:
+    for old, new in pairs:
+        shown = "".join({"\n": "' || chr(10) || '", "\t": "' || chr(9) || '"}.get(x, x) for x in new)
+        c = f"replace({c}, '{old}', '{shown}')"
+    return c
+
+
+_MARK = "'# (/\\w+)*', '', 'g'"
+
+
+@query(f"""SELECT doc_id, replace(regexp_replace({_sql_replaced(f"regexp_replace({_sql_replaced("'<s>a<eol> b<tab> return x 0x 1' || text || '</s><pad><mask:0> # /a inline'", text.DECODED)}, {_MARK})", text.DECODED_AFTER)}, {_MARK}), '__attribute__((used))', '') AS t FROM documents""")
 def detokenize_clean(t):
-    return _doc(t, text.detokenized(F.concat(F.lit("<s>a<eol> b<tab> return x 0x 1"), F.col("lang"), F.lit("</s><pad><mask:0>"))))
+    return _doc(t, text.detokenized(F.concat(F.lit("<s>a<eol> b<tab> return x 0x 1"), F.col("text"), F.lit("</s><pad><mask:0> # /a inline"))))
+
+
+_MODULE = "'; ModuleID' || chr(10) || '%struct.a = type { i32 }' || chr(10) || 'define i32 @f() {' || chr(10) || text || chr(10) || '}' || chr(10) || 'declare void @g() #1' || chr(10) || 'attributes #1 = {}' || chr(10) || '!0 = !{}'"
 
 
-@query("SELECT doc_id, '%struct.a = type { i32 }' || chr(10) || 'define i32 @f() {' || chr(10) || lang || chr(10) || '}' || chr(10) || 'declare void @g() ' AS t FROM documents")
+@query(f"""SELECT doc_id, regexp_replace(regexp_replace({_sql_joined(f"list_filter({_sql_lines(_MODULE)}, lambda x: x <> '' AND NOT regexp_matches(x, '{text.NO_CODE}'))")}, '#\\S+', '', 'g'), ',?\\s*![a-zA-Z0-9]+', '', 'g') AS t FROM documents""")
 def module_filter(t):
-    body = F.concat(F.lit("; ModuleID\n%struct.a = type { i32 }\ndefine i32 @f() {\n"), F.col("lang"), F.lit("\n}\ndeclare void @g() #1\nattributes #1 = { nounwind }\n!0 = !{}"))
+    body = F.concat(F.lit("; ModuleID\n%struct.a = type { i32 }\ndefine i32 @f() {\n"), F.col("text"), F.lit("\n}\ndeclare void @g() #1\nattributes #1 = {}\n!0 = !{}"))
     return _doc(t, text.filtered_module(body))
 
 
-@query("SELECT doc_id, true AS has_main, length(text) AS n FROM documents")
+_DEFINITION = "regexp_replace(regexp_replace('static inline ' || text, '__attribute__\\s*\\(\\s*\\(\\s*used\\s*\\)\\s*\\)\\s*', '', 'g'), '\\bstatic\\s+inline\\b', '', 'g')"
+
+
+@query(f"SELECT doc_id, '{text.DEPS_BEGIN}' || chr(10) || 'int q;' || chr(10) || '{text.DEPS_END}' || chr(10) || chr(10) || {_DEFINITION} || CASE WHEN regexp_matches(text, '\\b(int|void)\\s+main\\s*\\(') THEN '' ELSE chr(10) || chr(10) || '{text.EMPTY_MAIN}' END AS t FROM documents")
 def translation_units(t):
-    unit = text.translation_unit(F.concat(F.lit("static inline "), F.col("text")), F.lit("typedef int bool;"))
-    return t("documents").select("doc_id", F.endswith(unit, F.lit("\n\nint main(void) { return 0; }")).alias("has_main"), (F.length(unit) - F.length(text.translation_unit(F.lit(" "), F.lit(None).cast("string")))).cast("long").alias("n"))
+    unit = text.translation_unit(F.concat(F.lit("static inline "), F.col("text")), F.lit("typedef int bool;\nint q;"))
+    return _doc(t, F.regexp_replace(unit, "(?s)\\A.*?#endif\n(?=/\\* ---)", ""))
 
 
 @query("SELECT doc_id, 'f' || doc_id AS t FROM documents")
@@ -569,22 +614,18 @@ def json_roundtrip(t):
     return t("events").select("event_id", F.get_json_object(again, "$.k").alias("k"), arrays.same_keys(F.map_keys(parsed), F.array(F.lit("k"))).alias("one_key"))
 
 
-@query("SELECT event_id, abs(value - (value + (event_id % 3) / 1000 * value)) <= 1e-3 * greatest(abs(value), abs(value + (event_id % 3) / 1000 * value)) AS near FROM events WHERE event_id % 3 <> 1")
-def io_compare(t):
-    v = F.col("value")
-    return t("events").where("event_id % 3 <> 1").select("event_id", arrays.close(v, v + (F.col("event_id") % 3) / 1000 * v).alias("near"))
-
-
 @query("SELECT event_id, abs(value - (value + (event_id % 3)::DOUBLE * 7 / 10000 * value)) <= 1e-3 * greatest(abs(value), abs(value + (event_id % 3)::DOUBLE * 7 / 10000 * value)) AS near FROM events")
-def io_compare_all(t):
+def io_compare(t):
     v = F.col("value")
     return t("events").select("event_id", arrays.close(v, v + (F.col("event_id") % 3).cast("double") * 7 / 10000 * v).alias("near"))
 
 
-@query("SELECT event_id, true AS same FROM events")
+@query("SELECT event_id, event_id % 5 < 3 AND event_id % 7 <> 0 AS same FROM events")
 def io_compare_nested(t):
     a = F.concat(F.lit('{"a": [1, 2.0, {"p": '), F.col("props"), F.lit("}]}"))
-    b = F.concat(F.lit('{"a": [1.0, 2.0001, {"p": '), F.col("props"), F.lit("}]}"))
+    near = (F.lit(2.0) + F.col("event_id") % 5 * 0.0008).cast("string")  # off by four ten-thousandths for each
+    key = F.when(F.col("event_id") % 7 == 0, "q").otherwise("p")
+    b = F.concat(F.lit('{"a": [1.0, '), near, F.lit(', {"'), key, F.lit('": '), F.col("props"), F.lit("}]}"))
     return t("events").select("event_id", asm.udf(asm.json_alike, "boolean")(a, b).alias("same"))
 
 
@@ -605,12 +646,28 @@ def wrapped_samples(t):
     return t("documents").select("doc_id", F.concat_ws(" ", own, masked).alias("right_form"), left.alias("left_form"))
 
 
-@query("SELECT doc_id, text AS target, lang || '3' AS source FROM documents")
+def _values(rows) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+
+
+_KEY = "'angha_' || {} || '_' || {}.key"
+
+
+@query(f"""WITH p(source, target, pair) AS ({_values(map(str.split, routing.PAIRS.strip().splitlines()))}), k(code, key) AS ({_values(routing.CODES.items())}),
+  r AS (SELECT *, replace(split_part(pair, '-', 1), split_part(pair, '-', 2), '') AS rest, split_part(pair, '-', 2) AS lang, pair IN ({", ".join(f"'{x}'" for x in routing.SOURCE_BY_TARGET_COMPILER.split())}) AS swapped FROM p),
+  c AS (SELECT *, CASE WHEN contains(rest, 'ir') THEN 'clang' ELSE 'gcc' END AS own, CASE WHEN contains(rest, 'ir') OR contains(lang, 'ir') THEN 'clang' ELSE 'gcc' END AS other FROM r),
+  f AS (SELECT c.pair, CASE WHEN c.source = 'c' THEN '' ELSE {_KEY.format("CASE WHEN swapped THEN other ELSE own END", "s")} END AS source, CASE WHEN c.target = 'c' THEN '' ELSE {_KEY.format("other", "g")} END AS target
+    FROM c LEFT JOIN k s ON s.code = c.source LEFT JOIN k g ON g.code = c.target WHERE (c.source = 'c' OR s.key IS NOT NULL) AND (c.target = 'c' OR g.key IS NOT NULL))
+  SELECT pair, count(*) AS n, sum(length(text) + length(f.source))::BIGINT AS source_chars, sum(length(text) + length(f.target))::BIGINT AS target_chars, min(f.source || text) AS least_source, max(f.target || text) AS most_target FROM f, documents GROUP BY pair""")
 def routed_pairs(t):
-    keys = F.array(F.lit("angha_gcc_x86_O0"), F.lit("angha_gcc_x86_O3"))
-    d = t("documents").select("doc_id", F.col("text").alias("func_def"), F.struct(keys.alias("target"), F.array(F.concat("lang", F.lit("0")), F.concat("lang", F.lit("3"))).alias("code")).alias("asm"))
-    source, target = routing.routed("opt3_c-c")
-    return d.select("doc_id", source.alias("source"), target.alias("target"))
+    """Every routed pair over every document, whose code under a key is the key and the text."""
+    names = sorted({f"angha_{c}_{k}" for c in ("gcc", "clang") for k in routing.CODES.values()})
+    held = F.struct(F.array(*map(F.lit, names)).alias("target"), F.transform(F.array(*map(F.lit, names)), lambda k: F.concat(k, F.col("text"))).alias("code"))
+    d = t("documents").select(F.col("text").alias("func_def"), held.alias("asm"))
+    pairs = [p for p in routing.PAIRS.split()[2::3] if not routing.route(p).missing]
+    each = [F.struct(F.lit(p).alias("pair"), *(c.alias(n) for n, c in zip(("source", "target"), routing.routed(p), strict=True))) for p in pairs]
+    rows = d.select(F.explode(F.array(*each)).alias("e")).select("e.*")
+    return rows.groupBy("pair").agg(F.count("*").alias("n"), F.sum(F.length("source")).alias("source_chars"), F.sum(F.length("target")).alias("target_chars"), F.min("source").alias("least_source"), F.max("target").alias("most_target"))
 
 
 # --- assembly and programs --------------------------------------------------
@@ -625,27 +682,36 @@ def asm_preprocess(t):
     return _doc(t, asm.preprocessed(_unit(), F.lit("f")))
 
 
-@query()
+def _sums_of_words():
+    """A function that adds the lengths of a text's words, one by one."""
+    steps = F.transform(text.tokens(F.col("text")), lambda w: F.concat(F.lit("\tadd x0, x0, #"), F.least(F.length(w), F.lit(4095)).cast("string")))
+    return F.concat(F.lit("f:\n\t.cfi_startproc\n\tmov x0, #7\n\tmov x1, x0\n"), text.joined(steps), F.lit("\n\tcmp x0, #3\n\tret\n\t.cfi_endproc"))
+
+
+@query("SELECT doc_id, (7 + coalesce(list_sum(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda w: least(length(w), 4095))), 0))::BIGINT AS x0, 7::BIGINT AS x1, true AS longer FROM documents")
 def asm_transforms(t):
-    code = F.lit("f:\n\t.cfi_startproc\n        mov x0, x1\n        add x0, x0, #4\n        cmp w1, #3\n        ret\n\t.cfi_endproc")
-    return _doc(t, asm.udf(asm.obfuscated, "string")(code, curate.seeds(F.col("doc_id"))))
+    """What rewritten functions compute when a machine runs them: the same as before, though their texts are longer."""
+    code = t("documents").select("doc_id", _sums_of_words().alias("code"))
+    new = code.select("doc_id", "code", asm.udf(rewrites.obfuscated, "string")("code", curate.seeds(F.col("doc_id"))).alias("t"))
+    run = new.select("doc_id", F.length("t").alias("n"), F.length("code").alias("m"), asm.udf(lambda a: {k: v for k, v in rewrites.executed(a).items() if k in ("x0", "x1")}, "struct<x0: bigint, x1: bigint>")("t").alias("r"))
+    return run.select("doc_id", "r.x0", "r.x1", (F.col("n") >= F.col("m")).alias("longer"))
 
 
-@query("SELECT doc_id, chr(9) || '.global' || chr(9) || 'f' || chr(10) || chr(9) || '.type' || chr(9) || 'f, %function' || chr(10) || 'f:' || chr(10) || chr(9) || 'ret ' || lang || chr(10) || chr(9) || '.size' || chr(9) || 'f, .-f' AS t FROM documents")
+@query("SELECT doc_id, chr(9) || '.global' || chr(9) || 'f' || chr(10) || chr(9) || '.type' || chr(9) || 'f, %function' || chr(10) || 'f:' || chr(10) || chr(9) || 'ret ' || text || chr(10) || chr(9) || '.size' || chr(9) || 'f, .-f' AS t FROM documents")
 def asm_function_by_type(t):
-    return _doc(t, asm.udf(asm.function_by_type, "string")(F.concat(F.lit("\t.type\tf, %function\nf:\n\tret "), F.col("lang"), F.lit("\n\t.size\tf, .-f\nrest")), F.lit("f")))
+    return _doc(t, asm.function_by_type(F.concat(F.lit("\t.type\tf, %function\nf:\n\tret "), F.col("text"), F.lit("\n\t.size\tf, .-f\nrest")), F.lit("f")))
 
 
 @query("""SELECT doc_id, replace(replace('~.text|~.globl~f|~.type~f,@function|', '~', chr(9)), '|', chr(10)) AS pre,
   replace(replace('.global f|.type f, %function|f:|~.cfi_startproc|~sub~sp, sp, #16|~str~w0, [sp, 12] |~ret|~.cfi_endproc', '~', chr(9)), '|', chr(10)) AS func, chr(9) || '.size' || chr(9) || 'f, .-f' || chr(10) AS post FROM documents""")
 def asm_unit_parts(t):
-    return t("documents").select("doc_id", asm.udf(asm.parts_of_unit, "struct<pre: string, func: string, post: string>")(F.regexp_replace(_unit(), ": // -- begin", ":"), F.lit("f"), F.lit("arm"), F.lit("//")).alias("p")).select("doc_id", "p.pre", "p.func", "p.post")
+    return t("documents").select("doc_id", asm.parts_of_unit(F.regexp_replace(_unit(), ": // -- begin", ":"), F.lit("f"), "arm", "//").alias("p")).select("doc_id", "p.pre", "p.func", "p.post")
 
 
-@query("SELECT doc_id, chr(9) || 'adrp x0, .LC0' || chr(10) || '.LC0: ' || chr(9) || '.string \"' || lang || '\"' || chr(10) AS t FROM documents")
+@query("SELECT doc_id, chr(9) || 'adrp x0, .LC0' || chr(10) || '.LC0: ' || regexp_extract(chr(9) || '.string \"' || text || '\"', '^[^\\r\\n]+') || chr(10) AS t FROM documents")
 def asm_literals(t):
-    unit = F.concat(F.lit(".LC0:\n\t.string \""), F.col("lang"), F.lit("\"\n"))
-    return _doc(t, asm.udf(asm.with_literals, "string")(unit, F.lit("\tadrp x0, .LC0")))
+    unit = F.concat(F.lit(".LC0:\n\t.string \""), F.col("text"), F.lit("\"\n"))
+    return _doc(t, asm.with_literals(unit, F.lit("\tadrp x0, .LC0")))
 
 
 @query("SELECT 42::BIGINT AS n_builds, 42 * count(*)::BIGINT AS n_rows, count(*)::BIGINT AS n_failed FROM documents")
@@ -707,10 +773,9 @@ def predictions_roundtrip(t):
     return scans.predictions(df.sparkSession, path)
 
 
-@query("SELECT event_type, (count(*) // 16) * 16 AS kept, (count(*) // 16)::BIGINT AS batches FROM events GROUP BY 1")
+@query("SELECT event_type, event_id, batch FROM (SELECT event_type, event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 16 AS batch, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE (batch + 1) * 16 <= n")
 def full_batches(t):
-    counts = t("events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return counts.select("event_type", (F.floor(F.col("n") / 16) * 16).alias("kept"), F.floor(F.col("n") / 16).alias("batches"))
+    return curate.full_batches(t("events").select("event_type", "event_id"), ["event_id"], 16, "event_type")
 
 
 @query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS seen, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events")

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,32 +82,6 @@ def test_preprocessing(spark):
     assert one(spark, UNIT, lambda c: asm.preprocessed(c, F.lit("h"))) is None
 
 
-def test_functions_of_units():
-    assert asm.function_by_scope(UNIT, "g") == "\t.globl g\ng:\n\tret\n"
-    assert asm.function_by_type("\t.type\tf, %function\nf:\n\tret\n\t.size\tf, .-f\nx", "f") == "\t.global\tf\n\t.type\tf, %function\nf:\n\tret\n\t.size\tf, .-f"
-    assert asm.function_by_type("g:\n", "f") is None
-    assert asm.parts_of_unit("a\nf:\n ret // x\n .cfi_endproc\nb", "f", "arm", "//") == {"pre": "a\n", "func": ".global f\n.type f, %function\nf:\n ret \n .cfi_endproc", "post": "b\n"}
-    assert asm.with_literals(".LC0:\n\t.string \"x\"", "adr .LC0") == "adr .LC0\n.LC0: \t.string \"x\"\n"
-
-
-def test_transforms_keep_what_they_must():
-    rows = ["f:", "        mov x0, x1", "        add x0, x0, #4", "        cmp w1, #3", "        b.eq .L1", "\t.cfi_x", "        ret"]
-    for kind in asm.TRANSFORMS:
-        assert asm.transformed(rows, kind, 0, random.Random(1)) == rows
-        full = asm.transformed(rows, kind, 1, random.Random(1))
-        assert full == asm.transformed(rows, kind, 1, random.Random(1)) != rows
-        kept = [r for r in rows if asm.is_branch(r) or not asm.is_instruction(r)]
-        assert [r for r in full if r in kept] == kept
-    assert "        orr x0, xzr, x1" in asm.transformed(rows, "insn_sub", 1, random.Random(1))
-    with pytest.raises(ValueError):
-        asm.transformed(rows, "dead_code", 2, random.Random(1))
-    with pytest.raises(ValueError):
-        asm.transformed(rows, "other", 1, random.Random(1))
-    unit = "f:\n.cfi_startproc\n" + "\n".join(rows[1:]) + "\n.cfi_endproc"
-    assert len({asm.obfuscated(unit, s) for s in range(20)}) > 5
-    assert asm.obfuscated(unit, 3) == asm.obfuscated(unit, 3)
-
-
 @pytest.mark.parametrize(("a", "b", "want"), [
     ({"a": 1}, {"a": 1}, True), ({"a": 1}, {"b": 1}, False), ({"a": 1}, {"a": 1, "b": 2}, False), ([1, 2], [1], False), (1.0, 1.0001, True), (1.0, 2.0, False),
     (1, 1.0, True), ("hello", 42, False), (True, 1, True), ([{"x": [1.0]}], [{"x": [1.0005]}], True), (100000, 100001, False), (None, None, True),
@@ -118,7 +93,52 @@ def test_tolerant_comparison(a, b, want):
 def test_literals():
     assert asm.literals_to_json(["a", "b"], ["1", "'x'"]) == '{"a": 1, "b": "x"}'
     assert asm.literals_to_json(["a"], ["f("]) is None
-    assert asm.edit_distance("a b c".split(), "a c".split()) == 1 and asm.edit_distance([], [1]) == 1
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_token_distance(spark):
+    rng = random.Random(2)
+    words = ["a", "b", "ab", "é", "😀", *(f"w{i}" for i in range(30))]
+    rows = [(" ".join(rng.choices(words, k=rng.randrange(40))), " ".join(rng.choices(words, k=rng.randrange(40)))) for _ in range(60)] + [("", ""), ("a b", None), (" ".join(f"v{i}" for i in range(3000)), "v5")]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(metrics.token_distance(F.col("a"), F.col("b"))).collect()]
+    assert got == [edits(a.split(), (b or "").split()) for a, b in rows]
+
+
+def test_words_13a(spark):
+    for given, want in (("Hello, world. It's 3.14-5!", "Hello , world . It's 3.14 - 5 !"), ("a&quot;b&amp;c (d) x-\ny\nz", 'a " b & c ( d ) xy z'), ("1,000 a,b .5", "1,000 a , b . 5"), ("ret i32 %x, align 4", "ret i32 % x , align 4"), ("", "")):
+        assert one(spark, given, metrics.words_13a) == want.split()
+
+
+def bleu(pairs):
+    """Corpus BLEU of word lists, smoothed exponentially."""
+    logs, half = 0.0, 1.0
+    for n in range(1, 5):
+        grams = [[Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in p] for p in pairs]
+        hit, all_ = sum((a & b).total() for a, b in grams), sum(a.total() for a, _ in grams)
+        if (n == 1 and not hit) or not all_:
+            return 0.0
+        half = half / 2 if not hit else half
+        logs += math.log((hit or half) / all_) / 4
+    made, asked = (sum(len(p[i]) for p in pairs) for i in (0, 1))
+    return 100 * min(1, math.exp(1 - asked / made)) * math.exp(logs)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bleu(spark, seed):
+    rng = random.Random(seed)
+    text = lambda: " ".join(rng.choices("abcdef"[: 2 + seed], k=rng.randrange(30)))
+    rows = [(text(), text()) for _ in range(1 + seed)] if seed < 5 else [("a x b y c", "a q b r c s t")]
+    got = spark.createDataFrame(rows, "p string, r string").agg(metrics.bleu_score(metrics.bleu_parts(F.col("p"), F.col("r")))).first()[0]
+    assert math.isclose(got, bleu([(p.split(), r.split()) for p, r in rows]), abs_tol=1e-9)
+    assert seed < 5 or 0 < got < 50
 
 
 def test_lookups(spark):

@@ -1,6 +1,7 @@
 """Operators on small tables, sources and sinks, programs, and the registered queries against SQL."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ def test_split_is_exact_and_a_partition(spark):
 
 def test_numbers_without_one_task(spark):
     df = spark.range(0, 20000, 2).select(F.col("id").alias("k"))
-    got = curate.numbered(df, "k", bucket_rows=700)
+    got = curate.numbered(df.repartition(3), "k")
+    ties = curate.numbered(df.select((F.col("k") % 4).alias("k")), "k")
+    assert {r["count"] for r in ties.groupBy("k").count().collect()} == {5000} and ties.select("rn").distinct().count() == 10000
     assert got.where("rn <> k / 2 + 1").isEmpty() and got.count() == 10000
     assert [r.k for r in curate.chunk(df, "k", 3, 2).orderBy("k").collect()] == [6, 8]
 
@@ -67,6 +70,41 @@ def test_failure_streaks(spark):
     df = spark.createDataFrame([(i, b) for i, b in enumerate([1, 1, 0, 1, 1, 1, 0])], "i int, bad int")
     assert curate.fail_streak_stop(df, "i", F.col("bad") == 1, 3).first().stop_at == 5
     assert curate.fail_streak_stop(df, "i", F.col("bad") == 1, 4).isEmpty()
+    rng = random.Random(3)
+    rows = [(i, rng.choice("abc"), int(rng.random() < 0.8)) for i in range(600)] + [(1000 + i, "d", 1) for i in range(40)] + [(i, None, 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "i int, g string, bad int").repartition(5)
+
+    def stop(xs, most):
+        run = 0
+        for i, bad in xs:
+            run = run + 1 if bad else 0
+            if run == most:
+                return i
+        return None
+
+    for most in (1, 4, 9, 35, 500):
+        got = curate.fail_streak_stop(df, "i", F.col("bad") == 1, most, group="g").collect()
+        want = {g: stop(sorted((i, b) for i, h, b in rows if h == g), most) for g in ("a", "b", "c", "d", None)}
+        assert {r.g: r.stop_at for r in got} == {g: x for g, x in want.items() if x is not None}
+        whole = curate.fail_streak_stop(df.where("g is not null"), "i", F.col("bad") == 1, most).collect()
+        assert [r.stop_at for r in whole] == [x for x in [stop(sorted((i, b) for i, h, b in rows if h), most)] if x is not None]
+
+
+def test_full_batches(spark):
+    df = spark.range(103).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g")).repartition(4)
+    got = curate.full_batches(df, ["id"], 8, "g").collect()
+    want = {(g, k): ids[8 * k : 8 * k + 8] for g in (None, 1, 2) for ids in [[i for i in range(103) if (i % 3 or None) == g]] for k in range(len(ids) // 8)}
+    found = {}
+    for r in sorted(got, key=lambda r: r.id):
+        found.setdefault((r.g, r.batch), []).append(r.id)
+    assert found == want
+    assert curate.full_batches(df, ["id"], 50).count() == 100 and curate.full_batches(df, ["id"], 200).isEmpty()
+
+
+def test_loops_that_stop(spark):
+    df = spark.range(100).select("id", (F.col("id") % 3 == 0).alias("fit"))
+    assert tuple(curate.overall_first(df, "id", F.col("fit"), 5).first()) == (5, 16)
+    assert tuple(curate.overall_first(df, "id", F.col("fit"), 500).first()) == (34, 100)
 
 
 def test_collation(spark):
