@@ -559,7 +559,7 @@ _DEFINITION = "regexp_replace(regexp_replace('static inline ' || text, '__attrib
 @query(f"SELECT doc_id, '{text.DEPS_BEGIN}' || chr(10) || 'int q;' || chr(10) || '{text.DEPS_END}' || chr(10) || chr(10) || {_DEFINITION} || CASE WHEN regexp_matches(text, '\\b(int|void)\\s+main\\s*\\(') THEN '' ELSE chr(10) || chr(10) || '{text.EMPTY_MAIN}' END AS t FROM documents")
 def translation_units(t):
     unit = text.translation_unit(F.concat(F.lit("static inline "), F.col("text")), F.lit("typedef int bool;\nint q;"))
-    return _doc(t, F.regexp_replace(unit, "(?s)\\A.*?#endif\n(?=/\\* ---)", ""))
+    return _doc(t, F.regexp_replace(unit, "(?s)\\A.*?(?=/\\* --- )", ""))
 
 
 @query("SELECT doc_id, 'f' || doc_id AS t FROM documents")

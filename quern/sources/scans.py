@@ -78,9 +78,17 @@ def whole_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def versioned(spark: SparkSession, root: str, version: str) -> DataFrame:
-    """A table as of a version: a folder of the version's name."""
-    return spark.read.parquet(f"{root.rstrip('/')}/{version}")
+def versioned(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
+    """A table as of a version: a folder of that name; without one that which the file LATEST names, else the last by name."""
+    root = root.rstrip("/")
+    if version is None:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        files = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        if exists(spark, f"{root}/LATEST"):
+            version = spark.read.text(f"{root}/LATEST", wholetext=True).first()[0].strip()
+        else:
+            version = max(x.getPath().getName() for x in files.listStatus(hadoop.Path(root)) if x.isDirectory())
+    return spark.read.parquet(f"{root}/{version}")
 
 
 def cases(spark: SparkSession, folder: str, suffixes: Sequence[str]) -> DataFrame:

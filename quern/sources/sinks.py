@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.operators.curate import sharded
+from quern.operators.curate import numbered, sharded
+from quern.sources.places import forget, scratch
 
 
 def write_shards(df: DataFrame, path: str, rows: int = 5000, codec: str = "snappy") -> None:
@@ -21,10 +23,41 @@ def write_exact_shards(df: DataFrame, path: str, key: str, rows: int, codec: str
     sharded(df, key, rows).repartition("shard_id").sortWithinPartitions("shard_id", key).write.partitionBy("shard_id").option("compression", codec).mode("overwrite").parquet(path)
 
 
-def compact(spark: SparkSession, df: DataFrame, path: str, target_rows: int = 50_000) -> None:
-    """Few files of up to so many rows, out of many small ones: partitions are merged without a shuffle."""
-    n = max(1, -(-df.count() // target_rows))
-    df.coalesce(min(n, max(1, spark.sparkContext.defaultParallelism * 4))).write.option("maxRecordsPerFile", target_rows).mode("overwrite").parquet(path)
+def _moved(spark: SparkSession, source: str, target: str, name: Callable[[int], str]) -> None:
+    """The one file in each of source's folders _shard=N as target/name(N); metadata only."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root, goal = hadoop.Path(source), hadoop.Path(target)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(goal)
+    for folder in files.listStatus(root):
+        number = folder.getPath().getName().partition("_shard=")[2]
+        if number:
+            part = next(x.getPath() for x in files.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-"))
+            if not files.rename(part, hadoop.Path(goal, name(int(number)))):
+                raise OSError(f"{target}/{name(int(number))} is there already")
+
+
+def write_named_shards(df: DataFrame, path: str, rows: int, *by: str, name: str = "shard-{i:05d}.parquet", codec: str = "snappy") -> int:
+    """Files of exactly so many rows, in the order of by, but for the last; each is named by its number i and their number n. Returns n."""
+    spark = df.sparkSession
+    shards = numbered(df, *by).withColumn("_shard", F.floor((F.col("rn") - 1) / rows)).drop("rn")
+    parts = scratch(spark, "shards")
+    shards.repartition("_shard").sortWithinPartitions("_shard", *by).write.partitionBy("_shard").option("compression", codec).parquet(parts)
+    n = -(-df.count() // rows)
+    _moved(spark, parts, path, lambda i: name.format(i=i, n=n))
+    forget(spark, parts)
+    return n
+
+
+def compact(df: DataFrame, path: str, *by: str, target_rows: int = 50_000) -> int:
+    """Few files shard-N of exactly so many rows, the last of the rest, out of many small ones, in the order of by. Returns their number."""
+    return write_named_shards(df, path, target_rows, *by)
+
+
+def write_named_splits(df: DataFrame, path: str, rows: int, *by: str, split: str = "split") -> dict[str, int]:
+    """For each split a folder of its name with files NAME-i-of-n; their numbers."""
+    names = [r[0] for r in df.select(split).distinct().orderBy(split).collect()]  # a few
+    return {x: write_named_shards(df.where(F.col(split) == x).drop(split), f"{path}/{x}", rows, *by, name=x.replace("{", "").replace("}", "") + "-{i:05d}-of-{n:05d}.parquet") for x in names}
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split", rows: int = 100_000) -> None:
@@ -68,8 +101,42 @@ def sample_json(df: DataFrame, path: str, rows: int = 10) -> None:
     df.limit(rows).coalesce(1).write.mode("overwrite").json(path)
 
 
-def card(counts: DataFrame, title: str, split: str = "split", n: str = "n") -> str:
-    """A Markdown card with a table of counts; the counts are few rows."""
+def published(spark: SparkSession, staged: str, target: str) -> None:
+    """A finished folder put in another's place by two renames, the old one deleted last: readers find one or the other, or for a moment none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    new, old, aside = hadoop.Path(staged), hadoop.Path(target), hadoop.Path(f"{target}.old")
+    files = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(new):
+        raise FileNotFoundError(staged)
+    files.delete(aside, True)
+    if files.exists(old):
+        files.rename(old, aside)
+    if not files.rename(new, old):
+        raise OSError(f"{staged} can't become {target}")
+    files.delete(aside, True)
+
+
+def deleted(spark: SparkSession, path: str, pattern: str) -> int:
+    """Delete the entries of a folder whose names match a glob; their number."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(hadoop.Path(root, pattern)) or []
+    return sum(bool(files.delete(x.getPath(), True)) for x in found)
+
+
+def report(spark: SparkSession, summary: Mapping, details: DataFrame, path: str) -> None:
+    """summary as one JSON object in path/summary, details as JSON lines in path/details."""
+    write_metadata(spark, summary, f"{path}/summary")
+    write_json_lines(details, f"{path}/details")
+
+
+def card(counts: DataFrame, title: str, split: str = "split", n: str = "n", about: str = "", schema: T.StructType | None = None, notes: Mapping[str, str] | None = None) -> str:
+    """A Markdown card: what the table is, its splits with counts (few rows) and total, its columns, and further sections."""
     rows = counts.orderBy(split).collect()
-    body = "\n".join(f"| {r[split]} | {r[n]:,} |" for r in rows)
-    return f"# {title}\n\n| split | rows |\n|---|---|\n{body}\n| total | {sum(r[n] for r in rows):,} |\n"
+    parts = [f"# {title}", about, "| split | rows |\n|---|---|\n" + "".join(f"| {r[split]} | {r[n]:,} |\n" for r in rows) + f"| total | {sum(r[n] for r in rows):,} |"]
+    if schema is not None:
+        parts += ["## Columns", "| column | type |\n|---|---|\n" + "\n".join(f"| {f.name} | {f.dataType.simpleString()} |" for f in schema)]
+    for head, text in (notes or {}).items():
+        parts += [f"## {head}", text]
+    return "\n\n".join(p for p in parts if p) + "\n"

@@ -124,8 +124,22 @@ def test_shards(spark, tmp_path):
     counts = spark.read.parquet(str(tmp_path / "exact")).groupBy("shard_id").count().orderBy("shard_id").collect()
     assert [r["count"] for r in counts] == [10] * 9 + [5]
     sinks.write_shards(df.coalesce(1), str(tmp_path / "some"), 40)
-    sinks.compact(spark, spark.read.parquet(str(tmp_path / "some")), str(tmp_path / "few"), 50)
-    assert scans.rows_in(spark, str(tmp_path / "few")) == 95
+    assert sinks.compact(spark.read.parquet(str(tmp_path / "some")), str(tmp_path / "few"), "k", target_rows=50) == 2
+    assert scans.rows_in(spark, str(tmp_path / "few")) == 95 and scans.rows_in(spark, str(tmp_path / "few" / "shard-00000.parquet")) == 50
+    halves = df.withColumn("split", F.when(F.col("k") < 20, "test").otherwise("train"))
+    assert sinks.write_named_splits(halves, str(tmp_path / "named"), 30, "k") == {"test": 1, "train": 3}
+    assert sorted(p.name for p in (tmp_path / "named" / "train").glob("*.parquet")) == [f"train-{i:05d}-of-00003.parquet" for i in range(3)]
+    assert [r.k for r in spark.read.parquet(str(tmp_path / "named" / "train" / "train-00002-of-00003.parquet")).orderBy("k").collect()] == list(range(80, 95))
+    for k in (3, 7):
+        df.limit(k).write.parquet(str(tmp_path / "staged"))
+        sinks.published(spark, str(tmp_path / "staged"), str(tmp_path / "live"))
+        assert spark.read.parquet(str(tmp_path / "live")).count() == k
+    assert sinks.deleted(spark, str(tmp_path / "named"), "t*t") == 1 and not (tmp_path / "named" / "test").exists()
+    for v in ("v1", "v2", "v10"):
+        df.limit(int(v[1:])).write.parquet(str(tmp_path / "versions" / v))
+    assert scans.versioned(spark, str(tmp_path / "versions"), "v1").count() == 1 and scans.versioned(spark, str(tmp_path / "versions")).count() == 2
+    (tmp_path / "versions" / "LATEST").write_text("v10\n")
+    assert scans.versioned(spark, str(tmp_path / "versions")).count() == 10
     assert scans.shards(spark, [str(tmp_path / "none")], schemas.PREDICTIONS).isEmpty()
     sinks.write_splits(df.withColumn("split", F.when(F.col("k") < 5, "test").otherwise("train")), str(tmp_path / "splits"))
     counts = spark.read.parquet(str(tmp_path / "splits")).groupBy("split").agg(F.count("*").alias("n"))
@@ -154,6 +168,49 @@ def test_programs(spark):
     assert rows[0].syntax_valid is True and "ZeroDivisionError" in rows[1].error
     assert external.io_verdict([(1, 1), (2, 3), (3, 3)], lambda x: x if x < 3 else 1 / 0) == {"functional_pass": False, "io_pass_count": 1, "io_total_count": 3}
     assert external.io_verdict([], abs)["functional_pass"] is None
+
+
+def test_declarations():
+    ir = "define i32 @f() {\n  %a = load i64, i64* @g\n  %b = call i8* @h(i32 1)\n  ret i32 0\n}"
+    seen = []
+
+    def tool(text, suffix):
+        seen.append(text)
+        for name in ("@g", "@h"):
+            if not any(line.startswith(("declare", name)) and name in line for line in text.split("\n")):
+                return False, f"x: error: use of undefined value '{name}'"
+        if "declare i8* @h(...)" in text:
+            return False, "error: '@h' defined with type 'i8* (...)*' but expected 'i8* (i32)*'"
+        return True, ""
+
+    text, fine, _ = external.with_declarations(ir, tool)
+    assert fine and "@g = external global i64\n" in text and "declare i8* @h(i32)\n" in text and text.endswith(ir) and text.count("@h(") == 2
+    assert external.with_declarations(ir, lambda t, s: (False, "other"))[1:] == (False, "other")
+    assert external.declaration("@v", "[4 x i32]*", "") == "@v = external global [4 x i32]" and external.declaration("@n", None, "") == "declare void @n(...)"
+    assert external.undeclared("declare void @a(...)\n@ab = external global i8\nx @a", "@a") == "@ab = external global i8\nx @a"
+
+
+def test_linked_programs(tmp_path):
+    """A text that is a shell program: assembling and compiling copy it, linking makes it a program beside its wrapper."""
+    fine, copy = external.Tool("true", ()), external.Tool("cp", ("{input}", "{output}"))
+    link = external.Tool("sh", ("-c", "cp {input} {output} && chmod +x {output} && grep -q deps.c {wrapper}"))
+    row = {"seq": 1, "prediction": "#!/bin/sh\nsed 's/1/2/' $1 > $2", "c_deps": "int x;", "func_c_signature": "extern int f()", "cpp_wrapper": 'extern "C" {\n#include "x"\n}\nint main;', "io_pairs": json.dumps({"input": [{"a": 1}, {"a": 3}], "output": [{"a": 2}, {"a": 4}]})}
+    tools = {"assembler": fine, "compiler": copy, "linker": link}
+    got = external.check(row, 3, **tools)[0]
+    assert (got["links"], got["io_pass_count"], got["io_total_count"], got["functional_pass"], got["functional_detail"]) == (True, 1, 2, False, "1 of 2 pairs agree")
+    assert external.check(row | {"io_pairs": json.dumps({"input": [{"a": 1}], "output": [{"a": 2}]})}, 3, **tools)[0]["functional_pass"] is True
+    assert external.check(row | {"cpp_wrapper": "no deps"}, 3, **tools)[0]["links"] is False
+    assert external.check(row | {"cpp_wrapper": None}, 3, **tools)[0]["links"] is None
+    assert external.check(row | {"prediction": "#!/bin/sh\nexit 3"}, 3, **tools)[0]["io_pass_count"] == 0
+    missing = external.check(row, 3, **(tools | {"linker": external.Tool("no-such-program-here", ())}))[0]
+    assert missing["tool_missing"] and missing["links"] is None
+
+
+def test_more_programs(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "seq long, prediction string")
+    src = spark.createDataFrame([("f", "int f;", 7), ("zed", "int x;", 8)], "fname string, func_def string, seed long")
+    rows = external.rewritten(src, lambda text, kind, seed: 1 / 0 if kind == "bad" else f"{text}{kind}{seed}", ["good", "bad"]).collect()
+    assert {(r.fname, r.technique): r.code for r in rows} == {("f", "good"): "int f;good7", ("f", "bad"): None, ("zed", "good"): None, ("zed", "bad"): None}
     assert len(external.builds()) == 42 and len({b.key for b in external.builds()}) == 42
     lifted = external.lifted(df.withColumn("batch_id", F.lit(0)), lambda xs: [x.upper() for x in xs], "prediction", 5).orderBy("seq").collect()
     assert [r.prediction for r in lifted] == ["A", "B"]
