@@ -100,14 +100,14 @@ def shares(df: DataFrame, *by: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, *by: str | Column) -> DataFrame:
-    """df in the order of by, with _p (a range of that order) and _i (the place within it, from 0).
+    """df in the order of by, with _range (a range of that order) and _place (the place within it, from 0).
 
     Ranges are dealt out by one shuffle and written to the scratch folder, so that a range stays what it
     is however often it is read, and whichever executors are lost.
     """
     spark = df.sparkSession
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_p": F.spark_partition_id(), "_i": place})
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_range": F.spark_partition_id(), "_place": place})
     path = scratch(spark, "dealt")
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
@@ -119,9 +119,9 @@ def numbered(df: DataFrame, *by: str | Column, name: str = "rn") -> DataFrame:
     A range's first place is the number of rows in those before it: one small row for each range.
     """
     rows = dealt(df, *by)
-    below = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = rows.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_first"))
-    return rows.join(F.broadcast(firsts), "_p").withColumn(name, F.col("_first") + F.col("_i") + 1).drop("_p", "_i", "_first")
+    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = rows.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_first"))
+    return rows.join(F.broadcast(firsts), "_range").withColumn(name, F.col("_first") + F.col("_place") + 1).drop("_range", "_place", "_first")
 
 
 def chunk(df: DataFrame, key: str, skip: int, most: int) -> DataFrame:
@@ -147,17 +147,17 @@ def fail_streak_stop(df: DataFrame, order: str, failed: Column, most: int, group
     """
     keys = [group] if group else []
     rows = dealt(df.select(*keys, F.col(order).alias("_o"), F.coalesce(failed, F.lit(False)).cast("int").alias("_bad")), *keys, "_o")
-    own = Window.partitionBy(*keys, "_p").orderBy("_i")
+    own = Window.partitionBy(*keys, "_range").orderBy("_place")
     rows = rows.withColumn("_island", F.sum(1 - F.col("_bad")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    run = F.sum("_bad").over(Window.partitionBy(*keys, "_p", "_island").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("_bad").over(Window.partitionBy(*keys, "_range", "_island").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_run", run)
     # a row for each range (and group): whether a run may go through it, and the run that it leaves open
-    ends = rows.groupBy(*keys, "_p").agg(F.max("_island").alias("_islands"), F.max_by("_run", "_i").alias("_open"))
-    over = Window.partitionBy(*keys).orderBy("_p")
+    ends = rows.groupBy(*keys, "_range").agg(F.max("_island").alias("_islands"), F.max_by("_run", "_place").alias("_open"))
+    over = Window.partitionBy(*keys).orderBy("_range")
     ends = ends.withColumn("_chain", F.sum(F.when(F.col("_islands") > 0, 1).otherwise(0)).over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = ends.withColumn("_out", F.sum("_open").over(Window.partitionBy(*keys, "_chain").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
-    taken = ends.select(*keys, "_p", F.coalesce(F.lag("_out").over(over), F.lit(0)).alias("_in"))
-    joined = rows.join(taken, "_p") if not group else rows.join(taken.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")) & (rows["_p"] == taken["_p"]))
+    ends = ends.withColumn("_out", F.sum("_open").over(Window.partitionBy(*keys, "_chain").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)))
+    taken = ends.select(*keys, "_range", F.coalesce(F.lag("_out").over(over), F.lit(0)).alias("_in"))
+    joined = rows.join(taken, "_range") if not group else rows.join(taken.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")) & (rows["_range"] == taken["_range"]))
     full = F.col("_run") + F.when(F.col("_island") == 0, F.col("_in")).otherwise(0)
     return joined.where((F.col("_bad") == 1) & (full >= most)).groupBy(*keys).agg(F.min("_o").alias("stop_at")).where("stop_at is not null")
 
@@ -179,14 +179,14 @@ def full_batches(df: DataFrame, order: Sequence[str], size: int, group: str | No
     """df with batch (from 0 in its group), by order, without the rows of a last batch that is short."""
     keys = [group] if group else []
     rows = dealt(df, *keys, *order)
-    counts = rows.groupBy(*keys, "_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_least"))
+    counts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_c"), F.min("_place").alias("_least"))
     by = Window.partitionBy(*keys)
-    below = by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(*[F.col(k).alias("_g") for k in keys], F.col("_p").alias("_q"), "_least", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_first"), F.sum("_c").over(by).alias("_all"))
-    same = F.col("_p") == F.col("_q")
+    below = by.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(*[F.col(k).alias("_g") for k in keys], F.col("_range").alias("_q"), "_least", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_first"), F.sum("_c").over(by).alias("_all"))
+    same = F.col("_range") == F.col("_q")
     placed = rows.join(firsts, same & F.col(group).eqNullSafe(F.col("_g")) if group else same)
-    batch = F.floor((F.col("_first") + F.col("_i") - F.col("_least")) / size)
-    return placed.withColumn("batch", batch).where((F.col("batch") + 1) * size <= F.col("_all")).drop("_p", "_i", "_q", "_g", "_least", "_first", "_all")
+    batch = F.floor((F.col("_first") + F.col("_place") - F.col("_least")) / size)
+    return placed.withColumn("batch", batch).where((F.col("batch") + 1) * size <= F.col("_all")).drop("_range", "_place", "_q", "_g", "_least", "_first", "_all")
 
 
 def merged_stats(parts: DataFrame, stats: str = "generation_stats", counters: str = "samples_per_transform") -> DataFrame:

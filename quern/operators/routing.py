@@ -7,11 +7,14 @@ with data, or Python dictionaries on the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions.arrays import lookup
+from quern.functions.text import tokens
 
 #: Codes and the architecture and level of their keys.
 CODES = {
@@ -161,3 +164,33 @@ def sample_texts(source: Column, target: Column, pair: str, **options) -> tuple[
     masked = wrapped(F.lit("<mask:0>"), t, **options)
     own = wrapped(source, s, **options)
     return (F.concat_ws(" ", masked, own) if target_left(pair) else F.concat_ws(" ", own, masked)), target
+
+
+@lru_cache(4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def encoded(c: Column, tokenizer: str | None = None) -> Column:
+    """A text as token ids of a tokenizers file, normalized as that says and without added marks; without a file as its words between white space. Null stays null."""
+    if tokenizer is None:
+        return tokens(c)
+
+    def ids(texts: pd.Series) -> pd.Series:
+        coder = _tokenizer(tokenizer)
+        some = texts.notna()
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        out[some] = [x.ids for x in coder.encode_batch(texts[some].tolist(), add_special_tokens=False)]
+        return out
+
+    ids.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(ids, "array<int>")(c)
+
+
+def tokenized(source: Column, target: Column, pair: str, tokenizer: str | None = None, most: int | None = None, **options) -> Column:
+    """struct(source_ids, target_ids) of a pair: the wrapped source with the masked target beside it, and the bare target; of over most tokens the first so many."""
+    given, wanted = sample_texts(source, target, pair, **options)
+    cut = (lambda c: c) if most is None else (lambda c: F.slice(c, F.lit(1), most))
+    return F.struct(cut(encoded(given, tokenizer)).alias("source_ids"), cut(encoded(wanted, tokenizer)).alias("target_ids"))

@@ -80,6 +80,16 @@ def write_metadata(spark: SparkSession, values: Mapping, path: str) -> None:
     spark.createDataFrame([(json.dumps(values),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file of just that name, replaced if there is one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def metrics_map(df: DataFrame, key: str) -> DataFrame:
     """Rows of metrics as one row: per_group, a map from key to a struct of the others."""
     rest = [c for c in df.columns if c != key]

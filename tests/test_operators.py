@@ -11,8 +11,6 @@ from quern.operators import batching, curate, external
 from quern.sources import scans, sinks
 from quern.streaming import increments
 
-SF = "/root/testdata/sf0.001"
-
 
 def test_enrichment_keeps_rows_and_takes_the_last(spark):
     left = spark.createDataFrame([("a", 1), ("a", 2), ("z", 3), (None, 4)], "k string, id int")
@@ -231,22 +229,3 @@ def test_stream(spark, tmp_path):
     q = increments.maintained(s, lambda b: b.where("id > 4"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
-
-
-def test_queries_agree_with_sql(spark):
-    import duckdb
-
-    from quern.plans import catalog
-
-    con = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    plain = lambda v: None if v is None else round(float(v), 6) if isinstance(v, int | float) else str(v)
-    for name in ("augment_left_join", "augment_last_wins", "check_stats_by_group", "preference_pairs", "length_buckets", "struct_rename", "eval_bleu_grouped", "merge_chunk_stats", "fail_streak_stop"):
-        got = catalog.QUERIES[name](spark, SF)
-        want = con.sql(catalog.ORACLES[name])
-        assert sorted(got.columns) == sorted(want.columns), name
-        columns = sorted(got.columns)
-        a = sorted(str([plain(r[c]) for c in columns]) for r in got.collect())
-        b = sorted(str([plain(v) for v in r]) for r in want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
-        assert a == b, name
