@@ -671,6 +671,25 @@ def test_one_id_is_learned_from_once(spark):
     assert np.array_equal(toxicity.train(df, labels).value, toxicity.train(again, labels).value)
 
 
+def test_very_long_texts(spark):
+    """A text of 12 MB beside short ones, through the operators that hold a row's arrays."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    long = " ".join(rng.choice(words) if i % 200 else f"10.0.{i % 256}.{i % 251}" for i in range(2_000_000))
+    rows = [(1, long[500_000:500_200]), (2, long), (3, "short text"), (4, long[-300:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).persist()
+    repeats = {r.doc_id: r.n_removed for r in suffix.without_repeats(df).collect()}
+    assert repeats[1] == repeats[3] == 0 and repeats[2] >= 200 and repeats[4] == len(long[-300:].encode())
+    good = {r._id: (r.n_words, r.base_failed) for r in quality.quality_cascade(df, known={r.name: (1.0, 0.1) for r in quality.default_rules()}).collect()}
+    assert good[2] == (2_000_000, False) and good[3] == (2, True)
+    found = {r.doc_id: r.n_ip for r in pii.digest(pii.detected(df, pii.fit(np.zeros((0, 1)), np.zeros(0)))).collect()}
+    assert found[2] == 10_000 and found[3] == 0
+    model = langid.train(spark.createDataFrame([(1, "the and of that", "en"), (2, "der und die das", "de")], "doc_id long, text string, lang string"))
+    assert {r.lang_pred for r in langid.identified(df, model).collect()} <= {"en", "de"}
+    assert {r.doc_id: r.fingerprint for r in simhash.simhash_groups(df).collect()}[2] == f"{simhash.fingerprint(long):016x}"
+    df.unpersist()
+
+
 # --- queries ---
 
 
