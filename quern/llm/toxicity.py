@@ -172,7 +172,7 @@ def fit(found: np.ndarray, toxic: np.ndarray, told: Callable[[np.ndarray], tuple
 
 
 def calibrated(m: Model, mean: np.ndarray, words: np.ndarray, toxic: np.ndarray) -> Model:
-    """m with the logistic curve that suits documents' telling words and lengths, by Newton's method with a weak prior."""
+    """m with the logistic curve that suits documents' telling words and lengths, by Newton's method with a weak prior, shifted so that the threshold parts the two kinds best."""
     spread = max(mean.std(), 1e-6)
     x = np.stack([mean / spread, np.log1p(words), np.ones_like(mean)], 1)
     w, prior = np.array([2.0, 0.0, -2.0]), np.array([2.0, 0.0, -2.0])
@@ -181,7 +181,22 @@ def calibrated(m: Model, mean: np.ndarray, words: np.ndarray, toxic: np.ndarray)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w = w - np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag(stiff), x.T @ (weight * (p - toxic)) + stiff * (w - prior))
-    return Model(m.value, w[0] / spread, w[1], w[2])
+    return Model(m.value, w[0] / spread, w[1], w[2] + np.log(THRESHOLD / (1 - THRESHOLD)) - parting(x @ w, toxic))
+
+
+def parting(z: np.ndarray, toxic: np.ndarray) -> float:
+    """Where to part toxic logits from others: in the middle of the gap above which most of the former and, weighed five times, least of the latter are; of equal gaps the widest. The curve's own point without both."""
+    if not 0 < toxic.sum() < len(toxic):
+        return float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    order = np.argsort(-z, kind="stable")
+    z, hit = z[order], toxic[order]
+    gain = np.cumsum(hit) / hit.sum() - 5 * np.cumsum(1 - hit) / (1 - hit).sum()
+    gap = np.append(z[:-1] - z[1:], 0.0)
+    gain[gap <= 0] = -np.inf
+    if not np.isfinite(gain).any():
+        return float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    at = max(np.flatnonzero(gain >= gain.max() - 1e-12), key=lambda i: gap[i])
+    return float(z[at] - gap[at] / 2)
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

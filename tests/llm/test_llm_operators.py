@@ -660,7 +660,14 @@ def test_toxicity_query(spark):
     rows = toxicity.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in rows)
     found = [r.predicted for r in rows if r.toxic == 1]
-    assert np.mean(found) >= 0.75 and sum(r.predicted for r in rows if r.toxic == 0) <= 0.005 * len(rows)
+    assert np.mean(found) >= 0.9 and sum(r.predicted for r in rows if r.toxic == 0) <= 0.005 * len(rows)
+
+
+def test_parting():
+    z, y = np.array([-3.0, -2, -1, 1, 4, 5, 6, 0.5]), np.array([0, 0, 0, 0, 1, 1, 1, 1])
+    assert toxicity.parting(z, y) == 2.5  # the one below isn't worth the clean one above it
+    neutral = float(np.log(0.7 / (1 - 0.7)))
+    assert toxicity.parting(z, np.zeros(8)) == toxicity.parting(np.ones(8), y) == toxicity.parting(z[:0], y[:0]) == neutral
 
 
 def test_one_id_is_learned_from_once(spark):
