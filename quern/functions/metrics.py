@@ -107,6 +107,11 @@ def rate(part: Column, whole: Column) -> Column:
     return 100 * part / F.greatest(whole, F.lit(1))
 
 
+def shown(c: Column, digits: int = 4) -> Column:
+    """A number as reports show it: halves go to the even digit."""
+    return F.bround(c, digits)
+
+
 def preference_loss(policy_chosen: Column, policy_rejected: Column, ref_chosen: Column, ref_rejected: Column, *, beta: float = 0.1, smoothing: float = 0.0, kind: str = "sigmoid", sft_weight: float = 0.1) -> Column:
     """The loss of a preference pair's log-probabilities; ValueError for an unknown kind."""
     logit = beta * ((policy_chosen - ref_chosen) - (policy_rejected - ref_rejected))

@@ -338,6 +338,19 @@ def array_rows(t):
     return _arrays(t).select("l_orderkey", F.size(rows).alias("n"), F.get(rows, F.lit(0))["a"].alias("first_target"), F.try_element_at(jobs.io_maps(F.col("target"), F.col("code")), F.lit("F1")).alias("last_code"))
 
 
+@query("SELECT event_type, round_even(count(*) FILTER (WHERE value < 10) / count(*) * 100, 2) AS pct, round_even(sum(floor(value)) / count(*), 4) AS mean, round_even(count(*)::DOUBLE / 8, 2) AS eighths FROM events GROUP BY 1")
+def report_digits(t):
+    n = F.count("*")
+    return t("events").groupBy("event_type").agg(metrics.shown(F.count_if(F.col("value") < 10) / n * 100, 2).alias("pct"), metrics.shown(F.sum(F.floor("value")) / n).alias("mean"), metrics.shown(n.cast("double") / 8, 2).alias("eighths"))
+
+
+@query("SELECT n_nationkey, n_nationkey % 3 = n_regionkey % 3 AS same FROM nation")
+def equal_programs(t):
+    """Two programs for each nation, which print and return a number."""
+    run = lambda row: [{"n_nationkey": row["n_nationkey"], "same": external.same_runs(["sh", "-c", f"echo {row['n_nationkey'] % 3}; exit 1"], ["sh", "-c", f"printf '{row['n_regionkey'] % 3}\\n'; exit 1"])[0]}]
+    return external.run(t("nation").select("n_nationkey", "n_regionkey"), run, "n_nationkey bigint, same boolean, error string").select("n_nationkey", "same")
+
+
 @query("SELECT c, g, ((greatest(c, 5) + g - 1) // g * g)::BIGINT AS beams, (c * g * 2)::BIGINT AS rows_of_update FROM range(1, 13) a(c), range(1, 5) b(g)")
 def training_numbers(t):
     rows = [(c, g, metrics.beams(c, g), metrics.effective_batch(c, g, 2)) for c in range(1, 13) for g in range(1, 5)]

@@ -204,6 +204,14 @@ def test_linked_programs(tmp_path):
     assert missing["tool_missing"] and missing["links"] is None
 
 
+def test_same_runs():
+    run = lambda text: ["sh", "-c", text]
+    assert external.same_runs(run("echo a; exit 3"), run("printf 'a\\n'; exit 3")) == (True, "")
+    assert external.same_runs(run("echo a"), run("echo b")) == (False, "printed other things")
+    assert external.same_runs(run("exit 1"), run("exit 2")) == (False, "returned 1 and 2")
+    assert not external.same_runs(run("sleep 5"), run("true"), seconds=1)[0]
+
+
 def test_more_programs(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "seq long, prediction string")
     src = spark.createDataFrame([("f", "int f;", 7), ("zed", "int x;", 8)], "fname string, func_def string, seed long")
