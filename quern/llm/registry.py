@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, decontaminate, langid, mixing, pii, quality, simhash, suffix, tokens, toxicity
+from quern.llm import audit, chat, decontaminate, langid, mixing, packing, pii, quality, simhash, spelling, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_token_shards": tokens.op8_token_shards,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_chat_rotation": chat.op10_chat_rotation,
+    "op11_slack_packing": packing.op11_slack_packing,
+    "op12_filter_audit": audit.op12_filter_audit,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
-ORACLES = {"op7_quality_rules": quality.ORACLE, "op10_chat_rotation": chat.ORACLE}
+ORACLES = {"op7_quality_rules": quality.ORACLE, "op10_chat_rotation": chat.ORACLE, "op12_filter_audit": audit.ORACLE}
