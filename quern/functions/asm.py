@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from quern.functions import text
 from quern.functions.binding import let
 from quern.functions.text import every_line, joined, lines, stripped
+from quern.sources.shipping import ship
 
 
 def udf(f: Callable, returns: str) -> Callable[..., Column]:
     """f as an Arrow-batched column function; null where the first argument is null."""
+    ship()
 
     def each(*series: pd.Series) -> list:
         return [None if x[0] is None else f(*x) for x in zip(*series, strict=True)]

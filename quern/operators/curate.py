@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quern.functions.metrics import rate
@@ -27,6 +27,13 @@ def reason_counts(df: DataFrame, name: str = "skip_reason", kept: str = "kept")
     return df.groupBy(F.coalesce(name, F.lit(kept)).alias(name)).agg(F.count("*").alias("n"))
 
 
+def reasons_observed(df: DataFrame, labels: Sequence[str], name: str = "skip_reason", kept: str = "kept") -> tuple[DataFrame, Observation]:
+    """(df, counts): df, and how many of its rows each of the labels took, which its first action counts as the rows go by: no second pass."""
+    seen = Observation()
+    reason = F.coalesce(name, F.lit(kept))
+    return df.observe(seen, *[F.count_if(reason == x).alias(x) for x in (*labels, kept)]), seen
+
+
 def checked(names: Sequence[str], known: Sequence[str]) -> list[str]:
     """names, if all are known; else ValueError."""
     if odd := [n for n in names if n not in known]:
@@ -52,21 +59,35 @@ def keys_needed(df: DataFrame, *keys: str) -> DataFrame:
     return df.where(some).select(*keys).distinct()
 
 
+#: The column that says where a row stands among those of its table's files.
+ARRIVAL = "_arrival"
+
+
+def in_arrival(df: DataFrame) -> DataFrame:
+    """df, read from files, with _arrival: by it rows go as a reader of one file after the other, by name, comes upon them. Joins and unions keep it.
+
+    AnalysisException if df isn't read from files, or is more than a selection of their rows and columns.
+    """
+    return df.withColumn(ARRIVAL, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
 def reduced(source: DataFrame, targets: DataFrame, *keys: str) -> DataFrame:
     """The rows of source whose key some target needs."""
     return source.join(keys_needed(targets, *keys), list(keys), "left_semi")
 
 
-def enriched(df: DataFrame, side: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str | None = None, default: str | None = "") -> DataFrame:
-    """df with columns of side by key; rows of df are neither lost nor multiplied.
+def enriched(df: DataFrame, side: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str | Sequence[str] = (), default: str | None = "") -> DataFrame:
+    """df with columns of side by key; rows of df are neither lost nor multiplied, whatever keys repeat on either side.
 
-    Of side rows with one key the last by order counts. Misses and nulls become the default, if one is given.
+    Of side rows with one key the last by order counts, whatever it holds: by a column or several, and without one the
+    last to arrive (in_arrival()). Misses and nulls become the default, if one is given. Tables bucketed by the
+    keys (sinks.write_bucketed) are joined where they lie.
     """
-    if order:
-        last = side.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(order)).alias("_last"))
-        side = last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in columns])
-    else:
-        side = side.select(*keys, *columns)
+    by = [order] if isinstance(order, str) else list(order)
+    if not by:
+        side, by = side if ARRIVAL in side.columns else in_arrival(side), [ARRIVAL]
+    last = side.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*by)).alias("_last"))
+    side = last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in columns])
     out = df.drop(*columns).join(side, list(keys), "left")
     return out if default is None else out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(default)) for c in columns})
 
@@ -125,7 +146,7 @@ def numbered(df: DataFrame, *by: str | Column, name: str = "rn") -> DataFrame:
 
 
 def chunk(df: DataFrame, key: str, skip: int, most: int) -> DataFrame:
-    """The rows after the first skip, so many at most, by key."""
+    """The rows after the first skip, so many at most, by key: for tables in no order. scans.chunk() takes rows as files hold them, without a sort."""
     return numbered(df, key).where(F.col("rn").between(skip + 1, skip + most)).drop("rn")
 
 
@@ -259,9 +280,24 @@ def newest(df: DataFrame, step: str, most: int) -> DataFrame:
     return df.orderBy(F.desc(step)).limit(most)
 
 
+def _sizes(before: str, after: str) -> list[Column]:
+    return [F.coalesce(F.sum(F.length(c)), F.lit(0)).cast("long").alias(n) for c, n in ((before, "chars_before"), (after, "chars_after"))]
+
+
+def _with_saved(sizes: DataFrame) -> DataFrame:
+    return sizes.withColumn("saved_pct", F.lit(100.0) - rate(F.col("chars_after"), F.col("chars_before")))
+
+
 def size_report(df: DataFrame, before: str, after: str) -> DataFrame:
     """Total lengths and the share saved, in percent."""
-    return df.agg(F.coalesce(F.sum(F.length(before)), F.lit(0)).cast("long").alias("chars_before"), F.coalesce(F.sum(F.length(after)), F.lit(0)).cast("long").alias("chars_after")).withColumn("saved_pct", F.lit(100.0) - rate(F.col("chars_after"), F.col("chars_before")))
+    return _with_saved(df.agg(*_sizes(before, after)))
+
+
+def sizes_observed(df: DataFrame, before: str, after: str) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """(df, report): df, and size_report() of it, from what its first action saw."""
+    seen = Observation()
+    report = lambda: _with_saved(df.sparkSession.createDataFrame([tuple(seen.get.get(n, 0) for n in ("chars_before", "chars_after"))], "chars_before long, chars_after long"))
+    return df.observe(seen, *_sizes(before, after)), report
 
 
 def weighted_mean(value: str, weight: str) -> Column:

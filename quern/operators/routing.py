@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.arrays import lookup
 from quern.functions.text import tokens
+from quern.sources.shipping import ship
 
 #: Codes and the architecture and level of their keys.
 CODES = {
@@ -177,13 +178,12 @@ def encoded(c: Column, tokenizer: str | None = None) -> Column:
     """A text as token ids of a tokenizers file, normalized as that says and without added marks; without a file as its words between white space. Null stays null."""
     if tokenizer is None:
         return tokens(c)
+    ship()
 
     def ids(texts: pd.Series) -> pd.Series:
-        coder = _tokenizer(tokenizer)
         some = texts.notna()
-        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        out[some] = [x.ids for x in coder.encode_batch(texts[some].tolist(), add_special_tokens=False)]
-        return out
+        found = iter(_tokenizer(tokenizer).encode_batch(texts[some].tolist(), add_special_tokens=False))
+        return pd.Series([next(found).ids if x else None for x in some], index=texts.index, dtype=object)
 
     ids.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(ids, "array<int>")(c)

@@ -145,7 +145,7 @@ def token_distance(t):
 
 @query("SELECT d.doc_id, d.lang, d.source, coalesce(l.quality::VARCHAR, '') AS quality, coalesce(l.toxic::VARCHAR, '') AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def augment_left_join(t):
-    return curate.enriched(t("documents").select("doc_id", "lang", "source"), t("labels"), ["doc_id"], ["quality", "toxic"], order="quality")
+    return curate.enriched(t("documents").select("doc_id", "lang", "source"), t("labels"), ["doc_id"], ["quality", "toxic"])
 
 
 @query("SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -158,9 +158,37 @@ def needed_keys(t):
     return curate.keys_needed(t("documents").select(F.col("source").alias("exebench_split"), F.col("lang").alias("fname")), "exebench_split", "fname")
 
 
-@query("SELECT c_custkey, coalesce(o_orderpriority, '') AS o_orderpriority, coalesce(o_orderstatus, '') AS o_orderstatus FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+_LAST = "SELECT o_custkey, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey * 7919) % 10007 DESC, o_orderkey DESC) AS k FROM orders"
+
+
+def _arriving(t, name: str) -> DataFrame:
+    """Orders in files whose order isn't that of any column: (order key * 7919) % 10007."""
+    place = (F.col("o_orderkey") * 7919) % 10007
+    o = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), "o_orderkey", place.alias("_at"))
+    path = places.scratch(o.sparkSession, name)
+    o.repartitionByRange(5, "_at", "o_orderkey").sortWithinPartitions("_at", "o_orderkey").drop("_at").write.parquet(path)
+    return o.sparkSession.read.parquet(path)
+
+
+@query(f"SELECT c_custkey, coalesce(o_orderpriority, '') AS o_orderpriority, coalesce(nullif(o_orderstatus, 'P'), '') AS o_orderstatus FROM (SELECT c_custkey FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) LEFT JOIN ({_LAST}) ON o_custkey = c_custkey AND k = 1")
 def augment_last_wins(t):
-    return curate.enriched(t("customer").select("c_custkey"), t("orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], ["o_orderpriority", "o_orderstatus"], order="o_orderkey")
+    """The last order of a customer to arrive counts, also where its status is null; a third of the customers stand twice."""
+    c = t("customer").select("c_custkey")
+    return curate.enriched(c.unionByName(c.where("c_custkey % 3 = 0")), _arriving(t, "arriving"), ["c_custkey"], ["o_orderpriority", "o_orderstatus"])
+
+
+@query(f"SELECT c_custkey, c_mktsegment, coalesce(o_orderpriority, '') AS o_orderpriority, coalesce(nullif(o_orderstatus, 'P'), '') AS o_orderstatus FROM customer LEFT JOIN ({_LAST}) ON o_custkey = c_custkey AND k = 1")
+def augment_bucketed(t):
+    """The same over tables bucketed by the key, which are joined again and again without a shuffle; their arrival is a column."""
+    side = curate.in_arrival(_arriving(t, "arriving"))
+    spark, n = side.sparkSession, 8
+    tables = {}
+    for name, df in (("customers", t("customer").select("c_custkey", "c_mktsegment")), ("orders", side)):
+        path = places.scratch(spark, name)
+        table = "quern_" + path.rpartition("/")[2].replace("-", "_")
+        sinks.write_bucketed(df, table, path, ["c_custkey"], n)
+        tables[name] = scans.bucketed(spark, table, path, "", ["c_custkey"], n)
+    return curate.enriched(tables["customers"], tables["orders"], ["c_custkey"], ["o_orderpriority", "o_orderstatus"])
 
 
 @query("SELECT source, doc_id, 'chunk' || (doc_id % 2) AS part FROM documents UNION ALL SELECT 'labels', doc_id, 'labels' FROM labels")
@@ -205,6 +233,15 @@ def shard_compaction(t):
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 300 OFFSET 500")
 def chunk_slice(t):
+    """From shards in the order of the key, by the index of their rows."""
+    df = t("orders").select("o_orderkey", "o_custkey")
+    path = places.scratch(df.sparkSession, "ordered")
+    df.repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return scans.chunk(df.sparkSession, path, 500, 300)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 300 OFFSET 500")
+def chunk_by_key(t):
     return curate.chunk(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey", 500, 300)
 
 

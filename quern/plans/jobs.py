@@ -9,18 +9,29 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import arrays, asm, metrics, rewrites, text
 from quern.operators import batching, curate, external, routing
 from quern.schemas import METADATA
-from quern.sources import scans, sinks
+from quern.sources import places, scans, sinks
 
 
-def augmented(rows: DataFrame, source: DataFrame, columns: Sequence[str] = METADATA, keys: Sequence[str] = ("exebench_split", "fname")) -> DataFrame:
-    """rows with metadata of the source corpus by split and name; the source is first cut down to the keys that rows need."""
-    return curate.enriched(rows, curate.reduced(source, rows, *keys), list(keys), list(columns), order=None if source is rows else columns[0])
+def augmented(rows: DataFrame, source: DataFrame, columns: Sequence[str] = METADATA, keys: Sequence[str] = ("exebench_split", "fname"), order: str | Sequence[str] = ()) -> DataFrame:
+    """rows with metadata of the source corpus by split and name; the source is first cut down to the keys that rows need.
+
+    Of source rows with one key the last by order counts; without an order the last to arrive of a source read from files.
+    """
+    source = source if order else curate.in_arrival(source)
+    return curate.enriched(rows, curate.reduced(source, rows, *keys), list(keys), list(columns), order)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the scratch folder and read again."""
+    path = places.scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cleaned(rows: DataFrame, code: str = "obfuscated_c", name: str = "fname", least: int = 1) -> DataFrame:
@@ -30,12 +41,12 @@ def cleaned(rows: DataFrame, code: str = "obfuscated_c", name: str = "fname", le
 
 
 def clean(spark: SparkSession, rows: DataFrame, path: str, shard_rows: int = 10_000, **options: Any) -> DataFrame:
-    """cleaned() rows without a reason as shards in path/data, the counts of reasons as JSON in path/info; the counts."""
-    marked = cleaned(rows, **options)
+    """cleaned() rows without a reason as shards in path/data, the counts of reasons as JSON in path/info; the counts. One pass writes and counts."""
+    marked, seen = curate.reasons_observed(cleaned(rows, **options), ("no_function", "too_short"))
     sinks.write_shards(marked.where("skip_reason is null").drop("skip_reason"), f"{path}/data", shard_rows)
-    counts = curate.reason_counts(marked)
-    sinks.write_metadata(spark, {r["skip_reason"]: r["n"] for r in counts.collect()}, f"{path}/info")  # a row for each reason
-    return counts
+    counts = {reason: n for reason, n in seen.get.items() if n}
+    sinks.write_metadata(spark, counts, f"{path}/info")
+    return spark.createDataFrame(sorted(counts.items()), "skip_reason string, n long")
 
 
 def split(rows: DataFrame, path: str, stratum: str, key: str, ratio: float = 0.05, shard_rows: int = 50_000, seed: int = 42, group: str | None = None) -> DataFrame:
@@ -54,27 +65,28 @@ def merge(spark: SparkSession, folders: Sequence[str], path: str, *by: str, targ
 
 
 def prepare_tests(spark: SparkSession, parts: Sequence[DataFrame], path: str, code: str = "obfuscated_c", name: str = "fname") -> DataFrame:
-    """The union of test sets, with marked functions only, as one file; and how much that saved."""
+    """The union of test sets, with marked functions only, as one file; and how much that saved, counted as it is written."""
     whole = curate.typed_union(*parts)
     sized = cleaned(whole.withColumn("_before", F.col(code)), code, name).where("skip_reason is null")
+    sized, report = curate.sizes_observed(sized, "_before", code)
     sinks.write_single(sized.drop("_before", "skip_reason"), path)
-    return curate.size_report(sized, "_before", code)
+    return report()
 
 
 def generate(source: DataFrame, tool: Callable[[str, str, int], str], path: str, techniques: Sequence[str] = curate.TECHNIQUES, seed: int = 42, shard_rows: int = 5000, least_chars: int = 100) -> DataFrame:
-    """Each function of the source under each technique, as shards in path/data; and statistics: rows seen, samples written, failures, samples of each technique."""
-    seeded = source.withColumn("seed", curate.seeds(F.col("fname"), seed=seed))
-    rows = external.rewritten(seeded, tool, techniques, least=least_chars)
+    """Each function of the source under each technique, as shards in path/data; and statistics: rows seen, samples written, failures, samples of each technique.
+
+    The statistics are observed in the pass that writes, so the tool is asked once for each row and technique.
+    """
+    read, made = Observation(), Observation()
+    seeded = source.withColumn("seed", curate.seeds(F.col("fname"), seed=seed)).observe(read, F.count("*").alias("rows_seen"))
     fine = F.col("code").isNotNull()
-    spark = source.sparkSession
-    rows.where(fine).select("fname", "technique", "code").write.option("maxRecordsPerFile", shard_rows).mode("overwrite").parquet(f"{path}/data")
-    written = spark.read.parquet(f"{path}/data").groupBy("technique").agg(F.count("*").alias("total"))
-    names = spark.range(1).select(F.explode(F.array(*map(F.lit, techniques))).alias("technique"))
-    counts = names.join(written, "technique", "left").select(F.concat(F.lit("samples_per_transform."), "technique").alias("name"), F.coalesce("total", F.lit(0)).alias("total"))
-    seen = source.agg(F.count("*").alias("total")).select(F.lit("rows_seen").alias("name"), "total")
-    made = written.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total")).select(F.lit("samples_written").alias("name"), "total")
-    failed = seen.join(made.select(F.col("total").alias("made"))).select(F.lit("failures").alias("name"), (F.col("total") * len(techniques) - F.col("made")).alias("total"))
-    return counts.unionByName(seen).unionByName(made).unionByName(failed)
+    rows = external.rewritten(seeded, tool, techniques, least=least_chars).observe(made, *[F.count_if(fine & (F.col("technique") == t)).alias(t) for t in techniques])
+    sinks.write_shards(rows.where(fine).select("fname", "technique", "code"), f"{path}/data", shard_rows)
+    counts = {t: made.get.get(t, 0) for t in techniques}
+    seen, written = read.get.get("rows_seen", 0), sum(counts.values())
+    totals = {**{f"samples_per_transform.{t}": n for t, n in counts.items()}, "rows_seen": seen, "samples_written": written, "failures": seen * len(techniques) - written}
+    return source.sparkSession.createDataFrame(list(totals.items()), "name string, total long")
 
 
 def training_samples(rows: DataFrame, source: Column, target: Column, pair: str, tokenizer: str | None = None, most: int = 1024, batch: int = 8, order: str = "id", epoch: int | None = None) -> DataFrame:
@@ -104,7 +116,8 @@ def evaluated(rows: DataFrame, predict: Callable[[Sequence[str]], Sequence[str]]
 
     Rows without either, or of too many tokens, are skipped for a reason, and counted. metrics has BLEU,
     edit distance and exact matches, and with a check also its counts and rates, over all rows and for
-    each value of by.
+    each value of by. The model's answers are written first, so that it is asked once for a row and
+    all that is reported is about the same answers.
     """
     marked = curate.with_reason(rows, [
         ("missing_source", text.clean_string(F.col(source)).isNull()), ("missing_reference", text.clean_string(F.col(reference)).isNull()), ("too_many_tokens", F.size(text.tokens(F.col(source))) > most_tokens),
@@ -112,7 +125,7 @@ def evaluated(rows: DataFrame, predict: Callable[[Sequence[str]], Sequence[str]]
     fit = marked.where("skip_reason is null").withColumn("_n", F.size(text.tokens(F.col(source))))
     batched = batching.length_batches(fit, order, "_n", batch).withColumn("seq", F.col(order).cast("long"))
     answers = external.lifted(batched, predict, source, most_tokens).withColumnRenamed("seq", order)
-    told = fit.select(order, key, *by, F.col(reference).alias("reference")).join(answers, order)
+    told = _written(fit.select(order, key, *by, F.col(reference).alias("reference")).join(answers, order), "answers")
     scored = told.withColumns({"_d": metrics.ned(F.col("prediction"), F.col("reference")), "_e": metrics.exact(F.col("prediction"), F.col("reference")), "_b": metrics.bleu_parts(F.col("prediction"), F.col("reference"))})
     sums = [F.count("*").alias("n"), metrics.bleu_score(F.col("_b")).alias("bleu"), F.coalesce(F.avg("_d"), F.lit(0.0)).alias("ned"), F.coalesce(F.avg("_e"), F.lit(0.0)).alias("exact_match")]
     report = curate.overall(scored.withColumn("_b", F.explode(F.array("_b"))), sums, *by)
@@ -136,12 +149,13 @@ def rechecked(predictions: DataFrame, path: str, check: Callable[[dict[str, Any]
 def preference_set(prompts: DataFrame, generate: Callable[[str, int], Sequence[str]], check: Callable[[dict[str, Any]], Sequence[dict[str, Any]]], path: str, *, n: int = 5, ground_truth: bool = False, level: int = 2) -> DataFrame:
     """prompts (fname, prompt, truth): so many candidates each, checked, scored and ranked; pairs in path/data, ten to look at in path/sample; counts by best score.
 
-    Candidates are written first, so that a generator that draws is asked once.
+    Candidates are written first, and then what the check says of them, so that both are asked once.
     """
     spark = prompts.sparkSession
     external.candidates(prompts, generate, n).where("text is not null").write.mode("overwrite").parquet(f"{path}/candidates")
     made = spark.read.parquet(f"{path}/candidates").withColumn("seq", F.xxhash64("prompt", "position"))
-    results = external.run(made.select("seq", F.col("text").alias("prediction")), check, external.CHECKED)
+    external.run(made.select("seq", F.col("text").alias("prediction")), check, external.CHECKED).write.mode("overwrite").parquet(f"{path}/checks")
+    results = spark.read.schema(external.CHECKED).parquet(f"{path}/checks")
     scored = made.join(results.select("seq", "syntax_valid", "compiles"), "seq").withColumn("score", metrics.candidate_score(F.coalesce("syntax_valid", F.lit(False)), F.coalesce("compiles", F.lit(False)), level))
     best = curate.best_worst(scored, "prompt", "score", "position", "text")
     chosen = curate.preferences(best.join(prompts, "prompt"), "truth", ground_truth)

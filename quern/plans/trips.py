@@ -149,12 +149,16 @@ def clean_job(t):
     return counts.withColumn("written", F.lit(scans.rows_in(rows.sparkSession, f"{path}/data")).cast("long"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT lang) AS langs FROM documents")
+@query("SELECT doc_id, CASE WHEN coalesce(source, '') = '' THEN '' ELSE (2 - doc_id % 3) || coalesce(lang, '') END AS c_deps, count(*) OVER () AS n FROM (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE doc_id % 2 = 0)")
 def augment_job(t):
-    d = t("documents")
-    rows = d.select(F.col("source").alias("exebench_split"), F.col("doc_id").cast("string").alias("fname"), F.lit(None).cast("string").alias("c_deps"))
-    side = d.select(F.col("source").alias("exebench_split"), F.col("doc_id").cast("string").alias("fname"), F.col("lang").alias("c_deps"))
-    return jobs.augmented(rows, side, ["c_deps"]).agg(F.count("*").alias("n"), F.count_distinct(F.nullif("c_deps", F.lit(""))).alias("langs"))
+    """Each key has three source rows, of which the last to arrive holds the least, the middle or the greatest value; half of the rows' keys stand twice."""
+    d = t("documents").select("doc_id", F.col("source").alias("exebench_split"), F.col("doc_id").cast("string").alias("fname"), "lang")
+    rows = d.select("doc_id", "exebench_split", "fname", F.lit(None).cast("string").alias("c_deps"))
+    path = places.scratch(d.sparkSession, "source")
+    three = d.withColumn("_at", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("c_deps", F.concat(F.pmod(F.col("_at") - F.col("doc_id"), F.lit(3)).cast("string"), F.coalesce("lang", F.lit(""))))
+    three.repartitionByRange(6, "_at", "fname").sortWithinPartitions("_at", "fname").select("exebench_split", "fname", "c_deps").write.parquet(path)
+    out = jobs.augmented(rows.unionByName(rows.where("doc_id % 2 = 0")), d.sparkSession.read.parquet(path), ["c_deps"])
+    return out.join(out.agg(F.count("*").alias("n"))).select("doc_id", "c_deps", "n")  # one row
 
 
 @query("SELECT sum(length(text) + 47 + 2 * length('f' || doc_id) + 10)::BIGINT AS chars_before, count(*) AS files FROM documents WHERE doc_id % 3 <> 0")

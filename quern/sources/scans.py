@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +74,38 @@ def rows_in(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
+def bucketed(spark: SparkSession, table: str, path: str, columns: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """The table that sinks.write_bucketed left at a path; a session whose catalog doesn't know it is told its columns and buckets."""
+    if not spark.catalog.tableExists(table):
+        by = ", ".join(f"`{k}`" for k in keys)
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
+def row_index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rows, before) of the Parquet files at path: how many rows each holds and those before it, by name, hold. From footers; no column is read.
+
+    A row for each file: write it beside the table where chunks are taken again and again.
+    """
+    counts = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    below = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("file", "rows", F.coalesce(F.sum("rows").over(below), F.lit(0)).alias("before"))
+
+
+def chunk(spark: SparkSession, path: str, skip: int, most: int, index: DataFrame | None = None) -> DataFrame:
+    """The rows after the first skip, so many at most, as the files at path hold them, by name: only files that hold some of them are opened, and nothing is shuffled.
+
+    index is row_index() or what was stored of it.
+    """
+    index = row_index(spark, path) if index is None else index
+    held = index.where((F.col("before") < skip + most) & (F.col("before") + F.col("rows") > skip)).select("file", "before").collect()  # files of the chunk
+    if not held:
+        return spark.read.parquet(path).where(F.lit(False))
+    first = F.element_at(F.create_map(*[F.lit(x) for r in held for x in (r["file"], r["before"])]), F.col("_metadata.file_path"))
+    rows = spark.read.schema(spark.read.parquet(path).schema).parquet(*[unquote(r["file"]) for r in held])
+    return rows.where((first + F.col("_metadata.row_index")).between(skip, skip + most - 1))
+
+
 def whole_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, text) of each file below a path."""
     return spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

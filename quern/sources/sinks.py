@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,14 @@ def write_exact_shards(df: DataFrame, path: str, key: str, rows: int, codec: str
     sharded(df, key, rows).repartition("shard_id").sortWithinPartitions("shard_id", key).write.partitionBy("shard_id").option("compression", codec).mode("overwrite").parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> None:
+    """A table of a file for each bucket of the keys, sorted by them, at path; joins and groupings by the keys need no shuffle of it.
+
+    A file holds about rows / buckets rows: choose buckets for the largest table to be joined, and the same number for all.
+    """
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(table)
+
+
 def _moved(spark: SparkSession, source: str, target: str, name: Callable[[int], str]) -> None:
     """The one file in each of source's folders _shard=N as target/name(N); metadata only."""
     hadoop = spark._jvm.org.apache.hadoop.fs
