@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,29 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.sources import places
+from quern.sources.shipping import ship  # noqa: F401  # the operators take it from here
 
 #: White space between words, as a Java regular expression and as bytes.
 SPACES = "[\\x20\\x09-\\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for an application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = Path(tempfile.mkdtemp(prefix="quern-"))
-    target = folder / "quern_pkg.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(app)
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path below the shared folder of spark.checkpoint.dir."""
     return places.scratch(spark, name)
