@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import arrays, asm, metrics, rewrites, text
-from quern.operators import batching, curate, external, routing
+from quern.operators import batching, curate, external, nested, routing
 from quern.sources import places, scans, sinks
 from quern.streaming import increments
 
@@ -361,7 +361,10 @@ def size_report(t):
     return _rounded(curate.size_report(t("documents").select("text", text.stripped(F.col("text")).alias("clean")), "text", "clean"))
 
 
-@query("WITH r AS (SELECT event_id, user_id, value < 30 AS bad FROM events), i AS (SELECT *, sum((NOT bad)::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM r), k AS (SELECT *, sum(bad::INTEGER) OVER (PARTITION BY user_id, g ORDER BY event_id) AS run FROM i) SELECT user_id, min(event_id) AS stop_at FROM k WHERE run >= 3 GROUP BY 1")
+_STREAKS = "WITH r AS (SELECT event_id, user_id, value < 30 AS bad FROM events), i AS (SELECT *, sum((NOT bad)::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM r), k AS (SELECT *, sum(bad::INTEGER) OVER (PARTITION BY user_id, g ORDER BY event_id) AS run FROM i) SELECT user_id, min(event_id) AS stop_at FROM k WHERE run >= 3 GROUP BY 1"
+
+
+@query(_STREAKS)
 def fail_streak_stop(t):
     return curate.fail_streak_stop(t("events"), "event_id", F.col("value") < 30, 3, group="user_id")
 
@@ -663,7 +666,7 @@ def io_compare_nested(t):
     near = (F.lit(2.0) + F.col("event_id") % 5 * 0.0008).cast("string")  # off by four ten-thousandths for each
     key = F.when(F.col("event_id") % 7 == 0, "q").otherwise("p")
     b = F.concat(F.lit('{"a": [1.0, '), near, F.lit(', {"'), key, F.lit('": '), F.col("props"), F.lit("}]}"))
-    return t("events").select("event_id", asm.udf(asm.json_alike, "boolean")(a, b).alias("same"))
+    return nested.json_alike(t("events").select("event_id", a.alias("a"), b.alias("b")), "a", "b").select("event_id", "same")
 
 
 @query("""SELECT event_id, '{"x": ' || event_id || ', "s": "' || event_type || '"}' AS t FROM events""")
@@ -770,7 +773,10 @@ def windowed_counts(t):
     return increments.windowed_counts(t("events"), "ts", "event_type")
 
 
-@query("WITH o AS (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE AS gap FROM events), s AS (SELECT *, sum(coalesce(gap, false)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
+_SESSIONS = "WITH o AS (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE AS gap FROM events), s AS (SELECT *, sum(coalesce(gap, false)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k"
+
+
+@query(_SESSIONS)
 def session_windows(t):
     return increments.sessions(t("events"), "ts", "user_id")
 

@@ -111,8 +111,8 @@ def preference_samples(rows: DataFrame, tokenizer: str | None = None, most: int
     return ids.where(fit)
 
 
-def evaluated(rows: DataFrame, predict: Callable[[Sequence[str]], Sequence[str]], *, source: str = "source", reference: str = "reference", key: str = "fname", by: Sequence[str] = (), order: str = "id", most_tokens: int = 1024, batch: int = 8, check: Callable[[dict[str, Any]], Sequence[dict[str, Any]]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(predictions, metrics, skipped): a model over length-bucketed batches of rows with a source and a reference.
+def evaluated(rows: DataFrame, predict: Callable[[Sequence[str]], Sequence[str]] | None = None, *, load: Callable[[], Callable[[Sequence[str]], Sequence[str]]] | None = None, source: str = "source", reference: str = "reference", key: str = "fname", by: Sequence[str] = (), order: str = "id", most_tokens: int = 1024, batch: int = 8, check: Callable[[dict[str, Any]], Sequence[dict[str, Any]]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(predictions, metrics, skipped): a model, or what loads one in a worker, over batches of about equally long rows with a source and a reference.
 
     Rows without either, or of too many tokens, are skipped for a reason, and counted. metrics has BLEU,
     edit distance and exact matches, and with a check also its counts and rates, over all rows and for
@@ -123,8 +123,7 @@ def evaluated(rows: DataFrame, predict: Callable[[Sequence[str]], Sequence[str]]
         ("missing_source", text.clean_string(F.col(source)).isNull()), ("missing_reference", text.clean_string(F.col(reference)).isNull()), ("too_many_tokens", F.size(text.tokens(F.col(source))) > most_tokens),
     ])
     fit = marked.where("skip_reason is null").withColumn("_n", F.size(text.tokens(F.col(source))))
-    batched = batching.length_batches(fit, order, "_n", batch).withColumn("seq", F.col(order).cast("long"))
-    answers = external.lifted(batched, predict, source, most_tokens).withColumnRenamed("seq", order)
+    answers = external.lifted(fit.withColumn("seq", F.col(order).cast("long")), predict, source, most_tokens, batch, length="_n", load=load).withColumnRenamed("seq", order)
     told = _written(fit.select(order, key, *by, F.col(reference).alias("reference")).join(answers, order), "answers")
     scored = told.withColumns({"_d": metrics.ned(F.col("prediction"), F.col("reference")), "_e": metrics.exact(F.col("prediction"), F.col("reference")), "_b": metrics.bleu_parts(F.col("prediction"), F.col("reference"))})
     sums = [F.count("*").alias("n"), metrics.bleu_score(F.col("_b")).alias("bleu"), F.coalesce(F.avg("_d"), F.lit(0.0)).alias("ned"), F.coalesce(F.avg("_e"), F.lit(0.0)).alias("exact_match")]
@@ -164,14 +163,14 @@ def preference_set(prompts: DataFrame, generate: Callable[[str, int], Sequence[s
     return best.groupBy("best_score").agg(F.count("*").alias("n"))
 
 
-def lifted_units(units: DataFrame, predict: Callable[[Sequence[str]], Sequence[str]], *, code: str = "asm", name: str = "fname", pair: str = "arm_ir-ir", most_tokens: int = 1024, batch: int = 8, order: str = "id") -> DataFrame:
+def lifted_units(units: DataFrame, predict: Callable[[Sequence[str]], Sequence[str]] | None = None, *, load: Callable[[], Callable[[Sequence[str]], Sequence[str]]] | None = None, code: str = "asm", name: str = "fname", pair: str = "arm_ir-ir", most_tokens: int = 1024, batch: int = 8, order: str = "id") -> DataFrame:
     """(id, fname, ir, error): a function of each unit cut out, cleaned, wrapped for a pair and lifted; what can't be has an error."""
     own, _ = routing.languages(pair)
     prepared = units.withColumn("_p", routing.wrapped(asm.preprocessed(F.col(code), F.col(name)), own))
     prepared = prepared.withColumn("error", F.when(asm.preprocessed(F.col(code), F.col(name)).isNull(), "no such function").when(F.size(text.tokens(F.col("_p"))) > most_tokens, "too long"))
     fit = prepared.where("error is null").withColumn("_n", F.size(text.tokens(F.col("_p"))))
-    answers = external.lifted(batching.length_batches(fit, order, "_n", batch).withColumn("seq", F.col(order).cast("long")), predict, "_p", most_tokens)
-    done = answers.select(F.col("seq").alias(order), text.truncate_ir(F.col("prediction")).alias("ir"))
+    answers = external.lifted(fit.withColumn("seq", F.col(order).cast("long")), predict, "_p", most_tokens, batch, length="_n", load=load)
+    done = _written(answers.select(F.col("seq").alias(order), text.truncate_ir(F.col("prediction")).alias("ir")), "lifted")
     return prepared.select(order, name, "error").join(done, order, "left")
 
 

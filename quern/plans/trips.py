@@ -7,6 +7,7 @@ small functions here, so that SQL can say what they answer.
 from __future__ import annotations
 
 import json
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from quern.functions import arrays, metrics, text
 from quern.operators import curate, external, routing
 from quern.plans import jobs
-from quern.plans.catalog import _ARRAYS, _SPLIT, _TURNS, _arrays, _sql_text, _text_of, _turns, _values, query
+from quern.plans.catalog import _ARRAYS, _SESSIONS, _SPLIT, _STREAKS, _TURNS, _arrays, _sql_text, _text_of, _turns, _values, query
 from quern.schemas import blank_metadata
 from quern.sources import places, scans, sinks
 from quern.streaming import increments
@@ -322,6 +323,49 @@ def stream_roundtrip(t):
     return d.sparkSession.read.parquet(f"{path}/out").groupBy("lang").agg(F.count("*").alias("n"))
 
 
+def _streamed(t, name: str, of) -> tuple[DataFrame, int]:
+    """What a streaming operator makes of events that arrive in three parts, each a run of its own, and how many late rows it dropped.
+
+    Within a part events come in any order. With the second part come seven events of ten days before the first, of users 1 to 7; the last
+    part has, ten days after all others, one of user -1, so that the watermark passes them.
+    """
+    e = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    spark = e.sparkSession
+    source, out, marks = (places.scratch(spark, f"{name}-{x}") for x in ("in", "out", "marks"))
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) / 3 * k for k in (1, 2)]
+    odd = lambda users, ts: spark.createDataFrame([(-u, ts, u, 0.0) for u in users], e.schema)
+    day = timedelta(days=10)
+    parts = (e.where(F.col("ts") < cuts[0]), e.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])).unionByName(odd(range(1, 8), first - day)), e.where(F.col("ts") >= cuts[1]).unionByName(odd([-1], last + day)))
+    dropped = 0
+    for p in parts:
+        p.repartition(2).write.mode("append").parquet(source)
+        q = increments.maintained(of(increments.arrivals(spark, source, e.schema)), lambda b: b, out, marks)
+        q.awaitTermination()
+        dropped += increments.late_dropped(q)
+    return spark.read.parquet(out).drop("batch"), dropped
+
+
+@query(_SESSIONS.replace("SELECT user_id, min(ts)", "SELECT 7::BIGINT AS late, user_id, min(ts)"))
+def stream_sessions(t):
+    rows, late = _streamed(t, "sessions", lambda s: increments.sessions(s, "ts", "user_id"))
+    return rows.withColumn("late", F.lit(late).cast("long"))
+
+
+@query(f"SELECT *, 7::BIGINT AS late FROM ({_STREAKS})")
+def stream_streaks(t):
+    rows, late = _streamed(t, "streaks", lambda s: increments.streaks(s, "ts", "user_id", "event_id", F.col("value") < 30, 3))
+    return rows.select(F.col("key").alias("user_id"), "stop_at", F.lit(late).cast("long").alias("late"))
+
+
+@query("SELECT user_id, count(DISTINCT date_trunc('day', ts)) AS n FROM events GROUP BY 1")
+def stream_distinct(t):
+    """The first event of each user and day."""
+    rows, _ = _streamed(t, "distinct", lambda s: increments.deduplicated(s.withColumn("day", F.to_date("ts")), "ts", "user_id", "day"))
+    first = t("events").agg(F.min("ts").cast("date")).first()[0]  # a late event comes from before it
+    return rows.where((F.col("user_id") >= 0) & (F.col("day") >= F.lit(first))).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 # --- small functions --------------------------------------------------------
 
 
