@@ -25,7 +25,7 @@ from quern.llm.common import ship, table, through_table
 LETTERS = "[a-z\u00c0-\u00ff]"
 
 #: Rows of a shard's automaton (two halves each, and some scans), words that may meet at one half, distinct words that a task counts before it passes them on.
-SHARD_ROWS, MOST_AT_HALF, MOST_COUNTED = 20_000, 1_000, 300_000
+SHARD_ROWS, MOST_AT_HALF, MOST_COUNTED = 20_000, 64, 300_000
 
 
 def word_counts(df: DataFrame, *, least: int = 7, times: int = 2, slip: int = 31, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -109,39 +109,44 @@ def _routes(words: DataFrame, most: int) -> DataFrame:
         rows = rows.join(many, "key", "left_semi")
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether exactly one inserted, deleted or replaced code point makes a into b."""
+def one_edit(a: str, b: str, same: int = 0) -> bool:
+    """Whether exactly one inserted, deleted or replaced code point makes a into b; that they begin with so many of the same is known."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > 1 or a == b:
         return False
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+    k, n = same, len(a)
+    while k < n and a[k] == b[k]:
+        k += 1
+    return a[k + (n == len(b)) :] == b[k + 1 :]
 
 
 def _scanned(shard: pa.Table) -> pa.Table:
-    """(word, near, near_n): the stored words one edit from each scanned one, of one shard."""
+    """(word, near, near_n): the stored words one edit from each scanned one, of one shard.
+
+    A half's words are held by where it stands in them and by their length, so that a hit meets those alone that it fits.
+    """
     import ahocorasick
 
     half, at, word, n, stored = (shard.column(c).to_pylist() for c in ("half", "at", "word", "n", "stored"))
-    held: dict[str, set] = {}
+    held: dict[str, dict[tuple[int, int], dict[str, int]]] = {}
     for h, a, w, m, s in zip(half, at, word, n, stored, strict=True):
         if s:
-            held.setdefault(h, set()).add((w, a, m))
+            held.setdefault(h, {}).setdefault((a, len(w)), {})[w] = m
     found: set[tuple[str, str, int]] = set()
     if held:
         automaton = ahocorasick.Automaton()
-        for h, entries in held.items():
-            automaton.add_word(h, (len(h), list(entries)))
+        for h, places in held.items():
+            automaton.add_word(h, (len(h), places))
         automaton.make_automaton()
         for v in {w for w, s in zip(word, stored, strict=True) if not s}:
             size = len(v)
-            for end, (long, entries) in automaton.iter(v):
+            for end, (long, places) in automaton.iter(v):
                 start = end + 1 - long
-                for w, a, m in entries:
-                    apart = size - len(w)
-                    if -2 < apart < 2 and start - a in (0, apart) and one_edit(v, w):
-                        found.add((v, w, m))
+                for a, length in ((start, size), (start, size - 1), (start, size + 1), (start - 1, size - 1), (start + 1, size + 1)):
+                    if fit := places.get((a, length)):
+                        same = long if not start and not a else 0
+                        found.update([(v, w, m) for w, m in fit.items() if one_edit(v, w, same)])
     columns = list(zip(*found, strict=True)) or [(), (), ()]
     return pa.table({"word": pa.array(columns[0], pa.string()), "near": pa.array(columns[1], pa.string()), "near_n": pa.array(columns[2], pa.int64())})
 
