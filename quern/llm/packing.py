@@ -12,7 +12,8 @@ made them, and a piece's number says which use of its length in which sequence i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+import struct
+from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -22,50 +23,77 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import ship, slices, table, through_table
+from quern.llm.tokens import _SPELLED
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END_ID = 4096, 1
 
 _RANK_BITS = 44
 
+#: Pieces that can be put together from units, and the units of such a piece, lowered.
+_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
+_UNITS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-/:-`{-~]+").findall
+
+
+class _Kept(dict):
+    """Values by key, worked out where they are missing; of two generations the older goes, so what is common stays."""
+
+    def __init__(self, work: Callable[[str], bytes], most: int, longest: int = 64):
+        self.work, self.most, self.longest, self.older = work, most, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.work(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
 
 class WordEncoder:
     """Encodes texts with a tokenizers file whose pretokenizer drops white space; the ids of pieces between blanks and line ends are kept for reuse.
 
     No token of such a tokenizer spans white space, and none of its rules looks over it, so pieces can be encoded apart.
-    Where an added token has a blank in it, or a probe shows that the rule doesn't hold, texts go whole.
+    Pieces of Latin letters, digits and ASCII marks without an apostrophe are put together from runs of letters, single digits and
+    runs of marks. Where an added token has a blank in it, or probes show that these rules don't hold, texts go whole.
     """
 
-    PROBES = ("a b", "It's the\n end", "x\n\ny  z", "é 12 ?!\nÀ b's", "<|a|> b\tc d")
+    PROBES = ("a b", "It's the\n end", "x\n\ny  z", "é 12 ?!\nÀ b's", "<|a|> b\tc d", "Größe, (ÇÀ-12a) 3.14 aÿ! x_y ½ a×b", "#a$b A1B2")
 
-    def __init__(self, path: str, most: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.longest, self.kept = Tokenizer.from_file(path), most, longest, {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.units = _Kept(self._unit, most)
+        self.pieces = _Kept(self._piece, most)
+        self.simple = True
+        self.simple = all(self._ids(p) == self._joined(p) for p in self.PROBES)
+        self.pieces.clear()
         self.apart = not any(re.search(r"\s", x) for x in added) and all(self._ids(p) == self._joined(p) for p in self.PROBES)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _unit(self, unit: str) -> bytes:
+        if not unit[0].isalpha():
+            return self._ids(unit)
+        ids = [t.id for t in self.model.tokenize(unit if unit.isascii() else unit.translate(_SPELLED))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        if self.simple and _PLAIN(piece) and not self.added(piece):
+            return b"".join([self.units[u] for u in _UNITS(piece.lower())])
+        return self._ids(piece) if piece else b""
+
     def _joined(self, text: str) -> bytes:
-        pieces, kept = text.replace("\n", " ").split(" "), self.kept
-        try:
-            return b"".join([kept[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(kept) > self.most:
-            kept.clear()
-            kept[""] = b""
-        out = []
-        for p in pieces:
-            ids = kept.get(p)
-            if ids is None:
-                ids = self._ids(p)
-                if len(p) <= self.longest:
-                    kept[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        kept = self.pieces
+        return b"".join([kept[p] for p in text.replace("\n", " ").split(" ")])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -220,7 +248,7 @@ def packed(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             own = [b.column(f.name) for f in out.fields[:-2]]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sequence + k // uses), pa.array(offset + k % uses * n)], out.names)
 
-    return pieces.join(firsts, ["_part", "length"]).mapInArrow(run, out)
+    return pieces.join(firsts.hint("merge"), ["_part", "length"]).mapInArrow(run, out)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
