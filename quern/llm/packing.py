@@ -32,6 +32,7 @@ _RANK_BITS = 44
 
 #: Pieces that can be put together from units, and the units of such a piece, lowered.
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
+_ENDS = (",", ".", ";", ":", "!", "?")
 _UNITS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-/:-`{-~]+").findall
 
 
@@ -63,13 +64,14 @@ class WordEncoder:
 
     PROBES = ("a b", "It's the\n end", "x\n\ny  z", "é 12 ?!\nÀ b's", "<|a|> b\tc d", "Größe, (ÇÀ-12a) 3.14 aÿ! x_y ½ a×b", "#a$b A1B2")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.signed = not any(re.search("^[A-Za-z]+[,.;:!?]?$", x) for x in added)
         self.units = _Kept(self._unit, most)
         self.pieces = _Kept(self._piece, most)
         self.simple = True
@@ -87,6 +89,11 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
+        if self.simple and self.signed and piece.isascii():  # letters, or letters and a mark
+            if piece.isalpha():
+                return self.units[piece.lower()]
+            if piece[-1:] in _ENDS and piece[:-1].isalpha():
+                return self.units[piece[:-1].lower()] + self.units[piece[-1]]
         if self.simple and _PLAIN(piece) and not self.added(piece):
             return b"".join([self.units[u] for u in _UNITS(piece.lower())])
         return self._ids(piece) if piece else b""
