@@ -24,8 +24,8 @@ from quern.llm.common import ship, table, through_table
 #: Letters of words, A-Z already lowered.
 LETTERS = "[a-z\u00c0-\u00ff]"
 
-#: Rows of a shard's automaton (two halves each, and some scans), words that may meet at one half, distinct words that a task counts before it passes them on.
-SHARD_ROWS, MOST_AT_HALF, MOST_COUNTED = 20_000, 64, 300_000
+#: Rows of a shard (about half of them stored in its automaton), rows that may meet at one half, distinct words that a task counts before it passes them on.
+SHARD_ROWS, MOST_AT_HALF, MOST_COUNTED = 20_000, 4_000, 300_000
 
 
 def word_counts(df: DataFrame, *, least: int = 7, times: int = 2, slip: int = 31, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -71,42 +71,44 @@ def word_counts(df: DataFrame, *, least: int = 7, times: int = 2, slip: int = 31
 def _halved() -> Column:
     """The rows that a row becomes whose word is not in its key yet from start to stop.
 
-    A stored word has a row for the first half of that and one for the second. A scanned one has a row for each beginning
-    and each end that is a half of something of its length, one more or one less. An empty half leaves the half before in place.
+    A word has a row for each beginning and each end that is a half of something of its length, one more or one less: there it is
+    scanned. It is stored, too, where that is its own half and it was stored before. An empty half leaves the half before in place.
     """
     key, word, start, stop = map(F.col, ("key", "word", "start", "stop"))
     size = stop - start
 
-    def row(side: str, a: Column, b: Column, first: Column, last: Column) -> Column:
+    def row(side: str, a: Column, b: Column, first: Column, last: Column, own: Column) -> Column:
         piece = F.substring(word, a + 1, b - a)
         empty = b <= a
-        return F.struct(F.concat(key, F.lit(side), piece).alias("key"), F.when(empty, F.col("half")).otherwise(piece).alias("half"), F.when(empty, F.col("at")).otherwise(a).alias("at"), first.alias("start"), last.alias("stop"))
+        return F.struct(F.concat(key, F.lit(side), piece).alias("key"), F.when(empty, F.col("half")).otherwise(piece).alias("half"), F.when(empty, F.col("at")).otherwise(a).alias("at"), first.alias("start"), last.alias("stop"), (F.col("stored") & own).alias("stored"))
 
-    front = lambda h: row("<", start, start + h, start + h, stop)
-    back = lambda h: row(">", stop - h, stop, start, stop - h)
     lower = lambda n: F.greatest(F.floor(n / 2), F.lit(0)).cast("int")
-    upper = lambda n: F.least(F.ceil(n / 2), size).cast("int")
-    own = F.array(front(lower(size)), back(upper(size)))
+    upper = lambda n: F.greatest(F.least(F.ceil(n / 2), size), F.lit(0)).cast("int")
+    front = lambda h: row("<", start, start + h, start + h, stop, h == lower(size))
+    back = lambda h: row(">", stop - h, stop, start, stop - h, h == upper(size))
     lengths = lambda of: F.array_distinct(F.array(of(size - 1), of(size), of(size + 1)))
-    return F.when(F.col("stored"), own).otherwise(F.concat(F.transform(lengths(lower), front), F.transform(lengths(lambda n: F.greatest(upper(n), F.lit(0))), back)))
+    return F.concat(F.transform(lengths(lower), front), F.transform(lengths(upper), back))
 
 
-def _routes(words: DataFrame, most: int) -> DataFrame:
-    """(key, half, at, word, n, stored): every word under the keys it is stored and scanned with, with at most so many rows of a key, unless its words differ in one place only."""
-    rows = words.select(F.lit("").alias("key"), F.lit("").alias("half"), F.lit(0).alias("at"), F.lit(0).alias("start"), F.length("word").alias("stop"), "word", "n", F.explode(F.array(F.lit(True), F.lit(False))).alias("stored"))
-    done = None
+def _routes(words: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Every word (half, at, start, stop, word, n, stored) under the keys it is scanned and perhaps stored with, and about how many rows that are.
+
+    A key has at most so many rows, unless its words differ in one place only. Only words at keys of more rows are written, to be halved again.
+    """
+    rows = words.select(F.lit("").alias("key"), F.lit("").alias("half"), F.lit(0).alias("at"), F.lit(0).alias("start"), F.length("word").alias("stop"), "word", "n", F.lit(True).alias("stored"))
+    done, total = None, 0
     while True:
-        split = rows.select("word", "n", "stored", F.explode(_halved()).alias("_r")).select("_r.*", "word", "n", "stored")
-        rows = through_table(split, "halves")
+        total += 4 * rows.count()
+        rows = rows.select("word", "n", F.explode(_halved()).alias("_r")).select("_r.*", "word", "n")
         open_ = F.count_if(F.col("stop") - F.col("start") > 2)
-        many = through_table(rows.groupBy("key").agg(F.count("*").alias("_n"), F.count_if("stored").alias("_s"), open_.alias("_open")).where((F.col("_n") > most) & (F.col("_s") > 0) & (F.col("_open") > 0)).select("key"), "shared")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("_n"), F.count_if("stored").alias("_s"), open_.alias("_open"))
+        many = through_table(sizes.where((F.col("_n") > most) & (F.col("_s") > 0) & (F.col("_open") > 0)).select("key"), "shared")
         last = many.isEmpty()
         settled = rows if last else rows.join(many, "key", "left_anti")
-        settled = settled.select("key", "half", "at", "word", "n", "stored")
         done = settled if done is None else done.unionByName(settled)
         if last:
-            return done
-        rows = rows.join(many, "key", "left_semi")
+            return done, total
+        rows = through_table(rows.join(many, "key", "left_semi"), "halves")
 
 
 def one_edit(a: str, b: str, same: int = 0) -> bool:
@@ -124,29 +126,45 @@ def one_edit(a: str, b: str, same: int = 0) -> bool:
 def _scanned(shard: pa.Table) -> pa.Table:
     """(word, near, near_n): the stored words one edit from each scanned one, of one shard.
 
-    A half's words are held by where it stands in them and by their length, so that a hit meets those alone that it fits.
+    A half's words are held by where it stands in them and by their length, so that a hit meets those alone that it fits; and of
+    these by the two halves of what is left of them, one of which must be there as well before the distance is worked out.
     """
     import ahocorasick
 
-    half, at, word, n, stored = (shard.column(c).to_pylist() for c in ("half", "at", "word", "n", "stored"))
-    held: dict[str, dict[tuple[int, int], dict[str, int]]] = {}
-    for h, a, w, m, s in zip(half, at, word, n, stored, strict=True):
-        if s:
-            held.setdefault(h, {}).setdefault((a, len(w)), {})[w] = m
+    half, at, start, stop, word, n, stored = (shard.column(c).to_pylist() for c in ("half", "at", "start", "stop", "word", "n", "stored"))
+    held: dict[str, dict[int, dict[int, dict[tuple[int, int], tuple[dict, dict]]]]] = {}
+    for k, is_stored in enumerate(stored):
+        if is_stored:
+            w, s, e = word[k], start[k], stop[k]
+            places = held.setdefault(half[k], {}).setdefault(at[k], {}).setdefault(len(w), {})
+            fronts, backs = places.setdefault((s, e), ({}, {}))
+            middle = s + (e - s) // 2
+            fronts.setdefault(w[s:middle], []).append((w, n[k]))
+            backs.setdefault(w[middle:e], []).append((w, n[k]))
     found: set[tuple[str, str, int]] = set()
     if held:
         automaton = ahocorasick.Automaton()
         for h, places in held.items():
             automaton.add_word(h, (len(h), places))
         automaton.make_automaton()
-        for v in {w for w, s in zip(word, stored, strict=True) if not s}:
+        for v in set(word):
             size = len(v)
             for end, (long, places) in automaton.iter(v):
-                start = end + 1 - long
-                for a, length in ((start, size), (start, size - 1), (start, size + 1), (start - 1, size - 1), (start + 1, size + 1)):
-                    if fit := places.get((a, length)):
-                        same = long if not start and not a else 0
-                        found.update([(v, w, m) for w, m in fit.items() if one_edit(v, w, same)])
+                here = end + 1 - long
+                for a in (here - 1, here, here + 1):
+                    by_length = places.get(a)
+                    if by_length is None:
+                        continue
+                    for length in (size - 1, size, size + 1) if a == here else (size + a - here,):
+                        for (s, e), (fronts, backs) in by_length.get(length, {}).items():
+                            middle, more = s + (e - s) // 2, size - length
+                            same = long if not a and not here else 0
+                            for w, m in fronts.get(v[s:middle], ()):
+                                if one_edit(v, w, same):
+                                    found.add((v, w, m))
+                            for w, m in backs.get(v[max(middle + more, 0) : e + more], ()):
+                                if one_edit(v, w, same):
+                                    found.add((v, w, m))
     columns = list(zip(*found, strict=True)) or [(), (), ()]
     return pa.table({"word": pa.array(columns[0], pa.string()), "near": pa.array(columns[1], pa.string()), "near_n": pa.array(columns[2], pa.int64())})
 
@@ -154,11 +172,10 @@ def _scanned(shard: pa.Table) -> pa.Table:
 def near_words(words: DataFrame, *, shard_rows: int = SHARD_ROWS, most: int = MOST_AT_HALF) -> DataFrame:
     """(word, near, near_n): every two words (word, n) that are one inserted, deleted or replaced code point apart, both ways, each once. Words have two code points or more, and stand once."""
     ship(words.sparkSession)
-    routes = through_table(_routes(words, most), "routes")
-    shards = max(1, -(-routes.count() // shard_rows))
-    rows = routes.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("_shard"), "half", "at", "word", "n", "stored")
+    routes, total = _routes(words, most)
+    rows = routes.withColumn("_shard", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // shard_rows))))).drop("key")
     pairs = rows.groupBy("_shard").applyInArrow(_scanned, "word string, near string, near_n long")
-    return pairs.groupBy("word", "near").agg(F.max("near_n").alias("near_n"))
+    return pairs.repartition("word").dropDuplicates(["word", "near"])  # one shuffle, which grouping by word and joining on it use as well
 
 
 def _roots(links: DataFrame) -> DataFrame:
