@@ -84,6 +84,12 @@ def bleu_score(parts: Column) -> Column:
     return F.when((match[0] > 0) & (total[3] > 0), 100 * brevity * F.exp(logs / 4)).otherwise(F.lit(0.0))
 
 
+def bleu_sums(parts: Column) -> Column:
+    """Aggregate: the sums of bleu_parts(), of the same type, so that bleu_score() takes sums of shards as it takes single texts."""
+    add = lambda name: F.array(*[F.sum(parts[name][n]) for n in range(4)]).alias(name)
+    return F.struct(F.sum(parts["sys_len"]).alias("sys_len"), F.sum(parts["ref_len"]).alias("ref_len"), add("match"), add("total"))
+
+
 def token_distance(a: Column, b: Column, words=tokens) -> Column:
     """Edits between the words of two texts: each distinct word stands for one character of its own. A null second text has no words."""
 

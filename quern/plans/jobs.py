@@ -57,8 +57,10 @@ def split(rows: DataFrame, path: str, stratum: str, key: str, ratio: float = 0.0
 
 
 def merge(spark: SparkSession, folders: Sequence[str], path: str, *by: str, target_rows: int = 50_000, pattern: str = "*.parquet") -> DataFrame:
-    """All shards below the folders as few files of exactly so many rows, and the sums of the folders' statistics."""
-    sinks.compact(scans.shards(spark, folders, pattern=pattern), f"{path}/data", *by, target_rows=target_rows)
+    """All shards below the folders as few files of exactly so many rows, and the sums of the folders' statistics; path/skipped names the shards and metadata files left out, and why."""
+    skipped = scans.skipped_shards(spark, folders, pattern).unionByName(scans.skipped_sidecars(spark, folders))
+    sinks.write_json_lines(skipped, f"{path}/skipped")
+    sinks.compact(scans.shards(spark, folders, pattern=pattern, tolerant=True), f"{path}/data", *by, target_rows=target_rows)
     totals = curate.merged_stats(scans.sidecars(spark, folders))
     sinks.write_metadata(spark, {r["name"]: r["total"] for r in totals.collect()}, f"{path}/info")  # a row for each counter
     return totals

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quern.functions import arrays, metrics, text
 from quern.operators import curate, external, routing
 from quern.plans import jobs
-from quern.plans.catalog import _ARRAYS, _SESSIONS, _SPLIT, _STREAKS, _TURNS, _arrays, _sql_text, _text_of, _turns, _values, query
+from quern.plans.catalog import _ARRAYS, _SESSIONS, _SPLIT, _STREAKS, _TURNS, ORACLES, _arrays, _once, _sql_text, _text_of, _turns, _values, query
 from quern.schemas import blank_metadata
 from quern.sources import places, scans, sinks
 from quern.streaming import increments
@@ -66,7 +66,21 @@ def damaged_shards_read(t):
     path = places.scratch(df.sparkSession, "damaged")
     sinks.write_shards(df, path, 2000)
     sinks.write_file(df.sparkSession, f"{path}/part-none.parquet", "no parquet at all")
-    return scans.shards(df.sparkSession, [path], df.schema, "part-*.parquet")
+    return scans.shards(df.sparkSession, [path], df.schema, "part-*.parquet", tolerant=True)
+
+
+@query("SELECT 'read' AS what, '' AS file, count(*) AS n FROM orders UNION ALL SELECT 'by footers', '', count(*) FROM orders UNION ALL VALUES ('left out', 'part-none.parquet', 1), ('left out', 'part-empty.parquet', 1)")
+def damaged_shards_reported(t):
+    df = t("orders").select("o_orderkey")
+    spark, path = df.sparkSession, places.scratch(df.sparkSession, "damaged")
+    sinks.write_shards(df, path, 2000)
+    sinks.write_file(spark, f"{path}/part-none.parquet", "no parquet at all")
+    sinks.write_file(spark, f"{path}/part-empty.parquet", "")
+    told = lambda rows, what, n, file="": rows.agg(n.cast("long").alias("n")).select(F.lit(what).alias("what"), F.lit(file).alias("file"), "n")
+    read = told(scans.shards(spark, [path], df.schema, "part-*.parquet", tolerant=True), "read", F.count("*"))
+    footers = told(scans.probed(spark, [path], "part-*.parquet"), "by footers", F.sum("rows"))
+    left = scans.skipped_shards(spark, [path], "part-*.parquet").select(F.lit("left out").alias("what"), F.element_at(F.split("file", "/"), -1).alias("file"), F.lit(1).cast("long").alias("n"))
+    return read.unionByName(footers).unionByName(left)
 
 
 @query("SELECT 'rows_seen' AS name, count(*)::BIGINT AS total FROM events UNION ALL SELECT 'failures', count(*) FILTER (WHERE value < 10) FROM events UNION ALL SELECT 'samples_per_transform.' || event_type, count(*) FROM events GROUP BY event_type")
@@ -285,6 +299,39 @@ def publish_roundtrip(t):
     return spark.read.parquet(f"{path}/live").groupBy("lang").agg(F.count("*").alias("n")).withColumn("gone", F.lit(sinks.deleted(spark, path, "stale-*")).cast("long"))
 
 
+@query("SELECT lang, 'between' AS seen, count(*) AS n, true AS refused FROM documents WHERE doc_id % 2 = 0 GROUP BY 1 UNION ALL SELECT lang, 'after', count(*), true FROM documents GROUP BY 1")
+def publish_by_pointer(t):
+    """A reader between a version's two steps finds the one before; a second publisher after the same pointer is refused."""
+    d = t("documents").select("doc_id", "lang")
+    spark, path = d.sparkSession, places.scratch(d.sparkSession, "pointed")
+    first = sinks.publish(d.where("doc_id % 2 = 0"), path, "v1")
+    d.write.parquet(f"{path}/v2")
+    seen = lambda label: scans.versioned(spark, path).groupBy("lang").agg(F.count("*").alias("n")).withColumn("seen", F.lit(label))
+    between = seen("between")
+    sinks.point(spark, path, "v2", first)
+    try:
+        sinks.publish(d.where("doc_id % 3 = 0"), path, "v3", first)
+        refused = False
+    except FileExistsError:
+        refused = not scans.exists(spark, f"{path}/v3")
+    return between.unionByName(seen("after")).withColumn("refused", F.lit(refused))
+
+
+@query(ORACLES["eval_bleu_grouped"])
+def eval_incremental(t):
+    """Scores from stored sums of shards, which arrive in three lots; those that were added are gone when the next come, so only new ones are read."""
+    turns = _turns(t).select("conv_id", "turn", "technique", "prediction", "reference")
+    spark, path = turns.sparkSession, places.scratch(turns.sparkSession, "sums")
+
+    def sums(rows: DataFrame) -> DataFrame:
+        parts = _once(rows.select("shard", "technique", metrics.bleu_parts(F.col("prediction"), F.col("reference")).alias("parts")), "parts")
+        return parts.groupBy("shard", "technique").agg(metrics.bleu_sums(F.col("parts")).alias("parts"))
+
+    for lot in range(3):
+        sinks.add_partials(spark, _saved(turns.where(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)) == lot), "lot"), path, sums)
+    return curate.overall(scans.partials(spark, path), [F.round(metrics.bleu_score(F.col("parts")), 6).alias("bleu")], "technique")
+
+
 @query("SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, sum(CASE WHEN doc_id % 10 = 0 THEN -doc_id ELSE doc_id END)::BIGINT AS ids FROM documents GROUP BY 1")
 def partitions_replaced(t):
     d = t("documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train").alias("split"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.curate import numbered, sharded
+from quern.sources import scans
 from quern.sources.places import forget, scratch
 
 
@@ -134,6 +137,66 @@ def published(spark: SparkSession, staged: str, target: str) -> None:
     files.delete(aside, True)
 
 
+def point(spark: SparkSession, root: str, version: str, after: int) -> int:
+    """Make a version, whole in its folder below root, the one that readers find; the number of its pointer.
+
+    after is the number of the pointer that was the last when the version was made. The next one's file is created or
+    the call fails, in one step of the file system, so of two publishers after the same pointer one gets FileExistsError.
+    """
+    if not scans.exists(spark, f"{root.rstrip('/')}/{version}"):
+        raise FileNotFoundError(version)
+    taken = FileExistsError(f"{version} comes after pointer {after} of {root}, which is not the last")
+    if scans.pointer(spark, root)[0] != after:
+        raise taken
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_pointers/{after + 1:08d}")
+    try:
+        out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            raise taken from e
+        raise
+    try:
+        out.write(bytearray(version.encode("utf-8")))
+    finally:
+        out.close()
+    return after + 1
+
+
+def publish(df: DataFrame, root: str, version: str, after: int | None = None) -> int:
+    """df as a new version of the table at root, which readers find once it is whole; the number of its pointer, to be given as after by who works on from it.
+
+    Readers (scans.versioned) find one version or the next, never none. FileExistsError if another was published since: the folder goes.
+    """
+    spark = df.sparkSession
+    after = scans.pointer(spark, root)[0] if after is None else after
+    folder = f"{root.rstrip('/')}/{version}"
+    df.write.parquet(folder)
+    try:
+        return point(spark, root, version, after)
+    except FileExistsError:
+        forget(spark, folder)
+        raise
+
+
+def add_partials(spark: SparkSession, folder: str, path: str, step: Callable[[DataFrame], DataFrame], pattern: str = "*.parquet") -> list[str]:
+    """The partial aggregates of the shards in a folder that path has none of yet, put beside those it has; the names of these shards.
+
+    step makes of the rows of shards, which have a column shard, rows of partial aggregates with that column. Only new shards are
+    read; a shard must not change. One writer at a time: an addition that failed is passed over by readers, and repeating it replaces it.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = {x.getPath().getName(): x.getPath().toString() for x in files.globStatus(hadoop.Path(folder, pattern)) or []}
+    stored = scans.partials(spark, path)
+    known = set() if stored is None else {r[0] for r in stored.select("shard").distinct().collect()}  # names, as in the listing
+    new = sorted(there.keys() - known)
+    if new:
+        rows = spark.read.parquet(*[there[n] for n in new])
+        label = hashlib.sha256("\n".join(new).encode()).hexdigest()[:16]
+        step(rows.withColumn("shard", F.col("_metadata.file_name"))).write.mode("overwrite").parquet(f"{path.rstrip('/')}/added={label}")
+    return new
+
+
 def deleted(spark: SparkSession, path: str, pattern: str) -> int:
     """Delete the entries of a folder whose names match a glob; their number."""
     hadoop = spark._jvm.org.apache.hadoop.fs
