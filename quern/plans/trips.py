@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import arrays, metrics, text
-from quern.operators import curate, external, routing
+from quern.operators import batching, curate, external, routing
 from quern.plans import jobs
-from quern.plans.catalog import _ARRAYS, _SESSIONS, _SPLIT, _STREAKS, _TURNS, ORACLES, _arrays, _once, _sql_text, _text_of, _turns, _values, query
+from quern.plans.catalog import _ARRAYS, _SESSIONS, _SPLIT, _STREAKS, _TURNS, ORACLES, _arrays, _once, _sized, _sql_text, _text_of, _turns, _values, query
 from quern.schemas import blank_metadata
 from quern.sources import places, scans, sinks
 from quern.streaming import increments
@@ -284,6 +284,15 @@ def preference_samples(t):
     return jobs.preference_samples(c, most=40).groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
+@query(ORACLES["length_buckets"])
+def length_buckets_by_function(t):
+    """The buffers of length_buckets, cut into batches by a table function that SQL calls with partitions in order."""
+    sized = curate.numbered(_sized(t), "doc_id").withColumn("buf", F.floor((F.col("rn") - 1) / 32))
+    spark = sized.sparkSession
+    batching.register_places(spark)
+    return spark.sql("SELECT doc_id, n_tokens, buf, buf * 4 + batch AS batch_id, slot FROM placed_in_batches(TABLE({sized}) PARTITION BY buf ORDER BY (n_tokens, rn), 8)", sized=sized)
+
+
 # --- publishing -------------------------------------------------------------
 
 
