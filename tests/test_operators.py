@@ -186,6 +186,9 @@ def test_declarations():
     assert external.with_declarations(ir, lambda t, s: (False, "other"))[1:] == (False, "other")
     assert external.declaration("@v", "[4 x i32]*", "") == "@v = external global [4 x i32]" and external.declaration("@n", None, "") == "declare void @n(...)"
     assert external.undeclared("declare void @a(...)\n@ab = external global i8\nx @a", "@a") == "@ab = external global i8\nx @a"
+    uses = {"@p": ("%2 = call i32 (i8*, ...) @p(i8* %1)", "declare i32 @p(i8*, ...)"), "@q": ("tail call noalias i8* @q(i32 3)", "declare i8* @q(...)"), "@u": ("call void @f(<4 x i32>* @t, {i8, i32}* @u)", "@u = external global {i8, i32}"),
+            "@o": ("store i32 3, ptr @o", "@o = external global i8"), "@s": ("load %struct.a*, %struct.a** @s", "@s = external global %struct.a*"), "%a": ("", "%a = type opaque")}
+    assert {k: external.declaration(k, None, line) for k, (line, _) in uses.items()} == {k: v for k, (_, v) in uses.items()}
 
 
 def test_linked_programs(tmp_path):
