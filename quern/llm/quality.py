@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule has a measure and a test of it. On a sample of rows by hash, every rule's measure is
-timed and the share of rows that it rejects is counted; the rules are then tried in falling order
-of rejections per second. A measure is only worked out for rows that no earlier rule
+timed, on as many copies of the rows as make the time tell, and the share of rows that it rejects is
+counted; the rules are then tried in falling order of rejections per second. A measure is only worked out for rows that no earlier rule
 rejects, so dear rules see only what cheap ones let through. The verdict of a conjunction
 doesn't depend on the order: it moves cost only.
 
@@ -15,7 +15,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +28,8 @@ from quern.llm.common import SPACES, packed, table, through_table, unpacked
 MIN_WORDS, WINDOW, REPEATS_PERCENT = 20, 8, 30
 SYMBOLS_PER_100_WORDS, DUP_LINES_PERCENT, UPPER_PERCENT = 30, 50, 70
 MIN_MEAN_WORD, MAX_MEAN_WORD = 1.5, 25.0
+#: Times apart that estimated rejections per second must be to tell.
+ALIKE = 1.5
 SYMBOLS, BLANKS = "[#*$%&|<>]", "[\\x20\\x09-\\x0D]"
 
 
@@ -107,27 +109,64 @@ def sampled(packs: DataFrame, rows: int) -> DataFrame:
 
 
 def _seconds(df: DataFrame) -> float:
-    """The lesser of two runs; the first also compiles."""
-    took = []
-    for _ in range(2):
-        began = time.perf_counter()
-        df.write.format("noop").mode("overwrite").save()
-        took.append(time.perf_counter() - began)
-    return min(took)
+    """How long all of df takes to work out."""
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
 
 
-def estimates(packs: DataFrame, rules: list[Rule], sample_rows: int = 500) -> dict[str, tuple[float, float]]:
-    """(seconds, share rejected) of each rule on a sample; seconds are beyond those of finding the words."""
+def costs(rows: DataFrame, measures: Mapping[str, Column], *, least: float = 0.25, times: int = 3) -> dict[str, tuple[float, float]]:
+    """(seconds, spread) of each measure for one copy of rows, beyond those of reading the rows and their words.
+
+    A run of so few rows is mostly the launch of a job, so each row is copied, as often as makes a run with the
+    measure take the least seconds longer than one without copies. Runs with the measure and without it take turns;
+    whatever else the machine does only adds, so the fastest of each kind count, and spread is that of their differences.
+    What is less than a hundredth of a run can't be told from none and counts as that much.
+    """
+    touched = (F.size("_words") + F.octet_length("_t")).alias("_r")  # both ways read the same
+    copied = lambda n, *more: rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(n)))).select(touched, *more)
+    launch = min(_seconds(copied(1)) for _ in range(3))
+    out = {}
+    for name, measure in measures.items():
+        n = 1
+        _seconds(copied(n, measure.alias("_m")))  # compiles
+        while n < 1 << 16 and (beyond := _seconds(copied(n, measure.alias("_m"))) - launch) < least:
+            n *= max(2, min(16, int(least / max(beyond, 1e-3)) + 1))
+        ways = [copied(n), copied(n, measure.alias("_m"))]
+        runs = [[_seconds(w) for w in ways] for _ in range(times)]
+        without, whole = (min(r[i] for r in runs) for i in (0, 1))
+        taken = [b - a for a, b in runs]
+        out[name] = (max(whole - without, whole / 100) / n, (max(taken) - min(taken)) / n)
+    return out
+
+
+def estimates(packs: DataFrame, rules: list[Rule], sample_rows: int = 500, free: Collection[str] = ()) -> dict[str, tuple[float, float]]:
+    """(seconds, share rejected) of each rule on a sample.
+
+    Seconds are 0 for those that are free, whose measures are there in any case, and nothing is timed unless
+    two rules or more aren't: the others come first, and one alone comes last.
+    """
     rows = _worded(sampled(packs, sample_rows))
     share = rows.select(*[F.avg(F.coalesce(r.rejects(r.measure()), F.lit(False)).cast("double")) for r in rules]).first()
-    base = _seconds(rows.select("n_words"))
-    return {r.name: (max(_seconds(rows.select("n_words", r.measure().alias("m"))) - base, 1e-4), share[i] or 0.0) for i, r in enumerate(rules)}
+    dear = {r.name: r.measure() for r in rules if r.name not in free}
+    took = costs(rows, dear) if len(dear) > 1 else dict.fromkeys(dear, (1.0, 0.0))
+    return {r.name: (took[r.name][0] if r.name in took else 0.0, share[i] or 0.0) for i, r in enumerate(rules)}
+
 
+def ordered_rules(packs: DataFrame, rules: list[Rule], sample_rows: int = 500, known: Mapping[str, tuple[float, float]] | None = None, free: Collection[str] = ()) -> list[Rule]:
+    """The rules by rejections per second, as estimated on a sample or as known, those that take none first; it moves cost, not verdicts.
 
-def ordered_rules(packs: DataFrame, rules: list[Rule], sample_rows: int = 500, known: Mapping[str, tuple[float, float]] | None = None) -> list[Rule]:
-    """The rules by rejections per second, as estimated on a sample or as known; it moves cost, not verdicts."""
-    found = estimates(packs, rules, sample_rows) if known is None else known
-    return sorted(rules, key=lambda r: (-found[r.name][1] / max(found[r.name][0], 1e-9), r.name))
+    Estimates less than ALIKE times apart count as equal and go by name, so that the order repeats.
+    """
+    found = estimates(packs, rules, sample_rows, free) if known is None else known
+    rate = {name: share / seconds for name, (seconds, share) in found.items() if seconds > 0}
+    out = sorted((r for r in rules if r.name not in rate), key=lambda r: (-found[r.name][1], r.name))
+    rest = sorted((r for r in rules if r.name in rate), key=lambda r: (-rate[r.name], r.name))
+    while rest:
+        alike = [r for r in rest if rate[r.name] * ALIKE >= rate[rest[0].name]]
+        out += sorted(alike, key=lambda r: r.name) if known is None else alike
+        rest = rest[len(alike) :]
+    return out
 
 
 def _judged(rows: DataFrame, rules: list[Rule], known: Mapping[str, Column]) -> DataFrame:
@@ -149,10 +188,10 @@ def quality_cascade(df: DataFrame, rules: list[Rule] | None = None, *, text: str
     The five are asked for of every row, so rules of the default ones' names use them and are not measured again.
     """
     packs = packed(df, text, key)
-    rules = ordered_rules(packs, default_rules() if rules is None else rules, sample_rows, known)
+    given = {"too_few_words": "n_words", "repeats": "n_repeat_words", "symbols": "n_symbols", "duplicate_lines": "_line", "word_length": "word_chars"}
+    rules = ordered_rules(packs, default_rules() if rules is None else rules, sample_rows, known, given)
     rows = _worded(packs).withColumns({"word_chars": F.length(F.array_join("_words", "")).cast("long"), "n_symbols": F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"), "_line": line_counts(), "n_repeat_words": repeat_words()})
     rows = rows.withColumn("n_dup_lines", F.col("_line.repeated"))
-    given = {"too_few_words": "n_words", "repeats": "n_repeat_words", "symbols": "n_symbols", "duplicate_lines": "_line", "word_length": "word_chars"}
     out = _judged(rows, rules, {k: F.col(c) for k, c in given.items()})
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATS_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull()).drop("_words", "_line")

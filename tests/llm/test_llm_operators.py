@@ -86,6 +86,19 @@ def test_estimates_come_from_a_sample(spark):
     assert all(t > 0 for t, _ in found.values())
 
 
+def test_costs_repeat_and_a_dearer_rule_moves_back(spark):
+    """Rules that reject alike go by what they take, in the same order each time; tenfold work sends a rule back. What is free comes first."""
+    df = spark.range(800).selectExpr("id AS doc_id", "repeat(concat('word', id % 97, ' '), 200) AS text")
+    packs = quality.packed(df)
+    work = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0).cast("long"), lambda a, i: a + F.length(F.sha2(F.concat("_t", i.cast("string")), 256)))
+    rule = lambda name, n: quality.Rule(name, lambda: work(n), lambda m: F.contains("_t", F.lit("word1")))
+    first = [rule("a", 4), rule("b", 20)]
+    assert {tuple(r.name for r in quality.ordered_rules(packs, first, 200)) for _ in range(3)} == {("a", "b")}
+    assert [r.name for r in quality.ordered_rules(packs, [rule("a", 200), rule("b", 20)], 200)] == ["b", "a"]
+    assert [r.name for r in quality.ordered_rules(packs, [rule("a", 4), rule("b", 20)], 200, free={"b"})] == ["b", "a"]
+    assert quality.estimates(packs, first, 200, {"b"})["a"][0] == 1.0  # one rule alone isn't timed
+
+
 # --- near copies ---
 
 
