@@ -18,9 +18,9 @@ from quern.sources.shipping import ship
 def length_batches(df: DataFrame, key: str, length: str, batch: int, buffers: int = 4) -> DataFrame:
     """df with rn, buf, batch_id and slot: rows in arrival order fill buffers of so many batches, each sorted by length and cut.
 
-    A buffer is a bounded group, so windows over it never grow with the data.
+    A buffer is a bounded group, so windows over it never grow with the data. df is worked out once: lengths are dear.
     """
-    rows = numbered(df, key).withColumn("buf", F.floor((F.col("rn") - 1) / (buffers * batch)))
+    rows = numbered(df, key, dear=True).withColumn("buf", F.floor((F.col("rn") - 1) / (buffers * batch)))
     rank = F.row_number().over(Window.partitionBy("buf").orderBy(length, "rn")) - 1
     return rows.withColumn("_r", rank).withColumns({"batch_id": F.col("buf") * buffers + F.floor(F.col("_r") / batch), "slot": F.col("_r") % batch}).drop("_r")
 

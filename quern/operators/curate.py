@@ -120,26 +120,32 @@ def shares(df: DataFrame, *by: str) -> DataFrame:
     return counts.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row for each group
 
 
-def dealt(df: DataFrame, *by: str | Column) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the scratch folder: for what is read more than once and dear to work out."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *by: str | Column, dear: bool = False) -> DataFrame:
     """df in the order of by, with _range (a range of that order) and _place (the place within it, from 0).
 
     Ranges are dealt out by one shuffle and written to the scratch folder, so that a range stays what it
-    is however often it is read, and whichever executors are lost.
+    is however often it is read, and whichever executors are lost. The order is first sampled, for which df is worked
+    out once more; where its columns are dear and small, dear writes it before.
     """
-    spark = df.sparkSession
+    df = written(df, "undealt") if dear else df
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_range": F.spark_partition_id(), "_place": place})
-    path = scratch(spark, "dealt")
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return written(rows, "dealt")
 
 
-def numbered(df: DataFrame, *by: str | Column, name: str = "rn") -> DataFrame:
+def numbered(df: DataFrame, *by: str | Column, name: str = "rn", dear: bool = False) -> DataFrame:
     """df with the place of each row by its keys, from 1, without taking all rows to one task; rows with equal keys take any order.
 
     A range's first place is the number of rows in those before it: one small row for each range.
     """
-    rows = dealt(df, *by)
+    rows = dealt(df, *by, dear=dear)
     below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_first"))
     return rows.join(F.broadcast(firsts), "_range").withColumn(name, F.col("_first") + F.col("_place") + 1).drop("_range", "_place", "_first")
@@ -183,6 +189,22 @@ def fail_streak_stop(df: DataFrame, order: str, failed: Column, most: int, group
     return joined.where((F.col("_bad") == 1) & (full >= most)).groupBy(*keys).agg(F.min("_o").alias("stop_at")).where("stop_at is not null")
 
 
+def running(df: DataFrame, order: str, value: str, group: str) -> DataFrame:
+    """df with seen and running: how many rows of its group there are up to each row by order, and the sum of their values (null until there is one).
+
+    Counted within ranges of the order, with what the ranges before hold added, so that a large group doesn't go to one task. Null groups are a group.
+    """
+    rows = dealt(df, group, order)
+    own = Window.partitionBy(group, "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_n": F.count("*").over(own), "_s": F.sum(value).over(own)})
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(group, "_range").agg(F.count("*").alias("_c"), F.sum(value).alias("_t"))
+    parts = parts.select(F.col(group).alias("_g"), F.col("_range").alias("_q"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c"), F.sum("_t").over(before).alias("_t"))
+    out = rows.join(parts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_q")))
+    total = F.when(F.col("_s").isNull() | F.col("_t").isNull(), F.coalesce("_s", "_t")).otherwise(F.col("_s") + F.col("_t"))
+    return out.select(*df.columns, (F.col("_n") + F.col("_c")).alias("seen"), total.alias("running"))
+
+
 def overall_first(df: DataFrame, order: str, fit: Column, most: int) -> DataFrame:
     """One row: how many fit rows a loop by order takes, so many at most, and how many rows it sees until it stops: that of the first fit row too many is seen as well."""
     last = df.where(fit).select(order).orderBy(order).limit(most + 1).agg(F.count("*").alias("n"), F.max(order).alias("at"))

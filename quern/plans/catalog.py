@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import arrays, asm, metrics, rewrites, text
@@ -602,9 +602,10 @@ def translation_units(t):
     return _doc(t, F.regexp_replace(unit, "(?s)\\A.*?(?=/\\* --- )", ""))
 
 
-@query("SELECT doc_id, 'f' || doc_id AS t FROM documents")
+@query("SELECT doc_id, 'f' || regexp_extract(text, '[A-Za-z]+') AS t FROM documents")
 def head_names(t):
-    return _doc(t, text.name_from_head(F.concat(F.lit("static int *f"), F.col("doc_id").cast("string"), F.lit("(int a)"))))
+    """Names of functions that are called after the first letters of the texts, from their heads."""
+    return _doc(t, text.name_from_head(F.concat(F.lit("static int *f"), F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("(int a)"))))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS n_links, length(html) AS n FROM pages")
@@ -713,11 +714,21 @@ def routed_pairs(t):
 # --- assembly and programs --------------------------------------------------
 
 
+def _adds():
+    """An instruction for each word of a text, which adds the word's length."""
+    return text.joined(F.transform(text.tokens(F.col("text")), lambda w: F.concat(F.lit("\tadd\tx0, x0, #"), F.least(F.length(w), F.lit(4095)).cast("string"))))
+
+
 def _unit():
-    return F.concat(F.lit("\t.text\n\t.globl\tf\n\t.type\tf,@function\nf: // -- begin\n\t.cfi_startproc\n\tsub\tsp, sp, #16\n\tstr\tw0, [sp, 12] // "), F.regexp_replace("text", "\\s+", " "), F.lit("\n\tret\n\t.cfi_endproc\n\t.size\tf, .-f\n"))
+    """A unit whose function has an instruction for each word of the text, which stands in a comment, too."""
+    return F.concat(F.lit("\t.text\n\t.globl\tf\n\t.type\tf,@function\nf: // -- begin\n\t.cfi_startproc\n\tsub\tsp, sp, #16\n\tstr\tw0, [sp, 12] // "), F.regexp_replace("text", "\\s+", " "), F.lit("\n"), _adds(), F.lit("\n\tret\n\t.cfi_endproc\n\t.size\tf, .-f\n"))
+
+
+_ADDS = "array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda w: '~add~x0, x0, #' || least(length(w), 4095)), '|') || CASE WHEN regexp_matches(text, '\\S') THEN '|' ELSE '{}' END"
+_LINES = "replace(replace({}, '~', chr(9)), '|', chr(10))"
 
 
-@query("SELECT doc_id, '.global f' || chr(10) || '.type f, %function' || chr(10) || 'f:' || chr(10) || chr(9) || '.cfi_startproc' || chr(10) || chr(9) || 'sub' || chr(9) || 'sp, sp, #16' || chr(10) || chr(9) || 'str' || chr(9) || 'w0, [sp, 12]' || chr(10) || chr(9) || 'ret' || chr(10) || chr(9) || '.cfi_endproc' || chr(10) AS t FROM documents")
+@query("SELECT doc_id, " + _LINES.format("'.global f|.type f, %function|f:|~.cfi_startproc|~sub~sp, sp, #16|~str~w0, [sp, 12]|' || " + _ADDS.format("") + " || '~ret|~.cfi_endproc|'") + " AS t FROM documents")
 def asm_preprocess(t):
     return _doc(t, asm.preprocessed(_unit(), F.lit("f")))
 
@@ -742,8 +753,7 @@ def asm_function_by_type(t):
     return _doc(t, asm.function_by_type(F.concat(F.lit("\t.type\tf, %function\nf:\n\tret "), F.col("text"), F.lit("\n\t.size\tf, .-f\nrest")), F.lit("f")))
 
 
-@query("""SELECT doc_id, replace(replace('~.text|~.globl~f|~.type~f,@function|', '~', chr(9)), '|', chr(10)) AS pre,
-  replace(replace('.global f|.type f, %function|f:|~.cfi_startproc|~sub~sp, sp, #16|~str~w0, [sp, 12] |~ret|~.cfi_endproc', '~', chr(9)), '|', chr(10)) AS func, chr(9) || '.size' || chr(9) || 'f, .-f' || chr(10) AS post FROM documents""")
+@query("SELECT doc_id, " + _LINES.format("'~.text|~.globl~f|~.type~f,@function|'") + " AS pre, " + _LINES.format("'.global f|.type f, %function|f:|~.cfi_startproc|~sub~sp, sp, #16|~str~w0, [sp, 12] |' || " + _ADDS.format("|") + " || '~ret|~.cfi_endproc'") + " AS func, chr(9) || '.size' || chr(9) || 'f, .-f' || chr(10) AS post FROM documents")
 def asm_unit_parts(t):
     return t("documents").select("doc_id", asm.parts_of_unit(F.regexp_replace(_unit(), ": // -- begin", ":"), F.lit("f"), "arm", "//").alias("p")).select("doc_id", "p.pre", "p.func", "p.post")
 
@@ -823,8 +833,8 @@ def full_batches(t):
 
 @query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS seen, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events")
 def progress_counters(t):
-    by = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t("events").select("user_id", "event_id", F.count("*").over(by).alias("seen"), F.round(F.sum("value").over(by), 4).alias("running"))
+    rows = curate.running(t("events").select("user_id", "event_id", "value"), "event_id", "value", "user_id")
+    return rows.select("user_id", "event_id", "seen", F.round("running", 4).alias("running"))
 
 
 @query("SELECT 32::BIGINT AS n_pairs, 3::BIGINT AS n_without_key, 17::BIGINT AS n_target_first")

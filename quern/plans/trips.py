@@ -287,7 +287,7 @@ def preference_samples(t):
 @query(ORACLES["length_buckets"])
 def length_buckets_by_function(t):
     """The buffers of length_buckets, cut into batches by a table function that SQL calls with partitions in order."""
-    sized = curate.numbered(_sized(t), "doc_id").withColumn("buf", F.floor((F.col("rn") - 1) / 32))
+    sized = curate.numbered(_sized(t), "doc_id", dear=True).withColumn("buf", F.floor((F.col("rn") - 1) / 32))
     spark = sized.sparkSession
     batching.register_places(spark)
     return spark.sql("SELECT doc_id, n_tokens, buf, buf * 4 + batch AS batch_id, slot FROM placed_in_batches(TABLE({sized}) PARTITION BY buf ORDER BY (n_tokens, rn), 8)", sized=sized)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators.curate import numbered, sharded
+from quern.operators.curate import numbered, sharded, written
 from quern.sources import scans
 from quern.sources.places import forget, scratch
 
@@ -54,7 +54,7 @@ def write_named_shards(df: DataFrame, path: str, rows: int, *by: str, name: str
     shards = numbered(df, *by).withColumn("_shard", F.floor((F.col("rn") - 1) / rows)).drop("rn")
     parts = scratch(spark, "shards")
     shards.repartition("_shard").sortWithinPartitions("_shard", *by).write.partitionBy("_shard").option("compression", codec).parquet(parts)
-    n = -(-df.count() // rows)
+    n = -(-shards.count() // rows)
     _moved(spark, parts, path, lambda i: name.format(i=i, n=n))
     forget(spark, parts)
     return n
@@ -66,7 +66,8 @@ def compact(df: DataFrame, path: str, *by: str, target_rows: int = 50_000) -> in
 
 
 def write_named_splits(df: DataFrame, path: str, rows: int, *by: str, split: str = "split") -> dict[str, int]:
-    """For each split a folder of its name with files NAME-i-of-n; their numbers."""
+    """For each split a folder of its name with files NAME-i-of-n; their numbers. The splits are worked out once."""
+    df = written(df, "splits")
     names = [r[0] for r in df.select(split).distinct().orderBy(split).collect()]  # a few
     return {x: write_named_shards(df.where(F.col(split) == x).drop(split), f"{path}/{x}", rows, *by, name=x.replace("{", "").replace("}", "") + "-{i:05d}-of-{n:05d}.parquet") for x in names}
 

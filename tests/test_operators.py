@@ -240,3 +240,29 @@ def test_stream(spark, tmp_path):
     q = increments.maintained(s, lambda b: b.where("id > 4"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_running_counts_and_sums_cross_ranges(spark):
+    """A group over many ranges, one of a row, and the null group, with values that lack."""
+    rows = [("a", i, None if i % 7 == 0 else float(i)) for i in range(1, 3001)] + [("b", 5, None), (None, 2, 1.5), (None, 1, None)]
+    got = {(r.g, r.o): (r.seen, r.running) for r in curate.running(spark.createDataFrame(rows, "g string, o long, v double").repartition(4), "o", "v", "g").collect()}
+    want, n, total = {}, {}, {}
+    for g, o, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        n[g] = n.get(g, 0) + 1
+        total[g] = total.get(g) if v is None else (total.get(g) or 0) + v
+        want[g, o] = (n[g], total[g])
+    assert got == want
+
+
+def test_dear_columns_are_worked_out_once(spark):
+    """Of rows that are split, sharded or dealt; a counter in a Python function tells."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def length(x):
+        seen.add(1)
+        return len(x)
+
+    df = spark.range(500).select("id", length(F.col("id").cast("string")).alias("n"))
+    assert curate.numbered(df, "id", dear=True).agg(F.sum("n"), F.max("rn")).first() == (1390, 500) and seen.value == 500
+    assert batching.length_batches(df, "id", "n", 8).count() == 500 and seen.value == 1000
