@@ -103,7 +103,7 @@ def token_distance(a: Column, b: Column, words=tokens) -> Column:
     return let(words(a), lambda x: let(words_of, lambda y: let(F.array_distinct(F.concat(x, y)), lambda known: far(x, y, known))))
 
 
-def effective_batch(per_device: int, accumulation: int, devices: int = 1) -> int:
+def effective_batch(per_device: int | Column, accumulation: int | Column, devices: int = 1) -> int | Column:
     """Rows that one update of a model sees."""
     return per_device * accumulation * devices
 
@@ -143,6 +143,9 @@ def candidate_score(syntax: Column, compiles: Column, level: int = 2) -> Column:
     return F.when(~syntax, 0).when(F.lit(level < 2) | ~compiles, 1).otherwise(2)
 
 
-def beams(candidates: int, groups: int) -> int:
+def beams(candidates: int | Column, groups: int | Column) -> int | Column:
     """Beams for at least five candidates, a multiple of the groups."""
+    if isinstance(candidates, Column) or isinstance(groups, Column):
+        each = F.lit(groups) if isinstance(groups, int) else groups
+        return (F.ceil(F.greatest(F.lit(candidates) if isinstance(candidates, int) else candidates, F.lit(5)) / each) * each).cast("long")
     return -(-max(candidates, 5) // groups) * groups

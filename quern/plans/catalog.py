@@ -835,12 +835,3 @@ def full_batches(t):
 def progress_counters(t):
     rows = curate.running(t("events").select("user_id", "event_id", "value"), "event_id", "value", "user_id")
     return rows.select("user_id", "event_id", "seen", F.round("running", 4).alias("running"))
-
-
-@query("SELECT 32::BIGINT AS n_pairs, 3::BIGINT AS n_without_key, 17::BIGINT AS n_target_first")
-def route_table(t):
-    names = routing.PAIRS.split()[2::3]
-    rows = [(p, routing.route(p).source, routing.route(p).target, routing.route(p).missing) for p in names]
-    r = t("region").sparkSession.createDataFrame(rows, "pair string, source string, target string, missing boolean")
-    first = len(routing.TARGET_FIRST.split()) + len(routing.TARGET_FIRST_NEWER.split())
-    return r.agg(F.count("*").alias("n_pairs"), F.count_if("missing").alias("n_without_key"), F.lit(first).cast("long").alias("n_target_first"))

@@ -425,10 +425,32 @@ def stream_distinct(t):
 # --- small functions --------------------------------------------------------
 
 
-@query(f"WITH p(source, target, pair) AS ({_values(map(str.split, routing.PAIRS.strip().splitlines()))}), s AS (SELECT pair, split_part(pair, '-', 1) AS lft, split_part(pair, '-', 2) AS target FROM p WHERE contains(split_part(pair, '-', 1), split_part(pair, '-', 2))), r AS (SELECT pair, target, regexp_replace(lft, '^(.*)' || target || '(.*)$', '\\1\\2') AS rest FROM s) SELECT pair, rest[1:-2] AS source, target, pair IN ({', '.join(repr(x) for x in (routing.TARGET_FIRST + routing.TARGET_FIRST_NEWER).split())}) AS target_left FROM r")
+def _paired_documents(t, rows: list[tuple], names: str) -> DataFrame:
+    """Every document with the row of its pair, to which it goes by its id: rows has one for each pair."""
+    pairs = _spark(t).createDataFrame([(i, *r) for i, r in enumerate(rows)], f"place long, {names}")
+    return t("documents").select((F.col("doc_id") % len(rows)).alias("place")).join(F.broadcast(pairs), "place")  # a few
+
+
+_PAIRS = routing.PAIRS.split()[2::3]
+
+
+@query(f"WITH i(place, pair) AS ({_values(enumerate(_PAIRS))}), p(source, target, pair) AS ({_values(map(str.split, routing.PAIRS.strip().splitlines()))}), s AS (SELECT pair, split_part(pair, '-', 1) AS lft, split_part(pair, '-', 2) AS target FROM p WHERE contains(split_part(pair, '-', 1), split_part(pair, '-', 2))), r AS (SELECT pair, target, regexp_replace(lft, '^(.*)' || target || '(.*)$', '\\1\\2') AS rest FROM s) SELECT r.pair, d.n, rest[1:-2] AS source, target, r.pair IN ({', '.join(repr(x) for x in (routing.TARGET_FIRST + routing.TARGET_FIRST_NEWER).split())}) AS target_left FROM r JOIN (SELECT i.pair, count(*) AS n FROM i, documents WHERE doc_id % {len(_PAIRS)} = place::INTEGER GROUP BY 1) d ON d.pair = r.pair")
 def pair_languages(t):
-    rows = [(p, *routing.languages(p), routing.target_left(p)) for p in routing.PAIRS.split()[2::3] if p.split("-")[1] in p.split("-")[0]]
-    return _spark(t).createDataFrame(rows, "pair string, source string, target string, target_left boolean")
+    """What the names of pairs say of their languages, for the documents that go to each pair: those with the target in the source's name."""
+    named = lambda p: p.split("-")[1] in p.split("-")[0]
+    rows = [(p, *routing.languages(p), routing.target_left(p)) if named(p) else (p, None, None, None) for p in _PAIRS]
+    dealt = _paired_documents(t, rows, "pair string, source string, target string, target_left boolean")
+    return dealt.where("target is not null").groupBy("pair", "source", "target", "target_left").agg(F.count("*").alias("n"))
+
+
+_CODES = ", ".join(f"'{x}'" for x in ("c", *routing.CODES))
+
+
+@query(f"""WITH i(place, source, target, pair) AS ({_values((i, *x.split()) for i, x in enumerate(routing.PAIRS.strip().splitlines()))}) SELECT pair, count(*) AS n, any_value(i.source NOT IN ({_CODES}) OR i.target NOT IN ({_CODES})) AS missing
+  FROM i, documents WHERE doc_id % {len(_PAIRS)} = place::INTEGER GROUP BY pair""")
+def route_table(t):
+    """The documents that go to each pair, and whether it has a key for either side missing."""
+    return _paired_documents(t, [(p, routing.route(p).missing) for p in _PAIRS], "pair string, missing boolean").groupBy("pair", "missing").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, text AS t FROM documents")
@@ -455,10 +477,11 @@ def equal_programs(t):
     return external.run(t("nation").select("n_nationkey", "n_regionkey"), run, "n_nationkey bigint, same boolean, error string").select("n_nationkey", "same")
 
 
-@query("SELECT c, g, ((greatest(c, 5) + g - 1) // g * g)::BIGINT AS beams, (c * g * 2)::BIGINT AS rows_of_update FROM range(1, 13) a(c), range(1, 5) b(g)")
+@query("SELECT l_orderkey, l_linenumber, ((greatest(l_partkey % 12 + 1, 5) + l_linenumber - 1) // l_linenumber * l_linenumber)::BIGINT AS beams, ((l_partkey % 12 + 1) * l_linenumber * 2)::BIGINT AS rows_of_update FROM lineitem")
 def training_numbers(t):
-    rows = [(c, g, metrics.beams(c, g), metrics.effective_batch(c, g, 2)) for c in range(1, 13) for g in range(1, 5)]
-    return _spark(t).createDataFrame(rows, "c long, g long, beams long, rows_of_update long")
+    """Beams and rows of an update for each line's own candidates and groups."""
+    c, g = F.col("l_partkey") % 12 + 1, F.col("l_linenumber")
+    return t("lineitem").select("l_orderkey", "l_linenumber", metrics.beams(c, g).alias("beams"), metrics.effective_batch(c, g, 2).cast("long").alias("rows_of_update"))
 
 
 @query("SELECT doc_id, 'f,' || lang || ',g' AS symbols FROM documents WHERE lang IS NOT NULL")
