@@ -743,9 +743,13 @@ def _sums_of_words():
 def asm_transforms(t):
     """What rewritten functions compute when a machine runs them: the same as before, though their texts are longer."""
     code = t("documents").select("doc_id", _sums_of_words().alias("code"))
-    new = code.select("doc_id", "code", asm.udf(rewrites.obfuscated, "string")("code", curate.seeds(F.col("doc_id"))).alias("t"))
-    run = new.select("doc_id", F.length("t").alias("n"), F.length("code").alias("m"), asm.udf(lambda a: {k: v for k, v in rewrites.executed(a).items() if k in ("x0", "x1")}, "struct<x0: bigint, x1: bigint>")("t").alias("r"))
-    return run.select("doc_id", "r.x0", "r.x1", (F.col("n") >= F.col("m")).alias("longer"))
+
+    def ran(text_: str, seed: int) -> dict[str, int]:
+        new = rewrites.obfuscated(text_, seed)
+        return {"n": len(new), **{k: v for k, v in rewrites.executed(new).items() if k in ("x0", "x1")}}
+
+    run = code.select("doc_id", F.length("code").alias("m"), asm.udf(ran, "struct<n: bigint, x0: bigint, x1: bigint>")("code", curate.seeds(F.col("doc_id"))).alias("r"))
+    return run.select("doc_id", "r.x0", "r.x1", (F.col("r.n") >= F.col("m")).alias("longer"))
 
 
 @query("SELECT doc_id, chr(9) || '.global' || chr(9) || 'f' || chr(10) || chr(9) || '.type' || chr(9) || 'f, %function' || chr(10) || 'f:' || chr(10) || chr(9) || 'ret ' || text || chr(10) || chr(9) || '.size' || chr(9) || 'f, .-f' AS t FROM documents")
