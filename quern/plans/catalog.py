@@ -705,10 +705,15 @@ def routed_pairs(t):
     names = sorted({f"angha_{c}_{k}" for c in ("gcc", "clang") for k in routing.CODES.values()})
     held = F.struct(F.array(*map(F.lit, names)).alias("target"), F.transform(F.array(*map(F.lit, names)), lambda k: F.concat(k, F.col("text"))).alias("code"))
     d = t("documents").select(F.col("text").alias("func_def"), held.alias("asm"))
-    pairs = [p for p in routing.PAIRS.split()[2::3] if not routing.route(p).missing]
-    each = [F.struct(F.lit(p).alias("pair"), *(c.alias(n) for n, c in zip(("source", "target"), routing.routed(p), strict=True))) for p in pairs]
-    rows = d.select(F.explode(F.array(*each)).alias("e")).select("e.*")
-    return rows.groupBy("pair").agg(F.count("*").alias("n"), F.sum(F.length("source")).alias("source_chars"), F.sum(F.length("target")).alias("target_chars"), F.min("source").alias("least_source"), F.max("target").alias("most_target"))
+    routes = [r for p in routing.PAIRS.split()[2::3] if not (r := routing.route(p)).missing]
+    texts = {key: c for r in routes for key, c in zip((r.source, r.target), routing.routed(r.pair), strict=True)}  # pairs share their keys
+    at = {key: i for i, key in enumerate(texts)}
+    wide = d.select(*[c.alias(f"t{at[key]}") for key, c in texts.items()])
+    sums = [a.alias(f"{n}{i}") for i in at.values() for n, a in (("chars", F.sum(F.length(f"t{i}"))), ("least", F.min(f"t{i}")), ("most", F.max(f"t{i}")))]
+    row = wide.agg(F.count("*").alias("n"), *sums).where("n > 0")  # without a group texts aren't sorted, nor rows multiplied by pairs
+    of = lambda r: {"source_chars": f"chars{at[r.source]}", "target_chars": f"chars{at[r.target]}", "least_source": f"least{at[r.source]}", "most_target": f"most{at[r.target]}"}
+    each = [F.struct(F.lit(r.pair).alias("pair"), "n", *[F.col(c).alias(name) for name, c in of(r).items()]) for r in routes]
+    return row.select(F.explode(F.array(*each)).alias("e")).select("e.*")
 
 
 # --- assembly and programs --------------------------------------------------

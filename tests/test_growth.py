@@ -11,3 +11,8 @@ def plan(df):
 
 def test_functions_are_rewritten_once_for_a_row(spark):
     assert plan(catalog.QUERIES["asm_transforms"](spark, SF)).count("xxhash64(42") == 1
+
+
+def test_routed_texts_are_neither_multiplied_nor_sorted(spark):
+    got = catalog.QUERIES["routed_pairs"](spark, SF)
+    assert " Sort [" not in plan(got) and got.count() == 29
