@@ -67,7 +67,7 @@ def merge(spark: SparkSession, folders: Sequence[str], path: str, *by: str, targ
 
 
 def prepare_tests(spark: SparkSession, parts: Sequence[DataFrame], path: str, code: str = "obfuscated_c", name: str = "fname") -> DataFrame:
-    """The union of test sets, with marked functions only, as one file; and how much that saved, counted as it is written."""
+    """The union of test sets, with marked functions only, as one file (sinks.write_single(): several where they are large); and how much that saved, counted as it is written."""
     whole = curate.typed_union(*parts)
     sized = cleaned(whole.withColumn("_before", F.col(code)), code, name).where("skip_reason is null")
     sized, report = curate.sizes_observed(sized, "_before", code)

@@ -1,6 +1,9 @@
 """That steps grow with their input, and no faster."""
 
+from pyspark.sql import functions as F
+
 from quern.plans import catalog, trips  # noqa: F401  # trips registers its queries with the catalog's
+from quern.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +19,11 @@ def test_functions_are_rewritten_once_for_a_row(spark):
 def test_routed_texts_are_neither_multiplied_nor_sorted(spark):
     got = catalog.QUERIES["routed_pairs"](spark, SF)
     assert " Sort [" not in plan(got) and got.count() == 29
+
+
+def test_a_large_table_is_not_written_by_one_task(spark, tmp_path):
+    rows = lambda n: spark.range(n).select("id", F.repeat(F.md5(F.col("id").cast("string")), 8).alias("x"))
+    for n, files in ((100, 1), (100_000, 2)):
+        sinks.write_single(rows(n), str(tmp_path / str(n)))
+        assert (len(list((tmp_path / str(n)).glob("part-*"))) > 1) == (files > 1)
+        assert spark.read.parquet(str(tmp_path / str(n))).count() == n
