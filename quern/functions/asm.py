@@ -61,16 +61,13 @@ def _span(rows: Column, start: Column, stop: Column) -> Column:
 
 def function_by_scope(asm: Column, name: Column) -> Column:
     """From name's .globl or .global line to .cfi_endproc; without that mark to before .size or .Lfunc_end, else the end. Null if absent."""
-    opens = F.concat(F.lit("^\\s*\\.glob[al]l?\\s+"), _quoted(name), F.lit("\\b"))
-    closes = F.concat(F.lit("^\\s*(?:\\.size\\s+"), _quoted(name), F.lit("\\s*,|\\.Lfunc_end\\d+:)"))
-
-    def cut(rows: Column, start: Column) -> Column:
-        after = lambda i: i > start
-        framed = _first(_places(rows, lambda x: F.contains(x, F.lit(".cfi_endproc"))), after) + 1
-        bare = _first(_places(rows, lambda x: F.regexp_like(x, closes)), after)
-        return F.when(start.isNotNull(), joined(_span(rows, start, F.coalesce(framed, bare, F.size(rows)))))
-
-    return let(lines(asm), lambda rows: let(_first(_places(rows, lambda x: F.regexp_like(x, opens))), lambda start: cut(rows, start)))
+    within = lambda p: F.lit(p.replace("\\s", "[^\\S\\n]"))  # white space, but no line feed
+    first = F.concat(within("(?d)\\A(?>(?s:.*?)(?m:^)(?=\\s*+\\.glob[al]l?\\s+"), _quoted(name), F.lit("\\b))"))
+    closes = F.concat(within("\\s*+(?:\\.size\\s+"), _quoted(name), within("\\s*,|\\.Lfunc_end\\d+:)"))
+    framed = F.concat(first, F.lit("([^\\n]*+\\n(?s:.*?)\\.cfi_endproc[^\\n]*+)"))
+    bare = F.concat(first, F.lit("([^\\n]*+(?:\\n(?!"), closes, F.lit(")[^\\n]*+)*+)"))
+    cut = lambda p: F.nullif(F.call_function("regexp_extract", asm, p, F.lit(1)), F.lit(""))
+    return F.coalesce(cut(framed), cut(bare))
 
 
 def function_by_type(asm: Column, name: Column) -> Column:
@@ -163,6 +160,5 @@ def literals_to_json(names: list, values: list | None) -> str | None:
 
 def preprocessed(asm: Column, name: Column, aarch64: Column | None = None) -> Column:
     """A function of a unit as a training sample: cut out, without comments and unwanted directives, header and white space in one form; null if absent."""
-    arm = text.detect_aarch64(asm) if aarch64 is None else aarch64
-    form = lambda cut, a: text.clean_whitespace(text.normalize_header(text.drop_directives(text.strip_comments(cut, a)), name, a))
-    return let(function_by_scope(asm, name), lambda cut: let(arm, lambda a: form(cut, a)))
+    arm = text.detect_aarch64 if aarch64 is None else lambda unit: aarch64
+    return let(asm, lambda unit: let(function_by_scope(unit, name), lambda cut: let(arm(unit), lambda a: text.sample_form(cut, name, a))))

@@ -132,6 +132,25 @@ def clean_whitespace(c: Column) -> Column:
     return F.when(F.size(kept) > 0, F.concat(joined(kept), F.lit("\n"))).when(c.isNotNull(), F.lit(""))
 
 
+def sample_form(c: Column, name: Column, aarch64: Column) -> Column:
+    """clean_whitespace(normalize_header(drop_directives(strip_comments(c, aarch64)), name, aarch64)) by patterns over the whole text, not line by line."""
+    within = lambda p: p.replace("\\s", "[^\\S\\n]")  # white space, but no line feed
+    fed = F.regexp_replace(c, LINE_ENDS, "\n")
+    out = F.when(aarch64, F.regexp_replace(fed, "//[^\\n]*+", "")).otherwise(F.regexp_replace(fed, "#[^\\n]*+", ""))
+    unwanted = "|".join(within(p.removeprefix("\\s*")) for p in UNWANTED_DIRECTIVES)
+    for old, new in (("(?<![^\\S\\n])[^\\S\\n]++(?=\\n|\\z)", ""), ("\\A\\n++|\\n(?=\\n|\\z)", ""), (f"(?dm)^[^\\S\\n]*+(?:{unwanted})[^\\n]*+\\n?+", "")):
+        out = F.regexp_replace(out, old, new)
+    quoted, spaced = F.concat(F.lit("\\Q"), name, F.lit("\\E")), lambda p: F.lit(within(p))
+    literal = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    scope = F.concat(spaced("(?dm)^\\s*\\.glob[al]l?\\s+"), quoted, F.lit("[^\\n]*+"))
+    kind = F.concat(spaced("(?dm)^\\s*\\.type\\s+"), quoted, spaced("\\s*,\\s*[%@]function[^\\n]*+"))
+    own = F.regexp_replace(F.concat(F.when(aarch64, F.lit(".global ")).otherwise(F.lit(".globl ")), literal), "\\s+$", "")
+    out = F.regexp_replace(out, scope, own)
+    out = F.regexp_replace(out, kind, F.concat(F.lit(".type "), literal, F.when(aarch64, F.lit(", %function")).otherwise(F.lit(", @function"))))
+    out = F.regexp_replace(out, "\\n\\z", "")
+    return let(out, lambda t: F.when(t != "", F.concat(t, F.lit("\n"))).otherwise(t))
+
+
 #: What speaks for either architecture, and how many lines are looked at.
 AARCH64_OPS = "(?i)^\\s+(sub|add|str|ldr|ldrsw|subs|mov|b\\.|b\\s|bl\\s|ret|stp|ldp|adrp|cmp|cbz|cbnz|tbnz|tbz|mrs|msr)\\b"
 AARCH64_REGISTERS = "\\b(x[0-9]|x[12][0-9]|x30|w[0-9]|w[12][0-9]|w30|sp|xzr|wzr)\\b"
@@ -141,14 +160,14 @@ LOOKED_AT = 50
 
 def detect_aarch64(c: Column) -> Column:
     """True if the first 50 lines look more like AArch64 than x86; ties are x86."""
-    head = F.slice(every_line(c), 1, LOOKED_AT)
+    head = F.slice(every_line(F.substring_index(c, "\n", LOOKED_AT)), 1, LOOKED_AT)
     one = lambda test: test.cast("int")
 
     def arm(x: Column) -> Column:
-        return one(x.rlike(AARCH64_OPS)) + one(x.rlike(AARCH64_REGISTERS)) + one(stripped(x).startswith("//") | stripped(x).endswith("//"))
+        return one(x.rlike(AARCH64_OPS)) + one(x.rlike(AARCH64_REGISTERS)) + one(x.rlike("^\\s*//|//\\s*+\\z"))
 
     def x86(x: Column) -> Column:
-        return one(x.rlike(X86_REGISTERS)) + one(stripped(x).startswith("#") & ~stripped(x).startswith("#include"))
+        return one(F.contains(x, F.lit("%")) & x.rlike(X86_REGISTERS)) + one(x.rlike("^\\s*#(?!include)"))
 
     score = lambda f: F.aggregate(F.transform(head, f), F.lit(0), lambda a, b: a + b)
     return score(arm) > score(x86)

@@ -168,9 +168,10 @@ def preference_set(prompts: DataFrame, generate: Callable[[str, int], Sequence[s
 def lifted_units(units: DataFrame, predict: Callable[[Sequence[str]], Sequence[str]] | None = None, *, load: Callable[[], Callable[[Sequence[str]], Sequence[str]]] | None = None, code: str = "asm", name: str = "fname", pair: str = "arm_ir-ir", most_tokens: int = 1024, batch: int = 8, order: str = "id") -> DataFrame:
     """(id, fname, ir, error): a function of each unit cut out, cleaned, wrapped for a pair and lifted; what can't be has an error."""
     own, _ = routing.languages(pair)
-    prepared = units.withColumn("_p", routing.wrapped(asm.preprocessed(F.col(code), F.col(name)), own))
-    prepared = prepared.withColumn("error", F.when(asm.preprocessed(F.col(code), F.col(name)).isNull(), "no such function").when(F.size(text.tokens(F.col("_p"))) > most_tokens, "too long"))
-    fit = prepared.where("error is null").withColumn("_n", F.size(text.tokens(F.col("_p"))))
+    cut = _written(units.select(order, name, asm.preprocessed(F.col(code), F.col(name)).alias("_c")), "cut")  # read twice
+    prepared = cut.withColumn("_p", routing.wrapped(F.col("_c"), own)).withColumn("_n", F.size(text.tokens(F.col("_p"))))
+    prepared = prepared.withColumn("error", F.when(F.col("_c").isNull(), "no such function").when(F.col("_n") > most_tokens, "too long"))
+    fit = prepared.where("error is null")
     answers = external.lifted(fit.withColumn("seq", F.col(order).cast("long")), predict, "_p", most_tokens, batch, length="_n", load=load)
     done = _written(answers.select(F.col("seq").alias(order), text.truncate_ir(F.col("prediction")).alias("ir")), "lifted")
     return prepared.select(order, name, "error").join(done, order, "left")

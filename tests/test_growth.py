@@ -1,7 +1,10 @@
 """That steps grow with their input, and no faster."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from quern.functions import asm, text
 from quern.plans import catalog, trips  # noqa: F401  # trips registers its queries with the catalog's
 from quern.sources import sinks
 
@@ -27,3 +30,19 @@ def test_a_large_table_is_not_written_by_one_task(spark, tmp_path):
         sinks.write_single(rows(n), str(tmp_path / str(n)))
         assert (len(list((tmp_path / str(n)).glob("part-*"))) > 1) == (files > 1)
         assert spark.read.parquet(str(tmp_path / str(n))).count() == n
+
+
+def test_samples_by_whole_texts_are_those_by_lines(spark):
+    parts = ["\t.globl f", ".global f ", "\t.type f, @function", "f: // -- a", "\t.cfi_startproc", "\tmov w0, #3 # x", "  ", "", "\t.text", "\t.size f, .-f", ".Lfunc_end0:", "\t.cfi_endproc // e", "\t.file \"a\"", "\tret\t ", "a\r\nb \x0b c ", "\t.section x", "$%rax"]
+    rng = random.Random(5)
+    rows = [("\n".join(rng.choice(parts) for _ in range(rng.randrange(14))), name) for name in ("f", "$f", "f\\") for _ in range(300)]
+    df = spark.createDataFrame([(t.replace(" f", f" {n}"), n) for t, n in rows], "t string, n string")
+    t, n, a = F.col("t"), F.col("n"), F.col("a")
+    old = text.clean_whitespace(text.normalize_header(text.drop_directives(text.strip_comments(t, a)), n, a))
+    got = df.withColumn("a", F.explode(F.array(F.lit(True), F.lit(False)))).select("t", "n", old.alias("old"), text.sample_form(t, n, a).alias("new"))
+    assert [r for r in got.collect() if r.old != r.new] == []
+    assert "lambdafunction(NOT RLIKE" not in plan(df.select(asm.preprocessed(t, n)))
+
+
+def test_units_are_cut_once_for_lifting(spark):
+    assert plan(catalog.QUERIES["lift_job"](spark, SF)).count("cfi_endproc") == 0
