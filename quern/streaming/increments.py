@@ -58,26 +58,26 @@ class _Streaks(StatefulProcessor):
 
     def init(self, handle: Any) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, place bigint, bad boolean")
+        self.waiting = handle.getListState("waiting", "at array<bigint>, place array<bigint>, bad array<boolean>")  # an entry for each arrival
         self.run = handle.getValueState("run", "length int, stopped boolean")
 
     def _so_far(self) -> tuple[int, bool]:
-        return tuple(self.run.get()) if self.run.exists() else (0, False)
+        found = self.run.get()
+        return (0, False) if found is None else tuple(found)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         if not self._so_far()[1]:
             last = 0
             for b in rows:
                 at = b["at_"].astype("int64").tolist()
-                for row in zip(at, b["place_"].astype("int64").tolist(), b["bad_"].astype(bool).tolist(), strict=True):
-                    self.waiting.appendValue(row)
+                self.waiting.appendValue((at, b["place_"].astype("int64").tolist(), b["bad_"].astype(bool).tolist()))
                 last = max([last, *at])
             self.handle.registerTimer(last + 1)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed, (length, stopped) = timerValues.getCurrentWatermarkInMs(), self._so_far()
-        held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        held = sorted(x for parts in self.waiting.get() for x in zip(*parts, strict=True))
         stop_at = None
         for at, place, bad in held:
             if at >= passed or stopped:
@@ -86,9 +86,10 @@ class _Streaks(StatefulProcessor):
             if length >= self.most:
                 stopped, stop_at = True, place
         rest = [] if stopped else [x for x in held if x[0] >= passed]
-        self.waiting.clear()
-        for x in rest:
-            self.waiting.appendValue(x)
+        if rest:
+            self.waiting.put([tuple(map(list, zip(*rest, strict=True)))])
+        else:
+            self.waiting.clear()
         self.run.update((length, stopped))
         if stop_at is not None:
             yield pd.DataFrame({"key": [key[0]], "stop_at": [stop_at]})
