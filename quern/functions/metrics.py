@@ -52,7 +52,7 @@ def _matches(p: Column, r: Column) -> Column:
         hit = (x["side"] == 1) & (left > 0)
         return F.struct(x["h"].alias("h"), F.when(x["side"] == 0, left + 1).when(hit, left - 1).otherwise(left).alias("left"), F.when(hit, a["n"] + 1).otherwise(a["n"]).alias("n"))
 
-    return F.aggregate(F.array_sort(F.concat(tag(r, 0), tag(p, 1))), start, step)["n"]
+    return F.aggregate(F.sort_array(F.concat(tag(r, 0), tag(p, 1))), start, step)["n"]  # array_sort() would call a function for each comparison
 
 
 def bleu_parts(prediction: Column, reference: Column, words=words_13a) -> Column:

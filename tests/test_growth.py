@@ -2,11 +2,14 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from quern.functions import asm, text
+from quern.functions import asm, metrics, text
+from quern.operators import external
 from quern.plans import catalog, trips  # noqa: F401  # trips registers its queries with the catalog's
 from quern.sources import sinks
+from quern.streaming import increments
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +49,56 @@ def test_samples_by_whole_texts_are_those_by_lines(spark):
 
 def test_units_are_cut_once_for_lifting(spark):
     assert plan(catalog.QUERIES["lift_job"](spark, SF)).count("cfi_endproc") == 0
+
+
+class Bare:
+    """A table that gives back the function it would map, and its session."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def mapInPandas(self, f, schema):
+        return f
+
+
+def test_results_are_given_on_before_a_batch_is_through(spark):
+    each = external.run(Bare(spark), lambda row: [{"id": row["id"], "k": k} for k in range(42)], "id bigint, k bigint, error string")
+    parts = list(each(iter([pd.DataFrame({"id": range(1000)})])))
+    assert sum(map(len, parts)) == 42_000 and max(map(len, parts)) <= 42 * external.SLICE
+
+
+def test_a_batch_of_a_key_is_one_entry_of_state():
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            return None
+
+        def exists(self):
+            return False
+
+        def __getattr__(self, what):
+            return lambda *a: calls.append((self.name, what))
+
+    class Handle:
+        def getListState(self, name, schema):
+            return State(name)
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+    one = increments._Streaks(3)
+    one.init(Handle())
+    list(one.handleInputRows((1,), iter([pd.DataFrame({"at_": range(500), "place_": range(500), "bad_": [True] * 500})]), None))
+    assert calls == [("waiting", "appendValue"), ("timer", 500)]
+
+
+def test_matches_are_sorted_without_a_function(spark):
+    df = spark.createDataFrame([("a b a", "a b c")], "p string, r string")
+    got = df.select(metrics.bleu_parts(F.col("p"), F.col("r")).alias("b"))
+    assert "array_sort(" not in plan(got) and list(got.first().b.match) == [2, 1, 0, 0]
