@@ -1,66 +1,65 @@
-"""Comparing nested values of JSON texts, path by path, as VARIANT on the JVM."""
+"""Comparing nested values of JSON texts within their row, read as VARIANT on the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.sources.places import scratch
+_REST = r'[^"\\]*+(?:\\.[^"\\]*+)*+'  # the inside of a string
+_DIGITS = r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][-+]?+[0-9]++)?+"
+_TOKENS = rf'(?s)"({_REST})"|(?<![-+.eE0-9])(?=([-0-9]))({_DIGITS})(?![-+.eE0-9]|[ \t\r\n]*+:)'  # strings, and numbers but in place of a name
+_NUMBERS = rf'\G((?:[^"tf]++|"\|{_REST}")*+)("[-0-9]\|[^"]*+"|true|false)'  # what is before the next number of a sorted form, and the number
 
-_INNER = ("OBJECT", "ARRAY")
 
+def _marked(text: Column) -> Column:
+    """A JSON text with its numbers as strings, so that reading keeps every digit: "|x" for a string x, "2|2.50" for 2.50.
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    What isn't JSON stays unreadable: numbers in no right form, or in place of a name, are left as they are.
+    """
+    return F.regexp_replace(text, F.lit(_TOKENS), F.lit('"$2|$1$3"'))
 
 
-def _cell(v: Column) -> Column:
-    """struct(kind, number, whole, text) of a value; of an object or array the kind alone. true and false are the whole numbers 1 and 0."""
-    full = F.schema_of_variant(v)
-    name = F.regexp_extract(full, "^[A-Z]+", 0)
-    truth = name == "BOOLEAN"
-    numeric = truth | name.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-    number = F.when(truth, F.try_variant_get(v, "$", "boolean").cast("double")).when(numeric, F.try_variant_get(v, "$", "double"))
-    whole = truth | (name == "BIGINT") | full.rlike("^DECIMAL\\((19|[23]\\d),0\\)$")  # whole numbers beyond 64 bits are decimals, too
-    text = F.when(truth, number.cast("long").cast("string")).when(~name.isin(*_INNER), F.to_json(v))
-    return F.struct(F.when(numeric, F.lit("NUMBER")).otherwise(name).alias("kind"), number.alias("number"), F.when(numeric, whole).alias("whole"), text.alias("text"))
+def _sorted_form(marked: Column) -> Column:
+    """A marked text in one form: names in order, no white space, one way of escapes. Of several values the first alone."""
+    return F.to_json(F.try_parse_json(marked))
 
 
-def leaves(rows: DataFrame, *keys: str, value: str = "v") -> DataFrame:
-    """(keys, path, cell) for every value within a VARIANT column, itself included: objects' entries by name, lists' by place.
+def _bones(marked: Column) -> Column:
+    """What is outside the strings of a marked text, with a quote for each of them and without white space."""
+    return F.regexp_replace(marked, F.lit(rf'(?s)(")(?:{_REST})"|[ \t\r\n]++'), F.lit("$1"))
 
-    A round for each level of nesting, each written to the scratch folder; a round reads the inner values of the one before.
-    """
-    spark = rows.sparkSession
-    level = rows.select(*keys, F.lit("").alias("path"), F.col(value).alias("_v"))
-    out: DataFrame | None = None
-    while True:
-        cells = _written(level.select(*keys, "path", "_v", _cell(F.col("_v")).alias("cell")), "level")
-        out = cells.drop("_v") if out is None else out.unionByName(cells.drop("_v"))
-        inner = cells.where(F.col("cell.kind").isin(*_INNER)).select(*keys, F.col("path").alias("_p"), "_v")
-        if inner.isEmpty():
-            return out
-        step = F.coalesce(F.concat(F.lit(".k"), F.length("key").cast("string"), F.lit(":"), "key"), F.concat(F.lit(".i"), F.col("pos").cast("string")))  # a name's length tells where it ends
-        level = inner.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(*keys, F.concat("_p", step).alias("path"), F.col("value").alias("_v"))
+
+def _frame(form: Column) -> Column:
+    """A sorted form with a # in place of each number; strings begin with a quote, so that nothing else looks the same."""
+    return F.regexp_replace(form, F.lit(_NUMBERS), F.lit("$1#"))
+
+
+def _numbers(form: Column) -> Column:
+    """The numbers of a sorted form as they were written; true and false are the whole numbers 1 and 0, and -0 is 0."""
+    plain = lambda v: F.when(v == "true", "1").when(v.isin("false", '"-|-0"'), "0").otherwise(v.substr(F.lit(4), F.length(v) - 4))
+    return F.transform(F.regexp_extract_all(form, F.lit(_NUMBERS), F.lit(2)), plain)
+
+
+def _agree(a: Column, b: Column, tolerance: float) -> Column:
+    x, y = a.cast("double"), b.cast("double")
+    apart = F.abs(x - y)
+    near = (x == y) | ((apart < float("inf")) & (apart <= tolerance * F.greatest(F.abs(x), F.abs(y))))
+    return (a == b) | ((a.rlike("[.eE]") | b.rlike("[.eE]")) & near)
 
 
 def json_alike(df: DataFrame, left: str, right: str, name: str = "same", tolerance: float = 1e-3) -> DataFrame:
     """df with whether two JSON texts hold the same: equal kinds but for numbers, which agree to a relative tolerance where one has a fraction or exponent, lists in order, objects by their entries. Null where either can't be read.
 
-    asm.json_alike is the definition, but that an object with a name twice, NaN and infinities can't be read, and that depth is up to 1,000.
-    Texts equal byte for byte are not taken apart. What is shuffled is a row for each value within the texts, by the text it stands in.
+    asm.json_alike is the definition, but that an object with a name twice, NaN and infinities can't be read, that depth
+    is up to 1,000, that whole numbers have any length, and that lone halves of surrogate pairs are all alike.
+    Each row is worked out by itself, without a shuffle or scratch files: two texts agree if their sorted forms do
+    but for the numbers, and those pair by pair.
     """
-    base = _written(df.withColumns({"_row": F.monotonically_increasing_id(), "_a": F.try_parse_json(left), "_b": F.try_parse_json(right)}), "compared")
-    fine = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    equal = F.col(left) == F.col(right)
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_a").alias("v")), F.struct(F.lit(1).alias("side"), F.col("_b").alias("v")))).alias("_s")
-    parts = leaves(base.where(fine & ~equal).select("_row", sides).select("_row", "_s.side", "_s.v"), "_row", "side").repartition("_row")
-    a, b = (F.max(F.when(F.col("side") == k, F.col("cell"))) for k in (0, 1))
-    cells = parts.groupBy("_row", "path").agg(a.alias("x"), b.alias("y"))
-    near = F.abs(F.col("x.number") - F.col("y.number")) <= tolerance * F.greatest(F.abs("x.number"), F.abs("y.number"))
-    agree = F.when(F.col("x.kind") != F.col("y.kind"), False).when(F.col("x.kind").isin(*_INNER), True).when((F.col("x.kind") == "NUMBER") & ~(F.col("x.whole") & F.col("y.whole")), near).otherwise(F.col("x.text") == F.col("y.text"))
-    found = cells.groupBy("_row").agg(F.bool_and(F.coalesce(agree, F.lit(False))).alias("_same"))
-    verdict = F.when(fine & equal, True).when(fine, F.col("_same"))
-    return base.join(found, "_row", "left").withColumn(name, verdict).drop("_row", "_a", "_b", "_same")
+    rows = df.withColumns({"_a": _marked(F.col(left)), "_b": _marked(F.col(right))})
+    rows = rows.withColumns({"_x": _sorted_form(F.col("_a")), "_y": _sorted_form(F.col("_b"))})
+    whole = lambda marked, form: F.when(F.length(_bones(F.col(marked))) == F.length(_bones(F.col(form))), F.col(form))  # noqa: E731  # null if more follows the first value
+    rows = rows.withColumns({"_x": whole("_a", "_x"), "_y": whole("_b", "_y")})
+    x, y = F.col("_x"), F.col("_y")
+    pairs = F.zip_with(_numbers(x), _numbers(y), lambda a, b: _agree(a, b, tolerance))
+    verdict = F.when(x == y, True).when(_frame(x) != _frame(y), False).otherwise(F.forall(pairs, lambda p: p))
+    return rows.withColumn(name, verdict).drop("_a", "_b", "_x", "_y")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import asm, metrics, text
 from quern.operators import external
 from quern.plans import catalog, trips  # noqa: F401  # trips registers its queries with the catalog's
-from quern.sources import sinks
+from quern.sources import places, sinks
 from quern.streaming import increments
 
 SF = "/root/testdata/sf0.001"
@@ -102,3 +102,9 @@ def test_matches_are_sorted_without_a_function(spark):
     df = spark.createDataFrame([("a b a", "a b c")], "p string, r string")
     got = df.select(metrics.bleu_parts(F.col("p"), F.col("r")).alias("b"))
     assert "array_sort(" not in plan(got) and list(got.first().b.match) == [2, 1, 0, 0]
+
+
+def test_nested_values_are_compared_within_their_row(spark, monkeypatch):
+    monkeypatch.setattr(places, "scratch", None)  # nothing is written
+    got = plan(catalog.QUERIES["io_compare_nested"](spark, SF))
+    assert "Exchange" not in got and "Sort" not in got and got.count("parseJson") == 2

@@ -48,6 +48,14 @@ def test_nested_values_against_the_definition(spark):
     assert nested.json_alike(df.where("id < 0"), "l", "r").isEmpty()
 
 
+def test_odd_json_texts_against_the_definition(spark):
+    """What follows a value, numbers in no right form or as names, marks within strings, and numbers of any length."""
+    odd = ["1 2", '{"a": 1} x', "[1],[2]", "[1]]", "[1]\x00", '1 "', "true1", "01", "[-]", "[1e]", "{1:2}", '["abc 1]', '[1"a"]', '["a"1]', "1e400", "1e401", "-1e400", "-0", "0", "-0.0", "1" * 40, "1" * 39 + "2", "1" * 39 + "2.0", '"2|2"', "2", '"|2"', '"#"', "[2]", '["#"]', '"\\u0061\\/"', '"a/"', "true", "1", "1.0005", "12345678901234567890.0", "12345678901234567891"]
+    df = spark.createDataFrame([(a, b) for a in odd for b in odd], "l string, r string")
+    found = nested.json_alike(df, "l", "r").collect()
+    assert [r for r in found if r.same != asm.json_alike(r.l, r.r)] == [] and len(found) == len(odd) ** 2
+
+
 def test_a_worker_keeps_its_model(spark, tmp_path):
     made, sizes = str(tmp_path / "made"), str(tmp_path / "sizes")
 
