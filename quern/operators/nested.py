@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.binding import let
+
 _REST = r'[^"\\]*+(?:\\.[^"\\]*+)*+'  # the inside of a string
 _DIGITS = r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][-+]?+[0-9]++)?+"
 _TOKENS = rf'(?s)"({_REST})"|(?<![-+.eE0-9])(?=([-0-9]))({_DIGITS})(?![-+.eE0-9]|[ \t\r\n]*+:)'  # strings, and numbers but in place of a name
@@ -29,6 +31,11 @@ def _bones(marked: Column) -> Column:
     return F.regexp_replace(marked, F.lit(rf'(?s)(")(?:{_REST})"|[ \t\r\n]++'), F.lit("$1"))
 
 
+def _alone(marked: Column) -> Column:
+    """The sorted form of a marked text after a bracket; null if it can't be read or more follows the first value."""
+    return let(_sorted_form(marked), lambda form: F.when(F.length(_bones(marked)) == F.length(_bones(form)), F.concat(F.lit("["), form)))
+
+
 def _frame(form: Column) -> Column:
     """A sorted form with a # in place of each number; strings begin with a quote, so that nothing else looks the same."""
     return F.regexp_replace(form, F.lit(_NUMBERS), F.lit("$1#"))
@@ -56,10 +63,14 @@ def json_alike(df: DataFrame, left: str, right: str, name: str = "same", toleran
     but for the numbers, and those pair by pair.
     """
     rows = df.withColumns({"_a": _marked(F.col(left)), "_b": _marked(F.col(right))})
-    rows = rows.withColumns({"_x": _sorted_form(F.col("_a")), "_y": _sorted_form(F.col("_b"))})
-    whole = lambda marked, form: F.when(F.length(_bones(F.col(marked))) == F.length(_bones(F.col(form))), F.col(form))  # noqa: E731  # null if more follows the first value
-    rows = rows.withColumns({"_x": whole("_a", "_x"), "_y": whole("_b", "_y")})
+    # both are read at once; no marked string is ".", so that each text is one value if these are second and fourth
+    rows = rows.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), "_a", F.lit(',".",'), "_b", F.lit(',"."]'))))
+    fine = (F.try_variant_get("_v", "$[1]", "string") == ".") & (F.try_variant_get("_v", "$[3]", "string") == ".")
+    rows = rows.withColumn("_v", F.when(fine, F.to_json("_v")))
+    first, second = F.substring_index("_v", ',".",', 1), F.concat(F.lit("["), F.substring_index(F.substring_index("_v", ',".",', -1), ',"."]', 1))
+    # alone where they can't be read at once: by an error in one, or too deep or long
+    rows = rows.withColumns({"_x": F.coalesce(first, _alone(F.col("_a"))), "_y": F.coalesce(second, _alone(F.col("_b")))})
     x, y = F.col("_x"), F.col("_y")
     pairs = F.zip_with(_numbers(x), _numbers(y), lambda a, b: _agree(a, b, tolerance))
     verdict = F.when(x == y, True).when(_frame(x) != _frame(y), False).otherwise(F.forall(pairs, lambda p: p))
-    return rows.withColumn(name, verdict).drop("_a", "_b", "_x", "_y")
+    return rows.withColumn(name, verdict).drop("_a", "_b", "_v", "_x", "_y")
