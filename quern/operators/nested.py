@@ -62,15 +62,16 @@ def json_alike(df: DataFrame, left: str, right: str, name: str = "same", toleran
     Each row is worked out by itself, without a shuffle or scratch files: two texts agree if their sorted forms do
     but for the numbers, and those pair by pair.
     """
-    rows = df.withColumns({"_a": _marked(F.col(left)), "_b": _marked(F.col(right))})
+    ma, mb, v, x, y = own = ["_" * max(map(len, df.columns)) + k for k in "abvxy"]  # longer than any name of df
+    rows = df.withColumns({ma: _marked(F.col(left)), mb: _marked(F.col(right))})
     # both are read at once; no marked string is ".", so that each text is one value if these are second and fourth
-    rows = rows.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), "_a", F.lit(',".",'), "_b", F.lit(',"."]'))))
-    fine = (F.try_variant_get("_v", "$[1]", "string") == ".") & (F.try_variant_get("_v", "$[3]", "string") == ".")
-    rows = rows.withColumn("_v", F.when(fine, F.to_json("_v")))
-    first, second = F.substring_index("_v", ',".",', 1), F.concat(F.lit("["), F.substring_index(F.substring_index("_v", ',".",', -1), ',"."]', 1))
+    rows = rows.withColumn(v, F.try_parse_json(F.concat(F.lit("["), ma, F.lit(',".",'), mb, F.lit(',"."]'))))
+    fine = (F.try_variant_get(v, "$[1]", "string") == ".") & (F.try_variant_get(v, "$[3]", "string") == ".")
+    rows = rows.withColumn(v, F.when(fine, F.to_json(v)))
+    first, second = F.substring_index(v, ',".",', 1), F.concat(F.lit("["), F.substring_index(F.substring_index(v, ',".",', -1), ',"."]', 1))
     # alone where they can't be read at once: by an error in one, or too deep or long
-    rows = rows.withColumns({"_x": F.coalesce(first, _alone(F.col("_a"))), "_y": F.coalesce(second, _alone(F.col("_b")))})
-    x, y = F.col("_x"), F.col("_y")
-    pairs = F.zip_with(_numbers(x), _numbers(y), lambda a, b: _agree(a, b, tolerance))
-    verdict = F.when(x == y, True).when(_frame(x) != _frame(y), False).otherwise(F.forall(pairs, lambda p: p))
-    return rows.withColumn(name, verdict).drop("_a", "_b", "_v", "_x", "_y")
+    rows = rows.withColumns({x: F.coalesce(first, _alone(F.col(ma))), y: F.coalesce(second, _alone(F.col(mb)))})
+    pairs = F.zip_with(_numbers(F.col(x)), _numbers(F.col(y)), lambda a, b: _agree(a, b, tolerance))
+    differ = _frame(F.col(x)) != _frame(F.col(y))
+    verdict = F.when(F.col(x) == F.col(y), True).when(differ, False).otherwise(F.forall(pairs, lambda p: p))
+    return rows.withColumn(name, verdict).drop(*own)

@@ -54,6 +54,8 @@ def test_odd_json_texts_against_the_definition(spark):
     df = spark.createDataFrame([(a, b) for a in odd for b in odd], "l string, r string")
     found = nested.json_alike(df, "l", "r").collect()
     assert [r for r in found if r.same != asm.json_alike(r.l, r.r)] == [] and len(found) == len(odd) ** 2
+    named = df.limit(3).toDF("_a", "_x")
+    assert nested.json_alike(named, "_a", "_x").columns == ["_a", "_x", "same"]
     deep = ["[" * 1000 + x + "]" * 1000 for x in ("1.0", "1.0001", "2")]
     df = spark.createDataFrame([(deep[0], x) for x in (*deep, deep[0] + "]")], "l string, r string")
     assert [r.same for r in nested.json_alike(df, "l", "r").collect()] == [True, True, False, None]
