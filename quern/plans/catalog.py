@@ -8,14 +8,17 @@ them are scored in ASCII, for SQL counts bytes there.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import arrays, asm, metrics, rewrites, text
 from quern.operators import batching, curate, external, nested, routing
 from quern.sources import places, scans, sinks
+from quern.sources.shipping import ship
 from quern.streaming import increments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -738,23 +741,34 @@ def asm_preprocess(t):
     return _doc(t, asm.preprocessed(_unit(), F.lit("f")))
 
 
-def _sums_of_words():
-    """A function that adds the lengths of a text's words, one by one."""
-    steps = F.transform(text.tokens(F.col("text")), lambda w: F.concat(F.lit("\tadd x0, x0, #"), F.least(F.length(w), F.lit(4095)).cast("string")))
-    return F.concat(F.lit("f:\n\t.cfi_startproc\n\tmov x0, #7\n\tmov x1, x0\n"), text.joined(steps), F.lit("\n\tcmp x0, #3\n\tret\n\t.cfi_endproc"))
+_WORD = re.compile(r"\S+", re.ASCII)
+#: Texts are rewritten together up to about so many characters, and longer ones alone.
+_TOGETHER = 1 << 18
+_ADDED = [f"\tadd x0, x0, #{n}" for n in range(4096)]
+
+
+def _sum_of_words(text_: str | None) -> list[str]:
+    """The lines of a function that adds the lengths of a text's words, one by one."""
+    steps = [_ADDED[min(len(w), 4095)] for w in _WORD.findall(text_ or "")]
+    return ["f:", "\t.cfi_startproc", "\tmov x0, #7", "\tmov x1, x0", *steps, "\tcmp x0, #3", "\tret", "\t.cfi_endproc"]
 
 
 @query("SELECT doc_id, (7 + coalesce(list_sum(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda w: least(length(w), 4095))), 0))::BIGINT AS x0, 7::BIGINT AS x1, true AS longer FROM documents")
 def asm_transforms(t):
     """What rewritten functions compute when a machine runs them: the same as before, though their texts are longer."""
-    code = t("documents").select("doc_id", _sums_of_words().alias("code"))
-
-    def ran(text_: str, seed: int) -> dict[str, int]:
-        new = rewrites.obfuscated(text_, seed)
-        return {"n": len(new), **{k: v for k, v in rewrites.executed(new).items() if k in ("x0", "x1")}}
 
-    run = code.select("doc_id", F.length("code").alias("m"), asm.udf(ran, "struct<n: bigint, x0: bigint, x1: bigint>")("code", curate.seeds(F.col("doc_id"))).alias("r"))
-    return run.select("doc_id", "r.x0", "r.x1", (F.col("r.n") >= F.col("m")).alias("longer"))
+    def ran(batches):
+        for rows in batches:
+            size = rows["text"].str.len().fillna(0).cumsum() // _TOGETHER
+            for _, part in rows.groupby(size, sort=False):
+                code = rewrites.Code([_sum_of_words(x) for x in part["text"]])
+                before = code.lengths()
+                rewrites.rewrite_all(code, part["seed"])
+                ends = pd.DataFrame(rewrites.runs(code), columns=["x0", "x1"])
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "x0": ends["x0"], "x1": ends["x1"], "longer": code.lengths() >= before})
+
+    ship()
+    return t("documents").select("doc_id", "text", curate.seeds(F.col("doc_id")).alias("seed")).mapInPandas(ran, "doc_id bigint, x0 bigint, x1 bigint, longer boolean")
 
 
 @query("SELECT doc_id, chr(9) || '.global' || chr(9) || 'f' || chr(10) || chr(9) || '.type' || chr(9) || 'f, %function' || chr(10) || 'f:' || chr(10) || chr(9) || 'ret ' || text || chr(10) || chr(9) || '.size' || chr(9) || 'f, .-f' AS t FROM documents")

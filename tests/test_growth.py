@@ -1,11 +1,12 @@
 """That steps grow with their input, and no faster."""
 
 import random
+import sys
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quern.functions import asm, metrics, text
+from quern.functions import asm, metrics, rewrites, text
 from quern.operators import external
 from quern.plans import catalog, trips  # noqa: F401  # trips registers its queries with the catalog's
 from quern.sources import places, sinks
@@ -22,6 +23,18 @@ def test_functions_are_rewritten_once_for_a_row(spark):
     assert plan(catalog.QUERIES["asm_transforms"](spark, SF)).count("xxhash64(42") == 1
 
 
+def test_lines_are_rewritten_together():
+    text_ = "f:\n\t.cfi_startproc\n" + "\tadd x0, x0, #9\n" * 20_000 + "\tret\n\t.cfi_endproc"
+    for seed in range(6):
+        calls = []
+        sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+        try:
+            new = rewrites.obfuscated(text_, seed)
+        finally:
+            sys.setprofile(None)
+        assert len(calls) < 4_000 and new.count("\n") > 20_000
+
+
 def test_routed_texts_are_neither_multiplied_nor_sorted(spark):
     got = catalog.QUERIES["routed_pairs"](spark, SF)
     assert " Sort [" not in plan(got) and got.count() == 29

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import asm, rewrites
+from quern.plans import catalog
 
 BODY = ["f:", "\t.cfi_startproc", "\tsub sp, sp, #32", "\tmov x3, #77", "        mov x4, x0", "\tadd x0, x0, #4", "\tadd x5, sp, #16", "\tlsl x6, x1, #1", "\tneg w7, w2", "\tmov w8, w3", "\tcmp w1, #3", "\tb.ge .L1", "\tsub x0, x0, #1000",
         "\tcmp x2, x1", "\tb.eq .L2", ".L1:", "\tmul x0, x0, x3", "\teor x1, x1, x0", ".L2:", "\tsub x2, x2, #1", "\tcbnz x2, .L1", "\tadd sp, sp, #32", "\tret", "\t.cfi_endproc"]
@@ -87,3 +88,41 @@ def test_functions_of_units(spark):
     literals = lambda u, f: spark.createDataFrame([(u, f)], "u string, f string").select(asm.with_literals(F.col("u"), F.col("f"))).first()[0]
     assert literals(".LC0:\n\t.string \"x\"\n.LC11:\r\n\n .word 1\na.3:\n 7", "adr .LC11\n .LC0 a.3 .LC9 .LC0") == "adr .LC11\n .LC0 a.3 .LC9 .LC0\n.LC11:  .word 1\n.LC0: \t.string \"x\"\na.3:  7\n"
     assert literals("x", "ret") == "ret\n\n"
+
+
+def test_many_functions_are_rewritten_as_each_alone(spark):
+    odd = "f:\n\t.cfi_startproc\n\tmov x0, #0x10\n\tadd x0,x0,#4 \n\n  .Lway_7: // x\n\tcmp x0, #07\n\tadd x1, x0, #5\n\tsub x1, x1, #123456789012345678901\n\tneg x2, x1\n\tb .Lway_3\n\tnop\n.Lway_3:\n\tret x30\n  .cfi_endproc\n\tnop\n"
+    texts = ["\n".join(BODY), odd, "", "\n", "no body", *("\n".join([*BODY[:k], *BODY[2:]]) for k in range(3, 20))]
+    code = rewrites.Code([t.split("\n") for t in texts])
+    assert code.texts() == texts and code.lengths().tolist() == [len(t) for t in texts]
+    rewrites.rewrite_all(code, range(len(texts)), 3, 2, 4, (0.5, 1.0))
+    new = code.texts()
+    assert new == [rewrites.obfuscated(t, i, 3, 2, 4, (0.5, 1.0)) for i, t in enumerate(texts)]
+    assert code.lengths().tolist() == [len(t) for t in new] and new[2:5] == texts[2:5] and new[1].endswith("  .cfi_endproc\n\tnop\n")
+    labels = [r.strip() for r in new[0].split("\n") if r.startswith(".Lway_")]
+    assert len(labels) == len(set(labels))
+    for seed in range(40):
+        lines = rewrites.transformed(odd.split("\n"), "opaque_pred", 1, random.Random(seed))
+        assert len(mine := [r.split(":")[0].strip() for r in lines if ".Lway_" in r and ":" in r]) == len(set(mine)) > 5
+
+
+def test_functions_of_columns_run_as_their_texts():
+    texts = ["\n".join([*BODY[:k], "\tadd x2, xzr, #1", *BODY[k:]]) for k in range(3, 11)]
+    code = rewrites.Code([t.split("\n") for t in texts])
+    rewrites.rewrite_all(code, range(8), most=4, intensity=(0.5, 1.0))
+    start = {"x0": (1 << 64) - 5, "x1": 3, "x2": 4}
+    got = list(rewrites.runs(code, start))
+    assert got == [rewrites.executed(t, start) for t in code.texts()]
+    assert [[g[r] for r in KEPT] for g in got] == [[rewrites.executed(t, start)[r] for r in KEPT] for t in texts]
+    assert rewrites.executed("\tmov w1, #-1\n\tror x2, x1, #0x4\n\tasr w3, w1, #31\n\tb .L1\n\tjunk\n.L1:\n\ttbz w3, #31, .L1\n\tadd x4,x3 ,\tx2\nret") | {"x30": 7} == dict.fromkeys([*(f"x{n}" for n in range(31)), "sp"], 0) | {"x1": 0xFFFFFFFF, "x2": 0xF00000000FFFFFFF, "x3": 0xFFFFFFFF, "x4": 0xF00000010FFFFFFE, "x30": 7}
+    for bad in ("\tjunk x1", "\tadd x0, x0", "\tadd x0, x0, #5 // #7", "f: // x"):
+        with pytest.raises(ValueError):
+            rewrites.executed(bad)
+    with pytest.raises(ValueError):
+        rewrites.executed("a:\n\tadd x0, x0, #1\n\tb a", steps=1000)
+
+
+def test_texts_that_are_null_or_empty_make_functions(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, ""), (3, "a\u00e9b \u00a0c\x0bd"), (4, " " * 9)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.x0, r.x1, r.longer) for r in catalog.QUERIES["asm_transforms"](spark, str(tmp_path)).collect()}
+    assert got == {1: (7, 7, True), 2: (7, 7, True), 3: (13, 7, True), 4: (7, 7, True)}
